@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.plans.scratch import Scratch, shared_folder
+
+__all__ = ["ROOT", "Scratch", "prepare", "shared_folder", "table", "text_rows"]
+
 #: Folder that holds the package; sent to Python workers so that they can import it.
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -28,45 +29,6 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="driftline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage; ``drop`` removes what is no longer read.
-
-    A written table survives the loss of an executor, and the rows that later
-    stages read are the rows that were written, however often they are read.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.base = f"{shared_folder(spark)}/driftline-{label}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self.drop)
-
-    def path(self, name: str) -> str:
-        return f"{self.base}/{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write once, then read the written rows."""
-        schema = df.schema
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        return self.spark.read.schema(schema).parquet(self.path(name))
-
-    def drop(self, name: str | None = None) -> None:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.base)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the session may have ended; the folder is then the cluster's to clean
-            pass
-
-
 def text_rows(df: DataFrame, id_col: str, text_col: str, id_name: str = "doc_id") -> DataFrame:
     """Only the id and the text (null text: empty); other columns, whatever their names, do not come along."""
     return df.select(

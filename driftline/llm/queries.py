@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm.common import table
+from driftline.llm.common import Scratch, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -18,6 +19,20 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_harmonic_packing": op1_harmonic_packing}
+def op2_adaptive_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftline.llm.jaccard import similarity_components
+
+    return similarity_components(table(spark, sf_dir, "documents"), size=4, threshold=Fraction(85, 100)).drop("class_id")
+
+
+def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftline.llm.codec import read_digests, write_store
+
+    path = Scratch(spark, "ids").path("store")
+    write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path(VOCABULARY))
+    return read_digests(spark, path)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_adaptive_jaccard_join, op4_huffman_ids)}
 
 ORACLE_SQL: dict[str, str] = {}
