@@ -109,8 +109,9 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
         yield _batch([(*piece, None, None, worker // GROUP) for _, piece in bins.rest()])
 
     def second_pass(key: tuple, table: pa.Table) -> pa.Table:
-        rows = sorted((r["length"], tuple(r[c] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens"))) for r in table.to_pylist())
-        rows.sort(key=lambda x: -x[0])
+        columns = [table.column(c).to_pylist() for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
+        rows = [(p[2], p) for p in zip(*columns, strict=True)]
+        rows.sort(key=lambda x: (-x[0], x[1][0] is not None, x[1][0] or 0, x[1][1], x[1][3]))
         bins, sequence, out = OpenBins(capacity), -1 - (key[0].as_py() << 36), []
         for length, piece in rows:
             if full := bins.add(length, piece):

@@ -1,13 +1,15 @@
-"""Token ids from the public word-level tokenizer file, with a cache of white-space separated words.
+"""Token ids from the public word-level tokenizer file, each distinct word of a slice encoded once.
 
 The vocabulary's pre-tokenizer never matches across white space, and its normalizer
 neither composes nor reorders across it, so a text's ids are the ids of its ASCII
-white-space separated words one after another. Each distinct word goes through the
-tokenizer itself; texts are assembled from its answers.
+white-space separated words one after another. A word of Latin letters and the ASCII
+punctuation behind it are two pre-tokens, so these are encoded apart as well. All ids
+come from the tokenizer itself; texts are assembled from its answers.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -15,14 +17,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words a worker remembers; beyond it the memory starts anew, which costs time and changes nothing.
-CACHE_WORDS = 400_000
-#: Characters (bytes of UTF-8) encoded at once, so that memory follows this and not the batch.
-SLICE_BYTES = 8_000_000
+#: Bytes of text encoded at once, so that memory follows this and not the batch; a longer text is a slice of its own.
+SLICE_BYTES = 32_000_000
+#: Words given to the tokenizer as one text, separated by blanks.
+TOGETHER = 50
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_LETTERS = "^[a-zÀ-ÖØ-öø-ÿ]+$"
 
 _encoders: dict[str, WordEncoder] = {}
 
 
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices of runs one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
 class WordEncoder:
     """Ids of texts as one flat array and offsets; ``vocabulary`` is the path of a tokenizers file."""
 
@@ -31,59 +41,61 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.lengths = np.zeros(1 << 16, np.int32)
-        self.pool = np.zeros(1 << 18, np.uint32)
-        self.used = 0
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self._reset()
-        first = len(self.known)
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int32, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while first + len(part) > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.starts[first : first + len(part)] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[first : first + len(part)] = lengths
-            self.used += len(flat)
-            for word in part:
-                self.known[word] = first
-                first += 1
+        words = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(words.values()) + 1, bool)
+        self.last[[i for w, i in words.items() if w.endswith("</w>")]] = True
+
+    def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters: many in one text, taken apart at the ids that end a word."""
+        texts = [" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
+        ends = np.flatnonzero(self.last[np.minimum(ids, len(self.last) - 1)]) + 1
+        if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
+            return self._single(words)
+        return ids, np.diff(ends, prepend=0)
+
+    def _parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of distinct words."""
+        base = pc.utf8_rtrim(words, characters=_PUNCTUATION)
+        plain = pc.match_substring_regex(base, _LETTERS)
+        cut = pc.binary_length(base).to_numpy(zero_copy_only=False)
+        letters = base.filter(plain).dictionary_encode()
+        whole = words.filter(pc.invert(plain))
+        mask = plain.to_numpy(zero_copy_only=False)
+        tails = [w[k:] for w, k in zip(words.filter(plain).cast(pa.binary()).to_pylist(), cut[mask].tolist(), strict=True)]
+        tail_words = pa.array(tails, pa.binary()).dictionary_encode()
+        sets = (self._words(letters.dictionary.to_pylist()), self._single([t.decode() for t in tail_words.dictionary.to_pylist()]), self._single(whole.to_pylist()))
+        pool, lengths = np.concatenate([x for x, _ in sets]), np.concatenate([n for _, n in sets])
+        starts = np.cumsum(lengths) - lengths
+        n_letters, n_tails = len(sets[0][1]), len(sets[1][1])
+        none = len(lengths)
+        starts, lengths = np.append(starts, 0), np.append(lengths, 0)
+        part = np.full((len(words), 2), none, np.int64)
+        part[mask, 0] = np.asarray(letters.indices)
+        part[mask, 1] = n_letters + np.asarray(tail_words.indices)
+        part[~mask, 0] = n_letters + n_tails + np.arange(int((~mask).sum()))
+        return pool[_ragged(starts[part.ravel()], lengths[part.ravel()])], lengths[part].sum(axis=1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets of each text with a final end). Null texts are empty."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        split = pc.ascii_split_whitespace(texts.fill_null(""))
-        words = split.values if split.offset == 0 else split.flatten()
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
         bounds = np.asarray(split.offsets).astype(np.int64)
-        bounds = bounds - bounds[0]
-        coded = words.slice(0, bounds[-1]).dictionary_encode()
-        spelled = coded.dictionary.to_pylist()
-        new = [w for w in spelled if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self._reset()
-                new = spelled
-            self._learn(new)
-        index = np.fromiter((self.known[w] for w in spelled), np.int64, len(spelled))
-        which = index[np.asarray(coded.indices)] if len(index) else np.zeros(0, np.int64)
-        lengths = self.lengths[which].astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        flat = np.arange(ends[-1], dtype=np.int64) + np.repeat(self.starts[which] - ends[:-1], lengths)
-        return self.pool[flat], ends[bounds]
+        coded = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        if not len(coded):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        pool, lengths = self._parts(coded.dictionary)
+        which = np.asarray(coded.indices)
+        starts = np.cumsum(lengths) - lengths
+        sizes = lengths[which]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return pool[_ragged(starts[which], sizes)], ends[bounds - bounds[0]]
 
 
 def encoder(vocabulary: str) -> WordEncoder:
