@@ -25,6 +25,12 @@ def op2_adaptive_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents"), size=4, threshold=Fraction(85, 100)).drop("class_id")
 
 
+def op3_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftline.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftline.llm.codec import read_digests, write_store
 
@@ -33,6 +39,6 @@ def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_adaptive_jaccard_join, op4_huffman_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_adaptive_jaccard_join, op3_toxicity_trees, op4_huffman_ids)}
 
 ORACLE_SQL: dict[str, str] = {}
