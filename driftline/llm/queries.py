@@ -39,6 +39,12 @@ def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_adaptive_jaccard_join, op3_toxicity_trees, op4_huffman_ids)}
+def op8_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftline.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_adaptive_jaccard_join, op3_toxicity_trees, op4_huffman_ids, op8_subword_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
