@@ -8,9 +8,14 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from driftline.llm import urls
 from driftline.llm.common import Scratch, table
 
 VOCABULARY = "word_bpe_49k.json"
+RULES = [
+    urls.Rule("allow", "org", "/"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/"),
+]
 
 
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +44,25 @@ def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftline.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftline.llm.search import search
+
+    rows = table(spark, sf_dir, "embeddings")
+    return search(rows, rows.filter("vec_id % 20 = 0"))
+
+
 def op8_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftline.llm.quality import quality
 
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_adaptive_jaccard_join, op3_toxicity_trees, op4_huffman_ids, op8_subword_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_adaptive_jaccard_join, op3_toxicity_trees, op4_huffman_ids, op6_host_reputation, op8_subword_quality, op10_adaptive_scan)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_host_reputation": urls.sql(RULES)}

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text encoded at once, so that memory follows this and not the batch; a longer text is a slice of its own.
-SLICE_BYTES = 32_000_000
+SLICE_BYTES = 16_000_000
 #: Words given to the tokenizer as one text, separated by blanks.
 TOGETHER = 50
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
