@@ -3,6 +3,7 @@
 Vectors get one more component that makes their norms equal, so the largest inner product
 is the smallest distance. Centroids fitted on a bounded sample split all rows into lists;
 a long list is dealt out over blocks of bounded size, and so are the queries that probe it.
+The number of lists probed is the least that reaches a wanted recall on the sample.
 Inside a block, vectors lie rotated at random and in blocks of columns. After each block
 of columns a candidate is dropped when its distance so far, scaled to all dimensions,
 exceeds the distance of the query's k-th best by a margin that such a sample of dimensions
@@ -23,8 +24,10 @@ from driftline.llm.common import Scratch, prepare
 
 #: Rows that the centroids are fitted on (by hash of the id), most lists, and rounds of fitting.
 SAMPLE, LISTS, ROUNDS = 20_000, 4096, 8
-#: Share of lists probed, least number of them; they go on until they hold enough rows.
-PROBED, LEAST_LISTS = 0.25, 8
+#: Share of nearest neighbours that the probed lists are to hold, and rows of the sample it is measured on.
+RECALL, ASKED = 0.96, 400
+#: Rows of the sample that every query is held against first: their k-th best score is where the scan starts.
+START = 2_000
 #: Rows and queries of one block; columns of one step; the test's margin.
 BLOCK_ROWS, BLOCK_QUERIES, COLUMNS, EPSILON = 4096, 1024, 16, 2.1
 
@@ -73,49 +76,64 @@ def widened(x: np.ndarray, norm: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(norm**2 - (x**2).sum(axis=1), 0))[:, None]], axis=1)
 
 
-def scan(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, norm: float, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best of the block: positions and exact scores."""
+def scan(queries: np.ndarray, own: np.ndarray, least: np.ndarray, rows: np.ndarray, ids: np.ndarray, norm: float, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its k best of the block: ids and exact scores. ``least``: a score that k candidates are known to reach."""
     width = rows.shape[1] + 1
     turn = rotation(width)
-    order = np.argsort(ids, kind="stable")
-    rows, ids = rows[order], ids[order]
-    columns = [np.ascontiguousarray(b) for b in np.split(widened(rows, norm) @ turn, range(COLUMNS, width, COLUMNS), axis=1)]
-    turned = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1) @ turn
-    first = min(len(rows), max(4 * k, 64))
+    cuts = list(range(COLUMNS, width, COLUMNS))
+    columns = [np.ascontiguousarray(b) for b in np.split(widened(rows, norm) @ turn, cuts, axis=1)]
+    turned = np.split(np.concatenate([queries, np.zeros((len(queries), 1))], axis=1) @ turn, cuts, axis=1)
+    limit = np.maximum((queries**2).sum(axis=1) + norm**2 - 2 * least, 0.0)
+    head, ask = columns[0], turned[0]
+    first = (head**2).sum(axis=1)[None, :] + (ask**2).sum(axis=1)[:, None] - 2 * ask @ head.T
+    alive_all = first <= (limit * _ratio(ask.shape[1], width))[:, None]
     for q in range(len(queries)):
-        parts = np.split(turned[q], range(COLUMNS, width, COLUMNS))
-        seen = rows[:first] @ queries[q]
-        mine = ids[:first] != own[q]
-        found, scores = np.flatnonzero(mine), seen[mine]
-        if len(rows) > first:
-            alive = np.arange(first, len(rows))
-            if len(scores) >= k:
-                worst = np.partition(scores, len(scores) - k)[len(scores) - k]
-                limit = max(queries[q] @ queries[q] + norm**2 - 2 * worst, 0.0)
-                so_far, done = np.zeros(len(alive)), 0
-                for part, block in zip(parts, columns, strict=True):
-                    so_far += ((block[alive] - part) ** 2).sum(axis=1)
-                    done += len(part)
-                    ratio = 1.0 if done == width else (done / width) * (1 + EPSILON / np.sqrt(done)) ** 2
-                    keep = so_far <= limit * ratio * (1 + 1e-9) + 1e-9
-                    alive, so_far = alive[keep], so_far[keep]
-                    if not len(alive):
-                        break
-            alive = alive[ids[alive] != own[q]]
-            found, scores = np.concatenate([found, alive]), np.concatenate([scores, rows[alive] @ queries[q]])
-        scores = np.einsum("ij,j->i", rows[found], queries[q]) if len(found) else scores
-        best = np.lexsort((ids[found], -scores))[:k]
-        yield q, ids[found[best]], scores[best]
-
-
-def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probed: float = PROBED) -> DataFrame:
+        alive = np.flatnonzero(alive_all[q])
+        so_far, done = first[q, alive], ask.shape[1]
+        for block, part in zip(columns[1:], turned[1:], strict=True):
+            if not len(alive):
+                break
+            so_far = so_far + ((block[alive] - part[q]) ** 2).sum(axis=1)
+            done += part.shape[1]
+            keep = so_far <= limit[q] * _ratio(done, width)
+            alive, so_far = alive[keep], so_far[keep]
+        alive = alive[ids[alive] != own[q]]
+        scores = np.einsum("ij,j->i", rows[alive], queries[q])
+        best = np.lexsort((ids[alive], -scores))[:k]
+        yield q, ids[alive[best]], scores[best]
+
+
+def _ratio(done: int, width: int) -> float:
+    """How much of the limit a distance over ``done`` rotated dimensions may have reached."""
+    return (1.0 if done == width else (done / width) * (1 + EPSILON / done**0.5) ** 2) * (1 + 1e-9)
+
+
+def lists_needed(x: np.ndarray, c: np.ndarray, k: int) -> int:
+    """Fewest lists that hold the wanted share of the k nearest, over some rows of the sample against all of it."""
+    asked = np.arange(0, len(x), max(1, len(x) // ASKED))[:ASKED]
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return len(c)
+    top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    half = (c**2).sum(axis=1) / 2
+    flat = np.concatenate([x[asked, :-1], np.zeros((len(asked), 1))], axis=1)
+    order = np.argsort(half - flat @ c.T, axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(len(c)), order.shape), axis=1)
+    found = np.take_along_axis(place, nearest(x, c)[top], axis=1)
+    return int(np.quantile(found, RECALL, method="higher")) + 1
+
+
+def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the k nearest found of each query, ties to the smaller id.
 
     Both tables have the same columns; a row never finds rows of its own id. Vectors that
     are null, zero, or hold null or non-finite components take no part, nor do those of
     another dimension than most have (the smaller, if equally many). With fewer than k
-    candidates all are returned. Repeated rows are found each. An empty table gives an
-    empty result.
+    candidates all are returned. Rows that repeat an id are one candidate, by its best
+    score, and one query. An empty table gives an empty result.
     """
     spark = df.sparkSession
     prepare(spark)
@@ -127,9 +145,13 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
     width, total, norm = sizes["width"], sizes["n"], sizes["norm"] * (1 + 1e-12)
     rows = rows.filter(F.size("v") == width)
     asked = valid(queries, id_col, vector_col).filter(F.size("v") == width)
-    lists = int(min(LISTS, max(1, total // 64), max(1, round(total**0.5))))
-    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()])
-    shared = spark.sparkContext.broadcast(centroids(widened(sample, norm), lists))
+    lists = int(min(LISTS, max(1, round(total**0.5 / 4))))
+    sampled = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    sample, sample_ids = np.array(sampled["v"].tolist()), sampled["vec_id"].to_numpy()
+    centre = centroids(widened(sample, norm), lists)
+    least = lists_needed(widened(sample, norm), centre, k)
+    shared = spark.sparkContext.broadcast(centre)
+    known = spark.sparkContext.broadcast((sample[:START], sample_ids[:START]))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,32 +163,50 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
     held = np.zeros(lists, np.int64)
     for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect():
         held[r["list"]] = r["n"]
-    least = max(LEAST_LISTS, int(np.ceil(probed * lists)))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = (shared.value**2).sum(axis=1) / 2
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("v"))
+            x, ids = _matrix(batch.column("v")), np.asarray(batch.column("vec_id"))
             order = np.argsort(half - np.concatenate([x, np.zeros((len(x), 1))], axis=1) @ shared.value.T, axis=1, kind="stable")
             enough = (np.cumsum(held[order], axis=1) - held[order] < k + 1) | (np.arange(lists) < least)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array([o[e].astype(np.int32) for o, e in zip(order, enough, strict=True)], pa.list_(pa.int32()))], ["vec_id", "v", "lists"])
-
-    probes = scratch.write(asked.mapInArrow(probe, "vec_id long, v array<double>, lists array<int>"), "probes")
+            starts = [start(x[i : i + 256], ids[i : i + 256]) for i in range(0, len(x), 256)]
+            least_, near, scores = ([y for part in starts for y in part[j]] for j in range(3))
+            chosen = pa.array([o[e].astype(np.int32) for o, e in zip(order, enough, strict=True)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vec_id"), batch.column("v"), pa.array(least_, pa.float64()), chosen, pa.array(near, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))], ["vec_id", "v", "least", "lists", "near", "scores"]
+            )
+
+    def start(x: np.ndarray, ids: np.ndarray) -> tuple[list[float], list[np.ndarray], list[np.ndarray]]:
+        """The k best of the first rows of the sample, and the least of their scores if there are k."""
+        vectors, own = known.value
+        scores = x @ vectors.T
+        least_, near, best = [], [], []
+        for i in range(len(x)):
+            order = np.lexsort((own, -scores[i]))
+            order = order[own[order] != ids[i]][:k]
+            exact = np.einsum("ij,j->i", vectors[order], x[i])
+            least_.append(float(exact.min()) - 1e-9 if len(order) == k and len(np.unique(own[order])) == k else -np.inf)
+            near.append(own[order])
+            best.append(exact)
+        return least_, near, best
+
+    probes = scratch.write(asked.mapInArrow(probe, "vec_id long, v array<double>, least double, lists array<int>, near array<long>, scores array<double>"), "probes")
     asks = {r["list"]: r["n"] for r in probes.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}
     shape = spark.createDataFrame([(i, int(-(-int(held[i]) // BLOCK_ROWS)), int(-(-asks.get(i, 0) // BLOCK_QUERIES))) for i in range(lists) if held[i] and asks.get(i)] or [(0, 1, 1)], "list int, row_blocks int, query_blocks int")
     shape = F.broadcast(shape)  # a row for each list, at most LISTS
     spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = placed.join(shape, "list").withColumn("rb", spread("row_blocks")).withColumn("qb", every("query_blocks")).select("list", "rb", "qb", "vec_id", "v")
-    right = probes.select("vec_id", "v", F.explode("lists").alias("list")).join(shape, "list").withColumn("qb", spread("query_blocks")).withColumn("rb", every("row_blocks")).select("list", "rb", "qb", "vec_id", "v")
+    right = probes.select("vec_id", "v", "least", F.explode("lists").alias("list")).join(shape, "list").withColumn("qb", spread("query_blocks")).withColumn("rb", every("row_blocks")).select("list", "rb", "qb", "vec_id", "v", "least")
 
     def block(data: pa.Table, ask: pa.Table) -> pa.Table:
         query, rank_id, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if data.num_rows and ask.num_rows:
             own = ask.column("vec_id").to_numpy()
-            for q, ids, scores in scan(_matrix(ask.column("v")), own, _matrix(data.column("v")), data.column("vec_id").to_numpy(), norm, k):
+            for q, ids, scores in scan(_matrix(ask.column("v")), own, ask.column("least").to_numpy(), _matrix(data.column("v")), data.column("vec_id").to_numpy(), norm, k):
                 query.append(np.full(len(ids), own[q]))
                 rank_id.append(ids)
                 score.append(scores)
@@ -174,5 +214,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
 
     key = ["list", "rb", "qb"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(block, "query_id long, vec_id long, score double")
+    begun = probes.select(F.col("vec_id").alias("query_id"), F.inline(F.arrays_zip(F.col("near").alias("vec_id"), F.col("scores").alias("score"))))
+    found = found.unionByName(begun).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
