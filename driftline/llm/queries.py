@@ -57,12 +57,18 @@ def op10_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(rows, rows.filter("vec_id % 20 = 0"))
 
 
+def op7_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftline.llm.decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftline.llm.quality import quality
 
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_adaptive_jaccard_join, op3_toxicity_trees, op4_huffman_ids, op6_host_reputation, op8_subword_quality, op10_adaptive_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_adaptive_jaccard_join, op3_toxicity_trees, op4_huffman_ids, op6_host_reputation, op7_qgram_decontamination, op8_subword_quality, op10_adaptive_scan)}
 
 ORACLE_SQL: dict[str, str] = {"op6_host_reputation": urls.sql(RULES)}
