@@ -133,9 +133,12 @@ def candidates(text: np.ndarray, ends: np.ndarray, windows: Windows) -> np.ndarr
     where, window, place = np.repeat(at, runs), windows.window[each], windows.place[each]
     diagonal = where - place + WINDOW
     own = owner[where]
-    rows, counts = np.unique(np.concatenate([np.stack([own, window, diagonal // BAND - b], axis=1) for b in (0, 1)]), axis=0, return_counts=True)
-    rows = rows[counts >= windows.bound[rows[:, 1]]]
-    return np.stack([rows[:, 0], rows[:, 1], rows[:, 2] * BAND - WINDOW], axis=1)
+    bands = len(text) // BAND + WINDOW
+    packed = (own * len(windows) + window) * bands + diagonal // BAND + 1
+    packed, counts = np.unique(np.concatenate([packed, packed - 1]), return_counts=True)
+    pair, band = packed // bands, packed % bands - 1
+    rows = np.stack([pair // len(windows), pair % len(windows), band * BAND - WINDOW], axis=1)
+    return rows[counts >= windows.bound[rows[:, 1]]]
 
 
 def align(text: np.ndarray, ends: np.ndarray, rows: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
