@@ -7,10 +7,15 @@ them. A longer prefix costs more postings and asks for more matches, so fewer ca
 reach verification; each document picks the l of least estimated cost, and a pair needs
 the smaller l of its two documents.
 
-Documents with equal sets are one class before the join. Links inside large groups of
-near copies are found by rounds that hold every posting against one member of its list
-(linear in the postings); only pairs that these links don't already connect go through
-the join proper, so that its work doesn't grow with the square of a group's size.
+Documents with equal sets are one class before the join. Links inside groups of near
+copies are found first, by holding every posting against a few members of its list (one of
+them the document with most shared shingles, so the likeliest centre of its group): work
+linear in the postings. The join proper then only looks for pairs that these links don't
+connect already. Short lists are joined as rows. A long list is dealt out in blocks, and
+two blocks meet in one task that holds their parity signatures against each other (sets
+whose signatures differ in d bits differ in d elements or more) and gives out the few
+pairs that can still be similar, so neither a task nor the rows made grow with the square
+of a list.
 """
 
 from __future__ import annotations
@@ -35,8 +40,10 @@ BUCKET_BITS = 20
 EXTENSIONS = (1, 2, 3, 4)
 #: Cost of verifying a candidate against that of reading a posting.
 VERIFY_COST = 40.0
-#: Linear rounds before the join proper.
-HUB_ROUNDS = 3
+#: Members of each list that its postings are held against before the join proper.
+HUBS = 3
+#: Longest list joined as rows, rows of a block of a longer one, and bits of a signature.
+SHORT_LIST, BLOCK, SIGNATURE = 32, 512, 1024
 
 
 def least_overlap(n: int, threshold: Fraction) -> int:
@@ -138,18 +145,19 @@ class Join:
                     sets = shingle_sets(part.column("text"), size)
                     cuts = [prefix(x, table, base, threshold) for x in sets]
                     keys = [(np.bitwise_xor.reduce(x, initial=np.uint64(0)), np.add.reduce(mix(x ^ np.uint64(0x5BF03635))) if len(x) else np.uint64(0)) for x in sets]
+                    signs = [np.packbits(np.bincount((x & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1).tobytes() for x in sets]
                     lengths = np.cumsum([0, *(len(p) for p, _ in cuts)])
                     flat = np.concatenate([p for p, _ in cuts]).view(np.int64) if lengths[-1] else np.zeros(0, np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()),
                             pa.array(np.array([a for a, _ in keys], np.uint64).view(np.int64)), pa.array(np.array([b for _, b in keys], np.uint64).view(np.int64)),
-                            pa.array([l for _, l in cuts], pa.int32()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat)),
+                            pa.array([l for _, l in cuts], pa.int32()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat)), pa.array(signs, pa.binary()),
                         ],
-                        ["doc_id", "n", "key_a", "key_b", "ell", "prefix"],
+                        ["doc_id", "n", "key_a", "key_b", "ell", "prefix", "sign"],
                     )
 
-        return self.rows.mapInArrow(cut, "doc_id long, n int, key_a long, key_b long, ell int, prefix array<long>")
+        return self.rows.mapInArrow(cut, "doc_id long, n int, key_a long, key_b long, ell int, prefix array<long>, sign binary")
 
     def _postings(self) -> DataFrame:
         """Prefix shingles that two classes or more have; one exchange, on the shingle."""
@@ -162,63 +170,85 @@ class Join:
         p, q = self.threshold.numerator, self.threshold.denominator
         return pairs.filter(F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p)
 
-    def _full_sets(self, ids: DataFrame, name: str) -> DataFrame:
-        """The whole sets of some documents, made again from their texts."""
-        size = self.size
+    def _verify(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that are links, by the whole sets of their documents, made again from the texts."""
+        size, p, q = self.size, self.threshold.numerator, self.threshold.denominator
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text", SLICE_BYTES):
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in shingle_sets(part.column("text"), size)], pa.binary())], ["doc_id", "hashes"])
-
-        return self.scratch.write(self.rows.join(ids, "doc_id", "left_semi").mapInArrow(whole, "doc_id long, hashes binary"), name)
-
-    def _verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs that are links, by their whole sets."""
-        p, q = self.threshold.numerator, self.threshold.denominator
-
-        def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                    a, b = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    keep.append(both * q >= (len(a) + len(b) - both) * p)
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    sets = shingle_sets(part.column("text"), size)
+                    ends = np.cumsum([0, *map(len, sets)])
+                    flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "hashes"])
 
+        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        sets = self.scratch.write(self.rows.join(ids, "doc_id", "left_semi").mapInArrow(whole, "doc_id long, hashes array<long>"), f"whole-{name}")
         x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
         xy = x.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
-        return xy.select("a", "b", "x", "y").mapInArrow(hold, "a long, b long")
+        both = F.size(F.array_intersect("x", "y"))
+        found = self.scratch.write(xy.filter(both * q >= (F.size("x") + F.size("y") - both) * p).select("a", "b"), f"found-{name}")
+        self.scratch.drop(f"whole-{name}")
+        return found
 
     def links(self) -> DataFrame:
         """Links between classes that connect all that are similar (``a`` > ``b``): each verified on whole sets."""
         postings = self.scratch.write(self._postings(), "postings")
-        sets = self._full_sets(postings.select("doc_id").distinct(), "whole")
-        known = self.spark.createDataFrame([], "a long, b long")
-        done, found, open_ = known, known, postings.withColumn("component", F.col("doc_id"))
-        for n in range(HUB_ROUNDS):
-            hub = F.min(F.struct(F.xxhash64("doc_id", F.lit(n)), "doc_id", "component", "n")).over(Window.partitionBy("token"))
-            pairs = open_.withColumn("hub", hub).filter("hub.component <> component").select(
-                F.greatest("doc_id", "hub.doc_id").alias("a"), F.least("doc_id", "hub.doc_id").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b")
-            )
-            pairs = self.scratch.write(self._near(pairs).select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), f"pairs-{n}")
-            found = found.unionByName(self.scratch.write(self._verify(pairs, sets), f"found-{n}"))
-            done = done.unionByName(pairs)
-            of = components(found, scratch=Scratch(self.spark, "jaccard-components"))
-            now = postings.join(of, postings["doc_id"] == of["node"], "left").select("token", "doc_id", "n", "ell", F.coalesce("component", "doc_id").alias("component"))
-            lists = Window.partitionBy("token")
-            now = now.withColumns({"lo": F.min("component").over(lists), "hi": F.max("component").over(lists)}).filter("lo < hi").drop("lo", "hi")
-            open_ = self.scratch.write(now, f"open-{n}")
-        pairs = self.scratch.write(self._multi_match(open_).join(done, ["a", "b"], "left_anti"), "pairs")
-        return found.unionByName(self.scratch.write(self._verify(pairs, sets), "found"))
-
-    def _multi_match(self, postings: DataFrame) -> DataFrame:
-        """Pairs not connected yet that share as many prefix shingles as the shorter extension asks."""
-        a = postings.select("token", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "ell", "component")))
-        b = postings.select("token", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "ell", "component")))
-        pairs = self._near(a.join(b, "token").filter("doc_id_a > doc_id_b AND component_a <> component_b"))
-        shared = pairs.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("ell_a", "ell_b")).alias("least"))
-        return shared.filter("shared >= least").select("a", "b")
+        tried = self.scratch.write(self._hub_pairs(postings), "tried")
+        found = self._verify(tried, "hubs")
+        of = components(found, scratch=Scratch(self.spark, "jaccard-components"))
+        lists = Window.partitionBy("token")
+        now = postings.join(of, postings["doc_id"] == of["node"], "left").select("token", "doc_id", "n", "ell", F.coalesce("component", "doc_id").alias("component"))
+        now = now.withColumns({"lo": F.min("component").over(lists), "hi": F.max("component").over(lists), "held": F.count("*").over(lists)}).filter("lo < hi").drop("lo", "hi")
+        now = self.scratch.write(now, "open")
+        shared = self._short(now.filter(F.col("held") <= SHORT_LIST)).unionByName(self._long(now.filter(F.col("held") > SHORT_LIST)))
+        shared = shared.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("ell").alias("least")).filter("shared >= least").select("a", "b")
+        rest = self.scratch.write(shared.join(tried, ["a", "b"], "left_anti"), "rest")
+        return found.unionByName(self._verify(rest, "rest"))
+
+    def _hub_pairs(self, postings: DataFrame) -> DataFrame:
+        """Every posting with a few members of its list."""
+        if not HUBS:
+            return postings.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
+        lists = Window.partitionBy("token")
+        degree = postings.groupBy("doc_id").agg(F.count("*").alias("degree"))
+        order = [-F.col("degree"), *(F.xxhash64("doc_id", F.lit(k)) for k in range(1, HUBS))]
+        hubs = {f"hub{k}": F.min(F.struct(o.alias("order"), "doc_id", "n")).over(lists) for k, o in enumerate(order)}
+        pairs = postings.join(degree, "doc_id").withColumns(hubs).select("doc_id", "n", F.explode(F.array(*hubs)).alias("hub")).select(
+            F.greatest("doc_id", "hub.doc_id").alias("a"), F.least("doc_id", "hub.doc_id").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b")
+        )
+        return self._near(pairs).filter("a <> b").select("a", "b").distinct()
+
+    def _short(self, postings: DataFrame) -> DataFrame:
+        """A row for each shingle that a pair not connected yet shares, of short lists."""
+        side = lambda x: postings.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "ell", "component")))
+        pairs = self._near(side("a").join(side("b"), "token").filter("doc_id_a > doc_id_b AND component_a <> component_b"))
+        return pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), F.least("ell_a", "ell_b").alias("ell"))
+
+    def _long(self, postings: DataFrame) -> DataFrame:
+        """The same of long lists, for pairs that their sizes and signatures leave possible."""
+        p, q = self.threshold.numerator, self.threshold.denominator
+
+        def meet(key: tuple, table: pa.Table) -> pa.Table:
+            doc, n, ell, of, block = (table.column(c).to_numpy() for c in ("doc_id", "n", "ell", "component", "block"))
+            bits = np.unpackbits(np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint8).reshape(len(doc), -1), axis=1).astype(np.float32)
+            one, two = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+            weight = bits.sum(axis=1)
+            differ = weight[one][:, None] + weight[two][None, :] - 2 * bits[one] @ bits[two].T
+            sizes = n[one][:, None].astype(np.int64) + n[two][None, :]
+            fit = np.minimum(n[one][:, None], n[two][None, :]) * q >= np.maximum(n[one][:, None], n[two][None, :]) * p
+            fit &= (differ * (q + p) <= sizes * (q - p)) & (of[one][:, None] != of[two][None, :])
+            i, j = np.nonzero(fit)
+            i, j = one[i], two[j]
+            if key[1].as_py() == key[2].as_py():
+                i, j = i[doc[i] > doc[j]], j[doc[i] > doc[j]]
+            return pa.table({"a": np.maximum(doc[i], doc[j]), "b": np.minimum(doc[i], doc[j]), "ell": np.minimum(ell[i], ell[j])})
+
+        blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+        rows = postings.join(self.sets.select("doc_id", "sign"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "n", "ell", "component", "sign")
+        return rows.groupBy("token", "i", "j").applyInArrow(meet, "a long, b long, ell int")
 
     def members(self) -> DataFrame:
         """``doc_id``, ``n_shingles``, ``class_id`` and ``component_id`` of every document."""

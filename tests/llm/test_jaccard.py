@@ -65,9 +65,11 @@ def near_copies():
 
 
 @pytest.mark.parametrize("threshold", [Fraction(4, 5), Fraction(85, 100), Fraction(1, 2)])
-@pytest.mark.parametrize("rounds", [0, 3])
-def test_near_copies(spark, monkeypatch, threshold, rounds):
-    monkeypatch.setattr(jaccard, "HUB_ROUNDS", rounds)
+@pytest.mark.parametrize(("hubs", "short", "block"), [(0, 32, 512), (3, 32, 512), (0, 2, 7), (1, 2, 1000)])
+def test_near_copies(spark, monkeypatch, threshold, hubs, short, block):
+    monkeypatch.setattr(jaccard, "SHORT_LIST", short)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "HUBS", hubs)
     rows = near_copies()
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, n int, token int")
     got = {r.doc_id: r.component_id for r in jaccard.similarity_components(df, size=5, threshold=threshold).collect()}
