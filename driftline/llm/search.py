@@ -28,6 +28,8 @@ SAMPLE, LISTS, ROUNDS = 20_000, 4096, 8
 RECALL, ASKED = 0.96, 400
 #: Rows of the sample that every query is held against first: their k-th best score is where the scan starts.
 START = 2_000
+#: Nearest lists that are scanned first; the k-th best of them is where the scan of the others starts.
+FIRST = 2
 #: Rows and queries of one block; columns of one step; the test's margin.
 BLOCK_ROWS, BLOCK_QUERIES, COLUMNS, EPSILON = 4096, 1024, 16, 2.1
 
@@ -194,13 +196,18 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
         return least_, near, best
 
     probes = scratch.write(asked.mapInArrow(probe, "vec_id long, v array<double>, least double, lists array<int>, near array<long>, scores array<double>"), "probes")
-    asks = {r["list"]: r["n"] for r in probes.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}
-    shape = spark.createDataFrame([(i, int(-(-int(held[i]) // BLOCK_ROWS)), int(-(-asks.get(i, 0) // BLOCK_QUERIES))) for i in range(lists) if held[i] and asks.get(i)] or [(0, 1, 1)], "list int, row_blocks int, query_blocks int")
-    shape = F.broadcast(shape)  # a row for each list, at most LISTS
-    spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.join(shape, "list").withColumn("rb", spread("row_blocks")).withColumn("qb", every("query_blocks")).select("list", "rb", "qb", "vec_id", "v")
-    right = probes.select("vec_id", "v", "least", F.explode("lists").alias("list")).join(shape, "list").withColumn("qb", spread("query_blocks")).withColumn("rb", every("row_blocks")).select("list", "rb", "qb", "vec_id", "v", "least")
+    key = ["list", "rb", "qb"]
+
+    def scanned(asked_lists: DataFrame) -> DataFrame:
+        """The k best of each probed list's blocks, for rows of ``vec_id``, ``v``, ``least``, ``list``."""
+        asks = {r["list"]: r["n"] for r in asked_lists.groupBy("list").agg(F.count("*").alias("n")).collect()}
+        shape = [(i, int(-(-int(held[i]) // BLOCK_ROWS)), int(-(-asks.get(i, 0) // BLOCK_QUERIES))) for i in range(lists) if held[i] and asks.get(i)]
+        shape = F.broadcast(spark.createDataFrame(shape or [(-1, 1, 1)], "list int, row_blocks int, query_blocks int"))  # a row for each list, at most LISTS
+        spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = placed.join(shape, "list").withColumn("rb", spread("row_blocks")).withColumn("qb", every("query_blocks")).select(*key, "vec_id", "v")
+        right = asked_lists.join(shape, "list").withColumn("qb", spread("query_blocks")).withColumn("rb", every("row_blocks")).select(*key, "vec_id", "v", "least")
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(block, "query_id long, vec_id long, score double")
 
     def block(data: pa.Table, ask: pa.Table) -> pa.Table:
         query, rank_id, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
@@ -212,9 +219,13 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
                 score.append(scores)
         return pa.table({"query_id": np.concatenate(query), "vec_id": np.concatenate(rank_id), "score": np.concatenate(score)})
 
-    key = ["list", "rb", "qb"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(block, "query_id long, vec_id long, score double")
     begun = probes.select(F.col("vec_id").alias("query_id"), F.inline(F.arrays_zip(F.col("near").alias("vec_id"), F.col("scores").alias("score"))))
-    found = found.unionByName(begun).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    first = scanned(probes.select("vec_id", "v", "least", F.explode(F.slice("lists", 1, FIRST)).alias("list"))).unionByName(begun)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    first = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    first = scratch.write(first.select("query_id", "vec_id", "score"), "first")
+    reached = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score") - 1e-9).alias("reached"))
+    rest = probes.join(reached, probes["vec_id"] == reached["query_id"], "left").select("vec_id", "v", F.greatest("least", F.coalesce("reached", F.lit(float("-inf")))).alias("least"), "lists")
+    found = scanned(rest.select("vec_id", "v", "least", F.explode(F.slice("lists", FIRST + 1, lists)).alias("list")))
+    found = found.unionByName(first).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
