@@ -50,6 +50,12 @@ def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftline.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftline.llm.search import search
 
@@ -69,6 +75,6 @@ def op8_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_adaptive_jaccard_join, op3_toxicity_trees, op4_huffman_ids, op6_host_reputation, op7_qgram_decontamination, op8_subword_quality, op10_adaptive_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_adaptive_jaccard_join, op3_toxicity_trees, op4_huffman_ids, op6_host_reputation, op7_qgram_decontamination, op8_subword_quality, op9_bootstrapped_pii, op10_adaptive_scan)}
 
 ORACLE_SQL: dict[str, str] = {"op6_host_reputation": urls.sql(RULES)}
