@@ -44,6 +44,12 @@ def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+def op5_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftline.llm.htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftline.llm.urls import judge
 
@@ -75,6 +81,6 @@ def op8_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_adaptive_jaccard_join, op3_toxicity_trees, op4_huffman_ids, op6_host_reputation, op7_qgram_decontamination, op8_subword_quality, op9_bootstrapped_pii, op10_adaptive_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_adaptive_jaccard_join, op3_toxicity_trees, op4_huffman_ids, op5_host_suffix_array, op6_host_reputation, op7_qgram_decontamination, op8_subword_quality, op9_bootstrapped_pii, op10_adaptive_scan)}
 
 ORACLE_SQL: dict[str, str] = {"op6_host_reputation": urls.sql(RULES)}
