@@ -44,6 +44,8 @@ VERIFY_COST = 40.0
 HUBS = 3
 #: Longest list joined as rows, rows of a block of a longer one, and bits of a signature.
 SHORT_LIST, BLOCK, SIGNATURE = 32, 512, 1024
+#: Most ids of documents to verify that are broadcast (16 MB); more meet their texts by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def least_overlap(n: int, threshold: Fraction) -> int:
@@ -145,19 +147,21 @@ class Join:
                     sets = shingle_sets(part.column("text"), size)
                     cuts = [prefix(x, table, base, threshold) for x in sets]
                     keys = [(np.bitwise_xor.reduce(x, initial=np.uint64(0)), np.add.reduce(mix(x ^ np.uint64(0x5BF03635))) if len(x) else np.uint64(0)) for x in sets]
-                    signs = [np.packbits(np.bincount((x & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1).tobytes() for x in sets]
+                    signs = [np.packbits(np.bincount((x & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1) for x in sets]
+                    signs = pa.array(np.concatenate(signs).view(np.int64) if signs else np.zeros(0, np.int64))
                     lengths = np.cumsum([0, *(len(p) for p, _ in cuts)])
                     flat = np.concatenate([p for p, _ in cuts]).view(np.int64) if lengths[-1] else np.zeros(0, np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()),
                             pa.array(np.array([a for a, _ in keys], np.uint64).view(np.int64)), pa.array(np.array([b for _, b in keys], np.uint64).view(np.int64)),
-                            pa.array([l for _, l in cuts], pa.int32()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat)), pa.array(signs, pa.binary()),
+                            pa.array([l for _, l in cuts], pa.int32()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat)),
+                            pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (SIGNATURE // 64)), signs),
                         ],
                         ["doc_id", "n", "key_a", "key_b", "ell", "prefix", "sign"],
                     )
 
-        return self.rows.mapInArrow(cut, "doc_id long, n int, key_a long, key_b long, ell int, prefix array<long>, sign binary")
+        return self.rows.mapInArrow(cut, "doc_id long, n int, key_a long, key_b long, ell int, prefix array<long>, sign array<long>")
 
     def _postings(self) -> DataFrame:
         """Prefix shingles that two classes or more have; one exchange, on the shingle."""
@@ -182,7 +186,9 @@ class Join:
                     flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "hashes"])
 
+        pairs = self.scratch.write(self._plausible(pairs), f"plausible-{name}")
         ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        ids = F.broadcast(ids) if 2 * pairs.count() <= BROADCAST_IDS else ids  # else the texts go to the ids by a shuffle
         sets = self.scratch.write(self.rows.join(ids, "doc_id", "left_semi").mapInArrow(whole, "doc_id long, hashes array<long>"), f"whole-{name}")
         x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
         xy = x.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
@@ -191,6 +197,13 @@ class Join:
         self.scratch.drop(f"whole-{name}")
         return found
 
+    def _plausible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose signatures differ in no more bits than similar sets may differ in elements."""
+        p, q = self.threshold.numerator, self.threshold.denominator
+        side = lambda x: self.sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sign").alias(f"sign_{x}"))
+        differ = F.aggregate(F.zip_with("sign_a", "sign_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+        return pairs.join(side("a"), "a").join(side("b"), "b").filter(differ * (q + p) <= (F.col("n_a") + F.col("n_b")) * (q - p)).select("a", "b")
+
     def links(self) -> DataFrame:
         """Links between classes that connect all that are similar (``a`` > ``b``): each verified on whole sets."""
         postings = self.scratch.write(self._postings(), "postings")
@@ -231,7 +244,7 @@ class Join:
 
         def meet(key: tuple, table: pa.Table) -> pa.Table:
             doc, n, ell, of, block = (table.column(c).to_numpy() for c in ("doc_id", "n", "ell", "component", "block"))
-            bits = np.unpackbits(np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint8).reshape(len(doc), -1), axis=1).astype(np.float32)
+            bits = np.unpackbits(table.column("sign").combine_chunks().flatten().to_numpy().view(np.uint8).reshape(len(doc), -1), axis=1).astype(np.float32)
             one, two = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
             weight = bits.sum(axis=1)
             differ = weight[one][:, None] + weight[two][None, :] - 2 * bits[one] @ bits[two].T
