@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.queries import spatial, tablediff
+from driftline.queries import metrics, ranking, spatial, tablediff, text, zones
 
-_MODULES = (tablediff, spatial)
+_MODULES = (tablediff, spatial, zones, ranking, metrics, text)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
