@@ -44,8 +44,10 @@ VERIFY_COST = 40.0
 HUBS = 3
 #: Longest list joined as rows, rows of a block of a longer one, and bits of a signature.
 SHORT_LIST, BLOCK, SIGNATURE = 32, 512, 1024
-#: Most ids of documents to verify that are broadcast (16 MB); more meet their texts by a shuffle.
+#: Most rows of a table of ids that is broadcast (some 16 MB); more meet the other side by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Most documents verified against one hub in one task.
+STAR = 256
 
 
 def least_overlap(n: int, threshold: Fraction) -> int:
@@ -132,9 +134,14 @@ class Join:
         self.rows = text_rows(df, id_col, text_col).filter("doc_id IS NOT NULL")
         self.counts = self.spark.sparkContext.broadcast(_count_sketch(self.rows, size).astype(np.float32))
         self.sets = self.scratch.write(self._prefixes(), "sets")
-        same = self.sets.groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("class_id"))
-        #: Class of each document: the smallest id with the same set.
-        self.classes = self.sets.filter("n > 0").select("doc_id", "key_a", "key_b", "n").join(same, ["key_a", "key_b", "n"]).select("doc_id", "class_id")
+        copies = self.sets.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("held")).filter("held > 1").drop("held")
+        copies = self._small(self.scratch.write(copies, "copies"))
+        #: One row per document: size of its set and the smallest id with the same set.
+        self.classes = self.sets.select("doc_id", "key_a", "key_b", "n").join(copies, ["key_a", "key_b", "n"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+    def _small(self, df: DataFrame) -> DataFrame:
+        """A written table, to be broadcast if it has few enough rows; else its joins shuffle."""
+        return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
     def _prefixes(self) -> DataFrame:
         counts, size, threshold = self.counts, self.size, self.threshold
@@ -165,7 +172,7 @@ class Join:
 
     def _postings(self) -> DataFrame:
         """Prefix shingles that two classes or more have; one exchange, on the shingle."""
-        others = self.classes.filter("doc_id <> class_id").select("doc_id")
+        others = self._small(self.scratch.write(self.classes.filter("doc_id <> class_id").select("doc_id"), "others"))
         postings = self.sets.filter("n > 0").join(others, "doc_id", "left_anti").select(F.explode("prefix").alias("token"), "doc_id", "n", "ell")
         return postings.withColumn("held", F.count("*").over(Window.partitionBy("token"))).filter("held > 1").drop("held")
 
@@ -175,27 +182,45 @@ class Join:
         return pairs.filter(F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p)
 
     def _verify(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that are links, by the whole sets of their documents, made again from the texts."""
+        """The pairs that are links, by the whole sets of their documents, made again from the texts.
+
+        The end of a pair with more pairs is its hub. A hub's pairs are dealt out in blocks
+        of bounded size; a document's set goes to the blocks it is needed in, straight from
+        the scan of its text, so a pair costs one set in one exchange.
+        """
         size, p, q = self.size, self.threshold.numerator, self.threshold.denominator
+        pairs = self.scratch.write(self._plausible(pairs), f"plausible-{name}")
+        degree = pairs.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("d"))
+        ends = pairs.join(degree.select(F.col("doc").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("doc").alias("b"), F.col("d").alias("db")), "b")
+        first = (F.col("da") > F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+        stars = ends.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("doc"), F.when(first, F.col("da")).otherwise(F.col("db")).alias("d"))
+        stars = stars.withColumn("block", F.pmod(F.xxhash64("doc"), F.ceil(F.col("d") / STAR)).cast("int"))
+        needs = stars.select("doc", "hub", "block").unionByName(stars.select(F.col("hub").alias("doc"), "hub", "block").distinct())
+        needs = needs.groupBy("doc").agg(F.collect_list(F.struct("hub", "block")).alias("needs"))  # a row for each pair of one document
+        needs = self._small(self.scratch.write(needs, f"needs-{name}"))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text", SLICE_BYTES):
-                    sets = shingle_sets(part.column("text"), size)
-                    ends = np.cumsum([0, *map(len, sets)])
-                    flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "hashes"])
+                    for doc, x, where in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), size), part.column("needs").to_pylist(), strict=True):
+                        n = len(where)
+                        yield pa.RecordBatch.from_arrays([pa.array([w["hub"] for w in where]), pa.array([w["block"] for w in where], pa.int32()), pa.array([doc] * n), pa.array([x.tobytes()] * n, pa.binary())], ["hub", "block", "doc", "hashes"])
 
-        pairs = self.scratch.write(self._plausible(pairs), f"plausible-{name}")
-        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        ids = F.broadcast(ids) if 2 * pairs.count() <= BROADCAST_IDS else ids  # else the texts go to the ids by a shuffle
-        sets = self.scratch.write(self.rows.join(ids, "doc_id", "left_semi").mapInArrow(whole, "doc_id long, hashes array<long>"), f"whole-{name}")
-        x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
-        xy = x.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        found = self.scratch.write(xy.filter(both * q >= (F.size("x") + F.size("y") - both) * p).select("a", "b"), f"found-{name}")
-        self.scratch.drop(f"whole-{name}")
-        return found
+        def hold(key: tuple, table: pa.Table) -> pa.Table:
+            hub, sets = key[0].as_py(), {}
+            for doc, x in zip(table.column("doc").to_pylist(), table.column("hashes"), strict=True):
+                sets.setdefault(doc, []).append(np.frombuffer(x.as_buffer(), "<u8"))
+
+            def similar(x: np.ndarray, y: np.ndarray) -> bool:
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                return both * q >= (len(x) + len(y) - both) * p
+
+            found = np.array([doc for doc, texts in sets.items() if doc != hub and any(similar(x, y) for x in sets.get(hub, []) for y in texts)], np.int64)
+            return pa.table({"a": np.maximum(found, hub or 0), "b": np.minimum(found, hub or 0)})
+
+        rows = self.rows.join(needs, self.rows["doc_id"] == needs["doc"]).select("doc_id", "text", "needs")
+        sets = rows.mapInArrow(whole, "hub long, block int, doc long, hashes binary")
+        return self.scratch.write(sets.groupBy("hub", "block").applyInArrow(hold, "a long, b long"), f"found-{name}")
 
     def _plausible(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose signatures differ in no more bits than similar sets may differ in elements."""
@@ -266,9 +291,8 @@ class Join:
     def members(self) -> DataFrame:
         """``doc_id``, ``n_shingles``, ``class_id`` and ``component_id`` of every document."""
         of = components(self.links(), scratch=Scratch(self.spark, "jaccard-components"))
-        rows = self.sets.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(self.classes, "doc_id", "left")
-        rows = rows.withColumn("class_id", F.coalesce("class_id", "doc_id"))
-        return rows.join(of, rows["class_id"] == of["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+        rows = self.classes.join(of, self.classes["class_id"] == of["node"], "left")
+        return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
 def similarity_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -276,8 +300,8 @@ def similarity_components(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Words are runs without ASCII white space, A-Z lower-cased; a text with fewer words
     than ``size`` has all of them as its one shingle. Null and empty texts have an empty
-    set, are linked with nothing and are their own component. Rows of equal ids are kept
-    apart only by their sets; rows without an id are left out. An empty table gives an
+    set, are linked with nothing and are their own component. Rows that repeat an id are one
+    document, which links by any of its texts; rows without an id are left out. An empty table gives an
     empty result. Sets are compared by 64-bit hashes of their shingles.
     """
     return Join(df, id_col, text_col, size, threshold).members()
