@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Layer names of structural members (fixed values; ``STRUCTURAL_KOREAN`` match anywhere as they stand).
 STRUCTURAL = r"(?i)BEAM|COL(?:UMN)?|BRACE|BRACING|TRUSS|GIRDER|FRAME|WALL|SLAB|PLATE|FOOTING|FOUNDATION|PILE|\bBM[_-]|\bCL[_-]|\bGR[_-]|\bWL[_-]|\bFT[_-]"
@@ -38,13 +39,13 @@ def mtext(value: Column) -> Column:
     return plain(value)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def composed(values: pd.Series) -> pd.Series:
     """Compatibility composition (NFKC), upper case, white space collapsed: no built-in composes."""
     return values.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).upper().split()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, which no built-in has (``levenshtein`` is another measure); null if one is."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
