@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftline.plans.scratch import Scratch, shared_folder
 
-__all__ = ["ROOT", "Scratch", "prepare", "shared_folder", "table", "text_rows"]
+__all__ = ["ROOT", "Scratch", "prepare", "shared_folder", "small", "table", "text_rows"]
 
 #: Folder that holds the package; sent to Python workers so that they can import it.
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -35,3 +35,12 @@ def text_rows(df: DataFrame, id_col: str, text_col: str, id_name: str = "doc_id"
         F.col(f"`{id_col}`").cast("long").alias(id_name),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
     )
+
+
+#: Most rows of a table that ``small`` broadcasts; an id and what hangs on it take some tens of bytes.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, to be broadcast if it has few enough rows; else its joins shuffle."""
+    return F.broadcast(df) if df.count() <= most else df

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import Scratch, prepare, text_rows
+from driftline.llm.common import Scratch, prepare, small, text_rows
 from driftline.llm.shingles import SLICE_BYTES, mix
 from driftline.llm.tokens import slices
 
@@ -255,5 +255,5 @@ def _search(shared):
 def keep_unleaked(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows without a benchmark passage, with all their columns; an id with one takes all its rows along."""
     scratch = Scratch(df.sparkSession, "decontam")
-    gone = scratch.write(leaks(df, benchmark).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = small(scratch.write(leaks(df, benchmark).select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
     return df.join(gone, df["doc_id"].cast("long") == gone["_gone"], "left_anti")

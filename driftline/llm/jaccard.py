@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import Scratch, prepare, text_rows
+from driftline.llm.common import Scratch, prepare, small, text_rows
 from driftline.llm.shingles import SLICE_BYTES, mix, shingle_sets
 from driftline.llm.tokens import slices
 from driftline.operators.graph import components
@@ -44,8 +44,6 @@ VERIFY_COST = 40.0
 HUBS = 3
 #: Longest list joined as rows, rows of a block of a longer one, and bits of a signature.
 SHORT_LIST, BLOCK, SIGNATURE = 32, 512, 1024
-#: Most rows of a table of ids that is broadcast (some 16 MB); more meet the other side by a shuffle.
-BROADCAST_IDS = 2_000_000
 #: Most documents verified against one hub in one task.
 STAR = 256
 
@@ -135,14 +133,10 @@ class Join:
         self.counts = self.spark.sparkContext.broadcast(_count_sketch(self.rows, size).astype(np.float32))
         self.sets = self.scratch.write(self._prefixes(), "sets")
         copies = self.sets.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("held")).filter("held > 1").drop("held")
-        copies = self._small(self.scratch.write(copies, "copies"))
+        copies = small(self.scratch.write(copies, "copies"))
         #: One row per document: size of its set and the smallest id with the same set.
         self.classes = self.sets.select("doc_id", "key_a", "key_b", "n").join(copies, ["key_a", "key_b", "n"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
 
-    def _small(self, df: DataFrame) -> DataFrame:
-        """A written table, to be broadcast if it has few enough rows; else its joins shuffle."""
-        return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-
     def _prefixes(self) -> DataFrame:
         counts, size, threshold = self.counts, self.size, self.threshold
 
@@ -172,7 +166,7 @@ class Join:
 
     def _postings(self) -> DataFrame:
         """Prefix shingles that two classes or more have; one exchange, on the shingle."""
-        others = self._small(self.scratch.write(self.classes.filter("doc_id <> class_id").select("doc_id"), "others"))
+        others = small(self.scratch.write(self.classes.filter("doc_id <> class_id").select("doc_id"), "others"))
         postings = self.sets.filter("n > 0").join(others, "doc_id", "left_anti").select(F.explode("prefix").alias("token"), "doc_id", "n", "ell")
         return postings.withColumn("held", F.count("*").over(Window.partitionBy("token"))).filter("held > 1").drop("held")
 
@@ -197,7 +191,7 @@ class Join:
         stars = stars.withColumn("block", F.pmod(F.xxhash64("doc"), F.ceil(F.col("d") / STAR)).cast("int"))
         needs = stars.select("doc", "hub", "block").unionByName(stars.select(F.col("hub").alias("doc"), "hub", "block").distinct())
         needs = needs.groupBy("doc").agg(F.collect_list(F.struct("hub", "block")).alias("needs"))  # a row for each pair of one document
-        needs = self._small(self.scratch.write(needs, f"needs-{name}"))
+        needs = small(self.scratch.write(needs, f"needs-{name}"))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -313,5 +307,5 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     Of rows that repeat an id all stay or all go.
     """
     of = similarity_components(df, id_col, text_col, size, threshold)
-    gone = of.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    gone = small(Scratch(df.sparkSession, "jaccard-gone").write(of.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "gone"))
     return df.join(gone, df[id_col] == gone["_gone"], "left_anti")

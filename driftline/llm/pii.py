@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import Scratch
+from driftline.llm.common import Scratch, small
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring, different reliable instances that a pattern needs, and its least score.
@@ -23,6 +23,8 @@ ROUNDS, SUPPORT, LEAST_SCORE = 3, 3.0, 0.5
 BROADCAST_CONTEXTS = 50_000
 #: Characters left of an instance in which its context is looked for.
 REACH = 64
+#: Most documents with spans whose spans are broadcast to mask them (some 100 bytes each).
+SPAN_ROWS = 300_000
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Base patterns (fixed values). ``\\G`` or a look-behind starts them where a leftmost match can start, and
@@ -157,7 +159,7 @@ class Finder:
         if n == 0:
             return self.spark.createDataFrame([], "kind string, context string, score double, support double")
         places = self.texts.select(F.explode(_places(F.col("text"))).alias("context"))
-        wanted = F.broadcast(contexts) if n <= BROADCAST_CONTEXTS else contexts
+        wanted = F.broadcast(contexts) if n <= BROADCAST_CONTEXTS else contexts  # counted just above
         held = self.scratch.write(places.join(wanted, "context", "left_semi").groupBy("context").agg(F.count("*").alias("places")), "places")
         edges = edges.join(held, "context", "left").withColumn("places", F.greatest(F.coalesce("places", F.lit(0)), F.lit(1)))
         edges = self.scratch.write(edges, "counted")
@@ -224,7 +226,8 @@ def masked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_
     """
     found_ = Finder(df, id_col, text_col).spans().withColumn("spans", F.concat("base", "more")).filter(F.size("spans") > 0)
     found_ = found_.groupBy("doc_id", "text_hash", "long").agg(F.first("spans").alias("_spans"))
-    found_ = found_.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("long").alias("_long"), "_spans")
+    found_ = Scratch(df.sparkSession, "pii-spans").write(found_, "spans")
+    found_ = small(found_, SPAN_ROWS).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("long").alias("_long"), "_spans")
     text = F.col(f"`{text_col}`").cast("string")
     same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_hash")) & (F.length(text) == F.col("_long"))
     rows = df.join(found_, same, "left")
