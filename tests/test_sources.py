@@ -257,3 +257,55 @@ def test_geometry_edges(spark):
     assert tuple(one.select(far.alias("b")).first().b) == (49, 49, 51, 51)
     ring = one.select(g.ellipse_points(F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(1.0), F.lit(90.0), 4).alias("p")).first().p
     assert (round(ring[0].x, 9), round(ring[0].y, 9)) == (0, 2) and len(ring) == 5
+
+
+def test_suppression_equals_the_walk(spark):
+    from driftline.operators import regions
+
+    rng = random.Random(8)
+    boxes = [(i, rng.uniform(0, 20), rng.uniform(0, 4), rng.uniform(2, 6), rng.uniform(2, 4)) for i in range(150)]
+
+    def iou(a, b):
+        w = max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+        h = max(0, min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2]))
+        return w * h / (a[3] * a[4] + b[3] * b[4] - w * h)
+
+    kept = []
+    for b in sorted(boxes, key=lambda b: (-b[3] * b[4], b[0])):
+        if all(iou(b, k) <= 0.4 for k in kept):
+            kept.append(b)
+    df = spark.createDataFrame(boxes, "id long, x double, y double, w double, h double").select("id", F.lit(1).alias("sheet"), g.box(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")).alias("box"))
+    assert {r.id for r in regions.suppressed(df, ["sheet"], 3.0, 0.4).collect()} == {b[0] for b in kept}
+    old, new = [b for b in boxes if b[0] % 2], [b for b in boxes if not b[0] % 2]
+    free, want = dict.fromkeys(b[0] for b in new), {}
+    for a in sorted(old, key=lambda b: (b[2], b[0])):
+        best = max(((iou(a, b), -b[0]) for b in new if b[0] in free), default=(0, 0))
+        if best[0] > 0.3:
+            want[a[0]] = -best[1]
+            free.pop(-best[1])
+    got = regions.block_pairs(df.filter("id % 2 = 1"), df.filter("id % 2 = 0"), ["sheet"], 3.0, 0.3)
+    assert {r.a_id: r.b_id for r in got.collect()} == want
+    points = df.select("id", "sheet", F.col("box.x0").alias("x"), F.col("box.y0").alias("y"))
+    at, free, want = {b[0]: (b[1], b[2]) for b in boxes}, {b[0] for b in new}, {}
+    for i in sorted(b[0] for b in old):
+        near = sorted((float(np.sqrt((at[i][0] - at[j][0]) ** 2 + (at[i][1] - at[j][1]) ** 2)), j) for j in free)
+        if near and near[0][0] <= 2:
+            want[i] = near[0][1]
+            free.remove(near[0][1])
+    got = regions.truth_pairs(points.filter("id % 2 = 0"), points.filter("id % 2 = 1"), 2.0, ["sheet"])
+    assert {r.truth_id: r.predicted_id for r in got.collect()} == want
+
+
+def test_single_linkage_cut(spark):
+    from driftline.operators import regions
+
+    rows = [(i, "s", float(i % 3) + 100.0 * (i // 3)) for i in range(9)] + [(20, "t", 0.0)]
+    df = spark.createDataFrame(rows, "id long, sheet string, x double").select("id", "sheet", g.box(F.col("x"), F.lit(0.0), F.col("x") + 0.5, F.lit(1.0)).alias("box"))
+    assert {r.id: r.cluster for r in regions.ratio_cut(df, "sheet").collect()} == {**{i: i - i % 3 for i in range(9)}, 20: 20}
+
+
+def test_sensitivity_settings():
+    from driftline.functions.changes import Sensitivity
+
+    assert Sensitivity.from_yaml("sensitivity: {preset: strict, scale: 0.5, other: 1}") == Sensitivity(position=0.1, dimension=0.1, dimension_rel=0.0001, rotation=0.01, scale=0.5, radius=5.0)
+    assert Sensitivity.from_yaml("") == Sensitivity()
