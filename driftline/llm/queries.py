@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import urls
+from driftline.llm import sql, urls
 from driftline.llm.common import Scratch, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -83,4 +83,9 @@ def op8_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_harmonic_packing, op2_adaptive_jaccard_join, op3_toxicity_trees, op4_huffman_ids, op5_host_suffix_array, op6_host_reputation, op7_qgram_decontamination, op8_subword_quality, op9_bootstrapped_pii, op10_adaptive_scan)}
 
-ORACLE_SQL: dict[str, str] = {"op6_host_reputation": urls.sql(RULES)}
+ORACLE_SQL: dict[str, str] = {
+    "op2_adaptive_jaccard_join": sql.similarity_components(4, 85),
+    "op5_host_suffix_array": sql.articles(),
+    "op6_host_reputation": urls.sql(RULES),
+    "op9_bootstrapped_pii": sql.personal_data(),
+}
