@@ -117,3 +117,39 @@ def region_of(points: DataFrame, regions: DataFrame, on: Sequence[str], share: f
     rows = pairs.withColumn("tier", tier).withColumn("_k", key).filter("tier IS NOT NULL")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("tier", "_k", "region_id"))
     return rows.withColumn("_r", rank).filter("_r = 1").select("id", "region_id", "tier")
+
+
+def checked_overrides(overrides: DataFrame, files: DataFrame, a: str = "a_path", b: str = "b_path") -> DataFrame:
+    """Manual file decisions with an ``error`` for rows that cannot be applied, null for those that can.
+
+    ``overrides`` has the two paths, ``status`` and ``ordinal``; ``files`` has ``path`` and
+    ``kind``. Rows apply in order: of confirmed rows that share a file, the first holds and
+    the later ones are errors.
+    """
+    known = lambda c, k: files.select(F.col("path").alias(c), F.col("kind").alias(k))
+    rows = overrides.join(known(a, "_ka"), a, "left").join(known(b, "_kb"), b, "left")
+    base = (
+        F.when(~F.col("status").isin("confirmed", "rejected"), "unknown status").when(F.col("_ka").isNull() | F.col("_kb").isNull(), "missing path")
+        .when(F.col("_ka") != F.col("_kb"), "incompatible kinds")
+    )
+    rows = rows.withColumn("_base", base).withColumn("_c", F.col("_base").isNull() & (F.col("status") == "confirmed"))
+    for end in (a, b):
+        before = Window.partitionBy(end, "_c").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+        other = b if end == a else a
+        rows = rows.withColumn(f"_x{end}", F.col("_c") & F.coalesce(F.first(other).over(before) != F.col(other), F.lit(False)))
+    error = F.coalesce(F.col("_base"), F.when(F.col(f"_x{a}") | F.col(f"_x{b}"), "conflicting pair"))
+    return rows.withColumn("error", error).drop("_ka", "_kb", "_base", "_c", f"_x{a}", f"_x{b}")
+
+
+def best_page(drawings: DataFrame, pages: DataFrame, scores: DataFrame) -> DataFrame:
+    """The page for each drawing: the only page there is, else the best scored, else page 0 as a fallback.
+
+    ``pages`` has ``set_id page``, ``drawings`` has ``id set_id``, ``scores`` has ``id page score``.
+    """
+    only = pages.groupBy("set_id").agg(F.count("*").alias("n"), F.min("page").alias("only"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "page"))
+    best = scores.withColumn("_r", rank).filter("_r = 1").select("id", F.col("page").alias("best"))
+    rows = drawings.join(only, "set_id", "left").join(best, "id", "left")
+    page = F.when(F.col("n") == 1, F.col("only")).otherwise(F.coalesce("best", F.lit(0)))
+    source = F.when(F.col("n") == 1, "single").when(F.col("best").isNotNull(), "matched").otherwise("fallback")
+    return rows.select("id", page.alias("page"), source.alias("source"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from driftline.functions import changes as ch
 from driftline.functions import geometry as g
-from driftline.operators import regions
+from driftline.functions import keys as k
+from driftline.operators import pairing, regions
 from driftline.operators import tablediff as td
 from driftline.queries.common import table
 from driftline.queries.spatial import POINTS, _points
@@ -159,11 +160,74 @@ def duplicate_key_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return td.keyed_diff(old, new, ["l_orderkey"], ["mark", "l_tax"]).groupBy("change_type", "column_name").agg(F.count("*").alias("n"))
 
 
+def entity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many parts, drawn as entities of several kinds, share a key with another."""
+    c = F.col
+    kind = F.get(F.array(*map(F.lit, ["line", "circle", "arc", "polyline", "text", "insert", "point"])), (c("p_partkey") % 7).cast("int"))
+    x, y = (c("p_size") % 10).cast("double"), (c("p_partkey") % 3).cast("double")
+    v = F.array(*[F.struct(p.cast("double").alias("x"), q.cast("double").alias("y")) for p, q in ((x, y), (y, x), (x + 1, y))])
+    e = {"x": x, "y": y, "x2": y, "y2": x, "radius": y + 1, "angle": x * 90, "angle2": y * 360, "text": c("p_type"), "name": c("p_brand"), "sx": F.lit(1.0), "sy": y, "vertices": v, "closed": c("p_size") % 2 == 0}
+    rows = table(spark, sf_dir, "part").select(kind.alias("kind"), k.entity_key(kind, e).alias("key"))
+    return rows.groupBy("kind", "key").agg(F.count("*").alias("n")).groupBy("kind").agg(F.count("*").alias("keys"), F.max("n").alias("most"))
+
+
+def layer_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    names = ["S-BEAM", "A-TEXT", "TEMP-1", "DEFPOINTS", "TITLE", "Wall", "XREF"]
+    layer = F.get(F.array(*map(F.lit, names)), (c("p_partkey") % 7).cast("int"))
+    rows = table(spark, sf_dir, "part").select(layer.alias("layer"))
+    priority = k.layer_priority(c("layer"), [(-1, ["DEFPOINTS", "*TEMP*"]), (2, ["*BEAM*", "*WALL*"]), (0, ["*TEXT*"])])
+    return rows.groupBy("layer", priority.cast("long").alias("priority"), k.change_ignored(c("layer"), ["xref"], ["temp*"]).alias("ignored")).agg(F.count("*").alias("n"))
+
+
+def region_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region = g.box(F.lit(910.0), F.lit(1.0), F.lit(960.0), F.lit(8.0))
+    rows = _boxes(spark, sf_dir)
+    return rows.groupBy("sheet").agg(F.count_if(k.in_region(F.col("box"), region, "contained")).alias("contained"), F.count_if(k.in_region(F.col("box"), region, "intersecting")).alias("intersecting"))
+
+
+def table_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    reasons = k.table_reasons(c("p_size") % 12, c("p_partkey") % 9, c("p_size"), (c("p_partkey") % 20) / 100)
+    return table(spark, sf_dir, "part").groupBy(F.array_join(reasons, ",").alias("reasons")).agg(F.count("*").alias("n"))
+
+
+def attribute_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in the coordinates of a parent that is shifted, turned by quarters and mirrored."""
+    c = F.col
+    p = k.local_place(c("p_retailprice"), c("p_size").cast("double"), F.lit(900.0), F.lit(10.0), F.lit(2.0), F.lit(-1.0), (c("p_partkey") % 4) * 90.0)
+    return table(spark, sf_dir, "part").select("p_partkey", F.rint(p["x"] * 1000).cast("long").alias("x_milli"), F.rint(p["y"] * 1000).cast("long").alias("y_milli"))
+
+
+def classifier_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    second, sure = F.when(c("p_size") % 3 > 0, F.lit("grid")), (c("p_size") % 10) / 10
+    rows = table(spark, sf_dir, "part").select(k.cascade(F.lit("other"), second, sure, 0.5).alias("category"), k.needs_review(F.when(second.isNull(), "heuristic").otherwise("embedding"), sure).alias("review"))
+    return rows.groupBy("category", "review").agg(F.count("*").alias("n"))
+
+
+def override_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    files = table(spark, sf_dir, "supplier").select(c("s_name").alias("path"), F.when(c("s_suppkey") % 2 == 0, "cad").otherwise("pdf").alias("kind"))
+    status = F.when(c("s_suppkey") % 5 == 0, "rejected").when(c("s_suppkey") % 7 == 0, "maybe").otherwise("confirmed")
+    rows = table(spark, sf_dir, "supplier").select(c("s_name").alias("a_path"), F.format_string("Supplier#%09d", (c("s_suppkey") * 2) % 130).alias("b_path"), status.alias("status"), c("s_suppkey").alias("ordinal"))
+    return pairing.checked_overrides(rows, files).select("ordinal", "error")
+
+
+def best_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    drawings = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("id"), c("s_nationkey").alias("set_id"))
+    pages = table(spark, sf_dir, "customer").filter("c_custkey % 40 = 0").select(c("c_nationkey").alias("set_id"), c("c_custkey").alias("page"))
+    scores = drawings.filter("id % 3 > 0").join(pages, "set_id").select("id", "page", (c("page") * 7 % 11).alias("score"))
+    return pairing.best_page(drawings, pages, scores)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         frame_suppression, frame_candidates, outer_frames, side_coverage, cell_clusters, ratio_cut, vector_set_diff, text_block_pairs, truth_matching, reorigin_recovery, evidence_nearby, clause_lookup, change_categories,
-        alignment_artifacts, line_moves, polyline_moves, domain_tags, output_safety, quality_tiers, zone_localisation, layout_diff, duplicate_key_diff,
+        alignment_artifacts, line_moves, polyline_moves, domain_tags, output_safety, quality_tiers, zone_localisation, layout_diff, duplicate_key_diff, entity_keys, layer_filters,
+        region_filter, table_rejection, attribute_places, classifier_cascade, override_errors, best_pages,
     )
 }
 
@@ -210,4 +274,22 @@ ORACLE_SQL = {
     j AS (SELECT o.l_orderkey AS ok, n.l_orderkey AS nk, o.mark AS om, n.mark AS nm, o.l_tax AS ot, n.l_tax AS nt FROM o FULL JOIN n USING (l_orderkey)),
     c AS (SELECT CASE WHEN ok IS NULL THEN 'ADDED' ELSE 'DELETED' END AS change_type, NULL::VARCHAR AS column_name FROM j WHERE ok IS NULL OR nk IS NULL UNION ALL SELECT 'MODIFIED', 'mark' FROM j WHERE om <> nm UNION ALL SELECT 'MODIFIED', 'l_tax' FROM j WHERE abs(ot - nt) > 0.001::DOUBLE)
     SELECT change_type, column_name, count(*) AS n FROM c GROUP BY ALL""",
+    "entity_keys": """WITH v AS (SELECT p_partkey % 7 AS t, p_size % 10 AS x, p_partkey % 3 AS y, p_type, p_brand, p_size % 2 = 0 AS c FROM part),
+    w AS (SELECT t, CASE t WHEN 0 THEN least(x, y) || ',' || greatest(x, y) WHEN 1 THEN x || ',' || y WHEN 2 THEN x || ',' || y || ',' || (x * 90 % 360) WHEN 3 THEN x || ',' || y || ',' || c WHEN 4 THEN x || ',' || y || p_type WHEN 5 THEN x || ',' || y || p_brand || (x * 90 % 360) ELSE x || ',' || y END AS k FROM v)
+    SELECT ['line', 'circle', 'arc', 'polyline', 'text', 'insert', 'point'][t + 1] AS kind, count(*) AS keys, max(n) AS most FROM (SELECT t, k, count(*) AS n FROM w GROUP BY ALL) GROUP BY t""",
+    "layer_filters": """WITH v AS (SELECT p_partkey % 7 AS t FROM part) SELECT ['S-BEAM', 'A-TEXT', 'TEMP-1', 'DEFPOINTS', 'TITLE', 'Wall', 'XREF'][t + 1] AS layer, [2, 0, -1, -1, 1, 2, 1][t + 1]::BIGINT AS priority, t IN (2, 4, 6) AS ignored, count(*) AS n FROM v GROUP BY t""",
+    "region_filter": f"WITH {_BOXES} SELECT sheet, count(*) FILTER (x0 >= 910 AND x1 <= 960 AND y0 >= 1 AND y1 <= 8) AS contained, count(*) FILTER (x0 <= 960 AND x1 >= 910 AND y0 <= 8 AND y1 >= 1) AS intersecting FROM b GROUP BY sheet",
+    "table_rejection": """WITH v AS (SELECT p_size % 12 AS h, p_partkey % 9 AS v, p_size AS t, p_partkey % 20 AS s FROM part),
+    r AS (SELECT array_to_string(list_filter([CASE WHEN h >= 6 AND v >= 3 THEN 'rulings' END, CASE WHEN (h - 1) * (v - 1) >= 6 AND t >= (h - 1) * (v - 1) * 0.5 THEN 'filled_cells' END, CASE WHEN s < 8 AND t >= 20 THEN 'text_strip' END], lambda x: x IS NOT NULL), ',') AS reasons FROM v)
+    SELECT reasons, count(*) AS n FROM r GROUP BY reasons""",
+    "attribute_places": """WITH v AS (SELECT p_partkey, p_retailprice - 900 AS dx, p_size - 10.0::DOUBLE AS dy, radians((p_partkey % 4) * 90) AS a FROM part)
+    SELECT p_partkey, CAST(round_even((dx * cos(a) + dy * sin(a)) / 2 * 1000, 0) AS BIGINT) AS x_milli, CAST(round_even(-(dy * cos(a) - dx * sin(a)) * 1000, 0) AS BIGINT) AS y_milli FROM v""",
+    "classifier_cascade": """WITH v AS (SELECT p_size % 3 > 0 AS s, p_size % 10 AS c FROM part) SELECT CASE WHEN s AND c >= 5 THEN 'grid' ELSE 'other' END AS category, NOT s OR c < 6 AS review, count(*) AS n FROM v GROUP BY ALL""",
+    "override_errors": """WITH v AS (SELECT s_suppkey AS o, s_suppkey AS a, s_suppkey * 2 % 130 AS b, CASE WHEN s_suppkey % 5 = 0 THEN 'rejected' WHEN s_suppkey % 7 = 0 THEN 'maybe' ELSE 'confirmed' END AS st FROM supplier),
+    e AS (SELECT v.*, CASE WHEN st = 'maybe' THEN 'unknown status' WHEN t.s_suppkey IS NULL THEN 'missing path' WHEN a % 2 <> b % 2 THEN 'incompatible kinds' END AS base FROM v LEFT JOIN supplier t ON t.s_suppkey = b),
+    f AS (SELECT *, row_number() OVER (PARTITION BY b, base IS NULL AND st = 'confirmed' ORDER BY o) AS r FROM e)
+    SELECT o AS ordinal, coalesce(base, CASE WHEN st = 'confirmed' AND r > 1 THEN 'conflicting pair' END) AS error FROM f""",
+    "best_pages": """WITH d AS (SELECT s_suppkey AS id, s_nationkey AS s FROM supplier), p AS (SELECT c_nationkey AS s, c_custkey AS page FROM customer WHERE c_custkey % 40 = 0), n AS (SELECT s, count(*) AS n, min(page) AS only_page FROM p GROUP BY s),
+    b AS (SELECT id, page FROM d JOIN p USING (s) WHERE id % 3 > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY page * 7 % 11 DESC, page) = 1)
+    SELECT id, CASE WHEN n = 1 THEN only_page ELSE coalesce(page, 0) END AS page, CASE WHEN n = 1 THEN 'single' WHEN page IS NOT NULL THEN 'matched' ELSE 'fallback' END AS source FROM d LEFT JOIN n USING (s) LEFT JOIN b USING (id)""",
 }

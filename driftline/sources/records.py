@@ -86,3 +86,23 @@ def new_pairs(pairs: DataFrame, cache: DataFrame) -> DataFrame:
 def manifest(stages: list[dict]) -> str:
     """A run's stages as JSON, keys sorted."""
     return json.dumps({"schema_version": VERSION, "stages": stages}, sort_keys=True, ensure_ascii=False)
+
+
+#: One drawing of the adapter's JSON: the record outputs of readers that are not part of this engine.
+ADAPTER = "drawing string, units string, layers array<struct<id:string,name:string,color:string,linetype:string>>, entities array<struct<id:string,type:string,layer_id:string,x:double,y:double,text:string>>"
+
+
+def read_adapter(spark: SparkSession, path: str) -> DataFrame:
+    """Entities of drawings that another reader wrote as JSON (one document a file), with their layers' names."""
+    docs = spark.read.schema(ADAPTER).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    rows = docs.select("drawing", "units", F.explode_outer("entities").alias("e"), "layers")
+    layer = F.get(F.filter("layers", lambda x: x["id"] == F.col("e.layer_id")), 0)
+    return rows.select("drawing", "units", "e.*", layer["name"].alias("layer_name"))
+
+
+def audit_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of text files below a folder that still hold an absolute path."""
+    from driftline.functions.text import leaks_path
+
+    lines = spark.read.option("recursiveFileLookup", "true").text(folder).select(F.col("_metadata.file_name").alias("file"), "value")
+    return lines.filter(leaks_path(F.col("value")))

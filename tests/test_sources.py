@@ -309,3 +309,22 @@ def test_sensitivity_settings():
 
     assert Sensitivity.from_yaml("sensitivity: {preset: strict, scale: 0.5, other: 1}") == Sensitivity(position=0.1, dimension=0.1, dimension_rel=0.0001, rotation=0.01, scale=0.5, radius=5.0)
     assert Sensitivity.from_yaml("") == Sensitivity()
+
+
+def test_curves_outlines_and_adapters(spark, tmp_path):
+    from driftline.functions import keys
+
+    one = spark.range(1)
+    v = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(b).alias("bulge")) for x, y, b in ((0.0, 0.0, 0.5), (4.0, 0.0, 0.0), (4.0, 2.0, -1.0))])
+    flat = one.select(keys.flattened(v, 2).alias("p")).first().p
+    assert [(p.x, p.y) for p in flat] == [(0, 0), (2, 0), (4, 0), (4, 1), (4, 2)]
+    back = one.select(keys.reversed_outline(v).alias("p")).first().p
+    assert [(p.x, p.y, p.bulge) for p in back] == [(4, 2, 0), (4, 0, -0.5), (0, 0, 1)]
+    (tmp_path / "d.json").write_text(json.dumps({"drawing": "D1", "units": "mm", "layers": [{"id": "1", "name": "BEAM"}], "entities": [{"id": "e", "type": "line", "layer_id": "1", "x": 1.0}, {"id": "f", "type": "text", "layer_id": "9"}]}, indent=1))
+    assert [(r.id, r.layer_name) for r in records.read_adapter(spark, str(tmp_path / "d.json")).collect()] == [("e", "BEAM"), ("f", None)]
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "a.txt").write_text("fine\nsee C:\\work\\x.dwg\n<path>/x.dwg\n")
+    assert [r.value for r in records.audit_folder(spark, str(tmp_path / "out")).collect()] == ["see C:\\work\\x.dwg"]
+    assert json.loads(records.manifest([{"stage": "a"}]))["schema_version"] == 1
+    pairs = spark.createDataFrame([("x", "y"), ("x", "z")], "hash_a string, hash_b string")
+    assert records.new_pairs(pairs, pairs.limit(1)).count() == 1
