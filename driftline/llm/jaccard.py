@@ -42,7 +42,7 @@ EXTENSIONS = (1, 2, 3, 4)
 VERIFY_COST = 40.0
 #: Members of each list that its postings are held against before the join proper.
 HUBS = 3
-#: Longest list joined as rows, rows of a block of a longer one, and bits of a signature.
+#: Longest list joined as rows, rows of a block of a longer one, and bits of a signature at least.
 SHORT_LIST, BLOCK, SIGNATURE = 32, 512, 1024
 #: Most documents verified against one hub in one task.
 STAR = 256
@@ -74,6 +74,16 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, base: float, threshold: Fract
     return hashes[first[: one + chosen]], chosen
 
 
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the elements that fall on each bit, a bit for each element at least (a power of two), as 64-bit words.
+
+    Sets whose signatures differ in d bits differ in d elements or more; a larger signature
+    becomes a smaller one when its parts are taken together by exclusive or.
+    """
+    bits = max(SIGNATURE, 1 << max(len(hashes) - 1, 1).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.int64)
+
+
 def _count_sketch(rows: DataFrame, size: int) -> np.ndarray:
     """How many documents have a shingle of each bucket, over all documents. The parts are summed as a tree."""
     width = 1 << (BUCKET_BITS - 4)
@@ -148,8 +158,8 @@ class Join:
                     sets = shingle_sets(part.column("text"), size)
                     cuts = [prefix(x, table, base, threshold) for x in sets]
                     keys = [(np.bitwise_xor.reduce(x, initial=np.uint64(0)), np.add.reduce(mix(x ^ np.uint64(0x5BF03635))) if len(x) else np.uint64(0)) for x in sets]
-                    signs = [np.packbits(np.bincount((x & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1) for x in sets]
-                    signs = pa.array(np.concatenate(signs).view(np.int64) if signs else np.zeros(0, np.int64))
+                    signs = [signature(x) for x in sets]
+                    sign_ends = np.cumsum([0, *map(len, signs)])
                     lengths = np.cumsum([0, *(len(p) for p, _ in cuts)])
                     flat = np.concatenate([p for p, _ in cuts]).view(np.int64) if lengths[-1] else np.zeros(0, np.int64)
                     yield pa.RecordBatch.from_arrays(
@@ -157,7 +167,7 @@ class Join:
                             part.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()),
                             pa.array(np.array([a for a, _ in keys], np.uint64).view(np.int64)), pa.array(np.array([b for _, b in keys], np.uint64).view(np.int64)),
                             pa.array([l for _, l in cuts], pa.int32()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat)),
-                            pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (SIGNATURE // 64)), signs),
+                            pa.ListArray.from_arrays(pa.array(sign_ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *signs]))),
                         ],
                         ["doc_id", "n", "key_a", "key_b", "ell", "prefix", "sign"],
                     )
@@ -220,7 +230,15 @@ class Join:
         """Pairs whose signatures differ in no more bits than similar sets may differ in elements."""
         p, q = self.threshold.numerator, self.threshold.denominator
         side = lambda x: self.sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sign").alias(f"sign_{x}"))
-        differ = F.aggregate(F.zip_with("sign_a", "sign_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+        words = F.least(F.size("sign_a"), F.size("sign_b"))
+
+        def folded(sign: str):
+            """A signature at the size of the smaller one: its parts, taken together by exclusive or."""
+            parts = F.sequence(F.lit(1), F.expr(f"size({sign}) div least(size(sign_a), size(sign_b)) - 1"))
+            start = F.slice(sign, 1, words)
+            return F.when(F.size(sign) == words, F.col(sign)).otherwise(F.aggregate(parts, start, lambda acc, j: F.zip_with(acc, F.slice(sign, j * words + 1, words), lambda x, y: x.bitwiseXOR(y))))
+
+        differ = F.aggregate(F.zip_with(folded("sign_a"), folded("sign_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
         return pairs.join(side("a"), "a").join(side("b"), "b").filter(differ * (q + p) <= (F.col("n_a") + F.col("n_b")) * (q - p)).select("a", "b")
 
     def links(self) -> DataFrame:
@@ -263,7 +281,10 @@ class Join:
 
         def meet(key: tuple, table: pa.Table) -> pa.Table:
             doc, n, ell, of, block = (table.column(c).to_numpy() for c in ("doc_id", "n", "ell", "component", "block"))
-            bits = np.unpackbits(table.column("sign").combine_chunks().flatten().to_numpy().view(np.uint8).reshape(len(doc), -1), axis=1).astype(np.float32)
+            signs = [np.array(x.values.to_numpy() if hasattr(x, "values") else x.as_py(), np.int64) for x in table.column("sign")]
+            words = min(map(len, signs))
+            short = np.stack([np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) for x in signs])
+            bits = np.unpackbits(short.view(np.uint8), axis=1).astype(np.float32)
             one, two = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
             weight = bits.sum(axis=1)
             differ = weight[one][:, None] + weight[two][None, :] - 2 * bits[one] @ bits[two].T

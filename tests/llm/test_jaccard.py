@@ -64,8 +64,9 @@ def near_copies():
     return rows + [(1000, None), (1001, ""), (1002, " \t"), (1003, "One"), (1004, "one"), (1005, "two words"), (1006, "x " * 50_000), (1007, "x " * 60_000)]
 
 
-@pytest.mark.parametrize("threshold", [Fraction(4, 5), Fraction(85, 100), Fraction(1, 2)])
-@pytest.mark.parametrize(("hubs", "short", "block"), [(0, 32, 512), (3, 32, 512), (0, 2, 7), (1, 2, 1000)])
+@pytest.mark.parametrize(
+    ("threshold", "hubs", "short", "block"), [(Fraction(4, 5), 3, 32, 512), (Fraction(85, 100), 0, 2, 7), (Fraction(85, 100), 1, 2, 1000), (Fraction(1, 2), 0, 32, 512)]
+)
 def test_near_copies(spark, monkeypatch, threshold, hubs, short, block):
     monkeypatch.setattr(jaccard, "SHORT_LIST", short)
     monkeypatch.setattr(jaccard, "BLOCK", block)
@@ -82,3 +83,24 @@ def test_keeps_one_of_each_component(spark):
     assert kept.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, "a b c d e f"), (2, "other words"), (None, "a b c d e f"), (7, None)], key=str)
     assert jaccard.keep_one(df.limit(0)).count() == 0
+
+
+def test_signatures_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n, m in ((50, 60), (1000, 1100), (3000, 5000)):
+        a, b = (np.unique(rng.integers(0, 2**63, 2 * k).astype(np.uint64))[:k] for k in (n, m))
+        b[: n // 2] = a[: n // 2]
+        b = np.unique(b)
+        x, y = jaccard.signature(a), jaccard.signature(b)
+        words = min(len(x), len(y))
+        x, y = (np.bitwise_xor.reduce(s.reshape(-1, words), axis=0) for s in (x, y))
+        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
+def test_repeated_ids_and_empty_tables(spark):
+    rows = [(5, "a b c d e f g"), (5, "x y z w q r s"), (7, "x y z w q r s"), (7, "x y z w q r s"), (9, "none of these words is there"), (11, None), (11, "")]
+    got = jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == [(5, 3, 5), (5, 3, 5), (7, 3, 5), (7, 3, 5), (9, 2, 9), (11, 0, 11), (11, 0, 11)]
+    assert jaccard.similarity_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
