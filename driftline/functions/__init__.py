@@ -1 +1 @@
-"""See the package README section."""
+"""Column expressions that the operators and queries share."""

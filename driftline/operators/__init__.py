@@ -1 +1 @@
-"""See the package README section."""
+"""Relational operators over DataFrames: diff, match, align, cluster, pair, rank and measure."""

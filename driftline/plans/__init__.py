@@ -1 +1 @@
-"""See the package README section."""
+"""Whole comparisons as one plan, and the scratch tables that long plans write."""

@@ -1 +1 @@
-"""See the package README section."""
+"""Readers and writers: drawing files, change streams, telemetry, decisions, result sets."""

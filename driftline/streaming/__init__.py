@@ -1 +1 @@
-"""See the package README section."""
+"""Structured Streaming counterparts of the change and telemetry operators."""
