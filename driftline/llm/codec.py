@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import Scratch, prepare, text_rows
+from driftline.llm.common import prepare, Scratch, text_rows, trimmed
 from driftline.llm.tokens import encode_rows
 
 MAGIC, VERSION, HEAD = b"DLHC", 1, struct.Struct("<4sIIIQQ")
@@ -165,12 +165,11 @@ def write_store(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id
     scratch = Scratch(spark, "codec")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, ids, ends in encode_rows(batch, vocabulary, end_id):
-                raw = ids.astype("<u2") if ids.max(initial=0) < 1 << 16 else ids.astype("<u4")
-                data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((ends * raw.itemsize).astype(np.int32)), pa.py_buffer(raw)])
-                width = pa.array(np.full(part.num_rows, raw.itemsize, np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), data, width], ["doc_id", "ids", "width"])
+        for part, ids, ends in encode_rows(batches, vocabulary, end_id):
+            raw = ids.astype("<u2") if ids.max(initial=0) < 1 << 16 else ids.astype("<u4")
+            data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((ends * raw.itemsize).astype(np.int32)), pa.py_buffer(raw)])
+            width = pa.array(np.full(part.num_rows, raw.itemsize, np.int32))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), data, width], ["doc_id", "ids", "width"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
@@ -183,8 +182,8 @@ def write_store(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    tokens = scratch.write(text_rows(df, id_col, text_col).mapInArrow(encode, "doc_id long, ids binary, width int"), "tokens")
-    found = tokens.select("ids", "width").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    tokens = scratch.write(text_rows(df, id_col, text_col).mapInArrow(trimmed(encode), "doc_id long, ids binary, width int"), "tokens")
+    found = tokens.select("ids", "width").mapInArrow(trimmed(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 1, np.int64)
     counts[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     lengths = code_lengths(counts)
@@ -216,7 +215,7 @@ def write_store(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id
     ranges = max(1, -(-int(counts.sum()) // RANGE_IDS))
     (
         tokens.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "ids")
-        .mapInArrow(write, "part int, seq int, n_ids long, blob binary")
+        .mapInArrow(trimmed(write), "part int, seq int, n_ids long, blob binary")
         .write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/blobs")
     )
     scratch.drop()
@@ -259,7 +258,7 @@ def _read(spark: SparkSession, path: str, name: str, kind: str, value, arrow_typ
                 )
 
     blobs = spark.read.schema("part int, seq int, n_ids long, blob binary").parquet(f"{path}/blobs")
-    rows = blobs.select("part", "seq", "blob").mapInArrow(decode, f"doc_id long, part int, seq int, inner long, n_tokens long, {name} {kind}")
+    rows = blobs.select("part", "seq", "blob").mapInArrow(trimmed(decode), f"doc_id long, part int, seq int, inner long, n_tokens long, {name} {kind}")
     return rows.join(_bases(blobs), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", name)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from driftline.plans.scratch import Scratch, shared_folder
 
-__all__ = ["ROOT", "Scratch", "prepare", "shared_folder", "small", "table", "text_rows"]
+__all__ = ["ROOT", "Scratch", "prepare", "shared_folder", "small", "table", "text_rows", "trimmed"]
 
 #: Folder that holds the package; sent to Python workers so that they can import it.
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -21,8 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch between Spark and Python where the session has Spark's own value: texts are long, and a
+#: batch lies in memory on both sides.
+BATCH_ROWS = "1000"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the session was started from."""
+    """Let Python workers import this package wherever the session was started from, and bound their batches."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, BATCH_ROWS)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
@@ -44,3 +53,25 @@ BROADCAST_ROWS = 2_000_000
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A written table, to be broadcast if it has few enough rows; else its joins shuffle."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives memory back to the system when its partition ends: workers live on."""
+
+    def outer(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return outer

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import Scratch, prepare, small, text_rows
+from driftline.llm.common import Scratch, prepare, small, text_rows, trimmed
 from driftline.llm.shingles import SLICE_BYTES, mix
 from driftline.llm.tokens import slices
 
@@ -249,7 +249,7 @@ def _search(shared):
                 columns = list(zip(*out, strict=True)) if out else [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return run
+    return trimmed(run)
 
 
 def keep_unleaked(df: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import Scratch, prepare, small, text_rows
+from driftline.llm.common import prepare, Scratch, small, text_rows, trimmed
 from driftline.llm.shingles import SLICE_BYTES, mix, shingle_sets
 from driftline.llm.tokens import slices
 from driftline.operators.graph import components
@@ -112,7 +112,7 @@ def _count_sketch(rows: DataFrame, size: int) -> np.ndarray:
         return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "band": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([data.tobytes()], pa.binary())})
 
     schema = "piece int, band int, counts binary"
-    vectors = rows.select("text").mapInArrow(count, schema)
+    vectors = rows.select("text").mapInArrow(trimmed(count), schema)
     bands = max(1, rows.rdd.getNumPartitions())
     while True:
         bands = -(-bands // 32)
@@ -172,7 +172,7 @@ class Join:
                         ["doc_id", "n", "key_a", "key_b", "ell", "prefix", "sign"],
                     )
 
-        return self.rows.mapInArrow(cut, "doc_id long, n int, key_a long, key_b long, ell int, prefix array<long>, sign array<long>")
+        return self.rows.mapInArrow(trimmed(cut), "doc_id long, n int, key_a long, key_b long, ell int, prefix array<long>, sign array<long>")
 
     def _postings(self) -> DataFrame:
         """Prefix shingles that two classes or more have; one exchange, on the shingle."""
@@ -223,7 +223,7 @@ class Join:
             return pa.table({"a": np.maximum(found, hub or 0), "b": np.minimum(found, hub or 0)})
 
         rows = self.rows.join(needs, self.rows["doc_id"] == needs["doc"]).select("doc_id", "text", "needs")
-        sets = rows.mapInArrow(whole, "hub long, block int, doc long, hashes binary")
+        sets = rows.mapInArrow(trimmed(whole), "hub long, block int, doc long, hashes binary")
         return self.scratch.write(sets.groupBy("hub", "block").applyInArrow(hold, "a long, b long"), f"found-{name}")
 
     def _plausible(self, pairs: DataFrame) -> DataFrame:

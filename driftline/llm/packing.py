@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import Scratch, prepare, text_rows
+from driftline.llm.common import prepare, Scratch, text_rows, trimmed
 from driftline.llm.tokens import encode_rows
 
 CAPACITY = 4096
@@ -93,19 +93,18 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
 
         worker = TaskContext.get().partitionId()
         bins, sequence = OpenBins(capacity), worker << 36
-        for batch in batches:
-            for part, ids, ends in encode_rows(batch, vocabulary, end_id):
-                out = []
-                raw = ids.astype("<u4", copy=False)
-                for doc, a, b in zip(part.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                    at = a
-                    for length in cuts(b - a, capacity, slack):
-                        piece = (doc, at - a, length, zlib.crc32(raw[at : at + length]), b - a)
-                        at += length
-                        if full := bins.add(length, piece):
-                            out.extend(_laid(full, sequence))
-                            sequence += 1
-                yield _batch(out)
+        for part, ids, ends in encode_rows(batches, vocabulary, end_id):
+            out = []
+            raw = ids.astype("<u4", copy=False)
+            for doc, a, b in zip(part.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                at = a
+                for length in cuts(b - a, capacity, slack):
+                    piece = (doc, at - a, length, zlib.crc32(raw[at : at + length]), b - a)
+                    at += length
+                    if full := bins.add(length, piece):
+                        out.extend(_laid(full, sequence))
+                        sequence += 1
+            yield _batch(out)
         yield _batch([(*piece, None, None, worker // GROUP) for _, piece in bins.rest()])
 
     def second_pass(key: tuple, table: pa.Table) -> pa.Table:
@@ -122,7 +121,7 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
             sequence -= 1
         return pa.Table.from_batches([_batch(out)])
 
-    first = scratch.write(text_rows(df, id_col, text_col).mapInArrow(first_pass, PIECES), "first")
+    first = scratch.write(text_rows(df, id_col, text_col).mapInArrow(trimmed(first_pass), PIECES), "first")
     full = first.filter("sequence_id IS NOT NULL")
     rest = first.filter("sequence_id IS NULL").groupBy("bin_group").applyInArrow(second_pass, PIECES)
     return full.unionByName(rest).drop("bin_group")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import prepare, text_rows
+from driftline.llm.common import prepare, text_rows, trimmed
 from driftline.llm.shingles import _BYTE, SLICE_BYTES, _power, mix
 from driftline.llm.tokens import slices
 from driftline.llm.toxicity import held_out, labelled
@@ -158,7 +158,7 @@ def score(df: DataFrame, gain: np.ndarray, base: float, id_col: str = "doc_id",
                 z = margins(part.column("text"), shared.value, base)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
 
-    return text_rows(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return text_rows(df, id_col, text_col).mapInArrow(trimmed(run), "doc_id long, score double")
 
 
 def quality(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import Scratch, prepare
+from driftline.llm.common import prepare, Scratch, trimmed
 
 #: Rows that the centroids are fitted on (by hash of the id), most lists, and rounds of fitting.
 SAMPLE, LISTS, ROUNDS = 20_000, 4096, 8
@@ -161,7 +161,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
                 own = nearest(widened(_matrix(batch.column("v")), norm), shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column("vec_id"), batch.column("v")], ["list", "vec_id", "v"])
 
-    placed = scratch.write(rows.mapInArrow(place, "list int, vec_id long, v array<double>"), "lists")
+    placed = scratch.write(rows.mapInArrow(trimmed(place), "list int, vec_id long, v array<double>"), "lists")
     held = np.zeros(lists, np.int64)
     for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect():
         held[r["list"]] = r["n"]
@@ -195,7 +195,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
             best.append(exact)
         return least_, near, best
 
-    probes = scratch.write(asked.mapInArrow(probe, "vec_id long, v array<double>, least double, lists array<int>, near array<long>, scores array<double>"), "probes")
+    probes = scratch.write(asked.mapInArrow(trimmed(probe), "vec_id long, v array<double>, least double, lists array<int>, near array<long>, scores array<double>"), "probes")
     key = ["list", "rb", "qb"]
 
     def scanned(asked_lists: DataFrame) -> DataFrame:

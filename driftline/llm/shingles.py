@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; a longer text is a range of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True

@@ -18,9 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text encoded at once, so that memory follows this and not the batch; a longer text is a slice of its own.
-SLICE_BYTES = 16_000_000
-#: Words given to the tokenizer as one text, separated by blanks.
-TOGETHER = 50
+SLICE_BYTES = 8_000_000
+#: Words given to the tokenizer as one text, separated by blanks, and words at once (its answers are large objects).
+TOGETHER, AT_ONCE = 50, 20_000
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LETTERS = "^[a-zÀ-ÖØ-öø-ÿ]+$"
 
@@ -29,8 +29,25 @@ _encoders: dict[str, WordEncoder] = {}
 
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of runs one after another."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+    ends = np.cumsum(lengths, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 2**31 and (not len(starts) or starts.max() < 2**31) else np.int64
+    ends -= lengths
+    out = np.repeat(starts.astype(kind) - ends.astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
+
+
+def _behind(words: pa.Array, bases: pa.Array) -> pa.Array:
+    """What is left of each word behind its beginning, taken from the words' bytes at once."""
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int32)
+    cut = pc.binary_length(bases).to_numpy(zero_copy_only=False).astype(np.int32)
+    if not len(words):
+        return pa.array([], pa.string())
+    starts = np.frombuffer(words.buffers()[1], np.int32, len(words), words.offset * 4)
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[_ragged(starts + cut, size - cut)]
+    ends = np.concatenate([[0], np.cumsum(size - cut)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
 class WordEncoder:
@@ -45,41 +62,42 @@ class WordEncoder:
         self.last = np.zeros(max(words.values()) + 1, bool)
         self.last[[i for w, i in words.items() if w.endswith("</w>")]] = True
 
-    def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in a row, and how many each has."""
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids))
         return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of letters: many in one text, taken apart at the ids that end a word."""
-        texts = [" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
-        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
+        ids, _ = self._ids([" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)])
         ends = np.flatnonzero(self.last[np.minimum(ids, len(self.last) - 1)]) + 1
         if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
-            return self._single(words)
-        return ids, np.diff(ends, prepend=0)
+            return self._ids(words)
+        return ids, np.diff(ends, prepend=0).astype(np.int32)
 
     def _parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and numbers of ids of distinct words."""
         base = pc.utf8_rtrim(words, characters=_PUNCTUATION)
         plain = pc.match_substring_regex(base, _LETTERS)
-        cut = pc.binary_length(base).to_numpy(zero_copy_only=False)
-        letters = base.filter(plain).dictionary_encode()
-        whole = words.filter(pc.invert(plain))
         mask = plain.to_numpy(zero_copy_only=False)
-        tails = [w[k:] for w, k in zip(words.filter(plain).cast(pa.binary()).to_pylist(), cut[mask].tolist(), strict=True)]
-        tail_words = pa.array(tails, pa.binary()).dictionary_encode()
-        sets = (self._words(letters.dictionary.to_pylist()), self._single([t.decode() for t in tail_words.dictionary.to_pylist()]), self._single(whole.to_pylist()))
-        pool, lengths = np.concatenate([x for x, _ in sets]), np.concatenate([n for _, n in sets])
-        starts = np.cumsum(lengths) - lengths
-        n_letters, n_tails = len(sets[0][1]), len(sets[1][1])
-        none = len(lengths)
-        starts, lengths = np.append(starts, 0), np.append(lengths, 0)
-        part = np.full((len(words), 2), none, np.int64)
+        letters = base.filter(plain).dictionary_encode()
+        tails = _behind(words.filter(plain), base.filter(plain)).dictionary_encode()
+        pieces, lengths = [], []
+        for some, how in ((letters.dictionary, self._words), (tails.dictionary, self._ids), (words.filter(pc.invert(plain)), self._ids)):
+            for i in range(0, len(some), AT_ONCE):
+                ids, n = how(some.slice(i, AT_ONCE).to_pylist())
+                pieces.append(ids)
+                lengths.append(n)
+        pool, lengths = np.concatenate([np.zeros(0, np.uint32), *pieces]), np.concatenate([*lengths, np.zeros(1, np.int32)])
+        starts = (np.cumsum(lengths, dtype=np.int64) - lengths).astype(np.int32)
+        n_letters, n_tails = len(letters.dictionary), len(tails.dictionary)
+        part = np.full((len(words), 2), len(lengths) - 1, np.int32)
         part[mask, 0] = np.asarray(letters.indices)
-        part[mask, 1] = n_letters + np.asarray(tail_words.indices)
+        part[mask, 1] = n_letters + np.asarray(tails.indices)
         part[~mask, 0] = n_letters + n_tails + np.arange(int((~mask).sum()))
-        return pool[_ragged(starts[part.ravel()], lengths[part.ravel()])], lengths[part].sum(axis=1)
+        part = part.ravel()
+        return pool[_ragged(starts[part], lengths[part])], lengths[part].reshape(-1, 2).sum(axis=1, dtype=np.int32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets of each text with a final end). Null texts are empty."""
@@ -92,10 +110,11 @@ class WordEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         pool, lengths = self._parts(coded.dictionary)
         which = np.asarray(coded.indices)
-        starts = np.cumsum(lengths) - lengths
-        sizes = lengths[which]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return pool[_ragged(starts[which], sizes)], ends[bounds - bounds[0]]
+        starts = (np.cumsum(lengths, dtype=np.int64) - lengths).astype(np.int32)
+        sizes, first = lengths[which], starts[which]
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[bounds - bounds[0]]
+        del split, coded, which
+        return pool[_ragged(first, sizes)], ends
 
 
 def encoder(vocabulary: str) -> WordEncoder:
@@ -116,15 +135,31 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         yield batch.slice(a, b - a)
 
 
-def encode_rows(batch: pa.RecordBatch, vocabulary: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """For each slice of a batch with ``text``: the slice, all ids with ``end_id`` after each text, and offsets."""
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches put together until their texts hold about ``most`` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def encode_rows(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """For each slice of batches with ``text``: the slice, all ids with ``end_id`` after each text, and offsets."""
     coder = encoder(vocabulary)
-    for part in slices(batch, "text"):
-        ids, ends = coder.encode(part.column("text"))
-        n = part.num_rows
-        shifted = ends + np.arange(n + 1)
-        out = np.full(int(shifted[-1]), end_id, np.uint32)
-        own = np.ones(len(out), bool)
-        own[shifted[1:] - 1] = False
-        out[own] = ids
-        yield part, out, shifted
+    for batch in gathered(batches, "text"):
+        for part in slices(batch, "text"):
+            ids, ends = coder.encode(part.column("text"))
+            n = part.num_rows
+            shifted = ends + np.arange(n + 1)
+            out = np.full(int(shifted[-1]), end_id, np.uint32)
+            own = np.ones(len(out), bool)
+            own[shifted[1:] - 1] = False
+            out[own] = ids
+            del own, ids
+            yield part, out, shifted

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import Scratch, prepare, small, text_rows
+from driftline.llm.common import prepare, Scratch, small, text_rows, trimmed
 from driftline.llm.shingles import SLICE_BYTES, _power, mix
 from driftline.llm.tokens import slices
 
@@ -109,23 +109,33 @@ def words_of(texts: pa.Array) -> Words:
 
 
 class Lexicon:
-    """Terms and their weights in a table indexed by some bits of the hash."""
+    """Terms and their weights, found through a table indexed by some bits of the hash.
+
+    Only the terms travel to workers; each makes the table (2 MB) when it first asks.
+    """
 
     def __init__(self, hashes: np.ndarray, weights: np.ndarray, bits: int = 20):
-        self.bits = bits
-        self.keys, self.weights = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
         order = np.argsort(weights, kind="stable")
-        slot = (hashes[order] >> np.uint64(64 - bits)).astype(np.int64)
-        self.keys[slot], self.weights[slot] = hashes[order], weights[order]
+        self.bits, self.keys, self.weights, self.table = bits, hashes[order], weights[order].astype(np.float32), None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
 
     def of(self, terms: np.ndarray) -> np.ndarray:
         """The greatest weight among each word's terms."""
         best = np.zeros(len(terms), np.float32)
+        if not len(self.keys):
+            return best
+        shift = np.uint64(64 - self.bits)
+        if self.table is None:
+            self.table = np.full(1 << self.bits, -1, np.int16)
+            self.table[(self.keys >> shift).astype(np.int64)] = np.arange(len(self.keys), dtype=np.int16)
         for k in range(terms.shape[1]):
             h = terms[:, k]
-            slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-            hit = np.flatnonzero(self.keys[slot] == h)
-            best[hit] = np.maximum(best[hit], self.weights[slot[hit]])
+            at = self.table[(h >> shift).astype(np.int64)]
+            hit = np.flatnonzero(at >= 0)
+            hit = hit[self.keys[at[hit]] == h[hit]]
+            best[hit] = np.maximum(best[hit], self.weights[at[hit]])
         return best
 
 
@@ -268,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column) -> Model |
                 yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(np.full(len(n), k // 2, np.int32)), pa.array(np.full(len(n), k % 2, np.int32)), pa.array(n)], ["term", "fold", "y", "n"])
 
     per_fold = [[F.sum(F.when((F.col("fold") == k) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"c{y}_{k}") for k in range(FOLDS)] for y in (0, 1)]
-    terms = rows.select("text", "y", "fold").mapInArrow(count, "term long, fold int, y int, n long").groupBy("term").agg(*per_fold[0], *per_fold[1])
+    terms = rows.select("text", "y", "fold").mapInArrow(trimmed(count), "term long, fold int, y int, n long").groupBy("term").agg(*per_fold[0], *per_fold[1])
     terms = scratch.write(terms.filter(" + ".join(f"c1_{k}" for k in range(FOLDS)) + f" >= {SUPPORT}"), "terms")
     texts = {(r["y"], r["fold"]): r["n"] for r in rows.groupBy("y", "fold").agg(F.count("*").alias("n")).collect()}
 
@@ -293,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column) -> Model |
                     x[folds == k] = features(words, others[k])[folds == k]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), part.column("fold"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "fold", "x"])
 
-    data = rows.mapInArrow(describe, "doc_id long, y int, fold int, x binary").orderBy("doc_id").collect()
+    data = rows.mapInArrow(trimmed(describe), "doc_id long, y int, fold int, x binary").orderBy("doc_id").collect()
     x = np.stack([np.frombuffer(bytes(r["x"]), np.float32) for r in data])
     y, folds = np.array([r["y"] > 0 for r in data], np.float64), np.array([r["fold"] for r in data])
     margin = np.zeros(len(y))
@@ -320,7 +330,7 @@ def score(df: DataFrame, model: Model | float, id_col: str = "doc_id", text_col:
             for part in slices(batch, "text", SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.score(part.column("text")))], ["doc_id", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(trimmed(run), "doc_id long, score double")
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> DataFrame:
