@@ -153,6 +153,7 @@ def test_blocks_by_role():
     found = htmltext.blocks(PAGE)
     assert [t for r, t in found if r == "main"] == ["Head & line", "One two three four", "5 < 6 < 7"]
     assert not [t for r, t in found if r == "open" and t != "Site"]
+    assert htmltext.blocks("<article><p class=ad>Buy<p>text<ul><li class='ad'><div>no</div>no<li>yes</ul><p>end") == [("chrome", "Buy"), ("main", "text"), ("chrome", "no"), ("chrome", "no"), ("main", "yes"), ("main", "end")]
     assert htmltext.blocks("") == [] and htmltext.blocks("<p>a<script>x") == [("open", "a")] and htmltext.blocks("a <b") == [("open", "a")]
 
 
