@@ -1,6 +1,8 @@
 """Benchmark passages in documents, within an edit budget.
 
-Benchmark items are cut into overlapping windows. A window of m bytes that occurs in a
+Benchmark items are cut into overlapping windows of two sizes: large ones, and small ones
+at steps no larger than their edit budget, so that any part of an item as long as a small
+window holds one within its budget, wherever the part starts. A window of m bytes that occurs in a
 text with at most k edits shares at least ``m - q + 1 - k q`` q-grams with it, all on
 diagonals at most k apart. So: mark every position of a text whose q-gram is in any
 window; keep regions dense enough in marks; there, count q-grams by window and by
@@ -23,12 +25,12 @@ from driftline.llm.common import Scratch, prepare, small, text_rows, trimmed
 from driftline.llm.shingles import SLICE_BYTES, mix
 from driftline.llm.tokens import slices
 
-#: Bytes of a window and between windows, share of its bytes that may be edited, length of a q-gram.
+#: Bytes of a large window (the whole item, if shorter) and between windows, share of its bytes that may be edited, length of a q-gram.
 WINDOW, STRIDE, EDITS, Q = 96, 32, 0.1, 8
+#: The same of small windows, for quotes of a part of an item; the stride is at most the budget.
+PART, PART_STRIDE = 48, 4
 #: Shortest item that is looked for.
 SHORTEST = 32
-#: Bands of diagonals: a step apart, two steps wide; the step is at least the largest budget.
-BAND = 16
 #: Bytes of benchmark in one pass over the documents; a larger benchmark takes more passes.
 PASS_BYTES = 2_000_000
 _SPACE = np.zeros(256, bool)
@@ -60,19 +62,33 @@ def grams(text: np.ndarray) -> np.ndarray:
     return key
 
 
+def _grid(size: int, width: int, stride: int) -> list[tuple[int, int]]:
+    return [(a, a + width) for a in sorted({*range(0, size - width, stride), size - width})]
+
+
+@dataclass
+class Index:
+    """The q-grams of windows of like size; bands of diagonals are a step apart and two steps wide, a step is at least the largest budget."""
+
+    keys: np.ndarray
+    starts: np.ndarray
+    window: np.ndarray
+    place: np.ndarray
+    span: int
+    least: int
+    step: int
+
+
 @dataclass
 class Windows:
-    """Windows of some items, and the index of their q-grams."""
+    """Windows of some items, and the indices of their q-grams."""
 
     item: np.ndarray
     size: np.ndarray
     budget: np.ndarray
     bound: np.ndarray
     text: np.ndarray  # windows x WINDOW, 0 behind the end
-    keys: np.ndarray
-    starts: np.ndarray
-    window: np.ndarray
-    place: np.ndarray
+    indices: list[Index]
     marks: np.ndarray
 
     @classmethod
@@ -84,97 +100,105 @@ class Windows:
             low = np.frombuffer(low.tobytes().strip(), np.uint8)
             if len(low) < SHORTEST:
                 continue
-            starts = [0] if len(low) <= WINDOW else sorted({*range(0, len(low) - WINDOW, STRIDE), len(low) - WINDOW})
-            texts += [low[s : s + WINDOW] for s in starts]
-            owner += [number] * len(starts)
+            cuts = [(0, len(low))] if len(low) <= WINDOW else _grid(len(low), WINDOW, STRIDE)
+            cuts += _grid(len(low), PART, PART_STRIDE) if len(low) > PART else []
+            texts += [low[a:b] for a, b in cuts]
+            owner += [number] * len(cuts)
         size = np.array([len(t) for t in texts], np.int64)
         budget = np.minimum((size * EDITS).astype(np.int64), np.maximum((size - Q) // Q, 0))
+        bound = size - Q + 1 - budget * Q
         table = np.zeros((len(texts), WINDOW), np.uint8)
         for i, t in enumerate(texts):
             table[i, : len(t)] = t
-        key = np.concatenate([np.zeros(0, np.uint64), *(grams(t) for t in texts)])
-        window = np.repeat(np.arange(len(texts)), np.maximum(size - Q + 1, 0))
-        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(max(len(t) - Q + 1, 0)) for t in texts)])
-        order = np.argsort(key, kind="stable")
-        keys, starts = np.unique(key[order], return_index=True)
-        marks = np.zeros(1 << _BITS, bool)
-        marks[(mix(keys) >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        return cls(np.array(owner, np.int64), size, budget, size - Q + 1 - budget * Q, table, keys, np.append(starts, len(key)), window[order], place[order], marks)
+        marks, indices = np.zeros(1 << _BITS, bool), []
+        for own in (np.flatnonzero(size <= PART), np.flatnonzero(size > PART)):
+            if not len(own):
+                continue
+            key = np.concatenate([grams(texts[w]) for w in own])
+            window = np.repeat(own, size[own] - Q + 1)
+            place = np.concatenate([np.arange(n) for n in size[own] - Q + 1])
+            order = np.argsort(key, kind="stable")
+            keys, starts = np.unique(key[order], return_index=True)
+            marks[(mix(keys) >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+            indices.append(Index(keys, np.append(starts, len(key)), window[order], place[order], int((size + budget)[own].max()), int(bound[own].min()), max(int(budget[own].max()), 1)))
+        return cls(np.array(owner, np.int64), size, budget, bound, table, indices, marks)
 
     def __len__(self) -> int:
         return len(self.size)
 
 
-def candidates(text: np.ndarray, ends: np.ndarray, windows: Windows) -> np.ndarray:
-    """Rows (text, window, lowest diagonal of the band) of bands that reach their window's bound."""
-    none = np.zeros((0, 3), np.int64)
+def candidates(text: np.ndarray, ends: np.ndarray, windows: Windows) -> Iterator[tuple[np.ndarray, int]]:
+    """Rows (text, window, lowest diagonal of the band) of bands that reach their window's bound, and the step of the bands."""
     key = grams(text)
     if not len(key) or not len(windows):
-        return none
+        return
     hit = windows.marks[(mix(key) >> np.uint64(64 - _BITS)).astype(np.int64)]
     owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
     hit &= owner[: len(key)] == owner[Q - 1 :]
-    span, least = int((windows.size + windows.budget).max()), int(windows.bound.min())
     total = np.concatenate([[0], np.cumsum(hit)])
-    after = total[np.minimum(np.arange(len(key)) + span, len(key))] - total[:-1]
-    dense = np.flatnonzero(hit & (after >= least))
-    if not len(dense):
-        return none
-    cover = np.zeros(len(key) + 1, np.int64)
-    np.add.at(cover, dense, 1)
-    np.add.at(cover, np.minimum(dense + span, len(key)), -1)
-    at = np.flatnonzero(hit & (np.cumsum(cover[:-1]) > 0))
-    found = np.searchsorted(windows.keys, key[at])
-    found[found == len(windows.keys)] = 0
-    real = windows.keys[found] == key[at]
-    at, found = at[real], found[real]
-    runs = windows.starts[found + 1] - windows.starts[found]
-    each = np.arange(runs.sum()) + np.repeat(windows.starts[found] - (np.cumsum(runs) - runs), runs)
-    where, window, place = np.repeat(at, runs), windows.window[each], windows.place[each]
-    diagonal = where - place + WINDOW
-    own = owner[where]
-    bands = len(text) // BAND + WINDOW
-    packed = (own * len(windows) + window) * bands + diagonal // BAND + 1
-    packed, counts = np.unique(np.concatenate([packed, packed - 1]), return_counts=True)
-    pair, band = packed // bands, packed % bands - 1
-    rows = np.stack([pair // len(windows), pair % len(windows), band * BAND - WINDOW], axis=1)
-    return rows[counts >= windows.bound[rows[:, 1]]]
-
-
-def align(text: np.ndarray, ends: np.ndarray, rows: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    hit = np.flatnonzero(hit)
+    for index in windows.indices:
+        dense = hit[total[np.minimum(hit + index.span, len(key))] - total[hit] >= index.least]
+        if not len(dense):
+            continue
+        cover = np.zeros(len(key) + 1, np.int64)
+        np.add.at(cover, dense, 1)
+        np.add.at(cover, np.minimum(dense + index.span, len(key)), -1)
+        at = hit[np.cumsum(cover[:-1])[hit] > 0]
+        found = np.searchsorted(index.keys, key[at])
+        found[found == len(index.keys)] = 0
+        real = index.keys[found] == key[at]
+        at, found = at[real], found[real]
+        runs = index.starts[found + 1] - index.starts[found]
+        each = np.arange(runs.sum()) + np.repeat(index.starts[found] - (np.cumsum(runs) - runs), runs)
+        where, window, place = np.repeat(at, runs), index.window[each], index.place[each]
+        diagonal = where - place + WINDOW
+        bands = (len(text) + WINDOW) // index.step + 3
+        packed = (owner[where] * len(windows) + window) * bands + diagonal // index.step + 1
+        packed, counts = np.unique(np.concatenate([packed, packed - 1]), return_counts=True)
+        pair, band = packed // bands, packed % bands - 1
+        rows = np.stack([pair // len(windows), pair % len(windows), band * index.step - WINDOW], axis=1)
+        yield rows[counts >= windows.bound[rows[:, 1]]], index.step
+
+
+def align(text: np.ndarray, ends: np.ndarray, rows: np.ndarray, windows: Windows, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(edits, start, end) of the best alignment of each row's window near its band; the text's ends are free.
 
-    All rows advance together, one byte of their windows at a time. A cell holds edits
-    and the start it came from, so the smallest cell is the fewest edits, then the first start.
+    All rows advance together, one byte of their windows at a time; a row that is over its
+    budget in every cell is left behind. A cell holds edits and the start it came from, so
+    the smallest cell is the fewest edits, then the first start.
     """
-    big = 1 << 40
-    budget = windows.budget[rows[:, 1]]
+    big = 1 << 29
+    budget, size = windows.budget[rows[:, 1]], windows.size[rows[:, 1]]
     reach = int(budget.max(initial=0))
-    width = 2 * BAND + 2 * reach + 1
+    width = 2 * step + 2 * reach + 1
     low = rows[:, 2] - reach
     lo, hi = ends[rows[:, 0]], ends[rows[:, 0] + 1]
-    offset = np.arange(width)
-    first = low[:, None] + offset[None, :]
-    inside = (first >= lo[:, None]) & (first <= hi[:, None])
-    cell = np.where(inside, offset[None, :], big)
-    size = windows.size[rows[:, 1]]
-    best = np.full((len(rows), width), big)
-    pattern = windows.text[rows[:, 1]]
+    offset = np.arange(width, dtype=np.int32)
+    best = np.full((len(rows), width), big, np.int32)
     one = 1 << 10
+    slope = offset[None, :] * np.int32(one)
+    live = np.arange(len(rows))
+    first = low[:, None] + offset[None, :]
+    cell = np.where((first >= lo[:, None]) & (first <= hi[:, None]), offset[None, :], np.int32(big))
     for i in range(int(size.max(initial=0))):
+        if i % 8 == 0:
+            stay = (cell.min(axis=1, initial=big) >> 10 <= budget[live]) & (size[live] > i)
+            live, cell, first = live[stay], cell[stay], first[stay]
+            from_, to = lo[live, None], hi[live, None]
+            pattern = windows.text[rows[live, 1]]
         place = first + i
-        ok = (place >= lo[:, None]) & (place < hi[:, None])
+        ok = (place >= from_) & (place < to)
         same = text[np.clip(place, 0, max(len(text) - 1, 0))] == pattern[:, i : i + 1]
-        straight = np.where(ok, cell + np.where(same, 0, one), big)
-        skipped = np.concatenate([cell[:, 1:], np.full((len(rows), 1), big)], axis=1) + one
+        straight = np.where(ok, cell + np.where(same, np.int32(0), np.int32(one)), np.int32(big))
+        skipped = np.concatenate([cell[:, 1:], np.full((len(live), 1), big, np.int32)], axis=1) + np.int32(one)
         cell = np.minimum(straight, skipped)
-        slope = offset[None, :] * one
         cell = np.minimum.accumulate(cell - slope, axis=1) + slope
-        cell = np.where((place + 1 >= lo[:, None]) & (place + 1 <= hi[:, None]), cell, big)
-        done = size == i + 1
-        best[done] = cell[done]
+        cell = np.where((place + 1 >= from_) & (place + 1 <= to), cell, np.int32(big))
+        done = size[live] == i + 1
+        best[live[done]] = cell[done]
     pick = best.argmin(axis=1)
-    value = best[np.arange(len(rows)), pick]
+    value = best[np.arange(len(rows)), pick].astype(np.int64)
     return value >> 10, low + (value & 1023), low + pick + size
 
 
@@ -187,12 +211,14 @@ def matches(texts: pa.Array, windows: Windows) -> Iterator[tuple[int, int, int,
     raw = np.frombuffer(texts.buffers()[2], np.uint8, size, int(bounds[0])) if size else np.zeros(0, np.uint8)
     bounds = bounds - bounds[0]
     text, ends, at = folded(raw, bounds)
-    rows = candidates(text, ends, windows)
+    parts = [(np.zeros((0, 3), np.int64), *[np.zeros(0, np.int64)] * 3)]
+    for rows, step in candidates(text, ends, windows):
+        edits, start, stop = align(text, ends, rows, windows, step)
+        good = edits <= windows.budget[rows[:, 1]]
+        parts.append((rows[good], edits[good], start[good], stop[good]))
+    rows, edits, start, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
     if not len(rows):
         return
-    edits, start, stop = align(text, ends, rows, windows)
-    good = edits <= windows.budget[rows[:, 1]]
-    rows, edits, start, stop = rows[good], edits[good], start[good], stop[good]
     points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     from_, to = points[at[start]], points[at[np.maximum(stop - 1, start)] + 1]
     found: dict[tuple[int, int], list] = {}

@@ -113,6 +113,19 @@ def test_leaks_against_edit_distance():
                 assert got[3] == min(edits) and 0 <= got[1] < got[2] <= len(text)
 
 
+def test_leaks_by_any_part_of_an_item():
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(n))) for n in rng.integers(2, 9, 600)]
+    items = [(i, " ".join(rng.choice(words, 45))) for i in range(8)]
+    texts = []
+    for k in range(200):
+        item, size = items[k % 8][1], (decontam.PART, 60, 75, 95, 110)[k % 5]
+        at = int(rng.integers(0, len(item) - size + 1))
+        texts.append(" ".join(rng.choice(words, 30)) + " " + item[at : at + size] + " " + " ".join(rng.choice(words, 30)))
+    found = [(t, item) for t, item, *_ in decontam.matches(pa.array(texts), decontam.Windows.of(items))]
+    assert found == [(k, k % 8) for k in range(200)]
+
+
 def test_leaks_on_tables(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
