@@ -132,29 +132,27 @@ def candidates(text: np.ndarray, ends: np.ndarray, windows: Windows) -> Iterator
     key = grams(text)
     if not len(key) or not len(windows):
         return
-    hit = windows.marks[(mix(key) >> np.uint64(64 - _BITS)).astype(np.int64)]
-    owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    hit &= owner[: len(key)] == owner[Q - 1 :]
-    total = np.concatenate([[0], np.cumsum(hit)])
-    hit = np.flatnonzero(hit)
+    hit = np.flatnonzero(windows.marks[(mix(key) >> np.uint64(64 - _BITS)).astype(np.int64)])
+    owner = np.searchsorted(ends, hit, side="right") - 1
+    hit = hit[hit + Q <= ends[owner + 1]]
     for index in windows.indices:
-        dense = hit[total[np.minimum(hit + index.span, len(key))] - total[hit] >= index.least]
+        found = np.searchsorted(index.keys, key[hit])
+        found[found == len(index.keys)] = 0
+        real = index.keys[found] == key[hit]
+        at, found = hit[real], found[real]
+        dense = at[np.searchsorted(at, at + index.span) - np.arange(len(at)) >= index.least]
         if not len(dense):
             continue
-        cover = np.zeros(len(key) + 1, np.int64)
-        np.add.at(cover, dense, 1)
-        np.add.at(cover, np.minimum(dense + index.span, len(key)), -1)
-        at = hit[np.cumsum(cover[:-1])[hit] > 0]
-        found = np.searchsorted(index.keys, key[at])
-        found[found == len(index.keys)] = 0
-        real = index.keys[found] == key[at]
-        at, found = at[real], found[real]
+        last = np.searchsorted(dense, at, side="right") - 1
+        near = (last >= 0) & (at - dense[last] < index.span)
+        at, found = at[near], found[near]
         runs = index.starts[found + 1] - index.starts[found]
         each = np.arange(runs.sum()) + np.repeat(index.starts[found] - (np.cumsum(runs) - runs), runs)
         where, window, place = np.repeat(at, runs), index.window[each], index.place[each]
         diagonal = where - place + WINDOW
         bands = (len(text) + WINDOW) // index.step + 3
-        packed = (owner[where] * len(windows) + window) * bands + diagonal // index.step + 1
+        own = np.searchsorted(ends, at, side="right") - 1
+        packed = (np.repeat(own, runs) * len(windows) + window) * bands + diagonal // index.step + 1
         packed, counts = np.unique(np.concatenate([packed, packed - 1]), return_counts=True)
         pair, band = packed // bands, packed % bands - 1
         rows = np.stack([pair // len(windows), pair % len(windows), band * index.step - WINDOW], axis=1)
