@@ -29,7 +29,7 @@ from driftline.llm.tokens import slices
 WINDOW, STRIDE, EDITS, Q = 96, 32, 0.1, 8
 #: The same of small windows, for quotes of a part of an item; the stride is at most the budget.
 PART, PART_STRIDE = 48, 4
-#: Shortest item that is looked for.
+#: Shortest item that is looked for within an edit budget; shorter ones are looked for as they are, at word boundaries.
 SHORTEST = 32
 #: Bytes of benchmark in one pass over the documents; a larger benchmark takes more passes.
 PASS_BYTES = 2_000_000
@@ -39,6 +39,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
 _BITS = 20
+#: Bytes of words: ASCII letters, digits and _, and code points beyond ASCII by their first byte (not those of scripts without blanks, nor signs).
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(0xC3, 0xE2), *range(0xEA, 0xEE)]] = True
 
 
 def folded(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,6 +93,7 @@ class Windows:
     text: np.ndarray  # windows x WINDOW, 0 behind the end
     indices: list[Index]
     marks: np.ndarray
+    short: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # length of a beginning, sorted beginnings, starts, windows
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Windows:
@@ -98,20 +102,20 @@ class Windows:
             raw = np.frombuffer(text.encode(), np.uint8)
             low, _, _ = folded(raw, np.array([0, len(raw)]))
             low = np.frombuffer(low.tobytes().strip(), np.uint8)
-            if len(low) < SHORTEST:
+            if not len(low):
                 continue
             cuts = [(0, len(low))] if len(low) <= WINDOW else _grid(len(low), WINDOW, STRIDE)
             cuts += _grid(len(low), PART, PART_STRIDE) if len(low) > PART else []
             texts += [low[a:b] for a, b in cuts]
             owner += [number] * len(cuts)
         size = np.array([len(t) for t in texts], np.int64)
-        budget = np.minimum((size * EDITS).astype(np.int64), np.maximum((size - Q) // Q, 0))
+        budget = np.where(size < SHORTEST, 0, np.minimum((size * EDITS).astype(np.int64), np.maximum((size - Q) // Q, 0)))
         bound = size - Q + 1 - budget * Q
         table = np.zeros((len(texts), WINDOW), np.uint8)
         for i, t in enumerate(texts):
             table[i, : len(t)] = t
         marks, indices = np.zeros(1 << _BITS, bool), []
-        for own in (np.flatnonzero(size <= PART), np.flatnonzero(size > PART)):
+        for own in (np.flatnonzero((size >= SHORTEST) & (size <= PART)), np.flatnonzero(size > PART)):
             if not len(own):
                 continue
             key = np.concatenate([grams(texts[w]) for w in own])
@@ -121,12 +125,54 @@ class Windows:
             keys, starts = np.unique(key[order], return_index=True)
             marks[(mix(keys) >> np.uint64(64 - _BITS)).astype(np.int64)] = True
             indices.append(Index(keys, np.append(starts, len(key)), window[order], place[order], int((size + budget)[own].max()), int(bound[own].min()), max(int(budget[own].max()), 1)))
-        return cls(np.array(owner, np.int64), size, budget, bound, table, indices, marks)
+        short = []
+        for n in range(1, Q + 1):
+            own = np.flatnonzero((size < SHORTEST) & (np.minimum(size, Q) == n))
+            if len(own):
+                begin = grams(table[own, :Q].ravel())[::Q] >> np.uint64(8 * (Q - n))
+                order = np.argsort(begin, kind="stable")
+                keys, starts = np.unique(begin[order], return_index=True)
+                short.append((n, keys, np.append(starts, len(own)), own[order]))
+        return cls(np.array(owner, np.int64), size, budget, bound, table, indices, marks, short)
 
     def __len__(self) -> int:
         return len(self.size)
 
 
+def exact(text: np.ndarray, ends: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows (text, window, 0), start, end) of every place of an item below ``SHORTEST``, at word boundaries."""
+    rows, begin = [np.zeros((0, 3), np.int64)], [np.zeros(0, np.int64)]
+    if windows.short and len(text):
+        padded = np.concatenate([text, np.zeros(SHORTEST, np.uint8)])
+        lead = np.flatnonzero((padded & 0xC0) != 0x80)
+        word = np.repeat(_WORD[padded[lead]], np.diff(np.append(lead, len(padded))))
+        if lead[0]:
+            word = np.concatenate([np.zeros(lead[0], bool), word])
+        edge = np.ones(len(text) + 1, bool)
+        edge[1:] = ~(word[: len(text)] & word[1 : len(text) + 1])
+        edge[ends] = True
+        key, at = grams(padded), np.flatnonzero(edge[:-1])
+        for n, keys, starts, own in windows.short:
+            mine = key[at] >> np.uint64(8 * (Q - n))
+            found = np.searchsorted(keys, mine)
+            found[found == len(keys)] = 0
+            real = keys[found] == mine
+            where, found = at[real], found[real]
+            runs = starts[found + 1] - starts[found]
+            window = own[np.arange(runs.sum()) + np.repeat(starts[found] - (np.cumsum(runs) - runs), runs)]
+            where = np.repeat(where, runs)
+            size, text_of = windows.size[window], np.searchsorted(ends, where, side="right") - 1
+            stop = where + size
+            good = stop <= ends[text_of + 1]
+            good[good] = edge[stop[good]]
+            for k in range(SHORTEST - 1):
+                good &= (k >= size) | (padded[where + np.minimum(k, size)] == windows.text[window, k])
+            rows.append(np.stack([text_of, window, np.zeros_like(window)], axis=1)[good])
+            begin.append(where[good])
+    out, start = np.concatenate(rows), np.concatenate(begin)
+    return out, start, start + windows.size[out[:, 1]]
+
+
 def candidates(text: np.ndarray, ends: np.ndarray, windows: Windows) -> Iterator[tuple[np.ndarray, int]]:
     """Rows (text, window, lowest diagonal of the band) of bands that reach their window's bound, and the step of the bands."""
     key = grams(text)
@@ -209,7 +255,8 @@ def matches(texts: pa.Array, windows: Windows) -> Iterator[tuple[int, int, int,
     raw = np.frombuffer(texts.buffers()[2], np.uint8, size, int(bounds[0])) if size else np.zeros(0, np.uint8)
     bounds = bounds - bounds[0]
     text, ends, at = folded(raw, bounds)
-    parts = [(np.zeros((0, 3), np.int64), *[np.zeros(0, np.int64)] * 3)]
+    rows, start, stop = exact(text, ends, windows)
+    parts = [(rows, np.zeros(len(rows), np.int64), start, stop)]
     for rows, step in candidates(text, ends, windows):
         edits, start, stop = align(text, ends, rows, windows, step)
         good = edits <= windows.budget[rows[:, 1]]
@@ -237,8 +284,8 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
 
     ``n_matched`` of the item's ``n_windows``, the span from the first to the last of them
     in code points of the text, and the fewest edits of one. Null or empty texts hold
-    nothing; items that are null or shorter than ``SHORTEST`` folded bytes are not looked
-    for; equal texts and ids give a row each. An empty table on either side gives an empty
+    nothing; null or empty items are not looked for, and items shorter than ``SHORTEST``
+    folded bytes only without edits, between word boundaries; equal texts and ids give a row each. An empty table on either side gives an empty
     result. The benchmark goes to the workers in parts of bounded size, one pass each.
     """
     spark = df.sparkSession

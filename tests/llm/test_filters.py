@@ -126,6 +126,14 @@ def test_leaks_by_any_part_of_an_item():
     assert found == [(k, k % 8) for k in range(200)]
 
 
+def test_short_items_at_word_boundaries():
+    items = [(1, "What is the capital of Peru?"), (2, "Who?"), (3, "seven"), (4, "日本の首都"), (5, "What is the capital of Chad?"), (6, " \n"), (7, "¿Qué es?")]
+    texts = ["so: \"what  is the\ncapital of peru?\" he said", "whatever; seventy, eleven-seven", "これは日本の首都です", "xwhat is the capital of chad?", "", "seven", "“¿Qué es?”", "se", "ven"]
+    found = list(decontam.matches(pa.array(texts), decontam.Windows.of(items)))
+    assert [(t, items[i][0], n, e) for t, i, n, _, _, e in found] == [(0, 1, 1, 0), (1, 3, 1, 0), (2, 4, 1, 0), (5, 3, 1, 0), (6, 7, 1, 0)]
+    assert [texts[t][a:b] for t, _, _, a, b, _ in found] == ["what  is the\ncapital of peru?", "seven", "日本の首都", "seven", "¿Qué es?"]
+
+
 def test_leaks_on_tables(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
