@@ -7,7 +7,7 @@ text with at most k edits shares at least ``m - q + 1 - k q`` q-grams with it, a
 diagonals at most k apart. So: mark every position of a text whose q-gram is in any
 window; keep regions dense enough in marks; there, count q-grams by window and by
 overlapping bands of diagonals, and keep the bands that reach the bound; align those
-windows with a banded dynamic programme. Texts are compared with A-Z lower-cased and
+windows with a banded dynamic programme. Texts are compared with case folded by Unicode and
 every run of ASCII white space as one blank.
 """
 
@@ -44,14 +44,56 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(0xC3, 0xE2), *range(0xEA, 0xEE)]] = True
 
 
+#: What case folding makes of a code point beyond ASCII, where it changes it; the code points it changes, as a table.
+_FOLD = {c: np.frombuffer(chr(c).casefold().encode(), np.uint8) for c in range(128, 0x1F000) if chr(c).casefold() != chr(c)}
+_FOLDS = np.zeros(0x200000, bool)
+_FOLDS[list(_FOLD)] = True
+
+
+def _cased(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """(bytes with code points beyond ASCII folded, original position of each byte; None if no length changes)."""
+    at = np.flatnonzero(raw >= 0xC3)
+    if not len(at):
+        return raw, None
+    lead = raw[at].astype(np.int64)
+    more = (lead >= 0xE0).astype(np.int64) + (lead >= 0xF0)
+    code = lead & np.array([0x1F, 0x0F, 0x07])[more]
+    for k in range(1, 4):
+        code = np.where(k <= more + 1, code << 6 | raw[np.minimum(at + k, len(raw) - 1)] & 0x3F, code)
+    hit = _FOLDS[code]
+    at, code, size = at[hit], code[hit], more[hit] + 2
+    if not len(at):
+        return raw, None
+    order = np.argsort(code, kind="stable")
+    codes, first = np.unique(code[order], return_index=True)
+    groups = [(_FOLD[c], at[g], int(size[g[0]])) for c, g in zip(codes.tolist(), np.split(order, first[1:]), strict=True)]
+    if all(len(new) == n for new, _, n in groups):
+        out, origin, starts = raw.copy(), None, None
+    else:
+        count = np.ones(len(raw), np.int64)
+        for new, where, n in groups:
+            count[where] = len(new) - n + 1 if len(new) >= n else 1
+            for k in range(len(new), n):
+                count[where + k] = 0
+        origin = np.repeat(np.arange(len(raw)), count)
+        out, starts = raw[origin], np.cumsum(count) - count
+    for new, where, _ in groups:
+        for k, byte in enumerate(new):
+            out[(where if starts is None else starts[where]) + k] = byte
+    return out, origin
+
+
 def folded(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes lower-cased with one blank for each run of white space, offsets, original position of each byte)."""
+    """(bytes with case folded and one blank for each run of white space, offsets, original position of each byte)."""
+    raw, origin = _cased(raw)
+    if origin is not None:
+        ends = np.searchsorted(origin, ends)
     space = _SPACE[raw]
     first = np.zeros(len(raw) + 1, bool)
     first[ends] = True
     keep = ~space | first[:-1] | np.concatenate([[True], ~space[:-1]])
     at = np.flatnonzero(keep)
-    return _LOWER[raw[at]], np.searchsorted(at, ends), at
+    return _LOWER[raw[at]], np.searchsorted(at, ends), at if origin is None else origin[at]
 
 
 def grams(text: np.ndarray) -> np.ndarray:

@@ -134,6 +134,19 @@ def test_short_items_at_word_boundaries():
     assert [texts[t][a:b] for t, _, _, a, b, _ in found] == ["what  is the\ncapital of peru?", "seven", "日本の首都", "seven", "¿Qué es?"]
 
 
+def test_leaks_that_differ_in_case_only():
+    items = [(1, "Съешь же ещё этих мягких французских булок, да выпей чаю"), (2, "Ο γρήγορος σκύλος πηδά πάνω από τους τεμπέληδες φίλους"), (3, "été où l'élève préféré s'était égaré à côté de la forêt, là où naît l'été"), (4, "die große Straße führt außen um das weiße Schloß")]
+    texts = ["ȺȺ Kelvin: " + x.upper() + " ẞ, İ" for _, x in items]
+    found = list(decontam.matches(pa.array(texts), decontam.Windows.of(items)))
+    assert {(t, i, e) for t, i, _, _, _, e in found} == {(k, k, 0) for k in range(4)}
+    assert all(texts[t][a:b] == items[i][1].upper() for t, i, _, a, b, _ in found if i != 1)
+    for text in [*texts, "", "a", "ÀÈ \n Σς", "ﬁ ŉ ǰ ΐ"]:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        low, ends, at = decontam.folded(raw, np.array([0, len(raw)]))
+        assert low.tobytes().decode() == re.sub(r"[ \n]+", " ", text.casefold())
+        assert ends.tolist() == [0, len(low)] and len(at) == len(low) and (np.diff(at) >= 0).all()
+
+
 def test_leaks_on_tables(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
