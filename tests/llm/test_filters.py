@@ -191,6 +191,18 @@ def test_blocks_by_role():
     assert htmltext.blocks("") == [] and htmltext.blocks("<p>a<script>x") == [("open", "a")] and htmltext.blocks("a <b") == [("open", "a")]
 
 
+def test_marks_inside_an_article():
+    of = lambda page, role: [t for r, t in htmltext.blocks(page) if r == role]
+    kept = "<section id='related-work'><p>one</section><h2 id='comments'>two</h2><div class='social-history'>three</div><p class='notice'>four</p><div class=search-results>five</div><p>six <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=tex>x=2</annotation></math></p>"
+    assert of(f"<article>{kept}</article>", "main") == ["one", "two", "three", "four", "five", "six x=2"]
+    gone = "<div class='related-posts'>a</div><div class='post-comments wide'>b</div><div class=cookie-notice>c</div><div id=comments>d</div><div class='share-buttons'>e</div><p class=ad>f</p>"
+    assert of(f"<article>{gone}g</article>", "main") == ["g"]
+    page = "<article>own<section class='comments'><article class='comment'><p>first</p></article><article>second</article></section><article class='comment' id='comment-7'>third<article>fourth</article></article> text</article><article class='post comments-open'>more</article>"
+    assert of(page, "main") == ["own", "text", "more"] and of(page, "chrome") == ["first", "second", "third", "fourth"]
+    assert of("<section class=comments><article>no</article></section><article>yes</article>", "main") == ["yes"]
+    assert of("<nav>menu<article>yes</article>", "main") == ["yes"]
+
+
 def test_repeated_substrings_go_unique_runs_stay(spark):
     chrome = "<div><p>all rights reserved by the example news company of nowhere</div>"
     rows = [(i, f"http://h.com/{i}", f"<body>{chrome}<p>story number {i} tells of something quite its own{i}</p>{chrome}") for i in range(6)]
