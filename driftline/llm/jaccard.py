@@ -143,9 +143,12 @@ class Join:
         self.counts = self.spark.sparkContext.broadcast(_count_sketch(self.rows, size).astype(np.float32))
         self.sets = self.scratch.write(self._prefixes(), "sets")
         copies = self.sets.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("held")).filter("held > 1").drop("held")
-        copies = small(self.scratch.write(copies, "copies"))
+        self.copies = small(self.scratch.write(copies, "copies"))
         #: One row per document: size of its set and the smallest id with the same set.
-        self.classes = self.sets.select("doc_id", "key_a", "key_b", "n").join(copies, ["key_a", "key_b", "n"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
+        self.classes = self._classed(self.sets.select("doc_id", "key_a", "key_b", "n")).select("doc_id", "n", "class_id")
+
+    def _classed(self, sets: DataFrame) -> DataFrame:
+        return sets.join(self.copies, ["key_a", "key_b", "n"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
 
     def _prefixes(self) -> DataFrame:
         counts, size, threshold = self.counts, self.size, self.threshold
@@ -176,8 +179,8 @@ class Join:
 
     def _postings(self) -> DataFrame:
         """Prefix shingles that two classes or more have; one exchange, on the shingle."""
-        others = small(self.scratch.write(self.classes.filter("doc_id <> class_id").select("doc_id"), "others"))
-        postings = self.sets.filter("n > 0").join(others, "doc_id", "left_anti").select(F.explode("prefix").alias("token"), "doc_id", "n", "ell")
+        later = small(self.scratch.write(self._classed(self.sets.select("doc_id", "key_a", "key_b", "n")).filter("doc_id <> class_id").select("doc_id", "key_a", "key_b").distinct(), "later"))
+        postings = self.sets.filter("n > 0").join(later, ["doc_id", "key_a", "key_b"], "left_anti").select(F.explode("prefix").alias("token"), "doc_id", "n", "ell")
         return postings.withColumn("held", F.count("*").over(Window.partitionBy("token"))).filter("held > 1").drop("held")
 
     def _near(self, pairs: DataFrame) -> DataFrame:
@@ -305,7 +308,10 @@ class Join:
 
     def members(self) -> DataFrame:
         """``doc_id``, ``n_shingles``, ``class_id`` and ``component_id`` of every document."""
-        of = components(self.links(), scratch=Scratch(self.spark, "jaccard-components"))
+        own = self.classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
+        twice = small(self.scratch.write(self.sets.groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1").select(F.col("doc_id").alias("a")), "twice"))
+        own = own.join(twice, "a", "left_semi").distinct()  # a repeated id joins the classes of its texts
+        of = components(self.links().unionByName(own), scratch=Scratch(self.spark, "jaccard-components"))
         rows = self.classes.join(of, self.classes["class_id"] == of["node"], "left")
         return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
 

@@ -104,3 +104,11 @@ def test_repeated_ids_and_empty_tables(spark):
     got = jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == [(5, 3, 5), (5, 3, 5), (7, 3, 5), (7, 3, 5), (9, 2, 9), (11, 0, 11), (11, 0, 11)]
     assert jaccard.similarity_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeated_ids_link_by_each_text_in_any_order_of_ids(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    for five, seven, nine in ((5, 7, 9), (5, 9, 7), (7, 5, 9), (9, 7, 5), (7, 9, 5), (9, 5, 7)):
+        rows = [(five, one), (seven, one), (seven, two), (nine, two + " more"), (1, "something else altogether stands in this text"), (seven, "")]
+        got = jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == sorted((d, 1 if d == 1 else 5) for d, _ in rows)
