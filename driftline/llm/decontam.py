@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.common import Scratch, prepare, small, text_rows, trimmed
-from driftline.llm.shingles import SLICE_BYTES, mix
+from driftline.llm.shingles import mix
 from driftline.llm.tokens import slices
 
 #: Bytes of a large window (the whole item, if shorter) and between windows, share of its bytes that may be edited, length of a q-gram.
@@ -33,6 +33,8 @@ PART, PART_STRIDE = 48, 4
 SHORTEST = 32
 #: Bytes of benchmark in one pass over the documents; a larger benchmark takes more passes.
 PASS_BYTES = 2_000_000
+#: Bytes of texts at a time; small, since a position that is marked is held once for each window over it.
+SLICE_BYTES = 300_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
