@@ -10,9 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder every executor sees: ``spark.checkpoint.dir``, or where it is unset on a local master one of our own.
+
+    On a cluster a folder of one machine would lose rows without an error, so an unset one raises.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="driftline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
