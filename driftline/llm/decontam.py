@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import Scratch, prepare, small, text_rows, trimmed
+from driftline.llm.common import Scratch, prepare, row_key, text_rows, trimmed, without
 from driftline.llm.shingles import mix
 from driftline.llm.tokens import slices
 
@@ -368,7 +368,9 @@ def _search(shared):
 
 
 def keep_unleaked(df: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows without a benchmark passage, with all their columns; an id with one takes all its rows along."""
-    scratch = Scratch(df.sparkSession, "decontam")
-    gone = small(scratch.write(leaks(df, benchmark).select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
-    return df.join(gone, df["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """The rows without a benchmark passage, with all their columns; an id with one takes all its rows along.
+
+    A row without an id is judged by its own text.
+    """
+    rows = df.select(row_key().alias("doc_id"), "text")
+    return without(df, Scratch(df.sparkSession, "decontam").write(leaks(rows, benchmark).select("doc_id").distinct(), "gone"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import prepare, Scratch, small, text_rows, trimmed
+from driftline.llm.common import prepare, row_key, Scratch, text_rows, trimmed, without
 from driftline.llm.shingles import SLICE_BYTES, _power, mix
 from driftline.llm.tokens import slices
 
@@ -345,7 +345,10 @@ def toxicity(documents: DataFrame, labels: DataFrame, folds: int = 5, fold: int
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> DataFrame:
-    """The rows that score below one half, with all their columns; a rejected id takes all its rows along."""
-    rejected = toxicity(documents, labels, folds, fold).filter("predicted = 1").select(F.col("doc_id").alias("_gone"))
-    rejected = small(Scratch(documents.sparkSession, "toxicity-gone").write(rejected, "gone"))
-    return documents.join(rejected, documents["doc_id"].cast("long") == rejected["_gone"], "left_anti")
+    """The rows that score below one half, with all their columns; a rejected id takes all its rows along.
+
+    A row without an id is judged by its own text.
+    """
+    model = fit(text_rows(documents, "doc_id", "text"), labels, "toxic", ~held_out("doc_id", folds, fold))
+    rejected = score(documents.select(row_key().alias("doc_id"), "text"), model).filter("score >= 0.5").select("doc_id")
+    return without(documents, Scratch(documents.sparkSession, "toxicity-gone").write(rejected.distinct(), "gone"))
