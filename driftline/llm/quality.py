@@ -1,7 +1,8 @@
 """Quality by supervised subword embeddings: hashed word and character n-gram vectors, averaged, under a softmax.
 
 The vectors and the output layer are learnt together by stochastic gradient descent in
-numpy, in one task over a bounded sample of labelled texts. As the output is linear in
+numpy, in one task over a bounded sample of labelled texts, which comes to it as buckets
+and their shares (a text has at most as many as there are buckets). As the output is linear in
 the average, a trained model keeps for every bucket what its vector adds to the margin
 between the classes, and scoring a text is one lookup for each word and n-gram.
 """
@@ -28,7 +29,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-#: Bucket of the word bigram of one word twice, whatever the word.
+#: Bucket of the pair of a word with itself, whatever the word: an average of single vectors can't tell such runs.
 _AGAIN = 1
 
 
@@ -82,15 +83,17 @@ def _word_hash(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.nda
     return mix((total[stops] - total[starts]) * down[starts] + np.uint64(0xA5A5))
 
 
-def train(texts: pa.Array, y: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
+def shares(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct buckets of each text, and the share of each."""
+    out, of, n = buckets(texts)
+    flat, text = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (out, of))
+    key, count = np.unique((text.astype(np.int64) << BITS) | flat, return_counts=True)
+    at = np.searchsorted(key >> BITS, np.arange(n + 1))
+    return [((key[i:j] & ((1 << BITS) - 1)).astype(np.int32), (count[i:j] / max(1, count[i:j].sum())).astype(np.float32)) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
     """What each bucket adds to the margin, and the margin of an empty text."""
-    rows = []
-    for a in range(0, len(y), 256):
-        out, of, n = buckets(texts.slice(a, 256))
-        flat, text = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (out, of))
-        key, count = np.unique((text.astype(np.int64) << BITS) | flat, return_counts=True)
-        at = np.searchsorted(key >> BITS, np.arange(n + 1))
-        rows += [((key[i:j] & ((1 << BITS) - 1)).astype(np.int32), (count[i:j] / max(1, count[i:j].sum())).astype(np.float32)) for i, j in zip(at[:-1], at[1:], strict=True)]
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((1 << BITS, WIDTH), dtype=np.float32) - 0.5) / WIDTH).astype(np.float32)
     output, bias = np.zeros((2, WIDTH), np.float32), np.log(np.array([1 - y.mean(), y.mean()]) + 1e-3).astype(np.float32)
@@ -109,7 +112,7 @@ def train(texts: pa.Array, y: np.ndarray, seed: int = 1) -> tuple[np.ndarray, fl
             output -= step * np.outer(p, hidden)
             bias -= 0.1 * step * p
             if len(which):
-                vectors[which] -= (step * len(which) * share)[:, None] * back
+                vectors[which] -= (step / (share @ share) * share)[:, None] * back  # the average moves by the step, however uneven the shares
     side = output[1] - output[0]
     return vectors @ side, float(bias[1] - bias[0])
 
@@ -125,10 +128,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, keep) -> tuple[np.ndarra
             rate = float(y.mean()) if len(y) else 0.0
             gain, base = np.zeros(1 << BITS, np.float32), 30.0 if rate > 0.5 else -30.0
         else:
-            gain, base = train(table.column("text").combine_chunks(), y)
+            pairs = zip(table.column("which"), table.column("share"), strict=True)
+            gain, base = train([(np.frombuffer(a.as_buffer(), "<i4"), np.frombuffer(b.as_buffer(), "<f4")) for a, b in pairs], y)
         return pa.table({"gain": pa.array([gain.astype(np.float32).tobytes()], pa.binary()), "base": pa.array([base])})
 
-    rows = labelled(docs, labels, label, keep, TRAIN_ROWS).select("doc_id", "text", "y")
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                which, share = zip(*shares(part.column("text")), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([x.tobytes() for x in which], pa.binary()), pa.array([x.tobytes() for x in share], pa.binary())], ["doc_id", "y", "which", "share"])
+
+    rows = labelled(docs, labels, label, keep, TRAIN_ROWS).select("doc_id", "text", F.col("y").cast("double").alias("y"))
+    rows = rows.mapInArrow(trimmed(describe), "doc_id long, y double, which binary, share binary")
     model = rows.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "gain binary, base double").first()
     if model is None:
         return np.zeros(1 << BITS, np.float32), -30.0
