@@ -5,8 +5,9 @@ at steps no larger than their edit budget, so that any part of an item as long a
 window holds one within its budget, wherever the part starts. A window of m bytes that occurs in a
 text with at most k edits shares at least ``m - q + 1 - k q`` q-grams with it, all on
 diagonals at most k apart. So: mark every position of a text whose q-gram is in any
-window; keep regions dense enough in marks; there, count q-grams by window and by
-overlapping bands of diagonals, and keep the bands that reach the bound; align those
+item; count q-grams by item and by overlapping bands of diagonals, and keep the bands
+that reach the least bound of the item's windows; there, count them by window and band
+in the same way, and keep the bands that reach the window's own bound; align those
 windows with a banded dynamic programme. Texts are compared with case folded by Unicode and
 every run of ASCII white space as one blank.
 """
@@ -32,9 +33,9 @@ PART, PART_STRIDE = 48, 4
 #: Shortest item that is looked for within an edit budget; shorter ones are looked for as they are, at word boundaries.
 SHORTEST = 32
 #: Bytes of benchmark in one pass over the documents; a larger benchmark takes more passes.
-PASS_BYTES = 2_000_000
+PASS_BYTES = 4_000_000
 #: Bytes of texts at a time; small, since a position that is marked is held once for each window over it.
-SLICE_BYTES = 300_000
+SLICE_BYTES = 500_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -109,75 +110,92 @@ def grams(text: np.ndarray) -> np.ndarray:
     return key
 
 
-def _grid(size: int, width: int, stride: int) -> list[tuple[int, int]]:
-    return [(a, a + width) for a in sorted({*range(0, size - width, stride), size - width})]
-
-
 @dataclass
-class Index:
-    """The q-grams of windows of like size; bands of diagonals are a step apart and two steps wide, a step is at least the largest budget."""
+class Grid:
+    """Windows of like size, an item's one after another at steps of a stride, the last at its end.
 
-    keys: np.ndarray
-    starts: np.ndarray
-    window: np.ndarray
-    place: np.ndarray
-    span: int
-    least: int
+    Bands of diagonals are a step apart and two steps wide, a step is at least the largest budget.
+    """
+
+    stride: int
     step: int
+    first: np.ndarray  # by item: its first window
+    count: np.ndarray
+    last: np.ndarray  # by item: where its last window begins
+    width: np.ndarray
+
+    def over(self, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(windows over the q-gram at each place of an item, how many over each)."""
+        low = np.maximum(-((self.width[item] - Q - place) // self.stride), 0)
+        high = np.where(place >= self.last[item], self.count[item], np.minimum(place // self.stride + 1, self.count[item]))
+        runs = np.maximum(high - low, 0)
+        return np.arange(runs.sum()) + np.repeat(self.first[item] + low - (np.cumsum(runs) - runs), runs), runs
 
 
 @dataclass
 class Windows:
-    """Windows of some items, and the indices of their q-grams."""
+    """Windows of some items; the q-grams of the items, sorted, with the places where they stand."""
 
     item: np.ndarray
+    begin: np.ndarray
     size: np.ndarray
     budget: np.ndarray
     bound: np.ndarray
-    text: np.ndarray  # windows x WINDOW, 0 behind the end
-    indices: list[Index]
+    text: np.ndarray  # bytes of all items in a row
+    at: np.ndarray  # by window: where it begins there
+    keys: np.ndarray
+    starts: np.ndarray
+    of_item: np.ndarray  # by place of a q-gram: its item, where it stands there
+    place: np.ndarray
+    least: np.ndarray  # by item: the least bound of its windows
+    grids: list[Grid]
     marks: np.ndarray
     short: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # length of a beginning, sorted beginnings, starts, windows
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Windows:
-        texts, owner = [], []
-        for number, (_, text) in enumerate(items):
+        texts = []
+        for _, text in items:
             raw = np.frombuffer(text.encode(), np.uint8)
-            low, _, _ = folded(raw, np.array([0, len(raw)]))
-            low = np.frombuffer(low.tobytes().strip(), np.uint8)
-            if not len(low):
-                continue
-            cuts = [(0, len(low))] if len(low) <= WINDOW else _grid(len(low), WINDOW, STRIDE)
-            cuts += _grid(len(low), PART, PART_STRIDE) if len(low) > PART else []
-            texts += [low[a:b] for a, b in cuts]
-            owner += [number] * len(cuts)
-        size = np.array([len(t) for t in texts], np.int64)
+            texts.append(np.frombuffer(folded(raw, np.array([0, len(raw)]))[0].tobytes().strip(), np.uint8))
+        long = np.array([len(t) for t in texts], np.int64)
+        offset = np.cumsum(long) - long
+        flat = np.concatenate([np.zeros(0, np.uint8), *texts, np.zeros(WINDOW, np.uint8)])
+        item, begin, size, shapes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        for width, stride, some in ((WINDOW, STRIDE, long > 0), (PART, PART_STRIDE, long > PART)):
+            last = np.maximum(long - width, 0)
+            count = np.where(some, -(-last // stride) + 1, 0)
+            of = np.repeat(np.arange(len(items)), count)
+            nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            shapes.append((stride, sum(map(len, item)) + np.cumsum(count) - count, count, last, np.minimum(long, width)))
+            item.append(of)
+            begin.append(np.minimum(nth * stride, last[of]))
+            size.append(np.minimum(long[of], width))
+        item, begin, size = np.concatenate(item), np.concatenate(begin), np.concatenate(size)
         budget = np.where(size < SHORTEST, 0, np.minimum((size * EDITS).astype(np.int64), np.maximum((size - Q) // Q, 0)))
         bound = size - Q + 1 - budget * Q
-        table = np.zeros((len(texts), WINDOW), np.uint8)
-        for i, t in enumerate(texts):
-            table[i, : len(t)] = t
-        marks, indices = np.zeros(1 << _BITS, bool), []
-        for own in (np.flatnonzero((size >= SHORTEST) & (size <= PART)), np.flatnonzero(size > PART)):
-            if not len(own):
-                continue
-            key = np.concatenate([grams(texts[w]) for w in own])
-            window = np.repeat(own, size[own] - Q + 1)
-            place = np.concatenate([np.arange(n) for n in size[own] - Q + 1])
-            order = np.argsort(key, kind="stable")
-            keys, starts = np.unique(key[order], return_index=True)
-            marks[(mix(keys) >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-            indices.append(Index(keys, np.append(starts, len(key)), window[order], place[order], int((size + budget)[own].max()), int(bound[own].min()), max(int(budget[own].max()), 1)))
+        own = np.flatnonzero(long >= SHORTEST)
+        key = np.concatenate([np.zeros(0, np.uint64), *(grams(texts[i]) for i in own)])
+        grams_of = long[own] - Q + 1
+        order = np.argsort(key, kind="stable")
+        of_item = np.repeat(own, grams_of)[order].astype(np.int32)
+        place = (np.arange(len(key)) - np.repeat(np.cumsum(grams_of) - grams_of, grams_of))[order].astype(np.int32)
+        keys, starts = np.unique(key[order], return_index=True)
+        marks = np.zeros(1 << _BITS, bool)
+        marks[(mix(keys) >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        least = np.full(len(items), 1 << 40)
+        wide = size >= SHORTEST
+        np.minimum.at(least, item[wide], bound[wide])
+        grids = [Grid(stride, max(int(budget[wide & (size <= width)].max(initial=0)), 1), first, count, last, width_) for width, (stride, first, count, last, width_) in zip((WINDOW, PART), shapes, strict=True)]
         short = []
         for n in range(1, Q + 1):
             own = np.flatnonzero((size < SHORTEST) & (np.minimum(size, Q) == n))
             if len(own):
-                begin = grams(table[own, :Q].ravel())[::Q] >> np.uint64(8 * (Q - n))
-                order = np.argsort(begin, kind="stable")
-                keys, starts = np.unique(begin[order], return_index=True)
-                short.append((n, keys, np.append(starts, len(own)), own[order]))
-        return cls(np.array(owner, np.int64), size, budget, bound, table, indices, marks, short)
+                beginning = grams(flat[(offset[item[own]] + begin[own])[:, None] + np.arange(Q)].ravel())[::Q] >> np.uint64(8 * (Q - n))
+                order = np.argsort(beginning, kind="stable")
+                short_keys, short_starts = np.unique(beginning[order], return_index=True)
+                short.append((n, short_keys, np.append(short_starts, len(own)), own[order]))
+        return cls(item, begin, size, budget, bound, flat, offset[item] + begin, keys, np.append(starts, len(key)), of_item, place, least, grids, marks, short)
 
     def __len__(self) -> int:
         return len(self.size)
@@ -210,43 +228,65 @@ def exact(text: np.ndarray, ends: np.ndarray, windows: Windows) -> tuple[np.ndar
             good = stop <= ends[text_of + 1]
             good[good] = edge[stop[good]]
             for k in range(SHORTEST - 1):
-                good &= (k >= size) | (padded[where + np.minimum(k, size)] == windows.text[window, k])
+                good &= (k >= size) | (padded[where + np.minimum(k, size)] == windows.text[windows.at[window] + np.minimum(k, size)])
             rows.append(np.stack([text_of, window, np.zeros_like(window)], axis=1)[good])
             begin.append(where[good])
     out, start = np.concatenate(rows), np.concatenate(begin)
     return out, start, start + windows.size[out[:, 1]]
 
 
+def _runs(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each entry of the runs that are asked for, length of each run)."""
+    runs = starts[which + 1] - starts[which]
+    return np.arange(runs.sum()) + np.repeat(starts[which] - (np.cumsum(runs) - runs), runs), runs
+
+
+def _bands(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct cells, rows in each one and the next, which of them each row is in). A band is a cell and the next one."""
+    order = np.argsort(cell, kind="stable")
+    ranked = cell[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(cell) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    cells, counts = ranked[at], np.diff(np.append(at, len(cell)))
+    which = np.empty(len(cell), np.int64)
+    which[order] = np.cumsum(new) - 1
+    total = counts.copy()
+    total[:-1] += np.where(cells[1:] == cells[:-1] + 1, counts[1:], 0)
+    return cells, total, which
+
+
 def candidates(text: np.ndarray, ends: np.ndarray, windows: Windows) -> Iterator[tuple[np.ndarray, int]]:
     """Rows (text, window, lowest diagonal of the band) of bands that reach their window's bound, and the step of the bands."""
     key = grams(text)
-    if not len(key) or not len(windows):
+    if not len(key) or not len(windows.keys):
         return
-    hit = np.flatnonzero(windows.marks[(mix(key) >> np.uint64(64 - _BITS)).astype(np.int64)])
-    owner = np.searchsorted(ends, hit, side="right") - 1
-    hit = hit[hit + Q <= ends[owner + 1]]
-    for index in windows.indices:
-        found = np.searchsorted(index.keys, key[hit])
-        found[found == len(index.keys)] = 0
-        real = index.keys[found] == key[hit]
-        at, found = hit[real], found[real]
-        dense = at[np.searchsorted(at, at + index.span) - np.arange(len(at)) >= index.least]
-        if not len(dense):
+    at = np.flatnonzero(windows.marks[(mix(key) >> np.uint64(64 - _BITS)).astype(np.int64)])
+    found = np.searchsorted(windows.keys, key[at])
+    found[found == len(windows.keys)] = 0
+    real = windows.keys[found] == key[at]
+    at, found = at[real], found[real]
+    own = np.searchsorted(ends, at, side="right") - 1
+    real = at + Q <= ends[own + 1]
+    at, found, own = at[real], found[real], own[real]
+    entry, runs = _runs(windows.starts, found)
+    at, own, item = np.repeat(at, runs), np.repeat(own, runs), windows.of_item[entry]
+    step, longest = max(grid.step for grid in windows.grids), int(windows.place.max()) + Q
+    bands = (len(text) + longest) // step + 3
+    cells, total, which = _bands((own * len(windows.least) + item) * bands + (at - windows.place[entry] + longest) // step + 1)
+    full = total >= windows.least[cells // bands % len(windows.least)]
+    # a band that begins in the cell before holds this cell's rows too
+    full |= np.concatenate([[False], full[:-1] & (cells[1:] == cells[:-1] + 1)])
+    keep = full[which]
+    at, own, item, place = at[keep], own[keep], item[keep], windows.place[entry[keep]].astype(np.int64)
+    for grid in windows.grids:
+        window, runs = grid.over(item, place)
+        if not len(window):
             continue
-        last = np.searchsorted(dense, at, side="right") - 1
-        near = (last >= 0) & (at - dense[last] < index.span)
-        at, found = at[near], found[near]
-        runs = index.starts[found + 1] - index.starts[found]
-        each = np.arange(runs.sum()) + np.repeat(index.starts[found] - (np.cumsum(runs) - runs), runs)
-        where, window, place = np.repeat(at, runs), index.window[each], index.place[each]
-        diagonal = where - place + WINDOW
-        bands = (len(text) + WINDOW) // index.step + 3
-        own = np.searchsorted(ends, at, side="right") - 1
-        packed = (np.repeat(own, runs) * len(windows) + window) * bands + diagonal // index.step + 1
-        packed, counts = np.unique(np.concatenate([packed, packed - 1]), return_counts=True)
-        pair, band = packed // bands, packed % bands - 1
-        rows = np.stack([pair // len(windows), pair % len(windows), band * index.step - WINDOW], axis=1)
-        yield rows[counts >= windows.bound[rows[:, 1]]], index.step
+        diagonal = np.repeat(at - place, runs) + windows.begin[window]
+        bands = (len(text) + WINDOW) // grid.step + 3
+        cells, total, _ = _bands((np.repeat(own, runs) * len(windows) + window) * bands + (diagonal + WINDOW) // grid.step + 1)
+        rows = np.stack([cells // bands // len(windows), cells // bands % len(windows), (cells % bands - 1) * grid.step - WINDOW], axis=1)
+        yield rows[total >= windows.bound[rows[:, 1]]], grid.step
 
 
 def align(text: np.ndarray, ends: np.ndarray, rows: np.ndarray, windows: Windows, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,7 +304,7 @@ def align(text: np.ndarray, ends: np.ndarray, rows: np.ndarray, windows: Windows
     lo, hi = ends[rows[:, 0]], ends[rows[:, 0] + 1]
     offset = np.arange(width, dtype=np.int32)
     best = np.full((len(rows), width), big, np.int32)
-    one = 1 << 10
+    one, span = 1 << 10, np.arange(int(size.max(initial=0)))
     slope = offset[None, :] * np.int32(one)
     live = np.arange(len(rows))
     first = low[:, None] + offset[None, :]
@@ -274,7 +314,7 @@ def align(text: np.ndarray, ends: np.ndarray, rows: np.ndarray, windows: Windows
             stay = (cell.min(axis=1, initial=big) >> 10 <= budget[live]) & (size[live] > i)
             live, cell, first = live[stay], cell[stay], first[stay]
             from_, to = lo[live, None], hi[live, None]
-            pattern = windows.text[rows[live, 1]]
+            pattern = windows.text[windows.at[rows[live, 1], None] + span]
         place = first + i
         ok = (place >= from_) & (place < to)
         same = text[np.clip(place, 0, max(len(text) - 1, 0))] == pattern[:, i : i + 1]

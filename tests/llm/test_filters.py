@@ -43,6 +43,9 @@ def test_keep_clean_keeps_columns(spark):
     kept = toxicity.keep_clean(docs, labels)
     assert kept.columns == docs.columns
     toxic = {r.doc_id for r in toxicity.toxicity(docs, labels).filter("predicted = 1").collect()}
+    bad, good = next(r.text for r in docs.collect() if r.doc_id in toxic), next(r.text for r in docs.collect() if r.doc_id not in toxic and r.text)
+    nameless = spark.createDataFrame([(None, x, *[None] * 3) for x in (bad, good, None)], docs.schema)
+    assert {r.text for r in toxicity.keep_clean(docs.unionByName(nameless), labels).filter("doc_id IS NULL").collect()} == {good, None}
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - toxic
 
 
@@ -105,7 +108,7 @@ def test_leaks_against_edit_distance():
         low = fold(text or "")
         for item in range(12):
             own = np.flatnonzero(windows.item == item)
-            edits = [edit_distance(windows.text[w][: windows.size[w]].tobytes(), low) for w in own]
+            edits = [edit_distance(windows.text[windows.at[w] : windows.at[w] + windows.size[w]].tobytes(), low) for w in own]
             fine = [e <= windows.budget[w] for e, w in zip(edits, own, strict=True)]
             got = found.get((t, item))
             assert (got[0] if got else 0) == sum(fine), (t, item, edits)
@@ -158,6 +161,8 @@ def test_leaks_on_tables(spark):
     assert [(r.doc_id, r.item_id, r.edits) for r in decontam.leaks(rows, benchmark).collect()] == [(9, 3, 0)]
     kept = decontam.keep_unleaked(rows, benchmark)
     assert kept.columns == rows.columns and kept.count() == len(TEXTS)
+    gone = odd(spark, [(None, "a passage that is long enough to be looked for in texts"), (None, "clean"), (None, None), (1, "clean")]).withColumnRenamed("label", "gone_0").withColumnRenamed("score", "own_0")
+    assert [r.text for r in decontam.keep_unleaked(gone, benchmark).orderBy("doc_id", "text").collect()] == [None, "clean", "clean"]
     assert decontam.leaks(rows, benchmark.limit(0)).count() == 0 and decontam.leaks(rows.limit(0), benchmark).count() == 0
 
 
