@@ -1,12 +1,17 @@
 """Personal data: fixed patterns, and identifiers found through the contexts that known ones stand in.
 
 All of it is DataFrame operations. Base matches (the seeds) come from fixed patterns with
-checks. What looks like an identifier but is no base match is a candidate. The words to
-the left of seeds and candidates are patterns; patterns and instances form a graph whose
-edges count how often an instance follows a pattern. A pattern's score is the mass of
-reliable instances among all places where its words occur, an unseen instance's score the
-chance that one of its patterns is right; both are updated in turn. Candidates behind a
-pattern of high score and enough different reliable instances become spans of its kind.
+checks. Any other run of a text with enough digits, or with a spelt-out at-sign, is a
+candidate, of no kind yet. The words to the left of seeds and candidates are patterns; a
+pattern has the kinds of its seeds, and of the seeds that its candidates follow elsewhere.
+Patterns and instances form a graph whose edges count how often an instance follows a
+pattern. A pattern's score is the mass of reliable instances among all places where its
+words occur, an unseen instance's score the chance that one of its patterns is right; both
+are updated in turn. Candidates behind a pattern of high score and enough different
+reliable instances become spans of its kind, whatever their own shape.
+
+The places of a pattern are counted over all texts, but only for patterns that can still
+reach the least score: the documents with instances give a lower bound of their places.
 """
 
 from __future__ import annotations
@@ -14,17 +19,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import Scratch, small
+from driftline.llm.common import Scratch, fresh, small
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring, different reliable instances that a pattern needs, and its least score.
 ROUNDS, SUPPORT, LEAST_SCORE = 3, 3.0, 0.5
-#: Most contexts that are broadcast to count their places; more are joined by a shuffle.
-BROADCAST_CONTEXTS = 50_000
-#: Characters left of an instance in which its context is looked for.
-REACH = 64
-#: Most documents with spans whose spans are broadcast to mask them (some 100 bytes each).
-SPAN_ROWS = 300_000
+#: Most contexts that are held against a text's words as a set; more are joined.
+CONTEXT_SET = 1_000
+#: Characters left of an instance that are tried first, and where they don't hold two whole words; what is longer is no word of a pattern.
+REACH, FAR = 64, 1_000
+#: Contexts of a document whose places in it are counted for the bound (of the others, the instances are).
+BOUNDED = 16
+#: Digits of a candidate, and steps by which candidates hand kinds on.
+DIGITS, STEPS = 5, 2
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Base patterns (fixed values). ``\\G`` or a look-behind starts them where a leftmost match can start, and
@@ -35,15 +42,14 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What a candidate of each kind looks like.
+#: Candidates: a word with a digit and the groups of digits behind it, words around a spelt-out at-sign.
+_WORD, _AT = r"[^\x20\x09-\x0D]", r"[(\[{][aA][tT][)\]}]"
 LIKE = {
-    "email": r"[A-Za-z0-9._%+-]++[\x20]?(?:\(at\)|\[at\]|\{at\})[\x20]?[A-Za-z0-9-]++(?:[\x20]?(?:\.|\(dot\)|\[dot\])[\x20]?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){11,18}(?![0-9])",
-    "phone": r"(?<![0-9+.])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9.])",
+    "digits": rf"(?<!{_WORD})(?=[^0-9\x20\x09-\x0D]*+[0-9]){_WORD}++(?:\x20[(]?[0-9][0-9().:/,;-]*+(?!{_WORD}))*+",
+    "at": rf"(?<!{_WORD})(?:(?!\x20?{_AT}){_WORD})++\x20?{_AT}\x20?{_WORD}++(?:\x20?[(\[{{][dD][oO][tT][)\]}}]\x20?{_WORD}++)*+",
 }
-#: Text that a match of either sort cannot do without: a cheap test before the patterns.
-NEEDS = {"email": "@|[(\\[{]at", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
+#: Text that a match cannot do without: a cheap test before the patterns.
+NEEDS = {"email": ("@", "@[A-Za-z0-9-]"), "ip": (".", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), "card": ("", r"[0-9](?:[\x20-]?[0-9]){12}"), "phone": ("+", r"\+[0-9]"), "digits": ("", "[0-9]"), "at": ("", _AT)}
 
 SPAN = "array<struct<kind:string,start:int,stop:int,value:string>>"
 
@@ -87,30 +93,58 @@ def passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def spans(text: Column, patterns: dict[str, str], check: bool) -> Column:
-    """All spans by kind as listed, then start."""
+def _spans(text: Column, kind: str, pattern: str) -> Column:
+    sign, needs = NEEDS[kind]
+    matches = F.when(F.contains(text, F.lit(sign)) & F.rlike(text, F.lit(needs)), found(text, pattern))
+    matches = F.filter(matches, lambda x: passes(kind, x["value"])) if kind in BASE else matches
+    named = F.transform(matches, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value")))
+    return F.coalesce(named.cast(SPAN), F.array().cast(SPAN))
 
-    def of(kind: str) -> Column:
-        matches = F.when(F.rlike(text, F.lit(NEEDS[kind])), found(text, patterns[kind]))
-        matches = F.filter(matches, lambda x: passes(kind, x["value"])) if check else matches
-        named = F.transform(matches, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value")))
-        return F.coalesce(named.cast(SPAN), F.array().cast(SPAN))
 
-    return F.concat(*map(of, KINDS))
+def base_spans(text: Column) -> Column:
+    """Base spans by kind as listed, then start."""
+    return F.concat(*(_spans(text, kind, pattern) for kind, pattern in BASE.items()))
+
+
+def like_spans(text: Column) -> Column:
+    """Candidates without the quotes and brackets before and the signs behind them."""
+
+    def trimmed(x: Column) -> Column:
+        start = x["start"] + F.length(F.regexp_extract(x["value"], "^[\"'<\\[{]*", 0))
+        stop = x["stop"] - F.length(F.regexp_extract(x["value"], "[^0-9A-Za-z]*$", 0))
+        value = F.substring(x["value"], start - x["start"] + 1, stop - start)
+        return F.struct(x["kind"].alias("kind"), start.alias("start"), stop.alias("stop"), value.alias("value"))
+
+    of = lambda kind: F.transform(_spans(text, kind, LIKE[kind]), trimmed)
+    return F.concat(of("at"), F.filter(of("digits"), lambda x: F.length(digits(x["value"])) >= DIGITS))
 
 
 def of_kind(spans_: Column, kind: str) -> Column:
     return F.filter(spans_, lambda x: x["kind"] == kind)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _contexts(text: Column, start: Column) -> Column:
     """The last word, and the last two words, before a place: lower case, without digits."""
-    left = F.lower(F.substring(text, F.greatest(start - REACH + 1, F.lit(1)), F.least(start, F.lit(REACH))))
-    words = F.filter(F.split(F.regexp_replace(left, "[\"'(<\\[{]+$", " "), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    n = F.size(words)
-    one = F.when(n >= 1, F.element_at(words, -1))
-    two = F.when(n >= 2, F.concat_ws(" ", F.get(words, n - 2), F.get(words, n - 1)))
-    return F.filter(F.array(one, two), lambda w: w.isNotNull() & ~F.rlike(w, F.lit("[0-9]")))
+    left = lambda most: _backwards(F.substring(text, F.greatest(start - most + 1, F.lit(1)), F.least(start, F.lit(most))))
+    cut = lambda words: F.when((F.size(words) > 2) | (start <= FAR), words).otherwise(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+    whole = lambda words: F.when((F.size(words) > 2) | (start <= REACH), words).otherwise(_let(left(FAR), cut))
+
+    def of(words: Column) -> Column:
+        one, two = F.reverse(F.get(words, F.lit(0))), F.reverse(F.get(words, F.lit(1)))
+        return F.filter(F.array(one, F.concat(two, F.lit(" "), one)), lambda w: w.isNotNull() & ~F.rlike(w, F.lit("[0-9]")))
+
+    return _let(_let(left(REACH), whole), of)
+
+
+def _backwards(left: Column) -> Column:
+    """The last two words of a text and what stands before them, last first, each spelt backwards."""
+    back = F.regexp_replace(F.reverse(F.lower(left)), "^[\"'(<\\[{]+", " ")
+    return F.filter(F.split(F.regexp_replace(back, "^[\\x20\\x09-\\x0D]+", ""), "[\\x20\\x09-\\x0D]+", 3), lambda w: w != "")
 
 
 def _places(text: Column) -> Column:
@@ -129,38 +163,54 @@ class Finder:
         text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
         docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
         self.texts = docs
-        base = spans(F.col("text"), BASE, True)
-        like = F.filter(spans(F.col("text"), LIKE, False), lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-        rows = docs.withColumn("base", base).withColumn("like", like)
+        like = F.filter(like_spans(F.col("text")), lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
+        rows = docs.withColumn("base", base_spans(F.col("text"))).withColumn("like", like)
         context = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"), _contexts(F.col("text"), x["start"]).alias("contexts"))
-        bare = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"), _contexts(F.col("text"), x["start"]).alias("contexts")))
+        rows = rows.withColumns({"base": F.transform("base", context), "like": F.transform("like", context)})
+        few = F.slice(F.array_distinct(F.flatten(F.transform(F.concat("base", "like"), lambda x: x["contexts"]))), 1, BOUNDED)
+        here = lambda places: F.transform(few, lambda c: F.struct(c.alias("context"), F.size(F.filter(places, lambda w: w == c)).alias("n")))
+        held = F.when(F.size("base") + F.size("like") > 0, _let(_places(F.col("text")), here))
         #: Spans only, one row per document, in the order of nothing in particular.
-        self.rows = self.scratch.write(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.length("text").alias("long"), bare.alias("base"), F.transform("like", context).alias("like")), "rows")
+        self.rows = self.scratch.write(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.length("text").alias("long"), "base", "like", held.alias("held")), "rows")
 
     def graph(self) -> DataFrame:
         """``kind``, ``context``, ``value``, ``seed``, ``n``: how often each instance follows each pattern.
 
-        Only patterns that some candidate stands behind as well: the others discover nothing.
+        Only patterns that some candidate stands behind as well (the others discover
+        nothing), with enough instances for their support, whose places, as far as they
+        are known, leave them the least score.
         """
-        edges = None
-        for column, seed in (("base", True), ("like", False)):
-            own = self.rows.select(F.explode(column).alias("x")).select("x.kind", "x.value", F.explode("x.contexts").alias("context"))
-            own = own.groupBy("kind", "context", "value").agg(F.count("*").alias("n")).withColumn("seed", F.lit(seed))
-            edges = own if edges is None else edges.unionByName(own)
+        of = lambda column: self.rows.select(F.explode(column).alias("x")).select("x.kind", "x.value", F.explode("x.contexts").alias("context"))
+        seeds = self.scratch.write(of("base").groupBy("kind", "context", "value").agg(F.count("*").alias("n")), "seeds")
+        like = self.scratch.write(of("like").groupBy("context", "value").agg(F.count("*").alias("n")), "like")
+        kinds = seeds.select("kind", "context").distinct()
+        for _ in range(STEPS):
+            edges = like.join(kinds, "context")
+            kinds = kinds.unionByName(like.join(edges.select("kind", "value").distinct(), "value").select("kind", "context")).distinct()
+        edges = seeds.withColumn("seed", F.lit(True)).unionByName(like.join(kinds, "context").withColumn("seed", F.lit(False)))
         edges = self.scratch.write(edges, "edges")
-        open_ = edges.filter("NOT seed").select("kind", "context").distinct()
-        return edges.join(open_, ["kind", "context"], "left_semi")
+        low = self.rows.select(F.explode("held").alias("x")).groupBy("x.context").agg(F.sum("x.n").alias("low"))
+        able = edges.groupBy("kind", "context").agg(F.count("*").alias("instances"), F.min("seed").alias("closed"), F.sum("n").alias("mass")).filter((F.col("instances") >= SUPPORT) & ~F.col("closed"))
+        able = able.join(low, "context", "left").filter(F.col("mass") >= F.coalesce("low", F.lit(0)) * LEAST_SCORE).select("kind", "context")
+        return edges.join(able, ["kind", "context"], "left_semi")
+
+    def _counted(self, contexts: DataFrame) -> DataFrame:
+        """``context``, ``places``: how often the words of each stand in all texts."""
+        n = contexts.count()
+        places = _places(F.col("text"))
+        if n <= CONTEXT_SET:
+            wanted = [r["context"] for r in contexts.collect()]  # at most CONTEXT_SET
+            return self.texts.select(F.explode(F.filter(places, lambda w: w.isin(wanted))).alias("context")).groupBy("context").agg(F.count("*").alias("places"))
+        places = self.texts.select(F.explode(places).alias("context")).groupBy("context").agg(F.count("*").alias("places"))
+        return places.join(small(contexts), "context", "left_semi")
 
     def patterns(self) -> DataFrame:
         """``kind``, ``context``, ``score`` and ``support`` of the patterns of high score."""
         edges = self.scratch.write(self.graph(), "graph")
-        contexts = edges.select("context").distinct()
-        n = contexts.count()
-        if n == 0:
+        contexts = self.scratch.write(edges.select("context").distinct(), "contexts")
+        if contexts.isEmpty():
             return self.spark.createDataFrame([], "kind string, context string, score double, support double")
-        places = self.texts.select(F.explode(_places(F.col("text"))).alias("context"))
-        wanted = F.broadcast(contexts) if n <= BROADCAST_CONTEXTS else contexts  # counted just above
-        held = self.scratch.write(places.join(wanted, "context", "left_semi").groupBy("context").agg(F.count("*").alias("places")), "places")
+        held = self.scratch.write(self._counted(contexts), "places")
         edges = edges.join(held, "context", "left").withColumn("places", F.greatest(F.coalesce("places", F.lit(0)), F.lit(1)))
         edges = self.scratch.write(edges, "counted")
         value = edges.select("kind", "value", "seed").groupBy("kind", "value").agg(F.max("seed").alias("seed")).withColumn("belief", F.col("seed").cast("double"))
@@ -175,15 +225,18 @@ class Finder:
         return score.filter((F.col("support") >= SUPPORT) & (F.col("score") >= LEAST_SCORE))
 
     def spans(self) -> DataFrame:
-        """``doc_id``, ``text_hash``, ``long``, ``base`` and ``more`` (discovered) spans of every document."""
+        """``doc_id``, ``text_hash``, ``long``, ``base`` and ``more`` (discovered) spans of every document.
+
+        A candidate behind patterns of several kinds is of the kind of the best one.
+        """
         rows = self.rows.withColumn("row", F.monotonically_increasing_id())
-        good = self.patterns().select("kind", "context")
-        like = rows.filter(F.size("like") > 0).select("row", F.explode("like").alias("x")).select("row", "x.kind", "x.start", "x.stop", "x.value", F.explode("x.contexts").alias("context"))
-        hits = like.join(good, ["kind", "context"], "left_semi").select("row", F.struct("kind", "start", "stop", "value").alias("s"))
-        more = hits.groupBy("row").agg(F.collect_set("s").alias("more"))  # within one document
+        good = self.patterns().select("kind", "context", "score")
+        like = rows.filter(F.size("like") > 0).select("row", F.explode("like").alias("x")).select("row", "x.start", "x.stop", "x.value", F.explode("x.contexts").alias("context"))
+        hits = like.join(good, "context").groupBy("row", "start", "stop", "value").agg(F.max(F.struct("score", "kind")).alias("best"))
+        hits = hits.select("row", F.struct(F.col("best.kind").alias("kind"), "start", "stop", "value").alias("s"))
+        more = hits.groupBy("row").agg(F.collect_list("s").alias("more"))  # within one document
         plain = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"))).cast(SPAN)
-        rows = rows.join(more, "row", "left").select("doc_id", "text_hash", "long", plain.alias("base"), F.coalesce(F.col("more").cast(SPAN), F.array().cast(SPAN)).alias("more"))
-        return rows
+        return rows.join(more, "row", "left").select("doc_id", "text_hash", "long", plain.alias("base"), F.coalesce(F.col("more").cast(SPAN), F.array().cast(SPAN)).alias("more"))
 
 
 def ordered(spans_: Column) -> Column:
@@ -224,13 +277,12 @@ def masked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_
     Null texts stay null. Rows are matched with their spans by id and text, so rows that
     repeat an id, even a null one, keep their own texts.
     """
-    found_ = Finder(df, id_col, text_col).spans().withColumn("spans", F.concat("base", "more")).filter(F.size("spans") > 0)
-    found_ = found_.groupBy("doc_id", "text_hash", "long").agg(F.first("spans").alias("_spans"))
-    found_ = Scratch(df.sparkSession, "pii-spans").write(found_, "spans")
-    found_ = small(found_, SPAN_ROWS).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("long").alias("_long"), "_spans")
+    spans, id_, hash_, long_ = (fresh(df, stem) for stem in ("spans", "id", "hash", "long"))
+    found_ = Finder(df, id_col, text_col).spans().select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("long").alias(long_), F.concat("base", "more").alias(spans)).filter(F.size(spans) > 0)
+    found_ = small(Scratch(df.sparkSession, "pii-spans").write(found_.groupBy(id_, hash_, long_).agg(F.first(spans).alias(spans)), "spans"))
     text = F.col(f"`{text_col}`").cast("string")
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_hash")) & (F.length(text) == F.col("_long"))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(hash_)) & (F.length(text) == F.col(long_))
     rows = df.join(found_, same, "left")
-    new = F.when(F.col("_spans").isNull(), text).otherwise(mask(text, F.col("_spans")))
+    new = F.when(F.col(spans).isNull(), text).otherwise(mask(text, F.col(spans)))
     columns = [new.alias(c) if c == text_col else F.length(new).cast(df.schema[c].dataType).alias(c) if c == count_col else F.col(f"`{c}`") for c in df.columns]
     return rows.select(*columns)

@@ -73,6 +73,25 @@ def test_patterns_find_unseen_identifiers(spark):
     assert rows[300].spans == "" and rows[301].spans == "" and rows[0].n_phone == 1
 
 
+def test_unseen_identifiers_of_other_shapes(spark):
+    """Planted behind contexts that seeds stand in: precision and recall of what is found."""
+    long = "wort" * 18  # a context longer than the characters that are looked at first
+    rows = [(i, f"x{i}a contact: a{i}@b.com and {long} 10.0.{i}.1 so") for i in range(6)]
+    planted = {100: ("contact:", "DE89 3704 0044 0532", "email"), 101: ("contact:", "clara (at) host (dot) org", "email"), 102: ("contact:", "joe[at]host.org", "email"), 103: (long, "fe80:0:0:202:b3ff:1e83:29", "ip"), 104: (long, "10-20-30-40", "ip")}
+    rows += [(i, f"see {context} {value}, then") for i, (context, value, _) in planted.items()]
+    rows += [(200 + i, f"the {10**7 + i} of the and the") for i in range(6)] + [(300, f"in {10**9} of {long}"), (301, "order 2024-10-11 12:30:55 of the")]
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (context, value, kind) in planted.items():
+        at = dict(rows)[i].index(value)
+        assert got[i] == f"{kind}:{at}:{at + len(value)}", (i, got[i], context)
+    assert not any(got[i] for i in got if i >= 200) and all(got[i].count(":") == 4 for i in range(6))
+
+
+def test_masking_with_columns_of_like_names(spark):
+    df = spark.createDataFrame([(1, "mail a.b@c.de", 5, 6, 7, 8, 9)], "doc_id long, text string, _hash int, spans_0 int, id_0 int, hash_0 int, Long_0 int")
+    assert [tuple(r) for r in pii.masked(df).collect()] == [(1, "mail <EMAIL>", 5, 6, 7, 8, 9)] and pii.masked(df).columns == df.columns
+
+
 def test_masking(spark):
     texts = [(1, "mail a.b@c.de or 1.2.3.4", "x", 0), (2, None, "y", 7), (1, "other 😀 +1 (555) 123-4567!", "z", 0), (None, "q@r.st", "n", 0), (3, "nothing", "m", 7)]
     df = spark.createDataFrame(texts, "doc_id long, text string, source string, n_chars long")
