@@ -11,11 +11,17 @@ Documents with equal sets are one class before the join. Links inside groups of
 copies are found first, by holding every posting against a few members of its list (one of
 them the document with most shared shingles, so the likeliest centre of its group): work
 linear in the postings. The join proper then only looks for pairs that these links don't
-connect already. Short lists are joined as rows. A long list is dealt out in blocks, and
-two blocks meet in one task that holds their parity signatures against each other (sets
-whose signatures differ in d bits differ in d elements or more) and gives out the few
-pairs that can still be similar, so neither a task nor the rows made grow with the square
-of a list.
+connect already. Short lists are joined as rows. Documents of long lists meet otherwise: sets
+of like size that differ in d elements or fewer, dealt by hash into more than d parts, are
+equal in one part at least, so they meet by (size band, part, hash of the part), which costs a
+document rows in proportion to its set, not to the lists. Where even one part is common
+to a long list of documents, that list is dealt out in blocks whose parity signatures are
+held against each other (sets whose signatures differ in d bits differ in d elements or
+more); only there the rows made grow with the square of a list, in steps of a block.
+
+No list meets in one task unless it is short: lists are counted and their hubs chosen by
+aggregations that combine first, and what is found goes back to the postings of long
+lists by a broadcast (of checked size), to those of short ones by an exchange.
 """
 
 from __future__ import annotations
@@ -26,10 +32,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import prepare, Scratch, small, text_rows, trimmed
+from driftline.llm.common import prepare, Scratch, small, text_rows, trimmed, without
 from driftline.llm.shingles import SLICE_BYTES, mix, shingle_sets
 from driftline.llm.tokens import slices
 from driftline.operators.graph import components
@@ -44,8 +50,10 @@ VERIFY_COST = 40.0
 HUBS = 3
 #: Longest list joined as rows, rows of a block of a longer one, and bits of a signature at least.
 SHORT_LIST, BLOCK, SIGNATURE = 32, 512, 1024
-#: Most documents verified against one hub in one task.
-STAR = 256
+#: Most documents verified against one hub in one task, blocks that one row of a needed document names, bytes of sets in one batch.
+STAR, NAMED, BATCH_BYTES = 256, 64, 8_000_000
+#: Lists longer than this get what is found about them by a broadcast.
+HOT_LIST = 1_000
 
 
 def least_overlap(n: int, threshold: Fraction) -> int:
@@ -113,12 +121,8 @@ def _count_sketch(rows: DataFrame, size: int) -> np.ndarray:
 
     schema = "piece int, band int, counts binary"
     vectors = rows.select("text").mapInArrow(trimmed(count), schema)
-    bands = max(1, rows.rdd.getNumPartitions())
-    while True:
-        bands = -(-bands // 32)
-        vectors = vectors.withColumn("band", F.expr("band div 32")).groupBy("piece", "band").applyInArrow(add, schema)
-        if bands == 1:
-            break
+    for band in (F.expr("band div 128"), F.lit(0)):
+        vectors = vectors.withColumn("band", band).groupBy("piece", "band").applyInArrow(add, schema)
     out = np.zeros(1 << BUCKET_BITS, np.int64)
     for r in vectors.collect():
         data = bytes(r["counts"])
@@ -132,6 +136,43 @@ def _vectors(total: np.ndarray, width: int, band: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), band, np.int32)), pa.array(data, pa.binary())], ["piece", "band", "counts"])
 
 
+def parts(hashes: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """(band, hash) of each part of a set, for its own size band and the next.
+
+    A band reaches from a size to that size over the threshold, so similar sets are in one
+    band or in neighbours, and share the larger one's number. Two similar sets of at most
+    m elements each differ in at most d of them, d the integer part of 2 m (1 - t) / (1 + t);
+    of d + 1 + e parts by hash, e + 1 at least hold none of these. Where a set has at most
+    e empty parts, one of those is not empty, so its empty parts, which many sets have in
+    common, are left out.
+    """
+    p, q = threshold.numerator, threshold.denominator
+    low, band, out = 1, 0, [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+    n = len(hashes)
+    while n and n * p > low * q:  # the band of n: its last size is low / t
+        low, band = low * q // p + 1, band + 1
+    for number in (band, band + 1) if n else ():
+        most = low * q // p
+        differ = 2 * most * (q - p) // (q + p)
+        spare = differ // 10 + 1
+        count = differ + 1 + spare
+        deal = (mix(hashes ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(count)).astype(np.int64)
+        order = np.argsort(deal, kind="stable")
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes[order]))])
+        ends = np.searchsorted(deal[order], np.arange(count + 1))
+        held = np.flatnonzero(np.diff(ends))
+        which = held if count - len(held) <= spare else np.arange(count)
+        tag = (np.uint64(number) << np.uint64(40)) | which.astype(np.uint64)
+        out.append((np.full(len(which), number, np.int32), mix(mix(total[ends[which + 1]] - total[ends[which]]) + tag).view(np.int64)))
+        low = most + 1
+    return np.concatenate([b for b, _ in out]), np.concatenate([h for _, h in out])
+
+
+def _needed(rows: list[tuple]) -> pa.RecordBatch:
+    hub, block, doc, data = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(hub, pa.int64()), pa.array(block, pa.int32()), pa.array(doc, pa.int64()), pa.array(data, pa.binary())], ["hub", "block", "doc", "hashes"])
+
+
 class Join:
     """The join's parts, over one table of texts; ``links`` and ``members`` are its results."""
 
@@ -139,13 +180,14 @@ class Join:
         self.spark, self.size, self.threshold = df.sparkSession, size, threshold
         prepare(self.spark)
         self.scratch = Scratch(self.spark, "jaccard")
-        self.rows = text_rows(df, id_col, text_col).filter("doc_id IS NOT NULL")
+        self.rows = text_rows(df, id_col, text_col)
         self.counts = self.spark.sparkContext.broadcast(_count_sketch(self.rows, size).astype(np.float32))
         self.sets = self.scratch.write(self._prefixes(), "sets")
-        copies = self.sets.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("held")).filter("held > 1").drop("held")
+        self.known = self.sets.filter("doc_id IS NOT NULL")
+        copies = self.known.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("held")).filter("held > 1").drop("held")
         self.copies = small(self.scratch.write(copies, "copies"))
         #: One row per document: size of its set and the smallest id with the same set.
-        self.classes = self._classed(self.sets.select("doc_id", "key_a", "key_b", "n")).select("doc_id", "n", "class_id")
+        self.classes = self._classed(self.sets.select("doc_id", "key_a", "key_b", "n")).select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
 
     def _classed(self, sets: DataFrame) -> DataFrame:
         return sets.join(self.copies, ["key_a", "key_b", "n"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
@@ -177,11 +219,20 @@ class Join:
 
         return self.rows.mapInArrow(trimmed(cut), "doc_id long, n int, key_a long, key_b long, ell int, prefix array<long>, sign array<long>")
 
+    def _with_lists(self, postings: DataFrame, lists: DataFrame, name: str) -> DataFrame:
+        """Postings with the columns of their token's row in ``lists`` (which has ``held``); others go."""
+        lists = self.scratch.write(lists, name)
+        hot = lists.filter(F.col("held") > HOT_LIST)
+        if hot.isEmpty():
+            return postings.join(lists, "token")
+        hot = small(hot)
+        return postings.join(hot, "token").unionByName(postings.join(hot.select("token"), "token", "left_anti").join(lists, "token"))
+
     def _postings(self) -> DataFrame:
-        """Prefix shingles that two classes or more have; one exchange, on the shingle."""
-        later = small(self.scratch.write(self._classed(self.sets.select("doc_id", "key_a", "key_b", "n")).filter("doc_id <> class_id").select("doc_id", "key_a", "key_b").distinct(), "later"))
-        postings = self.sets.filter("n > 0").join(later, ["doc_id", "key_a", "key_b"], "left_anti").select(F.explode("prefix").alias("token"), "doc_id", "n", "ell")
-        return postings.withColumn("held", F.count("*").over(Window.partitionBy("token"))).filter("held > 1").drop("held")
+        """Prefix shingles that two classes or more have."""
+        later = small(self.scratch.write(self._classed(self.known.select("doc_id", "key_a", "key_b", "n")).filter("doc_id <> class_id").select("doc_id", "key_a", "key_b").distinct(), "later"))
+        postings = self.known.filter("n > 0").join(later, ["doc_id", "key_a", "key_b"], "left_anti").select(F.explode("prefix").alias("token"), "doc_id", "n", "ell")
+        return self._with_lists(postings, postings.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1"), "lists")
 
     def _near(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes allow the similarity."""
@@ -203,15 +254,24 @@ class Join:
         stars = ends.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("doc"), F.when(first, F.col("da")).otherwise(F.col("db")).alias("d"))
         stars = stars.withColumn("block", F.pmod(F.xxhash64("doc"), F.ceil(F.col("d") / STAR)).cast("int"))
         needs = stars.select("doc", "hub", "block").unionByName(stars.select(F.col("hub").alias("doc"), "hub", "block").distinct())
-        needs = needs.groupBy("doc").agg(F.collect_list(F.struct("hub", "block")).alias("needs"))  # a row for each pair of one document
-        needs = small(self.scratch.write(needs, f"needs-{name}"))
+        needs = self.scratch.write(needs, f"blocks-{name}")
+        many = needs.groupBy("doc").agg(F.ceil(F.count("*") / NAMED).alias("rows"))
+        needs = needs.join(many, "doc").withColumn("row", F.pmod(F.xxhash64("hub", "block"), F.col("rows"))).groupBy("doc", "row").agg(F.collect_list(F.struct("hub", "block")).alias("needs"))  # some NAMED a row
+        needs = small(self.scratch.write(needs.drop("row"), f"needs-{name}"))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text", SLICE_BYTES):
+                    held, held_bytes = [], 0
                     for doc, x, where in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), size), part.column("needs").to_pylist(), strict=True):
-                        n = len(where)
-                        yield pa.RecordBatch.from_arrays([pa.array([w["hub"] for w in where]), pa.array([w["block"] for w in where], pa.int32()), pa.array([doc] * n), pa.array([x.tobytes()] * n, pa.binary())], ["hub", "block", "doc", "hashes"])
+                        data = x.tobytes()
+                        for w in where:
+                            held.append((w["hub"], w["block"], doc, data))
+                            held_bytes += len(data)
+                            if held_bytes > BATCH_BYTES:
+                                yield _needed(held)
+                                held, held_bytes = [], 0
+                    yield _needed(held)
 
         def hold(key: tuple, table: pa.Table) -> pa.Table:
             hub, sets = key[0].as_py(), {}
@@ -250,28 +310,52 @@ class Join:
         tried = self.scratch.write(self._hub_pairs(postings), "tried")
         found = self._verify(tried, "hubs")
         of = components(found, scratch=Scratch(self.spark, "jaccard-components"))
-        lists = Window.partitionBy("token")
-        now = postings.join(of, postings["doc_id"] == of["node"], "left").select("token", "doc_id", "n", "ell", F.coalesce("component", "doc_id").alias("component"))
-        now = now.withColumns({"lo": F.min("component").over(lists), "hi": F.max("component").over(lists), "held": F.count("*").over(lists)}).filter("lo < hi").drop("lo", "hi")
-        now = self.scratch.write(now, "open")
-        shared = self._short(now.filter(F.col("held") <= SHORT_LIST)).unionByName(self._long(now.filter(F.col("held") > SHORT_LIST)))
-        shared = shared.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("ell").alias("least")).filter("shared >= least").select("a", "b")
-        rest = self.scratch.write(shared.join(tried, ["a", "b"], "left_anti"), "rest")
+        now = postings.drop("held").join(of, postings["doc_id"] == of["node"], "left").select("token", "doc_id", "n", "ell", F.coalesce("component", "doc_id").alias("component"))
+        now = self.scratch.write(now, "connected")
+        lists = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held")).filter("lo < hi").select("token", "held")
+        now = self.scratch.write(self._with_lists(now, lists, "open-lists"), "open")
+        short = self._short(now.filter(F.col("held") <= SHORT_LIST))
+        short = short.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("ell").alias("least")).filter("shared >= least").select("a", "b")
+        long = now.filter(F.col("held") > SHORT_LIST)
+        pairs = short if long.isEmpty() else short.unionByName(self._by_parts(long)).distinct()
+        rest = self.scratch.write(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
         return found.unionByName(self._verify(rest, "rest"))
 
     def _hub_pairs(self, postings: DataFrame) -> DataFrame:
         """Every posting with a few members of its list."""
         if not HUBS:
             return postings.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
-        lists = Window.partitionBy("token")
         degree = postings.groupBy("doc_id").agg(F.count("*").alias("degree"))
         order = [-F.col("degree"), *(F.xxhash64("doc_id", F.lit(k)) for k in range(1, HUBS))]
-        hubs = {f"hub{k}": F.min(F.struct(o.alias("order"), "doc_id", "n")).over(lists) for k, o in enumerate(order)}
-        pairs = postings.join(degree, "doc_id").withColumns(hubs).select("doc_id", "n", F.explode(F.array(*hubs)).alias("hub")).select(
+        hubs = [F.min(F.struct(o.alias("order"), "doc_id", "n")).alias(f"hub{k}") for k, o in enumerate(order)]
+        lists = postings.join(degree, "doc_id").groupBy("token").agg(F.count("*").alias("held"), *hubs)
+        lists = lists.select("token", "held", F.array_distinct(F.array(*(F.struct(F.col(f"hub{k}.doc_id").alias("doc_id"), F.col(f"hub{k}.n").alias("n")) for k in range(HUBS)))).alias("hubs"))
+        pairs = self._with_lists(postings.drop("held"), lists, "hubs").select("doc_id", "n", F.explode("hubs").alias("hub")).select(
             F.greatest("doc_id", "hub.doc_id").alias("a"), F.least("doc_id", "hub.doc_id").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b")
         )
         return self._near(pairs).filter("a <> b").select("a", "b").distinct()
 
+    def _by_parts(self, postings: DataFrame) -> DataFrame:
+        """Pairs of documents of long lists that are of like size and equal in a part of their sets, and not connected yet."""
+        size, threshold = self.size, self.threshold
+        docs = small(self.scratch.write(postings.groupBy("doc_id").agg(F.max("component").alias("component")).withColumnRenamed("doc_id", "doc"), "long"))
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text", SLICE_BYTES):
+                    for doc, of, x in zip(part.column("doc_id").to_pylist(), part.column("component").to_pylist(), shingle_sets(part.column("text"), size), strict=True):
+                        band, hashes = parts(x, threshold)
+                        n = len(hashes)
+                        yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(band, pa.int32()), pa.array([doc] * n, pa.int64()), pa.array([len(x)] * n, pa.int32()), pa.array([of] * n, pa.int64())], ["token", "ell", "doc_id", "n", "component"])
+
+        rows = self.rows.join(docs, self.rows["doc_id"] == docs["doc"]).select("doc_id", "component", "text")
+        met = self.scratch.write(rows.mapInArrow(trimmed(cut), "token long, ell int, doc_id long, n int, component long").distinct(), "parts")
+        lists = met.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held")).filter("lo < hi").select("token", "held")
+        met = self.scratch.write(self._with_lists(met, lists, "part-lists"), "open-parts")
+        pairs = self._short(met.filter(F.col("held") <= SHORT_LIST)).select("a", "b")
+        long = met.filter(F.col("held") > SHORT_LIST)
+        return (pairs if long.isEmpty() else pairs.unionByName(self._long(long).select("a", "b"))).distinct()
+
     def _short(self, postings: DataFrame) -> DataFrame:
         """A row for each shingle that a pair not connected yet shares, of short lists."""
         side = lambda x: postings.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "ell", "component")))
@@ -322,8 +406,9 @@ def similarity_components(df: DataFrame, id_col: str = "doc_id", text_col: str =
     Words are runs without ASCII white space, A-Z lower-cased; a text with fewer words
     than ``size`` has all of them as its one shingle. Null and empty texts have an empty
     set, are linked with nothing and are their own component. Rows that repeat an id are one
-    document, which links by any of its texts; rows without an id are left out. An empty table gives an
-    empty result. Sets are compared by 64-bit hashes of their shingles.
+    document, which links by any of its texts; rows without an id link with nothing and have no
+    class or component. An empty table gives an empty result. Sets are compared by 64-bit
+    hashes of their shingles.
     """
     return Join(df, id_col, text_col, size, threshold).members()
 
@@ -334,5 +419,5 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     Of rows that repeat an id all stay or all go.
     """
     of = similarity_components(df, id_col, text_col, size, threshold)
-    gone = small(Scratch(df.sparkSession, "jaccard-gone").write(of.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "gone"))
-    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
+    gone = Scratch(df.sparkSession, "jaccard-gone").write(of.filter("doc_id <> component_id").select("doc_id"), "gone")
+    return without(df, gone, id_col, text_col)

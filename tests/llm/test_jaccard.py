@@ -71,6 +71,9 @@ def test_near_copies(spark, monkeypatch, threshold, hubs, short, block):
     monkeypatch.setattr(jaccard, "SHORT_LIST", short)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "HUBS", hubs)
+    monkeypatch.setattr(jaccard, "HOT_LIST", 20)
+    monkeypatch.setattr(jaccard, "NAMED", 3)
+    monkeypatch.setattr(jaccard, "BATCH_BYTES", 500)
     rows = near_copies()
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, n int, token int")
     got = {r.doc_id: r.component_id for r in jaccard.similarity_components(df, size=5, threshold=threshold).collect()}
@@ -85,6 +88,35 @@ def test_keeps_one_of_each_component(spark):
     assert jaccard.keep_one(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [Fraction(1, 2), Fraction(4, 5), Fraction(85, 100)])
+def test_similar_sets_are_equal_in_a_part(threshold):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    t, met, made = float(threshold), 0, 0
+    for n in [*range(1, 40), *rng.integers(40, 900, 60).tolist()]:
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        for _ in range(6):
+            gone = int(rng.integers(0, n - int(np.ceil(t * n)) + 1))
+            most = int((n - gone) / t - n)  # elements of its own that the other set may have
+            b = np.concatenate([a[gone:], rng.integers(0, 2**63, int(rng.integers(0, max(most, 0) + 1))).astype(np.uint64)])
+            both = len(np.intersect1d(a, b))
+            if both * threshold.denominator >= (len(np.union1d(a, b))) * threshold.numerator:
+                assert set(jaccard.parts(a, threshold)[1].tolist()) & set(jaccard.parts(b, threshold)[1].tolist())
+                met += 1
+        made = max(made, len(jaccard.parts(a, threshold)[1]) / n)
+        other = rng.integers(0, 2**63, n).astype(np.uint64)
+        assert n < 30 or t < 0.8 or not set(jaccard.parts(a, threshold)[1].tolist()) & set(jaccard.parts(other, threshold)[1].tolist())
+    assert met > 300 and made <= 4  # rows of a document: in proportion to its set
+    assert len(jaccard.parts(np.zeros(0, np.uint64), threshold)[0]) == 0
+
+
+def test_rows_without_an_id(spark):
+    rows = [(None, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f"), (None, None)]
+    got = jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted([(None, 2, None), (4, 2, 2), (2, 2, 2), (None, 0, None)], key=str)
+
+
 def test_signatures_bound_the_difference():
     import numpy as np
 
