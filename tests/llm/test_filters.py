@@ -218,6 +218,90 @@ def test_repeated_substrings_go_unique_runs_stay(spark):
     assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def host_pages(n=40):
+    """Pages of two hosts without an article element or telling class words: (id, url, html, text)."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), int(k))) for k in rng.integers(2, 9, 900)]
+    sentence = lambda k: " ".join(rng.choice(words, k))
+    out = []
+    for host in ("a.example.com", "b.example.com"):
+        head, foot, short, note = sentence(12), sentence(30), "Read more here", sentence(15)
+        for i in range(n):
+            story = [sentence(int(rng.integers(4, 60))) for _ in range(int(rng.integers(1, 6)))]
+            mixed = sentence(20)
+            body = f"<div>{head}</div><p>{short}</p>" + "".join(f"<p>{s}</p>" for s in story) + f"<p>{note} {mixed}</p><div>{foot} {i}</div>"
+            out.append((len(out), f"http://{host}/{i}", f"<html><body>{body}</body></html>", "\n".join([*story, mixed])))
+    return out
+
+
+def test_pages_without_an_article(spark, monkeypatch):
+    pages = host_pages()
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    monkeypatch.setattr(htmltext, "HOT_PAGES", 20)
+    got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
+    right = found = wanted = 0
+    for i, _, _, text in pages:
+        a, b = got[i].split(), text.split()
+        found, wanted = found + len(a), wanted + len(b)
+        right += sum(min(a.count(w), b.count(w)) for w in set(b))
+    assert right / found >= 0.95 and right / wanted >= 0.95
+    assert np.mean([got[i] == text for i, _, _, text in pages]) >= 0.95
+    monkeypatch.setattr(htmltext, "PAGES", 10**6)  # nothing repeats often enough: the array is off
+    off = {r.page_id: r.text for r in htmltext.extract(df).collect()}
+    assert all(off[i] != got[i] and "Read more here" in off[i] for i in off)
+
+
+def test_covered_tokens_against_all_pairs():
+    """What the ranks cover is what any substring of LENGTH tokens or more, on PAGES distinct streams, covers."""
+    rng = np.random.default_rng(8)
+    phrase = [" ".join(rng.choice(list("uvwxyz"), 11)) for _ in range(3)]
+    pages = [[" ".join([*rng.choice(list("abcde"), int(rng.integers(0, 6))), phrase[int(rng.integers(0, 3))], *rng.choice(list("abcde"), int(rng.integers(0, 6)))]) for _ in range(3)] for _ in range(9)]
+    held = [set(np.concatenate(htmltext.beginnings(p)[1:]).tolist()) for p in pages]
+    count = {r: sum(r in h for h in held) for h in held for r in h}
+    repeated = np.array([r for r, n in count.items() if n >= htmltext.PAGES], np.uint64)
+    streams = [f" {k} ".join(p).split() for k, p in enumerate(pages)]  # what stands between blocks is on one page only
+    for p, stream in zip(pages, streams, strict=True):
+        covered = [False] * len(stream)
+        for i in range(len(stream)):
+            for j in range(i + htmltext.LENGTH, len(stream) + 1):
+                piece = stream[i:j]
+                if sum(any(s[k : k + len(piece)] == piece for k in range(len(s))) for s in streams) >= htmltext.PAGES:
+                    covered[i:j] = [True] * (j - i)
+        whole = {b for b in p if sum(b in q for q in pages) >= htmltext.PAGES}
+        want, at = [], 0
+        for b in p:
+            own = covered[at : at + len(b.split())]
+            at += len(own) + 1
+            if b in whole:
+                continue
+            runs, run = [], []
+            for w, c in zip([*b.split(), None], [*own, True], strict=True):
+                if not c:
+                    run.append(w)
+                elif run:
+                    runs, run = [*runs, run], []
+            least = htmltext.SCRAP if any(own) and sum(own) >= htmltext.COVERED * len(own) else 1
+            want += [" ".join(r) for r in runs if len(r) >= least]
+        assert htmltext.kept(p, repeated) == want
+
+
+def test_class_words_are_whole_tokens(spark):
+    of = lambda page, role: [t for r, t in htmltext.blocks(page) if r == role]
+    assert of("<div class='content no-sidebar'><p>story body</p></div><div class=share-price>up</div>", "open") == ["story body", "up"]
+    assert of("<div class='sidebar-left'>a</div><div id=site-header>b</div><div role=contentinfo>c</div><div class='page-footer dark'>d</div>", "chrome") == ["a", "b", "c", "d"]
+    assert of("<p>İstanbul</p><SCRIPT>x</p></SCRIPT><p>after text</p>", "open") == ["İstanbul", "after text"]
+
+
+def test_long_pages_and_columns_of_like_names(spark):
+    story = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, "http://h.com/" + "x" * 50_000, f"<p>{story}</p>", "t", 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, row int").withColumn("host", pytest.importorskip("pyspark.sql.functions").lit("z"))
+    r = htmltext.extract(df).first()
+    assert r.text == story and r.n_chars == len(story)
+    judged = urls.judge(df.withColumns({c: df["row"] for c in ("path", "rule", "verdict", "said", "suffix", "domain", "alpha", "m", "n", "k")}), RULES).first()
+    assert judged.host == "h.com" and judged.path == "/" + "x" * 50_000 and judged.verdict == "allow"
+
+
 def test_ranks_mark_equal_beginnings():
     tokens = np.random.default_rng(0).integers(0, 3, 200).astype(np.uint64)
     rank = htmltext.ranks(tokens)

@@ -107,7 +107,7 @@ def test_similar_sets_are_equal_in_a_part(threshold):
         made = max(made, len(jaccard.parts(a, threshold)[1]) / n)
         other = rng.integers(0, 2**63, n).astype(np.uint64)
         assert n < 30 or t < 0.8 or not set(jaccard.parts(a, threshold)[1].tolist()) & set(jaccard.parts(other, threshold)[1].tolist())
-    assert met > 300 and made <= 8  # rows of a document: in proportion to its set
+    assert met > 300 and made <= 10  # rows of a document: in proportion to its set
     assert len(jaccard.parts(np.zeros(0, np.uint64), threshold)[0]) == 0
 
 
