@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,48 +96,93 @@ def polyline_diffs(a: Column, b: Column, tolerance: float) -> Column:
     return F.struct(same.alias("same_count"), F.when(same, F.size(F.filter(moves, lambda d: d > tolerance))).alias("moved"), F.when(same, F.coalesce(F.array_max(moves), F.lit(0.0))).alias("farthest"))
 
 
-#: Regular expressions of domain marks: tag, pattern, confidence (names of the reference's tags; forms are our own).
-DOMAIN = (
-    ("grid", r"\b(?:GRID|AXIS)[ -]?[A-Z0-9]{1,3}\b", "high"),
-    ("member_tag", r"\b(?:B|C|G|SB|SC|W)[0-9]{1,3}[A-Z]?\b", "high"),
-    ("section_reference", r"\b(?:SEC(?:TION)?|DET(?:AIL)?)[ .-]?[A-Z0-9]{1,3}\b", "high"),
-    ("note", r"\bNOTES?\b", "medium"),
-    ("dimension", r"\b[0-9]{2,5}(?:\.[0-9]+)? ?(?:MM|M)\b", "medium"),
+#: Layer words and marks of structural drawings (fixed values); the case of letters counts in notes only.
+STRUCTURE_HINTS = (
+    "BEAM", "COLUMN", "COL", "BRACE", "GIRDER", "TRUSS", "WALL", "SLAB", "FOOTING", "FOUNDATION", "PILE", "FRAME", "GRID", "AXIS", "SECTION", "DETAIL", "SEC", "DIM", "BM_", "CL_", "GR_", "WL_", "FT_",
+    "구조", "기둥", "보", "벽", "슬래브", "기초", "철근", "배근", "단면", "상세", "그리드", "축선",
+)
+GRID_HINTS = ("GRID", "GRD", "AXIS", "그리드", "축선")
+GRID_MARK = r"\bGRID[-_ ]?[A-Z0-9]+(?:[-_ ][A-Z0-9]+)?\b"
+GRID_LABEL = r"(?:[A-Z]{1,3}[-_ ]?)?\d+[A-Z]?|[A-Z]{1,3}[-_ ]?\d+[A-Z]?"
+MEMBER_MARK = (
+    r"\b(?:COLUMN|COL|BEAM|GIRDER|BRACE|SLAB|WALL|FOOTING|PILE)\s+[A-Z]{0,3}\d+[A-Z]?\b|\b(?:C|B|G|BM|CL|BR|W|F)[-_ ]?\d+[A-Z]?\b|\bH[-_ ]?\d+X\d+\b"
+    r"|(?:기둥|보|벽체|벽|슬래브|바닥|기초|파일|말뚝|브레이스)\s*[A-Z]{0,3}[-_ ]?\d+[A-Z]?"
 )
+SECTION_MARK = r"\b(?:SEE\s+)?S[-_ ]?\d{2,4}(?:[/.-][A-Z0-9]+)?\b|\b(?:SECTION|DETAIL|REF(?:ERENCE)?)\b|(?:상세|단면|참조)\s*S[-_ ]?\d{2,4}(?:[/.-][A-Z0-9]+)?|(?:상세|단면|참조)"
+NOTE_MARK = r"\b(?:NOTE|GENERAL\s+NOTE|REMARK)\b|(?:주기|일반사항|비고)"
+DIMENSION_MARK = r"\b\d+(?:\.\d+)?\s*(?:MM|M)?\b"
+
+
+def _hinted(layer: Column, hints: tuple[str, ...]) -> Column:
+    up = F.upper(F.coalesce(layer, F.lit("")))
+    return reduce(lambda x, y: x | y, [F.contains(up, F.lit(h)) for h in hints])
+
+
+def domain_matches(text: Column, entity: Column, layer: Column) -> Column:
+    """Distinct marks of a text, its entity type and its layer, by rule and place: structs of kind, value, confidence."""
+    text = F.coalesce(text, F.lit(""))
+    row = lambda kind, value, sure: F.struct(F.lit(kind).alias("kind"), F.trim(value).alias("value"), F.lit(sure).alias("confidence"))
+    marks = lambda kind, pattern, sure: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: row(kind, v, sure))
+    none = F.array().cast("array<struct<kind:string,value:string,confidence:string>>")
+    only = lambda test, found: F.when(test, found).otherwise(none)
+    whole = lambda pattern: F.rlike(F.trim(text), F.lit(rf"(?iU)^(?:{pattern})$"))
+    like_dimension = whole(DIMENSION_MARK) | F.contains(F.upper(F.coalesce(layer, F.lit(""))), F.lit("DIM"))
+    is_dimension = F.coalesce(entity == "dimension", F.lit(False))
+    found = F.concat(
+        marks("grid", f"(?iU){GRID_MARK}", "high"), only(_hinted(layer, GRID_HINTS) & whole(GRID_LABEL), F.array(row("grid", text, "medium"))),
+        marks("member_tag", f"(?iU){MEMBER_MARK}", "high"), marks("section_reference", f"(?iU){SECTION_MARK}", "high"), marks("note", f"(?U){NOTE_MARK}", "medium"),
+        only(is_dimension, F.array(row("dimension", text, "high"))), only(~is_dimension & like_dimension, marks("dimension", f"(?iU){DIMENSION_MARK}", "medium")),
+        only(_hinted(layer, STRUCTURE_HINTS), F.array(row("structural_layer", F.coalesce(layer, F.lit("")), "medium"))),
+    )
+    return F.array_distinct(F.filter(found, lambda x: x["value"] != ""))
 
 
 def domain_tags(text: Column, entity: Column, layer: Column) -> Column:
-    """Distinct tags of a text, its entity type and its layer, in rule order."""
-    up = F.upper(F.coalesce(text, F.lit("")))
-    found = [F.when(F.rlike(up, F.lit(p)), F.lit(tag)) for tag, p, _ in DOMAIN]
-    extra = [F.when((entity == "DIMENSION") | F.contains(F.upper(layer), F.lit("DIM")), F.lit("dimension")), F.when(F.rlike(layer, F.lit("(?i)GRID|AXIS")), F.lit("grid")), F.when(is_structural(layer), F.lit("structural_layer"))]
-    return F.array_distinct(F.array_compact(F.array(*found, *extra)))
-
-
-#: What an output must not hold (fixed names; forms are our own).
-UNSAFE = (
-    ("secret", r"(?i)\b(?:api[_-]?key|secret|password|token)\b\s*[:=]\s*\S{6,}"),
-    ("absolute_path", r"(?:[A-Za-z]:\\|/(?:home|Users|root)/)\S+"),
-    ("action_language", r"(?i)\b(?:must be (?:approved|rejected)|approve immediately|guaranteed safe)\b"),
-)
-
-
-def safety_findings(text: Column) -> Column:
-    """Names of what an output holds that it must not."""
-    return F.array_compact(F.array(*[F.when(F.rlike(text, F.lit(p)), F.lit(n)) for n, p in UNSAFE]))
+    """Distinct kinds of the marks, in rule order."""
+    return F.array_distinct(F.transform(domain_matches(text, entity, layer), lambda x: x["kind"]))
+
+
+#: What a compact output (JSON) must not hold (fixed values).
+RAW_KEYS = ("canonical_drawing", "normalized_drawing", "raw_drawing", "raw_payload", "raw_entities", "raw_entity", "modelspace", "paperspace")
+SECRET_LIKE = r"(?iU)\b(api[_-]?key|secret|password|passwd|token)\b\s*[:=]\s*['\"]?[^'\"\s]{8,}"
+ACTION_PHRASES = ("approved", "released", "send now", "submit now", "can proceed", "approval granted", "release is allowed")
+ALL_CLEAR_PHRASES = ("no issues found", "no issue found", "no problems found", "all clear", "nothing to review")
+BAD_HEALTH = ("partial", "unsupported", "failed", "missing", "timeout", "error")
+#: Where an output speaks to its reader (fixed values).
+ANSWERS = ("$.summary.answer", "$.draft.subject", "$.draft.body", "$.draft.review_checklist", "$.draft.limitations", "$.issue_suggestions[*].title", "$.issue_suggestions[*].rationale", "$.issue_suggestions[*].next_action")
+
+
+def safety_findings(payload: Column) -> Column:
+    """Codes of what a JSON output holds that it must not, a code for each key, secret and phrase: raw keys, secrets, words of action, a bad source called all clear."""
+    at = lambda path: F.coalesce(F.get_json_object(payload, path), F.lit(""))
+    code = lambda name, values: F.transform(values, lambda _: F.lit(name))
+    names = F.transform(F.regexp_extract_all(payload, F.lit(r'"((?:[^"\\]|\\.)*+)"\s*:'), F.lit(1)), F.lower)
+    said = F.lower(F.concat_ws("\n", *[at(p) for p in ANSWERS]))
+    held = lambda phrases, text: F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(text, p))
+    health = F.lower(F.coalesce(F.nullif(at("$.source.source_health"), F.lit("")), at("$.basis.source_health")))
+    calm = F.when(health.isin(*BAD_HEALTH), F.slice(held(ALL_CLEAR_PHRASES, F.lower(F.concat_ws(" ", at("$.summary.answer"), at("$.draft.body")))), 1, 1)).otherwise(F.array().cast("array<string>"))
+    return F.concat(
+        code("raw_payload_key", F.filter(names, lambda n: n.isin(*RAW_KEYS))), code("secret_like_marker", F.regexp_extract_all(payload, F.lit(SECRET_LIKE), F.lit(0))),
+        code("positive_action_language", held(ACTION_PHRASES, said)), code("source_health_misleading_answer", calm),
+    )
 
 
-#: Rendering tiers: name, dots an inch, MB for a pair (fixed values), from the finest.
-TIERS = (("ultra", 300, 400.0), ("high", 200, 180.0), ("standard", 150, 100.0), ("draft", 96, 45.0))
+#: Rendering tiers: dots an inch, longest edge in pixels, MB for a pair, from the finest; load by the MB of the largest pair (fixed values).
+TIERS = ((300, 8000, 1100.0), (200, 6000, 600.0), (120, 3600, 250.0), (80, 2400, 120.0))
+LOADS = ((25, 1.0), (100, 1.5), (300, 2.5))
+MOST_LOAD, MARGIN = 4.0, 0.6
 
 
-def quality_tier(pair_mb: Column, files: Column, cap_mb: Column, margin: float = 0.6) -> Column:
-    """The finest tier whose projected memory fits the budget, else the coarsest."""
-    load = F.when(pair_mb <= 25, 1.0).when(pair_mb <= 100, 1.5).when(pair_mb <= 300, 2.5).otherwise(4.0)
-    budget, pages = cap_mb * margin, 1 + files / 100
-    out = F.lit(TIERS[-1][0])
-    for name, _, mb in reversed(TIERS):
-        out = F.when(load * mb * pages <= budget, name).otherwise(out)
+def quality_tier(pair_mb: Column, files: Column, cap_mb: Column, margin: float = MARGIN) -> Column:
+    """Struct of the finest tier whose projected memory fits the budget, else of the coarsest, and whether it ``fits``."""
+    load = F.lit(MOST_LOAD)
+    for most, value in reversed(LOADS):
+        load = F.when(pair_mb <= most, value).otherwise(load)
+    fits = lambda mb: load * mb * (1 + files / 100) <= cap_mb * min(max(margin, 0.1), 1.0)
+    of = lambda tier, ok: F.struct(F.lit(tier[0]).alias("dpi"), F.lit(tier[1]).alias("max_edge_px"), ok.alias("fits"))
+    out = of(TIERS[-1], fits(TIERS[-1][2]))
+    for tier in reversed(TIERS[:-1]):
+        out = F.when(fits(tier[2]), of(tier, F.lit(True))).otherwise(out)
     return out
 
 

@@ -104,6 +104,22 @@ def severity(n: Column, n_dimension: Column, n_deleted: Column, n_modified: Colu
     )
 
 
+#: Layers whose changes make a zone severe, entities whose moves alone are layout, categories of mere moves (fixed values).
+SEVERE_LAYERS = "BEAM|COLUMN|COL|SLAB|WALL|GRID|FOUND|PILE|BRACE"
+ANNOTATION = ("TEXT", "MTEXT", "DIMENSION", "ARC_DIMENSION", "MULTILEADER", "MLEADER", "LEADER", "ATTRIB", "ATTDEF")
+POSITION_ONLY = ("position", "layer_move", "cosmetic")
+
+
+def only_moves(category: Column) -> Column:
+    """Whether all of a change's categories (joined by commas; none will do) are of mere moves."""
+    return F.forall(F.split(F.lower(F.coalesce(category, F.lit(""))), ","), lambda x: (F.trim(x) == "") | F.trim(x).isin(*POSITION_ONLY))
+
+
+def moved_origin(change_type: Column, gap: Column, has_old_place: Column, registered: Column) -> Column:
+    """Whether a modified change has moved: it has its old place, or its old box (``gap`` away, null without one) is more than 1 off; not if its origin was registered."""
+    return F.coalesce((F.lower(change_type) == "modified") & gap.isNotNull() & ~F.coalesce(registered, F.lit(False)) & (has_old_place | (gap > 1.0)), F.lit(False))
+
+
 def zone_change_type(n_added: Column, n_deleted: Column, n_modified: Column, has_moved: Column) -> Column:
     kinds = F.filter(F.array(F.when(n_added > 0, F.lit("added")), F.when(n_deleted > 0, F.lit("deleted")), F.when(n_modified > 0, F.lit("modified"))), lambda x: x.isNotNull())
     return F.when(has_moved, "moved").when(F.size(kinds) == 1, F.get(kinds, 0)).otherwise("mixed")
@@ -137,11 +153,22 @@ def dashboard_score(severity_: Column, raw: Column, added: Column, deleted: Colu
     return total * F.when(~folded, 1.0).when(category.isin(*CATEGORY_SCORE), 0.75).otherwise(0.45)
 
 
+#: Words and marks of structural categories (fixed values).
+REBAR_MARK = r"(?iU)(?:S?H?D|HD|SD|D)\s*\d{1,3}\s*@\s*\d{2,4}|[\u03A6\u00D8]\s*\d{1,3}\s*@\s*\d{2,4}"
+MEMBER_WORDS = r"(?iU)\b(?:BEAM|COLUMN|GIRDER|BRACE|SLAB|WALL)\b|H[-\s]?\d{2,4}\s*[xX]\s*\d{2,4}|기둥|보|슬래브|벽체|부재"
+GRID_WORDS = r"(?iU)\b(?:GRID|AXIS)\b|그리드|축선|기준선"
+DIMENSION_WORDS = r"(?iU)\b\d{2,5}(?:\.\d+)?\s*(?:mm|m)?\b|\bDIM(?:ENSION)?\b|치수"
+
+
+def dimension_like(text: Column, layers: Column, entities: Column, change_type: Column, content_changed: Column) -> Column:
+    """Whether a change is one of dimensions: by entity, layer or kind of change, or by words where the content changed."""
+    named = F.contains(F.upper(entities), F.lit("DIMENSION")) | F.contains(F.upper(layers), F.lit("DIM")) | F.lower(change_type).isin("dimension", "dimension_modified")
+    return F.coalesce(named, F.lit(False)) | (F.rlike(text, F.lit(DIMENSION_WORDS)) & content_changed)
+
+
 def structural_category(text: Column, dimension_like: Column) -> Column:
     """rebar, member, grid or dimension by words; mixed for several, other for none."""
-    rebar = F.rlike(text, F.lit(r"(?i)\b(?:REBAR|S?HD?[0-9]{2}|D[0-9]{2}@)|철근"))
-    member = F.rlike(text, F.lit(r"(?i)BEAM|COLUMN|GIRDER|BRACE|WALL|SLAB|기둥|거더|슬래브"))
-    grid = F.rlike(text, F.lit(r"(?i)GRID|AXIS|축선|그리드"))
+    rebar, member, grid = (F.rlike(text, F.lit(p)) for p in (REBAR_MARK, MEMBER_WORDS, GRID_WORDS))
     found = F.array_compact(F.array(F.when(rebar, F.lit("rebar")), F.when(member, F.lit("member")), F.when(grid, F.lit("grid")), F.when(~rebar & dimension_like, F.lit("dimension"))))
     return F.when(F.size(found) > 1, "mixed").otherwise(F.coalesce(F.get(found, 0), F.lit("other")))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,11 +86,46 @@ def in_region(overlay: Column, region: Column, mode: str) -> Column:
     return contains(region, overlay) if mode == "contained" else boxes_meet(region, overlay)
 
 
-def table_reasons(n_horizontal: Column, n_vertical: Column, n_text: Column, share: Column) -> Column:
-    """Why a frame looks like a table: many rulings both ways, texts in every cell, or a small strip full of text."""
-    cells = (n_horizontal - 1) * (n_vertical - 1)
-    checks = {"rulings": (n_horizontal >= 6) & (n_vertical >= 3), "filled_cells": (cells >= 6) & (n_text >= cells * 0.5), "text_strip": (share < 0.08) & (n_text >= 20)}
-    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))
+#: Layers and words of tables and structure on a sheet (fixed values).
+TITLE_LAYERS = ["*TITLE*", "*TITLEBLOCK*"]
+TABLE_LAYERS = ["*TABLE*", "*SCHEDULE*", "*BOM*", "*BLOCK INFO*", "*BLOCKINFO*"]
+TABLE_WORDS = ("BLOCK INFO", "BLOCKINFO", "TITLE", "TITLEBLOCK", "REV", "REVISION", "TABLE", "SCHEDULE", "BOM", "MATERIAL", "DWG", "SHEET", "SCALE", "DATE", "DRAWN", "CHECK", "APPROVED")
+STRUCTURE_TOKENS = ("BEAM", "COL", "SLAB", "WALL", "GRID", "REBAR")
+OTHER_TOKENS = ("TITLE", "TABLE", "REV", "BOM", "BLOCK INFO")
+LINES, SHAPES, TEXTS = ("LINE", "LWPOLYLINE", "POLYLINE"), ("LINE", "LWPOLYLINE", "POLYLINE", "CIRCLE", "ARC", "ELLIPSE"), ("TEXT", "MTEXT", "ATTRIB", "ATTDEF")
+
+
+def _holds(value: Column, words: Sequence[str]) -> Column:
+    up = F.upper(F.coalesce(value, F.lit("")))
+    return reduce(lambda x, y: x | y, [F.contains(up, F.lit(w)) for w in words])
+
+
+def looks_structural(layer: Column, entity: Column) -> Column:
+    """Whether an entity is one of structure: no text, on no title or table layer; on a structural layer, or a shape."""
+    kind = F.upper(F.coalesce(entity, F.lit("")))
+    out = kind.isin(*TEXTS) | is_title_block(layer) | matches_any(layer, TITLE_LAYERS + TABLE_LAYERS) | _holds(layer, OTHER_TOKENS)
+    return ~out & (_holds(layer, STRUCTURE_TOKENS) | kind.isin(*SHAPES))
+
+
+def table_word(layer: Column, text: Column, block: Column) -> Column:
+    """Whether an entity names a table: its layer or block is a table's or title's, or a word of tables stands in it."""
+    return is_title_block(layer) | matches_any(layer, TITLE_LAYERS + TABLE_LAYERS) | matches_any(block, TABLE_LAYERS) | _holds(F.concat_ws(" ", layer, text, block), TABLE_WORDS)
+
+
+def table_reasons(n: Column, n_text: Column, n_line: Column, n_structural: Column, named: Column, area: Column, whole_area: Column) -> Column:
+    """Why a region is rejected as a table, from counts of its entities; empty if it isn't.
+
+    A table word with a small area, many texts or many rulings rejects it, and so do the three
+    without the word; a region that structure dominates is kept.
+    """
+    part = lambda share: F.floor(n * share)
+    small = (whole_area > 0) & (area <= whole_area * 0.08)
+    heavy = n_text >= F.greatest(F.lit(4), part(0.35))
+    ruled = (n_line >= 6) & (n_structural <= F.greatest(F.lit(2), part(0.20)))
+    kept = (n_structural >= F.greatest(F.lit(10), part(0.35))) & ~heavy & ~ruled
+    names = F.array_compact(F.array(*[F.when(c, F.lit(w)) for w, c in (("table keyword", named), ("small relative area", small), ("text heavy", heavy), ("grid-like table", ruled))]))
+    rejected = (n > 0) & ~kept & ((named & (small | heavy | ruled)) | (small & heavy & ruled))
+    return F.when(rejected, names).otherwise(F.array().cast("array<string>"))
 
 
 def cascade(first: Column, second: Column, second_confidence: Column, least: float) -> Column:

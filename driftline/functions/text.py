@@ -111,12 +111,36 @@ def layer_prefix(layer: Column) -> Column:
     return F.regexp_replace(layer, r"\d+$", "")
 
 
+#: A project's drawing number and what a file name may have instead (fixed values); a broad number is a project's first part alone.
+DRAWING_NUMBER = r"(?<![A-Z0-9])([A-Z]{1,4}[0-9]{2})[-_. ]+([0-9]{3,5}[A-Z]?)(?![A-Z0-9])"
+COMPACT_NUMBER = r"(?<![A-Z0-9])([A-Z]{1,4}[0-9]{2})([0-9]{3,5}[A-Z]?)(?![A-Z0-9])"
+SEPARATED_NUMBER = r"(?<![A-Z0-9])([A-Z]{1,4})[-_. ]+([0-9]{1,5}[A-Z]?)(?![A-Z0-9])"
+GENERIC_NUMBER = r"(?<![A-Z0-9])([A-Z]{1,4})([0-9]{3,5}[A-Z]?)(?![A-Z0-9])"
+BROAD_NUMBER = r"^[A-Z]{1,4}[0-9]{2}$"
+#: Floor and sheet marks of a file name, in order (fixed values).
+SHEET_MARKS = (r"\bB[0-9]{1,2}F?\b", r"\b[0-9]{1,2}F\b", r"\bRF\b", r"\bPH[0-9]+\b", r"\b[A-Z]+[ _.-]*[0-9]{1,3}\b")
+#: Words of a file name that name a version (fixed values).
+VERSION_WORDS = ("OLD", "NEW", "FINAL", "COPY")
+
+
+def _upper(text: Column) -> Column:
+    return F.upper(F.coalesce(text, F.lit("")))
+
+
+def _both(text: Column, pattern: str, by: str = "") -> Column:
+    """The two groups of every match, joined."""
+    one, two = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2))
+    return F.zip_with(one, two, lambda x, y: F.concat(x, F.lit(by), y))
+
+
 def drawing_number(text: Column) -> Column:
-    """The first PREFIX-NNN of a text (2 to 6 letters, 2 to 6 digits, dash, blank or nothing between), as PREFIX-NNN; empty without one."""
-    up = F.upper(F.coalesce(text, F.lit("")))
-    pattern = r"(?:^|[^A-Z0-9])([A-Z]{2,6})[-_ ]?([0-9]{2,6})(?:[^A-Z0-9]|$)"
-    one, two = F.regexp_extract(up, pattern, 1), F.regexp_extract(up, pattern, 2)
-    return F.when(one == "", "").otherwise(F.concat_ws("-", one, two))
+    """The first project number of a text, its parts joined by a dash; empty without one."""
+    return F.coalesce(F.get(_both(_upper(text), DRAWING_NUMBER, "-"), 0), F.lit(""))
+
+
+def first_longest(values: Column) -> Column:
+    """The longest of an array of texts, the first of equally long ones; empty without any."""
+    return F.aggregate(values, F.lit(""), lambda best, v: F.when(F.length(v) > F.length(best), v).otherwise(best))
 
 
 def longest(values: Column) -> Column:
@@ -125,42 +149,99 @@ def longest(values: Column) -> Column:
     return F.coalesce(F.array_min(F.filter(values, lambda v: F.length(v) == best)), F.lit(""))
 
 
+def file_drawing_number(name: Column) -> Column:
+    """The drawing number of a file name without its revision marks; empty without one.
+
+    The longest project number; else the first one written together; else the longest of
+    letters and digits apart that is not broad; else the longest of such written together.
+    """
+    text = F.regexp_replace(_upper(name), REVISION, " ")
+    separated = F.filter(_both(text, SEPARATED_NUMBER), lambda v: ~F.rlike(v, F.lit(BROAD_NUMBER)))
+    choices = [first_longest(_both(text, DRAWING_NUMBER, "-")), F.get(_both(text, COMPACT_NUMBER, "-"), 0), first_longest(separated), first_longest(_both(text, GENERIC_NUMBER))]
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in choices], F.lit(""))
+
+
 def sheet_token(text: Column) -> Column:
-    """The first of: SHEET n, SHT n, PAGE n, n OF m, a letter-digit sheet code; empty without one."""
-    up = F.upper(F.coalesce(text, F.lit("")))
-    patterns = [r"\bSHEET[ ._-]*([0-9]+[A-Z]?)\b", r"\bSHT[ ._-]*([0-9]+[A-Z]?)\b", r"\bPAGE[ ._-]*([0-9]+)\b", r"\b([0-9]+) OF [0-9]+\b", r"\b([A-Z][0-9]{1,3})\b"]
-    return F.coalesce(*[F.nullif(F.regexp_extract(up, p, 1), F.lit("")) for p in patterns], F.lit(""))
+    """The first floor or sheet mark of a text, by the order of the marks, its letters and digits alone; empty without one."""
+    found = [F.regexp_replace(F.regexp_extract(_upper(text), p, 0), "[^A-Z0-9]", "") for p in SHEET_MARKS]
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in found], F.lit(""))
 
 
 def file_identity(path: Column) -> Column:
-    """Struct of a file name's ``key`` (no revision, no date, words joined by blanks) and ``revision``."""
-    stem = F.upper(F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"\.[A-Za-z0-9]{1,5}$", ""))
-    revision = F.regexp_extract(stem, REVISION, 1)
-    key = F.regexp_replace(stem, REVISION, " ")
-    key = F.regexp_replace(key, r"(?<![0-9])(?:[0-9]{8}|[0-9]{6})(?![0-9])", " ")
-    return F.struct(F.trim(F.regexp_replace(key, r"[^\p{L}\p{N}]+", " ")).alias("key"), revision.alias("revision"))
-
+    """Struct of a file name's ``key`` (words without revision, date and version words, joined), ``revision``, ``drawing_number``, ``sheet``.
 
-#: Rewrites of engineering notation, in order (names of the reference's rules; forms are our own).
+    A date counts only where no letter, digit or underscore touches it.
+    """
+    stem = composed(F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", ""))
+    key = F.regexp_replace(stem, REVISION, " ")
+    key = F.regexp_replace(key, r"(?<![\p{L}\p{N}_])(?:20[0-9]{6}|(?:19|20)?[0-9]{6})(?![\p{L}\p{N}_])", " ")
+    words = F.filter(F.regexp_extract_all(key, F.lit(r"[A-Z0-9\uAC00-\uD7A3]+"), F.lit(0)), lambda w: ~w.isin(*VERSION_WORDS))
+    return F.struct(
+        F.array_join(words, "").alias("key"), F.regexp_replace(F.regexp_extract(stem, REVISION, 0), " ", "").alias("revision"),
+        file_drawing_number(stem).alias("drawing_number"), sheet_token(stem).alias("sheet"),
+    )
+
+
+_BY = r"\s*[\u00D7xX\-_]\s*"
+_CANONICAL_TOKENS = r"(?!H_BEAM_|SQR_TUBE_|ROUND_PIPE_|DIM_|REBAR_|PLATE_|FLOOR_|ELEV_PLUS_|ELEV_MINUS_|ELEV_PM_|GRID_|DETAIL_)"
+_CALLOUT = r"([A-Z0-9]+(?:\s*[-_]\s*[A-Z0-9]+)?)"
+#: Rewrites of engineering notation, in order: pattern, new form, whether letter case counts, and how the groups go in:
+#: as they are, in upper case, or as a callout without blanks and dashes (fixed values).
 CANONICAL = (
-    (r"\bH[ -]?([0-9]+)[xX*]([0-9]+)(?:[xX*]([0-9.]+))?(?:[xX*]([0-9.]+))?", "H_BEAM:$1x$2"),
-    (r"\bSQR?[ -]?([0-9]+)[xX*]([0-9]+)", "SQR_TUBE:$1x$2"),
-    (r"\bPIPE[ -]?([0-9]+)", "PIPE:$1"),
-    (r"\bPL[ -]?([0-9]+)", "PLATE:$1"),
-    (r"\b(?:SHD|HD|D)([0-9]{2})\b(?:@([0-9]+))?", "REBAR:$1"),
-    (r"\b([0-9]+)F\b", "FLOOR:$1"),
-    (r"\bEL[ .]*([+-]?[0-9.]+)", "ELEV:$1"),
-    (r"\bGRID[ -]?([A-Z0-9]+)", "GRID:$1"),
-    (r"\bDET(?:AIL)?[ -]?([A-Z0-9]+)", "DETAIL:$1"),
+    (rf"H\s*(\d+){_BY}(\d+){_BY}(\d+){_BY}(\d+)", "H_BEAM_$1_$2_$3_$4", True, ""),
+    (rf"(?:[\u25A1\u3141]|BOX|SQR|HSS)\s*(\d+){_BY}(\d+){_BY}(\d+)", "SQR_TUBE_$1_$2_$3", False, ""),
+    (rf"(?:[\u25A1\u3141]|BOX|SQR|HSS)\s*(\d+){_BY}(\d+)", "SQR_TUBE_$1_$2", False, ""),
+    (rf"(?:[\u00D8\u00F8\u03A6\u03C6\u03D5]|PIPE|HSS\s*ROUND)\s*(\d+){_BY}(\d+)", "ROUND_PIPE_$1_$2", False, ""),
+    (r"(?:[\u00D8\u00F8\u03A6\u03C6\u03D5]|PIPE|HSS\s*ROUND)\s*(\d+)", "ROUND_PIPE_$1", False, ""),
+    (r"(\d+)[.,](\d+)\s*(?:mm|MM)", "DIM_$1_$2_MM", True, ""),
+    (r"(\d+)\s*(?:mm|MM)", "DIM_$1_MM", True, ""),
+    (r"(\d+)[.,](\d+)\s*(?:cm|CM)\b", "DIM_$1_$2_CM", True, ""),
+    (r"(\d+)\s*(?:cm|CM)\b", "DIM_$1_CM", True, ""),
+    (r"(\d+)[.,](\d+)\s*(?:m|M)\b", "DIM_$1_$2_M", True, ""),
+    (r"(\d+)\s*(?:m|M)\b", "DIM_$1_M", True, ""),
+    (r"\b(?:PL|t)\s*(\d+)\.(\d+)\b", "PLATE_$1_$2", False, ""),
+    (r"\b(?:PL|t)\s*(\d+)\b", "PLATE_$1", False, ""),
+    (r"\b(?:D|HD|SD)\s*(\d+)\b", "REBAR_$1", False, ""),
+    (r"\bB(\d+)\s*(?:FL?|\uCE35)\b", "FLOOR_B$1", False, ""),
+    (r"\b(\d+)\s*(?:FL?|\uCE35)\b", "FLOOR_$1", False, ""),
+    (r"\bEL\s*\+\s*(\d+)\.(\d+)", "ELEV_PLUS_$1_$2", False, ""),
+    (r"\bEL\s*\+\s*(\d+)", "ELEV_PLUS_$1", False, ""),
+    (r"\bEL\s*-\s*(\d+)\.(\d+)", "ELEV_MINUS_$1_$2", False, ""),
+    (r"\bEL\s*-\s*(\d+)", "ELEV_MINUS_$1", False, ""),
+    (r"\bEL\s*\u00B1\s*(\d+)\.(\d+)", "ELEV_PM_$1_$2", False, ""),
+    (r"\bEL\s*\u00B1\s*(\d+)", "ELEV_PM_$1", False, ""),
+    (r"\b([XYAB])\s*(\d+)\s*['\u2032\u02B9]", "GRID_$1_$2_PRIME", True, ""),
+    (r"\bGRID\s+([A-Z]+)\s*[-\u2013]\s*(\d+[A-Z]?)\b", "GRID_$1_$2", False, "upper"),
+    (r"\b(FAB|ZONE|AXIS|GRID)\s*[-\u2013]\s*(\d+[A-Z]?)\b", "GRID_$1_$2", False, "upper"),
+    (r"\bGRID\s+(?!_)([A-Z][A-Z0-9]*)\b", "GRID_$1", False, "upper"),
+    (rf"\b(?:DETAIL|DET|SECTION|SEC)(?![A-Z])\s*[-_]?\s*{_CALLOUT}", "DETAIL_$1", False, "callout"),
+    (rf"\b(?:\uC0C1\uC138|\uB2E8\uBA74)\s*[-_]?\s*{_CANONICAL_TOKENS}{_CALLOUT}", "DETAIL_$1", True, "callout"),
 )
 
 
+@F.pandas_udf(T.StringType())
+def compatible(values: pd.Series) -> pd.Series:
+    """Compatibility forms, then composed: no built-in has either."""
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", unicodedata.normalize("NFKC", v)))
+
+
+def _rewritten(text: Column, pattern: str, form: str, how: str) -> Column:
+    """Every match as the form, with the first group changed: what stands between matches, and the matches' new forms, in turn."""
+    change = {"upper": F.upper, "callout": lambda g: F.translate(F.replace(g, F.lit(" ")), "-", "_")}[how]
+    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in range(1, form.count("$") + 1)]
+    parts = F.arrays_zip(*[x.alias(f"g{k}") for k, x in enumerate(found)], F.slice(F.split(text, pattern, -1), 2, 1_000_000_000).alias("rest"))
+    pieces = [F.lit(form.split("$")[0]), *(x for k in range(len(found)) for x in (("g", k), form.split("$")[k + 1][1:]))]
+    put = lambda p: F.concat(*[(change(p[f"g{x[1]}"]) if x[1] == 0 else p[f"g{x[1]}"]) if isinstance(x, tuple) else F.lit(x) if isinstance(x, str) else x for x in pieces], p["rest"])
+    return F.concat(F.get(F.split(text, pattern, -1), 0), F.array_join(F.transform(parts, put), ""))
+
+
 def canonical(text: Column) -> Column:
-    """Engineering text in one notation: upper case, no control characters, members and marks rewritten in order."""
-    value = F.upper(plain(F.regexp_replace(text, r"[\x00-\x08\x0E-\x1F]", "")))
-    for pattern, by in CANONICAL:
-        value = F.regexp_replace(value, pattern, by)
-    return value
+    """Engineering text in one notation: compatible forms, no control characters, members and marks rewritten in order."""
+    value = F.regexp_replace(compatible(F.coalesce(text, F.lit(""))), r"[\p{C}&&[^\t\n]]", "")
+    for pattern, form, cased, how in CANONICAL:
+        pattern = ("(?U)" if cased else "(?iU)") + pattern
+        value = _rewritten(value, pattern, form, how) if how else F.regexp_replace(value, pattern, form)
+    return plain(value)
 
 
 def redacted(text: Column) -> Column:

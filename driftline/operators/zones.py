@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.classify import severity, zone_change_type
+from driftline.functions.classify import ANNOTATION, SEVERE_LAYERS, only_moves, severity, zone_change_type
 from driftline.functions.text import is_structural
+from driftline.operators.assign import greedy
 from driftline.operators.graph import components
 from driftline.operators.spatial import near_boxes
 
@@ -59,19 +61,28 @@ def split_mega(rows: DataFrame, zone: str, order: Sequence[str], most: int = MEG
 
 
 def summaries(changes: DataFrame, zone: Sequence[str]) -> DataFrame:
-    """One row per zone: box, counts by kind, structure, severity and type.
+    """One row per zone: box, counts by kind, structure, severity and why, and type.
 
-    ``changes`` has ``x0 y0 x1 y1 change_type entity_type layer``. All of it is one
-    aggregation that combines before the shuffle.
+    ``changes`` has ``x0 y0 x1 y1 change_type entity_type layer``, and may have ``moved`` (its
+    origin has moved) and ``category``. A zone in which annotation has merely moved, on no
+    structural layer, is low; else dimensions make it critical, severe layers and 100
+    changes high. All of it is one aggregation that combines before the shuffle.
     """
     kind = lambda k: F.count_if(F.col("change_type") == k)
+    moved = F.coalesce(F.col("moved"), F.lit(False)) if "moved" in changes.columns else F.lit(False)
+    category = F.col("category") if "category" in changes.columns else F.lit("")
+    entity = F.upper(F.coalesce("entity_type", F.lit("")))
     agg = changes.groupBy(*zone).agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n"), kind("added").alias("n_added"),
         kind("deleted").alias("n_deleted"), kind("modified").alias("n_modified"), F.count_if(F.col("entity_type") == "DIMENSION").alias("n_dimension"),
-        F.coalesce(F.bool_or(is_structural(F.col("layer"))), F.lit(False)).alias("structural"), F.count_distinct("layer").alias("n_layers"),
+        F.coalesce(F.bool_or(F.rlike(F.upper("layer"), F.lit(SEVERE_LAYERS))), F.lit(False)).alias("structural"), F.count_distinct("layer").alias("n_layers"),
+        F.bool_or(moved).alias("_moved"), (F.bool_and((entity == "") | entity.isin(*ANNOTATION)) & F.bool_or(entity != "") & ~F.coalesce(F.bool_or(is_structural(F.col("layer"))), F.lit(False)) & F.bool_and(only_moves(category))).alias("_notes"),
     )
-    level = severity(F.col("n"), F.col("n_dimension"), F.col("n_deleted"), F.col("n_modified"), F.col("structural"), F.lit(False))
-    return agg.withColumn("severity", level).withColumn("change_type", zone_change_type(F.col("n_added"), F.col("n_deleted"), F.col("n_modified"), F.lit(False)))
+    agg = agg.withColumn("change_type", zone_change_type(F.col("n_added"), F.col("n_deleted"), F.col("n_modified"), F.col("_moved") & (F.col("n_modified") > 0)))
+    notes = F.col("_notes") & (F.col("change_type") == "moved")
+    level = severity(F.col("n"), F.col("n_dimension"), F.col("n_deleted"), F.col("n_modified"), F.col("structural"), notes)
+    why = F.when(notes, "annotation reposition").when(F.col("n_dimension") > 0, "contains dimension changes").when(F.col("structural"), "contains structural layer changes").when(F.col("n") >= 100, "large clustered change").otherwise("")
+    return agg.withColumn("severity", level).withColumn("reason", why).drop("_moved", "_notes")
 
 
 def top_values(df: DataFrame, by: Sequence[str], value: str, k: int, name: str) -> DataFrame:
@@ -88,22 +99,41 @@ def first_values(df: DataFrame, by: Sequence[str], value: str, order: Sequence[s
     return first.withColumn("r", rank).filter(F.col("r") <= k).groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.col(value).alias("v")))), lambda x: x["v"]), ", ").alias(name))
 
 
+#: Sizes of relocated zones differ by this much, or by this share of the larger one, at most (fixed values).
+SIZE_GAP, SIZE_SHARE = 2.0, 0.01
+
+
+def _size_bucket(size: Column) -> Column:
+    """Numbers whose floors differ by one at most for sizes that count as equal: even steps, then steps of a share."""
+    edge = SIZE_GAP / SIZE_SHARE
+    steps = F.when(size < edge, size / SIZE_GAP).otherwise(edge / SIZE_GAP + F.log(F.greatest(size, F.lit(edge)) / edge) / -math.log(1 - SIZE_SHARE))
+    return F.floor(steps / 1.02)
+
+
 def relocation_candidates(zones: DataFrame) -> DataFrame:
-    """Deleted-only and added-only zones with equal counts and sizes within 2 or one hundredth.
+    """Deleted and added zones with equal counts and sizes that count as equal.
 
-    ``zones`` has ``id x y width height n_added n_deleted``. An equi-join on the count and
-    on a bucket of the width's logarithm (neighbours copied on one side), then the exact test.
+    ``zones`` has ``id x y width height n_added n_deleted`` and ``change_type``; ``x`` and ``y`` are
+    centroids. An equi-join on the count and the buckets of width and height (neighbours copied on one
+    side), then the exact test.
     """
-    bucket = lambda w: F.floor(F.log(F.greatest(w, F.lit(200.0))) / 0.05)
-    gone = zones.filter("n_deleted > 0 AND n_added = 0").select(F.col("id").alias("a_id"), F.col("n_deleted").alias("n"), F.col("width").alias("aw"), F.col("height").alias("ah"), F.col("x").alias("ax"), F.col("y").alias("ay"), bucket(F.col("width")).alias("k"))
-    come = zones.filter("n_added > 0 AND n_deleted = 0").select(F.col("id").alias("b_id"), F.col("n_added").alias("n"), F.col("width").alias("bw"), F.col("height").alias("bh"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(F.array(*[bucket(F.col("width")) + i for i in (-1, 0, 1)])).alias("k"))
-    pairs = gone.join(come, ["n", "k"]).drop("k")
-    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(2.0), 0.01 * F.greatest(F.col(a), F.col(b)))
+    gone = zones.filter("change_type = 'deleted' AND n_deleted > 0 AND n_added = 0").select(
+        F.col("id").alias("a_id"), F.col("n_deleted").alias("n"), F.col("width").alias("aw"), F.col("height").alias("ah"), F.col("x").alias("ax"), F.col("y").alias("ay"), _size_bucket(F.col("width")).alias("kw"), _size_bucket(F.col("height")).alias("kh")
+    )
+    near = lambda size: F.explode(F.array(*[_size_bucket(F.col(size)) + i for i in (-1, 0, 1)]))
+    come = zones.filter("change_type = 'added' AND n_added > 0 AND n_deleted = 0").select(F.col("id").alias("b_id"), F.col("n_added").alias("n"), F.col("width").alias("bw"), F.col("height").alias("bh"), F.col("x").alias("bx"), F.col("y").alias("by"), near("width").alias("kw"))
+    pairs = gone.join(come.withColumn("kh", near("bh")), ["n", "kw", "kh"]).drop("kw", "kh")
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(SIZE_GAP), SIZE_SHARE * F.greatest(F.col(a), F.col(b)))
     pairs = pairs.filter(close("aw", "bw") & close("ah", "bh"))
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     return pairs.withColumns({"size_diff": F.abs(F.col("aw") - F.col("bw")) + F.abs(F.col("ah") - F.col("bh")), "distance": F.sqrt(dx * dx + dy * dy), "dx": dx, "dy": dy})
 
 
+def relocations(zones: DataFrame) -> DataFrame:
+    """One-to-one links of relocated zones: smallest difference in size first, then nearest; each zone once."""
+    return greedy(relocation_candidates(zones), ["size_diff", "distance", "a_id", "b_id"])
+
+
 def folded(zones: DataFrame, keys: Sequence[str], order: Sequence[str], least: int = 3) -> DataFrame:
     """Groups of equal keys: their first zone and size; groups of ``least`` and more are folded into it."""
     w = Window.partitionBy(*keys)

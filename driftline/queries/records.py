@@ -184,8 +184,9 @@ def rule_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structural_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.get(F.array(*map(F.lit, ["SHD13 top", "beam B1", "GRID X3", "wall on AXIS 2", "plain", "REBAR wall"])), (F.col("p_partkey") % 6).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", classify.structural_category(text, F.col("p_size") > 25).alias("category"))
+    text = F.get(F.array(*map(F.lit, ["SHD13@200 top", "beam B1", "GRID X3", "wall on AXIS 2", "plain 450 mm", "HD10 @ 150 wall", "beams, H-400 x 200"])), (F.col("p_partkey") % 7).cast("int"))
+    like = classify.dimension_like(text, F.when(F.col("p_size") > 40, "A-DIMS").otherwise("X"), F.lit("TEXT"), F.when(F.col("p_size") < 4, "Dimension").otherwise("modified"), F.col("p_size") > 20)
+    return table(spark, sf_dir, "part").select("p_partkey", classify.structural_category(text, like).alias("category"))
 
 
 def embedding_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +288,8 @@ ORACLE_SQL = {
     "rule_category": """WITH v AS (SELECT p_partkey, p_partkey % 6 AS l, p_partkey % 18 // 6 AS e FROM part)
     SELECT p_partkey, CASE l WHEN 0 THEN 'structural_member' WHEN 1 THEN 'grid' WHEN 2 THEN 'dimension' WHEN 3 THEN 'detail' WHEN 4 THEN 'layer' ELSE CASE e WHEN 1 THEN 'dimension' WHEN 2 THEN 'detail' ELSE 'other' END END AS category,
       CAST(CASE WHEN l IN (0, 1) THEN 85 WHEN l IN (2, 3, 4) THEN 70 WHEN e IN (1, 2) THEN 50 ELSE 20 END AS BIGINT) AS confidence_cent FROM v""",
-    "structural_category": """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'rebar' WHEN 1 THEN CASE WHEN p_size > 25 THEN 'mixed' ELSE 'member' END WHEN 2 THEN CASE WHEN p_size > 25 THEN 'mixed' ELSE 'grid' END WHEN 3 THEN 'mixed' WHEN 4 THEN CASE WHEN p_size > 25 THEN 'dimension' ELSE 'other' END ELSE 'mixed' END AS category FROM part""",
+    "structural_category": """WITH v AS (SELECT p_partkey, p_partkey % 7 AS t, p_size > 40 OR p_size < 4 OR (p_partkey % 7 IN (0, 4, 5, 6) AND p_size > 20) AS d FROM part)
+    SELECT p_partkey, CASE t WHEN 0 THEN 'rebar' WHEN 1 THEN CASE WHEN d THEN 'mixed' ELSE 'member' END WHEN 2 THEN CASE WHEN d THEN 'mixed' ELSE 'grid' END WHEN 3 THEN 'mixed' WHEN 4 THEN CASE WHEN d THEN 'dimension' ELSE 'other' END WHEN 5 THEN 'mixed' ELSE CASE WHEN d THEN 'mixed' ELSE 'member' END END AS category FROM v""",
     "embedding_classify": """WITH p AS (SELECT label AS category, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 60), s AS (SELECT vec_id, category, max(list_cosine_similarity(v.embedding::DOUBLE[], p.e)) AS s FROM embeddings v, p WHERE vec_id >= 60 GROUP BY ALL),
     r AS (SELECT *, row_number() OVER w AS r, lead(s) OVER w AS n FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY s DESC, category))
     SELECT vec_id, CASE WHEN s >= 0.2::DOUBLE AND s - coalesce(n, -1) >= 0.02::DOUBLE THEN category END AS category, CAST(round_even(s * 1e5, 0) AS BIGINT) AS similarity_e5 FROM r WHERE r = 1""",

@@ -120,20 +120,27 @@ def polyline_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = ["beam B12 at grid A3", "see section C", "NOTE: 250 mm", "plain", "det 4 and 3.5 m"]
+    texts = ["beam B12 at grid-A3", "see section S-201", "NOTE 250 mm", "B-7", "note H400x200 3.5 M"]
     text = F.get(F.array(*map(F.lit, texts)), (F.col("p_partkey") % 5).cast("int"))
-    tags = ch.domain_tags(text, F.when(F.col("p_size") > 40, "DIMENSION").otherwise("TEXT"), F.when(F.col("p_size") < 5, "S-WALL").otherwise("X"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tags, ",").alias("tags"))
+    entity, layer = F.when(F.col("p_size") > 40, "dimension").otherwise("TEXT"), F.when(F.col("p_size") < 5, "S-WALL").when(F.col("p_size") < 9, "AXIS-DIM").otherwise("X")
+    found = ch.domain_matches(text, entity, layer)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(ch.domain_tags(text, entity, layer), ",").alias("tags"), F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["value"], x["confidence"])), "|").alias("marks"))
 
 
 def output_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", ch.safety_findings(F.col("text")).alias("f"))
-    return rows.filter(F.size("f") > 0).select("doc_id", F.array_join("f", ",").alias("findings"))
+    """Parts as answers about drawings: some with raw keys, secrets, words of action, or calm words about a failed source."""
+    c = F.col
+    health = F.get(F.array(F.lit("ok"), F.lit("Failed"), F.lit("partial")), (c("p_partkey") % 3).cast("int"))
+    answer = F.concat("p_name", F.when(c("p_size") % 4 == 0, " is Approved and can proceed").when(c("p_size") % 4 == 1, ": no issues found").otherwise(""))
+    draft = F.struct(F.lit("note").alias("subject"), F.when(c("p_size") % 6 == 0, "token = abcdefgh12").otherwise("body").alias("body"))
+    raw = F.when(c("p_size") % 5 == 0, F.lit("{}"))
+    payload = F.to_json(F.struct(F.struct(answer.alias("answer")).alias("summary"), draft.alias("draft"), F.struct(health.alias("source_health")).alias("basis"), raw.alias("Raw_Entities")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(ch.safety_findings(payload), ",").alias("findings"))
 
 
 def quality_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    return table(spark, sf_dir, "part").select("p_partkey", ch.quality_tier(c("p_size") * 10.0, c("p_partkey") % 50, c("p_retailprice")).alias("tier"))
+    return table(spark, sf_dir, "part").select("p_partkey", ch.quality_tier(c("p_size") * 10.0, c("p_partkey") % 50, c("p_retailprice")).alias("t")).select("p_partkey", "t.dpi", "t.max_edge_px", "t.fits")
 
 
 def zone_localisation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,9 +194,15 @@ def region_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as regions, parts as their entities: counts of each region, and why it is rejected."""
     c = F.col
-    reasons = k.table_reasons(c("p_size") % 12, c("p_partkey") % 9, c("p_size"), (c("p_partkey") % 20) / 100)
-    return table(spark, sf_dir, "part").groupBy(F.array_join(reasons, ",").alias("reasons")).agg(F.count("*").alias("n"))
+    layer = F.get(F.array(*map(F.lit, ["S-BEAM", "PARTS-BOM", "X", "GRID-REV", "0"])), (c("p_partkey") % 5).cast("int"))
+    entity = F.get(F.array(*map(F.lit, ["LINE", "TEXT", "CIRCLE", "INSERT"])), (c("p_size") % 4).cast("int"))
+    named = k.table_word(F.when(layer == "PARTS-BOM", "X").otherwise(layer), c("p_name"), F.lit(""))
+    rows = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", (c("p_partkey") % 3).cast("string")).alias("region"), entity.alias("entity"), k.looks_structural(layer, entity).alias("structural"), (named & (c("p_partkey") % 2 == 0)).alias("named"), F.when(c("p_size") % 4 == 1, c("p_name")).alias("text"), "p_partkey")
+    counts = rows.groupBy("region").agg(F.count("*").alias("n"), F.count("text").alias("n_text"), F.count_if(c("entity").isin(*k.LINES)).alias("n_line"), F.count_if("structural").alias("n_structural"), F.bool_or("named").alias("named"), (F.max("p_partkey") % 20).alias("area"))
+    reasons = k.table_reasons(c("n"), c("n_text"), c("n_line"), c("n_structural"), c("named"), c("area"), F.lit(100))
+    return counts.select("region", "n_structural", "named", F.array_join(reasons, ",").alias("reasons"))
 
 
 def attribute_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,12 +271,15 @@ ORACLE_SQL = {
     "line_moves": """WITH v AS (SELECT p_partkey, p_retailprice AS x, CAST(p_size AS DOUBLE) AS y, p_partkey % 3 AS k FROM part), d AS (SELECT p_partkey, greatest(sqrt((x - y - 0.5) ** 2 + (y - x) ** 2), sqrt((y - x) ** 2 + (x - y - k) ** 2)) AS a, greatest(CAST(k AS DOUBLE), 0.5::DOUBLE) AS b FROM v)
     SELECT p_partkey, CAST(round_even(least(a, b) * 1e6, 0) AS BIGINT) AS move_micro FROM d""",
     "polyline_moves": """WITH v AS (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity AS x FROM lineitem) SELECT l_orderkey, count(*) FILTER (x > 40) AS moved, CAST(CASE WHEN max(x) > 40 THEN 20 ELSE 1 END AS BIGINT) AS farthest_tenths FROM v GROUP BY l_orderkey""",
-    "domain_tags": """WITH v AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN ['grid', 'member_tag'] WHEN 1 THEN ['section_reference'] WHEN 2 THEN ['note', 'dimension'] WHEN 3 THEN [] ELSE ['section_reference'] END AS t, p_size FROM part)
-    SELECT p_partkey, array_to_string(list_concat(t, list_concat(CASE WHEN p_size > 40 AND NOT list_contains(t, 'dimension') THEN ['dimension'] ELSE [] END, CASE WHEN p_size < 5 THEN ['structural_layer'] ELSE [] END)), ',') AS tags FROM v""",
-    "output_safety": r"""WITH v AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '(?i)\b(?:api[_-]?key|secret|password|token)\b\s*[:=]\s*\S{6,}') THEN 'secret' END, CASE WHEN regexp_matches(text, '(?:[A-Za-z]:\\|/(?:home|Users|root)/)\S+') THEN 'absolute_path' END], lambda x: x IS NOT NULL) AS f FROM documents)
-    SELECT doc_id, array_to_string(f, ',') AS findings FROM v WHERE len(f) > 0""",
-    "quality_tiers": """WITH v AS (SELECT p_partkey, CASE WHEN p_size * 10 <= 25 THEN 1.0::DOUBLE WHEN p_size * 10 <= 100 THEN 1.5 WHEN p_size * 10 <= 300 THEN 2.5 ELSE 4 END AS l, p_retailprice * 0.6::DOUBLE AS b, 1 + p_partkey % 50 / 100 AS p FROM part)
-    SELECT p_partkey, CASE WHEN l * 400 * p <= b THEN 'ultra' WHEN l * 180 * p <= b THEN 'high' WHEN l * 100 * p <= b THEN 'standard' ELSE 'draft' END AS tier FROM v""",
+    "domain_tags": """WITH v AS (SELECT p_partkey, p_size, p_partkey % 5 AS t, ['beam B12 at grid-A3', 'see section S-201', 'NOTE 250 mm', 'B-7', 'note H400x200 3.5 M'][p_partkey % 5 + 1] AS text, p_size > 40 AS d, p_size BETWEEN 5 AND 8 AS g, p_size < 5 AS w FROM part),
+    m AS (SELECT p_partkey, list_filter([CASE WHEN t = 0 THEN 'grid:grid-A3:high' END, CASE WHEN g AND t = 3 THEN 'grid:B-7:medium' END, CASE t WHEN 0 THEN 'member_tag:beam B12:high' WHEN 3 THEN 'member_tag:B-7:high' WHEN 4 THEN 'member_tag:H400x200:high' END, CASE WHEN t = 1 THEN 'section_reference:section:high' END,
+      CASE WHEN t = 1 THEN 'section_reference:S-201:high' END, CASE WHEN t = 2 THEN 'note:NOTE:medium' END, CASE WHEN d THEN 'dimension:' || text || ':high' END, CASE WHEN g AND NOT d THEN CASE t WHEN 2 THEN 'dimension:250 mm:medium' WHEN 3 THEN 'dimension:7:medium' WHEN 4 THEN 'dimension:3.5 M:medium' WHEN 1 THEN 'dimension:201:medium' END END,
+      CASE WHEN w THEN 'structural_layer:S-WALL:medium' WHEN g THEN 'structural_layer:AXIS-DIM:medium' END], lambda x: x IS NOT NULL) AS m FROM v)
+    SELECT p_partkey, array_to_string(list_filter(['grid', 'member_tag', 'section_reference', 'note', 'dimension', 'structural_layer'], lambda k: len(list_filter(m, lambda x: starts_with(x, k || ':'))) > 0), ',') AS tags, array_to_string(m, '|') AS marks FROM m""",
+    "output_safety": """SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size % 5 = 0 THEN 'raw_payload_key' END, CASE WHEN p_size % 6 = 0 THEN 'secret_like_marker' END, CASE WHEN p_size % 4 = 0 THEN 'positive_action_language' END, CASE WHEN p_size % 4 = 0 THEN 'positive_action_language' END,
+      CASE WHEN p_size % 4 = 1 AND p_partkey % 3 > 0 THEN 'source_health_misleading_answer' END], lambda x: x IS NOT NULL), ',') AS findings FROM part""",
+    "quality_tiers": """WITH v AS (SELECT p_partkey, CASE WHEN p_size * 10 <= 25 THEN 1.0::DOUBLE WHEN p_size * 10 <= 100 THEN 1.5 WHEN p_size * 10 <= 300 THEN 2.5 ELSE 4 END * (1 + p_partkey % 50 / 100) AS l, p_retailprice * 0.6::DOUBLE AS b FROM part)
+    SELECT p_partkey, CASE WHEN l * 1100 <= b THEN 300 WHEN l * 600 <= b THEN 200 WHEN l * 250 <= b THEN 120 ELSE 80 END AS dpi, CASE WHEN l * 1100 <= b THEN 8000 WHEN l * 600 <= b THEN 6000 WHEN l * 250 <= b THEN 3600 ELSE 2400 END AS max_edge_px, l * 120 <= b AS fits FROM v""",
     "zone_localisation": """WITH v AS (SELECT l_returnflag AS k, l_suppkey % 3 > 0 AS b, l_partkey % 4 > 0 AS a, l_linenumber % 3 AS m FROM lineitem)
     SELECT CASE WHEN k = 'A' THEN CASE WHEN a THEN 'added_in_after_region' ELSE 'unassigned' END WHEN k = 'R' THEN CASE WHEN b THEN 'deleted_from_before_region' ELSE 'unassigned' END WHEN a AND b AND m = 0 THEN 'matched_region_review_required' WHEN a AND b AND m = 1 THEN 'matched_region_change'
       WHEN a AND b THEN 'cross_region_or_unmatched_detail' WHEN b THEN 'before_region_only' WHEN a THEN 'after_region_only' ELSE 'unassigned' END AS status, count(*) AS n FROM v GROUP BY 1""",
@@ -279,9 +295,11 @@ ORACLE_SQL = {
     SELECT ['line', 'circle', 'arc', 'polyline', 'text', 'insert', 'point'][t + 1] AS kind, count(*) AS keys, max(n) AS most FROM (SELECT t, k, count(*) AS n FROM w GROUP BY ALL) GROUP BY t""",
     "layer_filters": """WITH v AS (SELECT p_partkey % 7 AS t FROM part) SELECT ['S-BEAM', 'A-TEXT', 'TEMP-1', 'DEFPOINTS', 'TITLE', 'Wall', 'XREF'][t + 1] AS layer, [2, 0, -1, -1, 1, 2, 1][t + 1]::BIGINT AS priority, t IN (2, 4, 6) AS ignored, count(*) AS n FROM v GROUP BY t""",
     "region_filter": f"WITH {_BOXES} SELECT sheet, count(*) FILTER (x0 >= 910 AND x1 <= 960 AND y0 >= 1 AND y1 <= 8) AS contained, count(*) FILTER (x0 <= 960 AND x1 >= 910 AND y0 <= 8 AND y1 >= 1) AS intersecting FROM b GROUP BY sheet",
-    "table_rejection": """WITH v AS (SELECT p_size % 12 AS h, p_partkey % 9 AS v, p_size AS t, p_partkey % 20 AS s FROM part),
-    r AS (SELECT array_to_string(list_filter([CASE WHEN h >= 6 AND v >= 3 THEN 'rulings' END, CASE WHEN (h - 1) * (v - 1) >= 6 AND t >= (h - 1) * (v - 1) * 0.5 THEN 'filled_cells' END, CASE WHEN s < 8 AND t >= 20 THEN 'text_strip' END], lambda x: x IS NOT NULL), ',') AS reasons FROM v)
-    SELECT reasons, count(*) AS n FROM r GROUP BY reasons""",
+    "table_rejection": """WITH v AS (SELECT p_brand || '/' || p_partkey % 3 AS region, p_partkey, p_partkey % 5 AS l, p_size % 4 AS e, p_name FROM part),
+    c AS (SELECT region, count(*) AS n, count(*) FILTER (e = 1) AS t, count(*) FILTER (e = 0) AS r, count(*) FILTER (e <> 1 AND l NOT IN (1, 3) AND (l = 0 OR e IN (0, 2))) AS s, bool_or(p_partkey % 2 = 0 AND l = 3) AS k, max(p_partkey) % 20 AS area FROM v GROUP BY region),
+    f AS (SELECT *, area <= 8 AS small, t >= greatest(4, floor(n * 0.35::DOUBLE)) AS heavy, r >= 6 AND s <= greatest(2, floor(n * 0.20::DOUBLE)) AS ruled FROM c),
+    j AS (SELECT *, NOT (s >= greatest(10, floor(n * 0.35::DOUBLE)) AND NOT heavy AND NOT ruled) AND ((k AND (small OR heavy OR ruled)) OR (small AND heavy AND ruled)) AS rejected FROM f)
+    SELECT region, s AS n_structural, k AS named, CASE WHEN rejected THEN array_to_string(list_filter([CASE WHEN k THEN 'table keyword' END, CASE WHEN small THEN 'small relative area' END, CASE WHEN heavy THEN 'text heavy' END, CASE WHEN ruled THEN 'grid-like table' END], lambda x: x IS NOT NULL), ',') ELSE '' END AS reasons FROM j""",
     "attribute_places": """WITH v AS (SELECT p_partkey, p_retailprice - 900 AS dx, p_size - 10.0::DOUBLE AS dy, radians((p_partkey % 4) * 90) AS a FROM part)
     SELECT p_partkey, CAST(round_even((dx * cos(a) + dy * sin(a)) / 2 * 1000, 0) AS BIGINT) AS x_milli, CAST(round_even(-(dy * cos(a) - dx * sin(a)) * 1000, 0) AS BIGINT) AS y_milli FROM v""",
     "classifier_cascade": """WITH v AS (SELECT p_size % 3 > 0 AS s, p_size % 10 AS c FROM part) SELECT CASE WHEN s AND c >= 5 THEN 'grid' ELSE 'other' END AS category, NOT s OR c < 6 AS review, count(*) AS n FROM v GROUP BY ALL""",

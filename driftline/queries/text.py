@@ -30,27 +30,29 @@ def text_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes in engineering notation made from parts."""
-    c, k = F.col, F.col("p_partkey").cast("string")
-    forms = [F.concat(F.lit("h-"), k, F.lit("x200 at GRID B"), c("p_size").cast("string")), F.concat(F.lit("SHD13@"), k, F.lit("  pl"), c("p_size").cast("string")), F.concat(F.lit("el +"), k, F.lit(".5 dwg ABC-"), k), F.concat(F.lit("Sheet "), k, F.lit(" of det 7"))]
+    c, k, n = F.col, F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    forms = [
+        F.concat(F.lit("col  H"), k, F.lit("x200 X 8x13 at grid b-"), n), F.concat(F.lit("HD13 pl"), n, F.lit("  "), k, F.lit(" mm")),
+        F.concat(F.lit("el +"), k, F.lit(".5 dwg s20_"), F.lpad((c("p_partkey") % 10000).cast("string"), 4, "0"), F.lit("a")), F.concat(F.lit("B2F det-"), k, F.lit(" box "), k, F.lit("X300 2,5m")),
+    ]
     return table(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*forms), (c("p_partkey") % 4).cast("int")).alias("note"))
 
 
-_NOTES = """v AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'h-' || p_partkey || 'x200 at GRID B' || p_size WHEN 1 THEN 'SHD13@' || p_partkey || '  pl' || p_size WHEN 2 THEN 'el +' || p_partkey || '.5 dwg ABC-' || p_partkey ELSE 'Sheet ' || p_partkey || ' of det 7' END AS note FROM part)"""
-
-
 def text_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _notes(spark, sf_dir).select("p_partkey", t.canonical(F.col("note")).alias("canonical"), F.sha2(t.canonical(F.col("note")), 256).alias("digest"))
 
 
 def drawing_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _notes(spark, sf_dir).select("p_partkey", t.drawing_number(F.col("note")).alias("drawing_number"), t.sheet_token(F.col("note")).alias("sheet"), t.longest(F.regexp_extract_all(F.col("note"), F.lit("[A-Z]+"), F.lit(0))).alias("longest"))
+    return _notes(spark, sf_dir).select("p_partkey", t.drawing_number(F.col("note")).alias("drawing_number"), t.sheet_token(F.col("note")).alias("sheet"), t.longest(F.regexp_extract_all(F.col("note"), F.lit("[a-z]+"), F.lit(0))).alias("longest"))
 
 
 def file_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    path = F.concat(F.lit("C:/proj/x/"), F.upper(F.regexp_replace("p_name", " ", "_")), F.when(c("p_partkey") % 3 == 0, "_REV2").when(c("p_partkey") % 3 == 1, " r03a").otherwise("_20240131"), F.lit(".dwg"))
+    k = F.col("p_partkey")
+    begin = F.when(k % 3 == 0, F.concat(F.lit("s2"), (k % 10).cast("string"), F.lit(" "), F.lpad((k % 100000).cast("string"), 5, "0"), F.lit("_"))).when(k % 3 == 1, "").otherwise(F.concat(F.lit("AB"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("-3F ")))
+    end = F.when(k % 3 == 0, "_REV2").when(k % 3 == 1, " r03a final").otherwise(" 20240131")
+    path = F.concat(F.lit("C:/proj/x/"), begin, F.upper(F.regexp_replace("p_name", " ", "_")), end, F.lit(".dwg"))
     rows = table(spark, sf_dir, "part").select("p_partkey", t.file_identity(path).alias("i"), t.redacted(F.concat(F.lit("see "), path, F.lit(" ok"))).alias("redacted"), t.leaks_path(path).alias("leaks"))
-    return rows.select("p_partkey", F.col("i.key").alias("key"), F.col("i.revision").alias("revision"), "redacted", "leaks")
+    return rows.select("p_partkey", "i.key", "i.revision", "i.drawing_number", "i.sheet", F.length("redacted").alias("n_redacted"), "leaks")
 
 
 def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +84,6 @@ def sequence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (layer_predicates, text_normalised, text_canonical, drawing_number, file_identity, token_jaccard, hash_similarity, mtext_plain, palette_and_units, sequence_ratio)}
 
 _TITLE = r"(?i)(?:^|[-_\s\d])(?:TITLE[_-]?BLOCK|TITLEBLOCK|TITLE|BORDER|DRAWING[_-]?BORDER|DWG[_-]?BORDER|REV|REVISION|REVISION[_-]?BLOCK|STAMP|DRAWING[_-]?FRAME|DWG[_-]?FRAME)(?:$|[-_\s])"
-_CANON = "upper(trim(regexp_replace(note, '\\s+', ' ', 'g')))"
-for _pattern, _by in t.CANONICAL:
-    _CANON = f"regexp_replace({_CANON}, '{_pattern}', '{_by.replace('$', chr(92))}', 'g')"
 _PAIR = "FROM r JOIN r s ON s.doc_id = r.doc_id + 1"
 _BITS = "bit_count(xor(('0x' || r.h)::UBIGINT, ('0x' || s.h)::UBIGINT))"
 
@@ -92,12 +91,14 @@ ORACLE_SQL = {
     "layer_predicates": f"""WITH {_LAYERS} SELECT p_partkey, regexp_matches(layer, '{t.STRUCTURAL}') OR regexp_matches(layer, '{t.STRUCTURAL_KOREAN}') AS structural,
       regexp_matches(layer, '{_TITLE}') OR regexp_matches(layer, '{t.TITLE_KOREAN}') OR layer = 'SHEET-01' AS title_block, layer ILIKE '%TEMP%' OR layer = '0' OR layer ILIKE '_-COL' AS ignored, regexp_replace(layer, '[0-9]+$', '') AS prefix FROM v""",
     "text_normalised": r"""WITH n AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS p FROM conversations) SELECT conv_id, turn, role, substring(sha1(lower(p)), 1, 16) AS hash, length(p) AS n_chars FROM n""",
-    "text_canonical": f"WITH {_NOTES}, c AS (SELECT p_partkey, {_CANON} AS canonical FROM v) SELECT *, sha256(canonical) AS digest FROM c",
-    "drawing_number": rf"""WITH {_NOTES}, u AS (SELECT p_partkey, note, upper(note) AS u FROM v), e AS (SELECT *, regexp_extract(u, '(?:^|[^A-Z0-9])([A-Z]{{2,6}})[-_ ]?([0-9]{{2,6}})(?:[^A-Z0-9]|$)', 1) AS a, regexp_extract(u, '(?:^|[^A-Z0-9])([A-Z]{{2,6}})[-_ ]?([0-9]{{2,6}})(?:[^A-Z0-9]|$)', 2) AS b FROM u)
-    SELECT p_partkey, CASE WHEN a = '' THEN '' ELSE a || '-' || b END AS drawing_number, coalesce(nullif(regexp_extract(u, '\bSHEET[ ._-]*([0-9]+[A-Z]?)\b', 1), ''), nullif(regexp_extract(u, '\b([A-Z][0-9]{{1,3}})\b', 1), ''), '') AS sheet,
-      CASE WHEN p_partkey % 4 = 0 THEN 'GRID' WHEN p_partkey % 4 = 1 THEN 'SHD' WHEN p_partkey % 4 = 2 THEN 'ABC' ELSE 'S' END AS longest FROM e""",
-    "file_identity": """SELECT p_partkey, upper(p_name) AS key, CASE p_partkey % 3 WHEN 0 THEN '2' WHEN 1 THEN '03A' ELSE '' END AS revision,
-      CASE WHEN p_partkey % 3 = 1 THEN 'see <path>/' || replace(upper(p_name), ' ', '_') || ' r03a.dwg ok' ELSE 'see <path>/' || replace(upper(p_name), ' ', '_') || CASE p_partkey % 3 WHEN 0 THEN '_REV2' ELSE '_20240131' END || '.dwg ok' END AS redacted, true AS leaks FROM part""",
+    "text_canonical": """WITH c AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'col H_BEAM_' || p_partkey || '_200_8_13 at GRID_B_' || p_size WHEN 1 THEN 'REBAR_13 PLATE_' || p_size || ' DIM_' || p_partkey || '_MM'
+      WHEN 2 THEN 'ELEV_PLUS_' || p_partkey || '_5 dwg s20_' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') || 'a' ELSE 'FLOOR_B2 DETAIL_' || p_partkey || ' SQR_TUBE_' || p_partkey || '_300 DIM_2_5_M' END AS canonical FROM part) SELECT *, sha256(canonical) AS digest FROM c""",
+    "drawing_number": """SELECT p_partkey, CASE WHEN p_partkey % 4 = 2 THEN 'S20-' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') || 'A' WHEN p_partkey % 4 = 1 AND p_size BETWEEN 10 AND 99 AND p_partkey BETWEEN 100 AND 99999 THEN 'PL' || p_size || '-' || p_partkey ELSE '' END AS drawing_number, CASE p_partkey % 4 WHEN 0 THEN 'B' || p_size WHEN 1 THEN 'HD13' WHEN 2 THEN '' ELSE 'B2F' END AS sheet,
+      CASE p_partkey % 4 WHEN 0 THEN 'grid' WHEN 1 THEN 'mm' WHEN 2 THEN 'dwg' ELSE 'box' END AS longest FROM part""",
+    "file_identity": """WITH v AS (SELECT *, array_to_string(list_filter(string_split(upper(p_name), ' '), lambda w: w NOT IN ('OLD', 'NEW', 'FINAL', 'COPY')), '') AS words, lpad(CAST(p_partkey % 100000 AS VARCHAR), 5, '0') AS five, lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') AS three FROM part)
+    SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'S2' || p_partkey % 10 || five || words WHEN 1 THEN words ELSE 'AB' || three || '3F' || words END AS key, CASE p_partkey % 3 WHEN 0 THEN 'REV2' WHEN 1 THEN 'R03A' ELSE '' END AS revision,
+      CASE p_partkey % 3 WHEN 0 THEN 'S2' || p_partkey % 10 || '-' || five WHEN 2 THEN 'AB' || three ELSE '' END AS drawing_number, CASE p_partkey % 3 WHEN 2 THEN '3F' WHEN 0 THEN 'S2' || p_partkey % 10 ELSE '' END AS sheet,
+      CAST(CASE p_partkey % 3 WHEN 0 THEN length('see <path>/s20 00000__REV2.dwg ok') WHEN 1 THEN length('see <path>/ r03a final.dwg ok') ELSE length('see <path>/AB000-3F  20240131.dwg ok') END + length(p_name) AS INT) AS n_redacted, true AS leaks FROM v""",
     "token_jaccard": rf"""WITH r AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]{{3,}}')) AS w FROM documents)
     SELECT r.doc_id, CAST(round_even(CASE WHEN len(r.w) = 0 AND len(s.w) = 0 THEN 0.5 ELSE len(list_intersect(r.w, s.w)) / len(list_distinct(list_concat(r.w, s.w))) END * 1e6, 0) AS BIGINT) AS jaccard_micro, len(r.w) AS n_tokens {_PAIR}""",
     "hash_similarity": f"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN substring(md5(text), 1, 16) END AS h FROM documents)

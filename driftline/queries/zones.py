@@ -31,7 +31,7 @@ def coverage_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of parts by type, linked over small gaps."""
-    part = table(spark, sf_dir, "part").filter("p_size <= 12").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"), g.box(F.col("p_retailprice"), F.col("p_size"), F.col("p_retailprice") + 0.4, F.col("p_size") + 0.4).alias("box"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"), g.box(F.col("p_retailprice"), F.col("p_size"), F.col("p_retailprice") + 0.4, F.col("p_size") + 0.4).alias("box"))
     return zones.clusters(part, 0.4, 2.0, ["kind"])
 
 
@@ -48,17 +48,19 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(c("l_quantity") > 48, "DIMENSION").when(c("l_quantity") > 30, "LINE").otherwise("TEXT").alias("entity_type"),
         F.concat(F.when(c("l_suppkey") % 11 == 0, "S-BEAM").when(c("l_suppkey") % 7 == 0, "A-TEXT").otherwise("MISC"), (c("l_suppkey") % 4).cast("string")).alias("layer"),
         c("l_extendedprice").alias("x0"), c("l_quantity").alias("y0"), (c("l_extendedprice") + 10).alias("x1"), (c("l_quantity") + 1).alias("y1"),
+        (c("l_discount") > 0.03).alias("moved"), F.when(c("l_tax") > 0.06, "position,text").when(c("l_tax") > 0.03, " Position").otherwise("").alias("category"),
     )
 
 
 CHANGES = """c AS (SELECT l_orderkey % 500 AS pair_id, l_orderkey AS zone_id, l_linenumber AS line, CASE l_returnflag WHEN 'A' THEN 'added' WHEN 'R' THEN 'deleted' ELSE 'modified' END AS change_type,
   CASE WHEN l_quantity > 48 THEN 'DIMENSION' WHEN l_quantity > 30 THEN 'LINE' ELSE 'TEXT' END AS entity_type,
   CASE WHEN l_suppkey % 11 = 0 THEN 'S-BEAM' WHEN l_suppkey % 7 = 0 THEN 'A-TEXT' ELSE 'MISC' END || CAST(l_suppkey % 4 AS VARCHAR) AS layer,
-  l_extendedprice AS x0, l_quantity AS y0, l_extendedprice + 10 AS x1, l_quantity + 1 AS y1 FROM lineitem),
+  l_extendedprice AS x0, l_quantity AS y0, l_extendedprice + 10 AS x1, l_quantity + 1 AS y1, l_discount > 0.03::DOUBLE AS moved, l_tax > 0.06::DOUBLE AS reworded FROM lineitem),
 z AS (SELECT pair_id, zone_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n, count(*) FILTER (change_type = 'added') AS n_added, count(*) FILTER (change_type = 'deleted') AS n_deleted,
-  count(*) FILTER (change_type = 'modified') AS n_modified, count(*) FILTER (entity_type = 'DIMENSION') AS n_dimension, bool_or(layer LIKE 'S-BEAM%') AS structural, count(DISTINCT layer) AS n_layers FROM c GROUP BY ALL),
-s AS (SELECT *, CASE WHEN n_dimension > 0 THEN 'critical' WHEN n >= 100 OR structural THEN 'high' WHEN n >= 10 OR n_deleted > 0 OR n_modified > 0 THEN 'medium' ELSE 'low' END AS severity,
-  CASE (n_added > 0)::INT + (n_deleted > 0)::INT + (n_modified > 0)::INT WHEN 1 THEN CASE WHEN n_added > 0 THEN 'added' WHEN n_deleted > 0 THEN 'deleted' ELSE 'modified' END ELSE 'mixed' END AS change_type FROM z)"""
+  count(*) FILTER (change_type = 'modified') AS n_modified, count(*) FILTER (entity_type = 'DIMENSION') AS n_dimension, bool_or(layer LIKE 'S-BEAM%') AS structural, count(DISTINCT layer) AS n_layers, bool_or(moved) AND count(*) FILTER (change_type = 'modified') > 0 AS shifted, bool_and(entity_type <> 'LINE') AND NOT bool_or(layer LIKE 'S-BEAM%') AND NOT bool_or(reworded) AS notes FROM c GROUP BY ALL),
+s AS (SELECT * EXCLUDE (shifted, notes), CASE WHEN shifted AND notes THEN 'annotation reposition' WHEN n_dimension > 0 THEN 'contains dimension changes' WHEN structural THEN 'contains structural layer changes' WHEN n >= 100 THEN 'large clustered change' ELSE '' END AS reason,
+  CASE WHEN shifted AND notes THEN 'low' WHEN n_dimension > 0 THEN 'critical' WHEN n >= 100 OR structural THEN 'high' WHEN n >= 10 OR n_deleted > 0 OR n_modified > 0 THEN 'medium' ELSE 'low' END AS severity,
+  CASE WHEN shifted THEN 'moved' ELSE CASE (n_added > 0)::INT + (n_deleted > 0)::INT + (n_modified > 0)::INT WHEN 1 THEN CASE WHEN n_added > 0 THEN 'added' WHEN n_deleted > 0 THEN 'deleted' ELSE 'modified' END ELSE 'mixed' END END AS change_type FROM z)"""
 
 
 def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,9 +112,17 @@ def cloud_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg
 
 
+def _sized_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _zones(spark, sf_dir).select(F.col("zone_id").alias("id"), F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("height"), "n_added", "n_deleted", "change_type")
+
+
+def relocation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of one order and flag as zones, linked one to one."""
+    return zones.relocations(_sized_zones(spark, sf_dir)).select("a_id", "b_id", "n")
+
+
 def relocation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = _zones(spark, sf_dir).select(F.col("zone_id").alias("id"), F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("height"), "n_added", "n_deleted")
-    return zones.relocation_candidates(z).select("a_id", "b_id", "n", F.rint(F.col("size_diff") * 1000).cast("long").alias("size_diff_milli"), F.rint(F.col("dx") * 1000).cast("long").alias("dx_milli"))
+    return zones.relocation_candidates(_sized_zones(spark, sf_dir)).select("a_id", "b_id", "n", F.rint(F.col("size_diff") * 1000).cast("long").alias("size_diff_milli"), F.rint(F.col("dx") * 1000).cast("long").alias("dx_milli"))
 
 
 def folded_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +144,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         event_islands, coverage_islands, zone_clusters, mega_split, zone_severity, change_counts, layer_statistics, top_layers, text_evidence, executive_summary, repeated_layers,
-        cloud_regions, relocation_pairs, folded_zones, capped_regions, noise_scores,
+        cloud_regions, relocation_pairs, relocation_links, folded_zones, capped_regions, noise_scores,
     )
 }
 
@@ -151,7 +161,7 @@ ORACLE_SQL = {
     i AS (SELECT *, sum(CASE WHEN reach IS NULL OR ms > reach THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ms, stop, event_id ROWS UNBOUNDED PRECEDING) AS island FROM r),
     m AS (SELECT event_type, island, min(ms) AS a, max(stop) AS b FROM i GROUP BY ALL)
     SELECT event_type, count(*) AS n_intervals, CAST(round_even(sum(greatest(least(b, 1704153600000.0::DOUBLE) - greatest(a, 1704067200000.0::DOUBLE), 0)) / 86400000.0::DOUBLE * 1e6, 0) AS BIGINT) AS coverage_micro FROM m GROUP BY event_type""",
-    "zone_clusters": """WITH RECURSIVE b AS (SELECT p_partkey AS id, p_type AS kind, p_retailprice AS x0, p_size AS y0, p_retailprice + 0.4::DOUBLE AS x1, p_size + 0.4::DOUBLE AS y1 FROM part WHERE p_size <= 12),
+    "zone_clusters": """WITH RECURSIVE b AS (SELECT p_partkey AS id, p_type AS kind, p_retailprice AS x0, p_size AS y0, p_retailprice + 0.4::DOUBLE AS x1, p_size + 0.4::DOUBLE AS y1 FROM part),
     d AS (SELECT a.id AS u, b.id AS v, greatest(a.x0 - b.x1, b.x0 - a.x1, 0) AS dx, greatest(a.y0 - b.y1, b.y0 - a.y1, 0) AS dy FROM b a JOIN b USING (kind) WHERE abs(a.x0 - b.x0) <= 1),
     e AS (SELECT u, v FROM d WHERE sqrt(dx * dx + dy * dy) <= 0.4::DOUBLE),
     r AS (SELECT id AS node, id AS seen FROM b UNION SELECT r.node, e.v FROM r JOIN e ON r.seen = e.u)
@@ -174,7 +184,7 @@ ORACLE_SQL = {
       CASE WHEN count(DISTINCT change_type) = 1 THEN min(change_type) ELSE 'mixed' END AS change_type, min(zone_id) AS first_zone, count(*) AS zones FROM s GROUP BY pair_id""",
     "relocation_pairs": f"""WITH {CHANGES}, w AS (SELECT *, x1 - x0 AS width, y1 - y0 AS height FROM z)
     SELECT g.zone_id AS a_id, h.zone_id AS b_id, g.n_deleted AS n, CAST(round_even((abs(g.width - h.width) + abs(g.height - h.height)) * 1000, 0) AS BIGINT) AS size_diff_milli, CAST(round_even((h.x0 - g.x0) * 1000, 0) AS BIGINT) AS dx_milli
-    FROM w g JOIN w h ON g.n_deleted = h.n_added AND g.n_deleted > 0 AND g.n_added = 0 AND h.n_deleted = 0
+    FROM w g JOIN w h ON g.n_deleted = h.n_added AND g.n_deleted > 0 AND g.n_added = 0 AND h.n_deleted = 0 AND g.n_modified = 0 AND h.n_modified = 0
     WHERE abs(g.width - h.width) <= greatest(2, 0.01::DOUBLE * greatest(g.width, h.width)) AND abs(g.height - h.height) <= greatest(2, 0.01::DOUBLE * greatest(g.height, h.height))""",
     "folded_zones": f"""WITH {CHANGES}, f AS (SELECT zone_id, count(*) OVER w AS members, row_number() OVER (PARTITION BY change_type, severity, n_layers ORDER BY pair_id, zone_id) AS place FROM s WINDOW w AS (PARTITION BY change_type, severity, n_layers))
     SELECT *, members >= 3 AND place > 1 AS is_folded FROM f""",
