@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,28 +14,72 @@ from driftline.plans.scratch import Scratch
 
 #: Nodes of one side of a component up to which the optimum is computed, and the cost of no edge.
 MOST_OPTIMAL, NO_EDGE = 200, 1e9
+#: Edges that one task walks, edges of a component up to which it is walked in one task, and rounds before components are looked for.
+WALKED, MOST_WALKED, ROUNDS = 200_000, 200_000, 2
 
 
 def greedy(edges: DataFrame, order: list, a: str = "a_id", b: str = "b_id") -> DataFrame:
     """The edges that a walk in the given order takes when both ends are still free.
 
     ``order`` is a list of columns that together are a total order within a node. An edge
-    that comes first at both of its ends is taken in any such walk, so every round takes
-    all of these at once and drops the edges of nodes taken; the result equals the walk's,
+    that comes first at both of its ends is taken in any such walk, so a round takes all of
+    these at once and drops the edges of nodes taken. What a few rounds leave is dealt out
+    by components, and tasks walk theirs in order, many small components to a task; a
+    component too large for a task goes on in rounds. So the result equals the walk's
     without bringing the edges to one place. Rounds are written to the shared folder.
     """
     scratch = Scratch(edges.sparkSession, "greedy")
     rank = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(*order))
-    left, taken, n = edges, None, 0
+    left, taken, n, walked = edges, None, 0, False
     while True:
         marked = scratch.write(left.withColumn("_best", (rank(a) == 1)).withColumn("_also", rank(b) == 1).withColumn("_take", F.col("_best") & F.col("_also")), f"round-{n}")
         chosen = marked.filter("_take").drop("_best", "_also", "_take")
         taken = chosen if taken is None else taken.unionByName(chosen)
         rest = marked.drop("_best", "_also", "_take").join(chosen.select(a), a, "left_anti").join(chosen.select(b), b, "left_anti")
         n += 1
+        if walked or n < ROUNDS:
+            if rest.isEmpty():
+                return taken
+            left = rest
+            continue
+        rest = scratch.write(rest, "rest")
         if rest.isEmpty():
             return taken
-        left = rest
+        by = _by_component(rest, a, b, scratch)
+        small = by.filter(F.col("edges") <= MOST_WALKED)
+        buckets = max(1, -(-small.count() // WALKED))
+        small = small.withColumn("_bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
+        walk = small.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", *order).select(*edges.columns).mapInArrow(_walk(a, b), edges.schema)
+        taken = taken.unionByName(scratch.write(walk, "walked"))
+        left, walked = by.filter(F.col("edges") > MOST_WALKED).select(*edges.columns), True
+        if left.isEmpty():
+            return taken
+
+
+def _walk(a: str, b: str):
+    """Of edges that come in order, those whose ends are still free."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = set(), set()
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist(), strict=True):
+                free = x not in one and y not in two
+                keep.append(free)
+                if free:
+                    one.add(x)
+                    two.add(y)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _by_component(edges: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
+    """Edges with their ``component`` and how many ``edges`` it has."""
+    ends = edges.select(F.concat(F.lit("a"), a).alias("u"), F.concat(F.lit("b"), b).alias("v"))
+    of = components(ends, "u", "v").filter("node LIKE 'a%'").select(F.expr("substring(node, 2)").cast(edges.schema[a].dataType).alias(a), "component")
+    rows = scratch.write(edges.join(of, a), "components")
+    return rows.join(rows.groupBy("component").agg(F.count("*").alias("edges")), "component")
 
 
 def hungarian(cost: np.ndarray) -> np.ndarray:
@@ -69,34 +115,53 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def _solved(rows: pa.Table, a: str, b: str, cost: str) -> pa.Table:
+    """The assignments of all components of a table."""
+    _, of = np.unique(np.asarray(rows.column("component").to_pylist()), return_inverse=True)
+    names = [rows.column(c).to_pylist() for c in (a, b)]
+    one, two = (np.unique(np.asarray(x), return_inverse=True)[1] for x in names)
+    price = rows.column(cost).to_numpy()
+    order = np.lexsort((two, one, price, of))
+    keep = []
+    for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+        x, i = np.unique(one[part], return_inverse=True)
+        y, j = np.unique(two[part], return_inverse=True)
+        if len(x) == 1 or len(y) == 1:  # a star: its cheapest edge
+            keep.append(part[:1])
+            continue
+        table, edge = np.full((len(x), len(y)), NO_EDGE), np.full((len(x), len(y)), -1)
+        table[i[::-1], j[::-1]], edge[i[::-1], j[::-1]] = price[part][::-1], part[::-1]  # of repeated edges the cheapest, which is first
+        found = hungarian(table) if len(x) <= len(y) else hungarian(table.T)
+        at = np.flatnonzero(found >= 0)
+        chosen = edge[at, found[at]] if len(x) <= len(y) else edge[found[at], at]
+        keep.append(chosen[chosen >= 0])
+    return rows.take(pa.array(np.concatenate(keep) if keep else np.zeros(0, np.int64))).select([a, b, cost])
+
+
 def optimal(edges: DataFrame, cost: str, a: str = "a_id", b: str = "b_id") -> DataFrame:
     """The assignment with most edges and, of these, the least total cost.
 
-    Components of the edges are solved apart. One with more than ``MOST_OPTIMAL`` nodes on
-    a side is walked greedily by cost instead, so no task holds more than a bounded matrix.
+    An edge that is the only one of both its ends is in it. The components of the others
+    are dealt out over tasks, and a task solves each of its own. One with more than
+    ``MOST_OPTIMAL`` nodes on a side is walked greedily by cost instead, so no task holds
+    more than a bounded matrix.
     """
     scratch = Scratch(edges.sparkSession, "assign")
-    rows = scratch.write(edges.select(a, b, cost), "edges")
-    ends = rows.select(F.concat(F.lit("a"), a).alias("u"), F.concat(F.lit("b"), b).alias("v"))
-    of = components(ends, "u", "v").filter("node LIKE 'a%'").select(F.expr("substring(node, 2)").cast(rows.schema[a].dataType).alias(a), "component")
-    rows = scratch.write(rows.join(of, a), "components")
-    sizes = rows.groupBy("component").agg(F.greatest(F.count_distinct(a), F.count_distinct(b)).alias("n"))
-    small = rows.join(sizes.filter(F.col("n") <= MOST_OPTIMAL), "component").drop("n")
-    large = rows.join(sizes.filter(F.col("n") > MOST_OPTIMAL), "component").drop("n", "component")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([cost, a, b]).drop_duplicates([a, b])
-        one, two = sorted(pdf[a].unique()), sorted(pdf[b].unique())
-        flip = len(one) > len(two)
-        table = np.full((len(one), len(two)), NO_EDGE)
-        table[[one.index(x) for x in pdf[a]], [two.index(x) for x in pdf[b]]] = pdf[cost]
-        found = hungarian(table.T if flip else table)
-        pairs = [(j, i) if flip else (i, j) for i, j in enumerate(found)]
-        return pd.DataFrame([(one[i], two[j], table[i, j]) for i, j in pairs if j >= 0 and i >= 0 and table[i, j] < NO_EDGE], columns=[a, b, cost])
-
-    schema = edges.select(a, b, F.col(cost).cast("double")).schema
-    solved = small.withColumn(cost, F.col(cost).cast("double")).groupBy("component").applyInPandas(lambda pdf: solve(pdf.drop(columns="component")), schema)
-    return solved.unionByName(greedy(large.withColumn(cost, F.col(cost).cast("double")), [cost, a, b], a, b).select(a, b, cost))
+    rows = scratch.write(edges.select(a, b, F.col(cost).cast("double").alias(cost)), "edges")
+    alone = lambda end: rows.groupBy(end).agg(F.count("*").alias("n")).filter("n = 1").select(end)
+    lone = scratch.write(rows.join(alone(a), a, "left_semi").join(alone(b), b, "left_semi"), "lone")
+    rest = scratch.write(rows.join(lone.select(a), a, "left_anti"), "rest")
+    if rest.isEmpty():
+        return lone
+    by = _by_component(rest, a, b, scratch).drop("edges")
+    sizes = by.groupBy("component").agg(F.greatest(F.count_distinct(a), F.count_distinct(b)).alias("n"))
+    by = scratch.write(by.join(sizes, "component"), "sized")
+    small, large = by.filter(F.col("n") <= MOST_OPTIMAL).drop("n"), by.filter(F.col("n") > MOST_OPTIMAL).select(a, b, cost)
+    buckets = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-small.count() // WALKED))
+    small = small.withColumn("_bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
+    solved = small.groupBy("_bucket").applyInArrow(lambda t: _solved(t, a, b, cost), rows.select(a, b, cost).schema)
+    out = lone.select(a, b, cost).unionByName(solved)
+    return out if large.isEmpty() else out.unionByName(greedy(large, [cost, a, b], a, b).select(a, b, cost))
 
 
 def mutual_best(edges: DataFrame, order: list, a: str = "a_id", b: str = "b_id") -> DataFrame:

@@ -193,6 +193,20 @@ def test_greedy_equals_the_walk(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("most", [200_000, 30])
+def test_greedy_of_a_chain(spark, monkeypatch, most):
+    """A chain in which each edge waits for the one before it."""
+    monkeypatch.setattr(assign, "MOST_WALKED", most)
+    n = 1000 if most > 1000 else 40
+    edges = [(i // 2, (i + 1) // 2, float(i)) for i in range(n)] + [(5000 + i, 6000 + i, 1.0) for i in range(20)]
+    rounds = []
+    write = assign.Scratch.write
+    monkeypatch.setattr(assign.Scratch, "write", lambda self, df, name: (rounds.append(name), write(self, df, name))[1])
+    got = assign.greedy(spark.createDataFrame(edges, "a_id long, b_id long, d double"), [F.col("d"), F.col("a_id"), F.col("b_id")])
+    assert {r.d for r in got.filter("a_id < 5000").collect()} == {float(i) for i in range(0, n, 2)} and got.filter("a_id >= 5000").count() == 20
+    assert most < 1000 or len([x for x in rounds if x.startswith("round")]) <= 20
+
+
 def test_optimal_equals_brute_force(spark):
     from itertools import permutations
 
