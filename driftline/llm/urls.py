@@ -4,7 +4,8 @@ Pages under a rule are labelled outcomes (allow: good, block: bad). A host's rat
 outcomes is shrunk to its registered domain's, that one to its public suffix's, and that
 one to the rate of all. The strength of each prior comes from the data: the overdispersion
 of the children's counts around their parents (beta-binomial, by moments). A page without
-a rule is blocked if even the upper posterior bound of its host's rate is below one half.
+a rule is blocked if even the upper posterior bound of its host's rate is below one half
+(mean and standard deviations of the posterior, a normal approximation of its quantile).
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm.common import Scratch
+
 #: Bound on the rate of good pages, standard deviations of the bound, and limits of the intra-class correlation.
 LEAST_RATE, DEVIATIONS, RHO_LOW, RHO_HIGH = 0.5, 1.645, 0.01, 0.95
 #: Second-level labels under a two-letter suffix that make a suffix of two labels (fixed values).
@@ -64,6 +67,7 @@ def reputation(pages: DataFrame, levels: Sequence[str]) -> DataFrame:
     """
     keep = list(levels)
     counts = pages.groupBy(*keep).agg(F.count("good").cast("double").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("k"))
+    counts = Scratch(pages.sparkSession, "urls").write(counts, "counts")  # a row for each host; read once a level
     total = counts.agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("m"))
     parent = total
     on: list[str] = []
