@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.queries import metrics, ranking, records, regions, spatial, streams, tablediff, text, zones
+from driftline.queries import files, metrics, ranking, records, regions, shapes, sheets, spatial, streams, tablediff, text, zones
 
-_MODULES = (tablediff, spatial, zones, ranking, metrics, text, records, regions, streams)
+_MODULES = (tablediff, spatial, zones, ranking, metrics, text, records, regions, streams, shapes, sheets, files)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
