@@ -11,7 +11,8 @@ are updated in turn. Candidates behind a pattern of high score and enough differ
 reliable instances become spans of its kind, whatever their own shape.
 
 The places of a pattern are counted over all texts, but only for patterns that can still
-reach the least score: the documents with instances give a lower bound of their places.
+reach the least score: the documents with instances, counted first, give a lower bound of
+their places, so what the pass over all texts makes grows with the instances.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ ROUNDS, SUPPORT, LEAST_SCORE = 3, 3.0, 0.5
 CONTEXT_SET = 1_000
 #: Characters left of an instance that are tried first, and where they don't hold two whole words; what is longer is no word of a pattern.
 REACH, FAR = 64, 1_000
-#: Contexts of a document whose places in it are counted for the bound (of the others, the instances are).
-BOUNDED = 16
 #: Digits of a candidate, and steps by which candidates hand kinds on.
 DIGITS, STEPS = 5, 2
 
@@ -147,9 +146,12 @@ def _backwards(left: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(back, "^[\\x20\\x09-\\x0D]+", ""), "[\\x20\\x09-\\x0D]+", 3), lambda w: w != "")
 
 
-def _places(text: Column) -> Column:
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+
+def _places(words: Column) -> Column:
     """Every word, and every two words, as contexts are made."""
-    words = F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(words, pairs)
 
@@ -167,11 +169,9 @@ class Finder:
         rows = docs.withColumn("base", base_spans(F.col("text"))).withColumn("like", like)
         context = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"), _contexts(F.col("text"), x["start"]).alias("contexts"))
         rows = rows.withColumns({"base": F.transform("base", context), "like": F.transform("like", context)})
-        few = F.slice(F.array_distinct(F.flatten(F.transform(F.concat("base", "like"), lambda x: x["contexts"]))), 1, BOUNDED)
-        here = lambda places: F.transform(few, lambda c: F.struct(c.alias("context"), F.size(F.filter(places, lambda w: w == c)).alias("n")))
-        held = F.when(F.size("base") + F.size("like") > 0, _let(_places(F.col("text")), here))
-        #: Spans only, one row per document, in the order of nothing in particular.
-        self.rows = self.scratch.write(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.length("text").alias("long"), "base", "like", held.alias("held")), "rows")
+        words = F.when(F.size("base") + F.size("like") > 0, _words(F.col("text")))
+        #: Spans, and the words of documents that have some, one row per document, in the order of nothing in particular.
+        self.rows = self.scratch.write(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.length("text").alias("long"), "base", "like", words.alias("words")), "rows")
 
     def graph(self) -> DataFrame:
         """``kind``, ``context``, ``value``, ``seed``, ``n``: how often each instance follows each pattern.
@@ -189,15 +189,16 @@ class Finder:
             kinds = kinds.unionByName(like.join(edges.select("kind", "value").distinct(), "value").select("kind", "context")).distinct()
         edges = seeds.withColumn("seed", F.lit(True)).unionByName(like.join(kinds, "context").withColumn("seed", F.lit(False)))
         edges = self.scratch.write(edges, "edges")
-        low = self.rows.select(F.explode("held").alias("x")).groupBy("x.context").agg(F.sum("x.n").alias("low"))
         able = edges.groupBy("kind", "context").agg(F.count("*").alias("instances"), F.min("seed").alias("closed"), F.sum("n").alias("mass")).filter((F.col("instances") >= SUPPORT) & ~F.col("closed"))
+        able = self.scratch.write(able, "able")
+        low = self.rows.filter("words IS NOT NULL").select(F.explode(_places(F.col("words"))).alias("context")).join(small(able.select("context").distinct()), "context", "left_semi").groupBy("context").agg(F.count("*").alias("low"))
         able = able.join(low, "context", "left").filter(F.col("mass") >= F.coalesce("low", F.lit(0)) * LEAST_SCORE).select("kind", "context")
         return edges.join(able, ["kind", "context"], "left_semi")
 
     def _counted(self, contexts: DataFrame) -> DataFrame:
         """``context``, ``places``: how often the words of each stand in all texts."""
         n = contexts.count()
-        places = _places(F.col("text"))
+        places = _places(_words(F.col("text")))
         if n <= CONTEXT_SET:
             wanted = [r["context"] for r in contexts.collect()]  # at most CONTEXT_SET
             return self.texts.select(F.explode(F.filter(places, lambda w: w.isin(wanted))).alias("context")).groupBy("context").agg(F.count("*").alias("places"))
