@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from driftline.functions.changes import STRUCTURE_HINTS, _hinted, domain_matches, domain_tags
-from driftline.functions.text import canonical
+from driftline.functions.text import canonical, let
 
 #: Categories by layer words, by words of a text, and by entity type, in order (fixed values).
 LAYER_WORDS = (
@@ -35,7 +35,7 @@ SEVERITY_ACTION = {"critical": "review", "normal": "review", "minor": "confirm"}
 
 
 def _first(rules: Sequence[tuple[str, str]], text: Column) -> Column:
-    return F.coalesce(*[F.when(F.rlike(text, F.lit(p)), F.lit(c)) for c, p in rules])
+    return let(text, lambda t: F.coalesce(*[F.when(F.rlike(t, F.lit(p)), F.lit(c)) for c, p in rules]))
 
 
 def keyword_category(layer: Column, entity: Column, text: Column) -> Column:
@@ -43,16 +43,21 @@ def keyword_category(layer: Column, entity: Column, text: Column) -> Column:
 
     Words are looked for in the canonical form. A text that agrees with its layer adds to the confidence.
     """
-    by_layer, by_text = _first(LAYER_WORDS, canonical(layer)), _first(TEXT_WORDS, canonical(text))
     kind, by_entity = F.upper(F.coalesce(entity, F.lit(""))), F.lit(None).cast("string")
     for k, v in ENTITY_CATEGORY.items():
         by_entity = F.when(kind == k, v).otherwise(by_entity)
+    found = F.struct(_first(LAYER_WORDS, canonical(layer)).alias("layer"), _first(TEXT_WORDS, canonical(text)).alias("text"), by_entity.alias("entity"))
+    page = F.startswith(F.coalesce(layer, F.lit("")), F.lit("PDF_PAGE_"))
+    return let(found, lambda f: _judged(f["layer"], f["text"], f["entity"], page))
+
+
+def _judged(by_layer: Column, by_text: Column, by_entity: Column, page: Column) -> Column:
     category = F.coalesce(by_layer, by_text, by_entity, F.lit("unknown"))
     confidence = F.when(by_layer.isNotNull() & (by_layer == by_text), 0.95).when(by_layer.isNotNull(), 0.85).when(by_text.isNotNull(), 0.75).when(by_entity.isNotNull(), 0.55).otherwise(0.3)
     severity = F.lit("normal")
     for k, v in CATEGORY_SEVERITY.items():
         severity = F.when(category == k, v).otherwise(severity)
-    severity = F.when(F.startswith(F.coalesce(layer, F.lit("")), F.lit("PDF_PAGE_")), "minor").otherwise(severity)
+    severity = F.when(page, "minor").otherwise(severity)
     return F.struct(category.alias("category"), severity.alias("severity"), confidence.alias("confidence"), F.when(severity == "minor", "confirm").otherwise("review").alias("action"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -225,8 +226,17 @@ def compatible(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", unicodedata.normalize("NFKC", v)))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _rewritten(text: Column, pattern: str, form: str, how: str) -> Column:
     """Every match as the form, with the first group changed: what stands between matches, and the matches' new forms, in turn."""
+    return let(text, lambda once: _put(once, pattern, form, how))
+
+
+def _put(text: Column, pattern: str, form: str, how: str) -> Column:
     change = {"upper": F.upper, "callout": lambda g: F.translate(F.replace(g, F.lit(" ")), "-", "_")}[how]
     found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in range(1, form.count("$") + 1)]
     parts = F.arrays_zip(*[x.alias(f"g{k}") for k, x in enumerate(found)], F.slice(F.split(text, pattern, -1), 2, 1_000_000_000).alias("rest"))
