@@ -188,11 +188,18 @@ def map_cosine(a: Column, b: Column, empty: float = 0.0) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), empty).otherwise(F.coalesce(dot / F.nullif(norm(a) * norm(b), F.lit(0.0)), F.lit(0.0)))
 
 
+#: Prototypes that every item is held against.
+MOST_PROTOTYPES = 10_000
+
+
 def by_prototypes(items: DataFrame, prototypes: DataFrame, id_col: str, vector: str, category: str, threshold: float, margin: float) -> DataFrame:
     """Category of each item by its most similar prototype, or null below the threshold or the margin to the next category.
 
-    ``prototypes`` is a model: a few vectors a category. It is broadcast by the caller's choice of its size.
+    ``prototypes`` is a model: a few vectors a category, ``MOST_PROTOTYPES`` at most, which are broadcast.
     """
+    if prototypes.count() > MOST_PROTOTYPES:
+        raise ValueError("prototypes are broadcast and have a bounded number")
+    prototypes = F.broadcast(prototypes)
     pairs = items.select(id_col, F.col(vector).alias("v")).crossJoin(prototypes.select(category, F.col(vector).alias("p")))
     best = pairs.groupBy(id_col, category).agg(F.max(cosine(F.col("v"), F.col("p"))).alias("similarity"))
     w = Window.partitionBy(id_col).orderBy(F.desc("similarity"), category)

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.functions.geometry import distance, rotated
+
 #: Rows that the robust fit reads (by hash), its tolerance, least share of inliers and least number of pairs.
 SAMPLE, TOLERANCE, LEAST_INLIERS, LEAST_PAIRS = 5000, 0.5, 0.5, 4
 #: A transform is significant beyond this shift or angle.
@@ -67,7 +69,7 @@ def rigid_transform(pairs: DataFrame, seed: int = 0, rounds: int = 200) -> tuple
     """(dx, dy, angle, inlier share) by random sample consensus on a bounded sample of pairs, or None.
 
     The sample (``SAMPLE`` pairs, by hash of their coordinates) is what the driver holds;
-    the transform itself is then applied and judged over all rows by ``inlier_share``.
+    the share of inliers that it returns is over all pairs.
     """
     rows = pairs.select("ax", "ay", "bx", "by").orderBy(F.xxhash64("ax", "ay", "bx", "by")).limit(SAMPLE).toPandas().to_numpy(float)
     if len(rows) < LEAST_PAIRS:
@@ -83,7 +85,10 @@ def rigid_transform(pairs: DataFrame, seed: int = 0, rounds: int = 200) -> tuple
     if best is None or best.mean() < LEAST_INLIERS or best.sum() < LEAST_PAIRS:
         return None
     found = fit_rigid(a[best], b[best])
-    return (*found, float((_residual(a, b, found) <= TOLERANCE).mean()))
+    t = F.struct(F.lit(found[0]).alias("dx"), F.lit(found[1]).alias("dy"), F.lit(found[2]).alias("angle"))
+    moved = rotated(F.col("ax"), F.col("ay"), t)
+    near = distance(moved["x"], moved["y"], F.col("bx"), F.col("by")) <= TOLERANCE
+    return (*found, float(pairs.agg(F.avg(near.cast("double"))).first()[0]))
 
 
 def _residual(a: np.ndarray, b: np.ndarray, t: tuple[float, float, float]) -> np.ndarray:

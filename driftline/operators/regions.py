@@ -18,6 +18,10 @@ from driftline.operators.zones import merged_intervals
 from driftline.plans.scratch import Scratch
 
 
+#: Clauses of a catalogue that is held against all evidence.
+MOST_CLAUSES = 10_000
+
+
 def suppressed(boxes: DataFrame, on: Sequence[str], cell: float, most_iou: float = 0.85) -> DataFrame:
     """Boxes left when each, from the largest, takes out the smaller ones that overlap it by more than ``most_iou``.
 
@@ -69,35 +73,46 @@ def cell_clusters(points: DataFrame, on: Sequence[str], cell: float) -> DataFram
     return points.join(of, points["id"] == of["node"], "left").select(*on, "id", F.coalesce("component", "id").alias("cluster"))
 
 
-def ratio_cut(boxes: DataFrame, by: str, most: int = 96, least_ratio: float = 3.0) -> DataFrame:
+def ratio_cut(boxes: DataFrame, by: str, most: int | None = None, least_ratio: float = 3.0) -> DataFrame:
     """Single linkage of each group's boxes, cut where the gap of merges jumps most (by ``least_ratio`` at least).
 
-    Only the ``most`` largest boxes of a group take part, which bounds a task. Returns
-    ``id`` and ``cluster`` (smallest id).
+    All boxes of a group take part, its spanning tree found in memory that grows with their
+    number; ``most`` keeps the largest ones instead. Returns ``id`` and ``cluster`` (smallest id).
     """
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(area(F.col("box"))), "id"))
-    rows = boxes.withColumn("_r", rank).filter(F.col("_r") <= most).select(by, "id", "box.x0", "box.y0", "box.x1", "box.y1")
+    rows = boxes.select(by, "id", "box.x0", "box.y0", "box.x1", "box.y1")
+    if most is not None:
+        rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(area(F.col("box"))), "id"))
+        rows = boxes.withColumn("_r", rank).filter(F.col("_r") <= most).select(by, "id", "box.x0", "box.y0", "box.x1", "box.y1")
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
         x0, y0, x1, y1 = (pdf[c].to_numpy() for c in ("x0", "y0", "x1", "y1"))
-        dx = np.maximum(0, np.maximum(x0[:, None] - x1[None, :], x0[None, :] - x1[:, None]))
-        dy = np.maximum(0, np.maximum(y0[:, None] - y1[None, :], y0[None, :] - y1[:, None]))
-        gap, i, j = np.hypot(dx, dy), *np.triu_indices(len(pdf), 1)
-        label, merges = np.arange(len(pdf)), []
-        for k in np.argsort(gap[i, j], kind="stable"):
-            a, b = label[i[k]], label[j[k]]
-            if a != b:
-                label[label == max(a, b)] = min(a, b)
-                merges.append((gap[i[k], j[k]], i[k], j[k]))
+        n, merges = len(pdf), []
+        gap, came, out = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
+        at = 0
+        for _ in range(n - 1):  # the next box of the tree is the one nearest to it
+            out[at] = False
+            now = np.hypot(np.maximum(0, np.maximum(x0 - x1[at], x0[at] - x1)), np.maximum(0, np.maximum(y0 - y1[at], y0[at] - y1)))
+            closer = out & (now < gap)
+            gap[closer], came[closer] = now[closer], at
+            at = int(np.where(out, gap, np.inf).argmin())
+            merges.append((gap[at], came[at], at))
+        merges.sort(key=lambda m: m[0])
         jumps = [merges[k + 1][0] / max(merges[k][0], 1.0) for k in range(len(merges) - 1)]
         limit = merges[int(np.argmax(jumps))][0] if jumps and max(jumps) >= least_ratio else np.inf
-        label = np.arange(len(pdf))
+        parent = list(range(n))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
         for d, a, b in merges:
             if d <= limit:
-                one, two = label[a], label[b]
-                label[label == max(one, two)] = min(one, two)
-        return pd.DataFrame({by: pdf[by], "id": pdf["id"], "cluster": pdf["id"].to_numpy()[label]})
+                one, two = root(a), root(b)
+                parent[max(one, two)] = min(one, two)
+        return pd.DataFrame({by: pdf[by], "id": pdf["id"], "cluster": pdf["id"].to_numpy()[[root(i) for i in range(n)]]})
 
     schema = rows.select(by, "id", F.col("id").alias("cluster")).schema
     return rows.groupBy(by).applyInPandas(cut, schema)
@@ -153,8 +168,11 @@ def nearby(anchors: DataFrame, entities: DataFrame, radius: float, k: int, on: S
 def lookup(clauses: DataFrame, evidence: DataFrame, k: int) -> DataFrame:
     """The k best clauses of each piece of evidence: the lengths of the clause's keywords that occur in its text, added up.
 
-    ``clauses`` (a catalogue, broadcast by the caller's choice) has ``clause_id keywords``, ``evidence`` has ``id text``.
+    ``clauses`` (a catalogue of at most ``MOST_CLAUSES``) has ``clause_id keywords``, ``evidence`` has ``id text``.
     """
+    if clauses.count() > MOST_CLAUSES:
+        raise ValueError("a catalogue of clauses is broadcast and has a bounded number of them")
+    clauses = F.broadcast(clauses)
     low = F.lower("text")
     score = F.aggregate(F.filter("keywords", lambda w: F.contains(low, F.lower(w))), F.lit(0), lambda s, w: s + F.length(w))
     rows = evidence.crossJoin(clauses).withColumn("score", score).filter("score > 0")

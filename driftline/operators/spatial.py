@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.geometry import box_gap, distance, iou
+from driftline.plans.scratch import Scratch
 
 #: Cells that a box may cover before it goes to the coarser grid.
 MOST_CELLS = 4096
@@ -85,10 +86,29 @@ def near_boxes(left: DataFrame, right: DataFrame, radius: float, cell: float, on
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, on: Sequence[str] = ()) -> DataFrame:
-    """The k nearest right points of each left point within the radius: ``a_id``, ``b_id``, ``distance``, ``rank``."""
-    pairs = near_points(left, right, radius, radius, on)
+    """The k nearest right points of each left point: ``a_id``, ``b_id``, ``distance``, ``rank``.
+
+    They are looked for within ``radius`` first; points that find fewer look again within
+    four times that, until all have k or the radius covers all points, so sparse points
+    cost rounds and dense ones don't. Rounds are written to the shared folder.
+    """
+    scratch = Scratch(left.sparkSession, "nearest")
+    edge = left.select("x", "y").unionByName(right.select("x", "y")).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    reach = 0.0 if edge[0] is None else ((edge[2] - edge[0]) ** 2 + (edge[3] - edge[1]) ** 2) ** 0.5
     rank = F.row_number().over(Window.partitionBy("a_id").orderBy("distance", "b_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+    out, rest, n = None, left, 0
+    while True:
+        found = scratch.write(near_points(rest, right, radius, radius, on).withColumn("rank", rank).filter(F.col("rank") <= k), f"found-{n}")
+        full = found.filter(F.col("rank") == k).select(F.col("a_id").alias("id"))
+        last = radius >= reach
+        done = found if last else found.join(full.withColumnRenamed("id", "a_id"), "a_id", "left_semi").select(*found.columns)
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        rest = scratch.write(rest.join(full, "id", "left_anti").select(*left.columns), f"rest-{n}")
+        if rest.isEmpty():
+            return out
+        radius, n = radius * 4, n + 1
 
 
 def in_window(points: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:

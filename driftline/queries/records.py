@@ -20,7 +20,7 @@ def block_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as blocks in nations, customers as inserts of their nation."""
     c = F.col
     children = table(spark, sf_dir, "supplier").select(c("s_nationkey").alias("block"), c("s_suppkey").alias("child_id"), (c("s_suppkey") % 50).cast("double").alias("cx"), (c("s_suppkey") % 7).cast("double").alias("cy"), F.lit(2.0).alias("radius"), F.when(c("s_suppkey") % 2 == 0, "0").otherwise("S").alias("layer"))
-    inserts = table(spark, sf_dir, "customer").filter("c_custkey % 20 = 0").select(c("c_custkey").alias("insert_id"), c("c_nationkey").alias("block"), c("c_acctbal").alias("x"), (c("c_custkey") * 1.0).alias("y"), F.lit(2.0).alias("sx"), F.lit(-1.0).alias("sy"), ((c("c_custkey") % 4) * 90.0).alias("angle"), c("c_mktsegment").alias("layer"))
+    inserts = table(spark, sf_dir, "customer").select(c("c_custkey").alias("insert_id"), c("c_nationkey").alias("block"), c("c_acctbal").alias("x"), (c("c_custkey") * 1.0).alias("y"), F.lit(2.0).alias("sx"), F.lit(-1.0).alias("sy"), ((c("c_custkey") % 4) * 90.0).alias("angle"), c("c_mktsegment").alias("layer"))
     return expand.expand_once(inserts, children).select("insert_id", "child_id", "layer", "radius", F.rint(c("x") * 1000).cast("long").alias("x_milli"), F.rint(c("y") * 1000).cast("long").alias("y_milli"))
 
 
@@ -72,7 +72,7 @@ def histogram_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     return table(spark, sf_dir, "documents").select(
-        "doc_id", F.concat(F.lit("DWG-"), (c("doc_id") % 60).cast("string")).alias("number"), F.slice(t.tokens(F.substring("text", 1, 300)), 1, 40).alias("title"), F.when(c("doc_id") % 9 != 0, F.substring(F.md5("text"), 1, 16)).alias("visual"),
+        "doc_id", F.concat(F.lit("DWG-"), (c("doc_id") % 60).cast("string")).alias("number"), t.tokens(c("text")).alias("title"), F.when(c("doc_id") % 9 != 0, F.substring(F.md5("text"), 1, 16)).alias("visual"),
         F.substring(F.md5(t.lowered(c("text"))), 1, 16).alias("hash"), (c("n_chars") % 7 + 1).cast("double").alias("w"), (c("n_chars") % 5 + 1).cast("double").alias("h"), "lang",
     )
 
@@ -104,7 +104,7 @@ def page_pair_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 3000")
+    o = table(spark, sf_dir, "orders")
     pairs = o.select(c("o_orderkey").alias("a_id"), c("o_custkey").alias("k"), c("o_totalprice").alias("p"), c("o_orderstatus").alias("s")).join(o.select(c("o_orderkey").alias("b_id"), c("o_custkey").alias("k"), c("o_totalprice").alias("q"), c("o_orderstatus").alias("u")), "k").filter("a_id < b_id")
     close = F.least(c("p"), c("q")) / F.greatest(c("p"), c("q"))
     score = pairing.file_score(close, F.when(c("s") == c("u"), 1.0).otherwise(0.0), F.lit(0.5), close * close, F.lit(1.0), c("a_id") % 10 == c("b_id") % 10, c("s") == c("u"), (c("a_id") + c("b_id")) % 7 == 0)
@@ -130,12 +130,12 @@ def override_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates, _ = _overrides(spark, sf_dir)
-    return pairing.duplicates(candidates.filter("a_id % 3 = 0"))
+    """Users as pages that several kinds of events were confirmed for."""
+    return pairing.duplicates(table(spark, sf_dir, "events").select(F.col("user_id").alias("a_id"), F.col("event_id").alias("b_id")).unionByName(table(spark, sf_dir, "events").filter("event_id % 9 = 0").select((F.col("user_id") + 1).alias("a_id"), F.col("event_id").alias("b_id"))))
 
 
 def unmatched_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a_id"))
+    chosen = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' AND o_totalprice > 400000").select(F.col("o_custkey").alias("a_id"))
     return pairing.unmatched(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", chosen, "a_id")
 
 
@@ -210,7 +210,7 @@ def _m(**values: str) -> str:
     return ", ".join(f"CAST(round_even(({v}) * 1e6, 0) AS BIGINT) AS {k}_micro" for k, v in values.items())
 
 
-_PAGES = r"""w AS (SELECT doc_id, 'DWG-' || (doc_id % 60) AS number, list_sort(list_distinct(regexp_extract_all(lower(substring(text, 1, 300)), '[\p{L}\p{N}]{2,}')))[:40] AS title, CASE WHEN doc_id % 9 <> 0 THEN substring(md5(text), 1, 16) END AS visual,
+_PAGES = r"""w AS (SELECT doc_id, 'DWG-' || (doc_id % 60) AS number, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]{2,}')) AS title, CASE WHEN doc_id % 9 <> 0 THEN substring(md5(text), 1, 16) END AS visual,
   substring(md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))), 1, 16) AS hash, CAST(n_chars % 7 + 1 AS DOUBLE) AS w, CAST(n_chars % 5 + 1 AS DOUBLE) AS h FROM documents),
 j AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, CASE WHEN a.number = b.number THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS num, CASE WHEN len(a.title) = 0 OR len(b.title) = 0 THEN 0 ELSE len(list_intersect(a.title, b.title)) / len(list_distinct(list_concat(a.title, b.title))) END AS tit,
   CASE WHEN a.visual IS NULL OR b.visual IS NULL THEN 0.5::DOUBLE ELSE 1 - bit_count(xor(('0x' || a.visual)::UBIGINT, ('0x' || b.visual)::UBIGINT)) / 64 END AS vis, 1 - bit_count(xor(('0x' || a.hash)::UBIGINT, ('0x' || b.hash)::UBIGINT)) / 64 AS txt,
@@ -238,7 +238,7 @@ def _diff_sql(matched: str, removed: str, names: list[str], checks: list[str], n
 
 ORACLE_SQL = {
     "block_expansion": """WITH k AS (SELECT s_nationkey AS block, s_suppkey AS child_id, CAST(s_suppkey % 50 AS DOUBLE) AS cx, CAST(s_suppkey % 7 AS DOUBLE) AS cy, CASE WHEN s_suppkey % 2 = 0 THEN '0' ELSE 'S' END AS cl FROM supplier),
-    i AS (SELECT c_custkey AS insert_id, c_nationkey AS block, c_acctbal AS x, c_custkey AS y, (c_custkey % 4) * 90 AS angle, c_mktsegment AS layer FROM customer WHERE c_custkey % 20 = 0)
+    i AS (SELECT c_custkey AS insert_id, c_nationkey AS block, c_acctbal AS x, c_custkey AS y, (c_custkey % 4) * 90 AS angle, c_mktsegment AS layer FROM customer)
     SELECT insert_id, child_id, CASE WHEN cl = '0' THEN layer ELSE cl END AS layer, 3.0::DOUBLE AS radius, CAST(round_even((2 * cx * cos(radians(angle)) + cy * sin(radians(angle)) + x) * 1000, 0) AS BIGINT) AS x_milli,
       CAST(round_even((2 * cx * sin(radians(angle)) - cy * cos(radians(angle)) + y) * 1000, 0) AS BIGINT) AS y_milli FROM i JOIN k USING (block)""",
     "nested_expansion": """WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child, n_nationkey * 10.0::DOUBLE AS dx, 1.0::DOUBLE AS dy FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 0.5, s_suppkey FROM supplier),
@@ -263,7 +263,7 @@ ORACLE_SQL = {
     c AS (SELECT *, coalesce(CASE WHEN ra = 1 THEN nth_value(score, 2) OVER wa ELSE first_value(score) OVER wa END, 0) AS ca, coalesce(CASE WHEN rb = 1 THEN nth_value(score, 2) OVER wb ELSE first_value(score) OVER wb END, 0) AS cb FROM r
       WINDOW wa AS (PARTITION BY a_id ORDER BY ra ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), wb AS (PARTITION BY b_id ORDER BY rb ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
     SELECT a_id, b_id, CASE WHEN score >= 0.85::DOUBLE AND score - greatest(ca, cb) >= 0.1::DOUBLE THEN 'AUTO_CONFIRMED' WHEN score >= 0.6::DOUBLE THEN 'REVIEW_REQUIRED' ELSE 'UNMATCHED' END AS status FROM c""",
-    "file_pair_scores": f"""WITH p AS (SELECT a.o_orderkey AS a_id, b.o_orderkey AS b_id, least(a.o_totalprice, b.o_totalprice) / greatest(a.o_totalprice, b.o_totalprice) AS c, a.o_orderstatus = b.o_orderstatus AS same FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey WHERE b.o_orderkey < 3000),
+    "file_pair_scores": f"""WITH p AS (SELECT a.o_orderkey AS a_id, b.o_orderkey AS b_id, least(a.o_totalprice, b.o_totalprice) / greatest(a.o_totalprice, b.o_totalprice) AS c, a.o_orderstatus = b.o_orderstatus AS same FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey),
     w AS (SELECT *, 0.35::DOUBLE * c + 0.20::DOUBLE * same::INT + 0.20::DOUBLE * 0.5 + 0.20::DOUBLE * c * c + 0.05::DOUBLE AS s0, same::INT * 0.30::DOUBLE + c * 0.20::DOUBLE + c * 0.20::DOUBLE + 0.9::DOUBLE * 0.25 + 0.05::DOUBLE AS r0 FROM p),
     x AS (SELECT *, CASE WHEN a_id % 10 = b_id % 10 THEN greatest(s0, 0.88::DOUBLE) ELSE s0 END AS s1, CASE WHEN NOT same THEN least(r0, 0.49::DOUBLE) ELSE r0 END AS r1 FROM w),
     y AS (SELECT *, CASE WHEN same THEN greatest(s1, 0.86::DOUBLE) ELSE s1 END AS s2, CASE WHEN (a_id + b_id) % 3 = 0 AND c < 0.2::DOUBLE THEN greatest(r1, least(0.82::DOUBLE, c * 0.35::DOUBLE + 0.9::DOUBLE * 0.45 + 0.10::DOUBLE)) ELSE r1 END AS r2 FROM x),
@@ -272,9 +272,9 @@ ORACLE_SQL = {
     "override_last_wins": f"WITH {_OVER} SELECT * FROM l",
     "override_applied": f"""WITH {_OVER} SELECT a_id, b_id, {_m(score="score")}, 'AUTO' AS source FROM c WHERE a_id NOT IN (SELECT a_id FROM f) AND b_id NOT IN (SELECT b_id FROM f) AND (a_id, b_id) NOT IN (SELECT (a_id, b_id) FROM l WHERE status = 'rejected') AND a_id NOT IN (SELECT a_id FROM l WHERE status = 'unmatched')
     UNION ALL SELECT a_id, b_id, 1000000, 'MANUAL' FROM f""",
-    "pair_uniqueness": f"""WITH {_OVER}, p AS (SELECT * FROM c WHERE a_id % 3 = 0) SELECT a_id AS node, count(DISTINCT b_id) AS n, 'a' AS side FROM p GROUP BY a_id HAVING count(DISTINCT b_id) > 1
+    "pair_uniqueness": """WITH p AS (SELECT user_id AS a_id, event_id AS b_id FROM events UNION ALL SELECT user_id + 1, event_id FROM events WHERE event_id % 9 = 0) SELECT a_id AS node, count(DISTINCT b_id) AS n, 'a' AS side FROM p GROUP BY a_id HAVING count(DISTINCT b_id) > 1
     UNION ALL SELECT b_id, count(DISTINCT a_id), 'b' FROM p GROUP BY b_id HAVING count(DISTINCT a_id) > 1""",
-    "unmatched_nodes": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "unmatched_nodes": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 400000)",
     "review_state": "SELECT c_custkey, c_nationkey, CASE WHEN n_nationkey IS NOT NULL THEN 'confirmed' ELSE 'needs_review' END AS status FROM customer LEFT JOIN (SELECT n_nationkey FROM nation WHERE n_nationkey % 3 = 0) ON c_nationkey = n_nationkey",
     "region_of_box": """WITH b AS (SELECT p_partkey AS id, p_retailprice - 900 AS x0, CAST(p_size AS DOUBLE) AS y0, p_retailprice - 895 AS x1, p_size + 5.0::DOUBLE AS y1 FROM part),
     r AS (SELECT i AS region_id, i * 16.0::DOUBLE AS rx0, i % 4 * 9.0::DOUBLE AS ry0, i * 16.0::DOUBLE + 20 + i % 3 * 9 AS rx1, i % 4 * 9.0::DOUBLE + 18 AS ry1 FROM range(12) t(i)),

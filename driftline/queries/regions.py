@@ -43,7 +43,7 @@ def side_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.cell_clusters(_points(spark, sf_dir)[0].filter("y < 8"), ["kind"], 1.0)
+    return regions.cell_clusters(_points(spark, sf_dir)[0], ["kind"], 1.0)
 
 
 def ratio_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def reorigin_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, _ = _points(spark, sf_dir)
-    return regions.nearby(a.filter("id % 10 = 0"), a, 2.0, 3, ["kind"]).select("a_id", "b_id", F.col("rank").cast("long").alias("rank"))
+    return regions.nearby(a, a, 2.0, 3, ["kind"]).select("a_id", "b_id", F.col("rank").cast("long").alias("rank"))
 
 
 CLAUSES = [(1, ["red", "ring"]), (2, ["small"]), (3, ["widget", "blue", "large"]), (4, ["bolt", "green"])]
@@ -230,7 +230,7 @@ def override_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     drawings = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("id"), c("s_nationkey").alias("set_id"))
-    pages = table(spark, sf_dir, "customer").filter("c_custkey % 40 = 0").select(c("c_nationkey").alias("set_id"), c("c_custkey").alias("page"))
+    pages = table(spark, sf_dir, "customer").select(c("c_nationkey").alias("set_id"), c("c_custkey").alias("page"))
     scores = drawings.filter("id % 3 > 0").join(pages, "set_id").select("id", "page", (c("page") * 7 % 11).alias("score"))
     return pairing.best_page(drawings, pages, scores)
 
@@ -252,13 +252,13 @@ ORACLE_SQL = {
     "side_coverage": """WITH v AS (SELECT p_size AS line, p_retailprice AS a, p_retailprice + 1.5 AS b FROM part), r AS (SELECT *, max(b) OVER (PARTITION BY line ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v),
     i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach + 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM r), m AS (SELECT line, k, min(a) AS s, max(b) AS e FROM i GROUP BY ALL)
     SELECT line, count(*) AS pieces, CAST(round_even(sum(e - s) * 1000, 0) AS BIGINT) AS covered_milli, CAST(round_even((max(e) - min(s)) * 1000, 0) AS BIGINT) AS span_milli, CAST(round_even(sum(e - s) / (max(e) - min(s)) * 1000, 0) AS BIGINT) AS share_milli FROM m GROUP BY line""",
-    "cell_clusters": f"""WITH RECURSIVE {POINTS}, q AS (SELECT *, floor(x) AS gx, floor(y) AS gy FROM a WHERE y < 8),
+    "cell_clusters": f"""WITH RECURSIVE {POINTS}, q AS (SELECT *, floor(x) AS gx, floor(y) AS gy FROM a),
     e AS (SELECT DISTINCT u.id AS u, v.id AS v FROM q u JOIN q v ON u.kind = v.kind AND abs(u.gx - v.gx) <= 1 AND abs(u.gy - v.gy) <= 1), r AS (SELECT id AS node, id AS seen FROM q UNION SELECT r.node, e.v FROM r JOIN e ON r.seen = e.u)
     SELECT kind, node AS id, min(seen) AS cluster FROM r JOIN q ON q.id = node GROUP BY kind, node""",
     "vector_set_diff": """WITH r AS (SELECT DISTINCT l_orderkey % 2 AS rev, l_partkey % 400 AS page, CAST(l_quantity AS BIGINT) AS path FROM lineitem)
     SELECT page, path, 'removed' AS side FROM (SELECT page, path FROM r WHERE rev = 0 EXCEPT SELECT page, path FROM r WHERE rev = 1) UNION ALL SELECT page, path, 'added' FROM (SELECT page, path FROM r WHERE rev = 1 EXCEPT SELECT page, path FROM r WHERE rev = 0)""",
     "reorigin_recovery": "SELECT p_type AS kind, p_partkey AS a_id, p_partkey AS b_id FROM part WHERE p_type IN ('ECONOMY', 'STANDARD')",
-    "evidence_nearby": f"""WITH {POINTS}, d AS (SELECT u.id AS a_id, v.id AS b_id, sqrt((u.x - v.x) * (u.x - v.x) + (u.y - v.y) * (u.y - v.y)) AS d FROM a u JOIN a v ON u.kind = v.kind AND u.id <> v.id AND abs(u.x - v.x) <= 2 WHERE u.id % 10 = 0)
+    "evidence_nearby": f"""WITH {POINTS}, d AS (SELECT u.id AS a_id, v.id AS b_id, sqrt((u.x - v.x) * (u.x - v.x) + (u.y - v.y) * (u.y - v.y)) AS d FROM a u JOIN a v ON u.kind = v.kind AND u.id <> v.id AND abs(u.x - v.x) <= 2)
     SELECT a_id, b_id, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d, b_id) AS r FROM d WHERE d <= 2) WHERE r <= 3""",
     "clause_lookup": """WITH k AS (SELECT * FROM (VALUES (1, 'red'), (1, 'ring'), (2, 'small'), (3, 'widget'), (3, 'blue'), (3, 'large'), (4, 'bolt'), (4, 'green')) t(clause_id, w)),
     s AS (SELECT p_partkey AS id, clause_id, CAST(sum(length(w)) AS BIGINT) AS score FROM part, k WHERE contains(lower(p_name), w) GROUP BY ALL)
@@ -307,7 +307,7 @@ ORACLE_SQL = {
     e AS (SELECT v.*, CASE WHEN st = 'maybe' THEN 'unknown status' WHEN t.s_suppkey IS NULL THEN 'missing path' WHEN a % 2 <> b % 2 THEN 'incompatible kinds' END AS base FROM v LEFT JOIN supplier t ON t.s_suppkey = b),
     f AS (SELECT *, row_number() OVER (PARTITION BY b, base IS NULL AND st = 'confirmed' ORDER BY o) AS r FROM e)
     SELECT o AS ordinal, coalesce(base, CASE WHEN st = 'confirmed' AND r > 1 THEN 'conflicting pair' END) AS error FROM f""",
-    "best_pages": """WITH d AS (SELECT s_suppkey AS id, s_nationkey AS s FROM supplier), p AS (SELECT c_nationkey AS s, c_custkey AS page FROM customer WHERE c_custkey % 40 = 0), n AS (SELECT s, count(*) AS n, min(page) AS only_page FROM p GROUP BY s),
+    "best_pages": """WITH d AS (SELECT s_suppkey AS id, s_nationkey AS s FROM supplier), p AS (SELECT c_nationkey AS s, c_custkey AS page FROM customer), n AS (SELECT s, count(*) AS n, min(page) AS only_page FROM p GROUP BY s),
     b AS (SELECT id, page FROM d JOIN p USING (s) WHERE id % 3 > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY page * 7 % 11 DESC, page) = 1)
     SELECT id, CASE WHEN n = 1 THEN only_page ELSE coalesce(page, 0) END AS page, CASE WHEN n = 1 THEN 'single' WHEN page IS NOT NULL THEN 'matched' ELSE 'fallback' END AS source FROM d LEFT JOIN n USING (s) LEFT JOIN b USING (id)""",
 }

@@ -41,7 +41,7 @@ def grid_near_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_match_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _points(spark, sf_dir)
-    return spatial.near_points_plain(a.filter("id < 2000"), b.filter("id < 2000"), RADIUS, ["kind"]).select("kind", "a_id", "b_id", _micro("distance"))
+    return spatial.near_points_plain(a, b, RADIUS, ["kind"]).select("kind", "a_id", "b_id", _micro("distance"))
 
 
 def square_tolerance_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def square_tolerance_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _points(spark, sf_dir)
-    return spatial.nearest(a, b, 3, 5.0, ["kind"]).select("kind", "a_id", "b_id", F.col("rank").cast("long").alias("rank"), _micro("distance"))
+    return spatial.nearest(a, b, 3, 0.5, ["kind"]).select("kind", "a_id", "b_id", F.col("rank").cast("long").alias("rank"), _micro("distance"))
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -179,10 +179,10 @@ _BEST = "row_number() OVER (PARTITION BY a_id ORDER BY distance, a_id, b_id) AS
 
 ORACLE_SQL = {
     "grid_near_match": f"WITH {POINTS} SELECT kind, a_id, b_id, {_MICRO} FROM near",
-    "near_match_plain": f"WITH {POINTS} SELECT kind, a_id, b_id, {_MICRO} FROM near WHERE a_id < 2000 AND b_id < 2000",
+    "near_match_plain": f"WITH {POINTS} SELECT kind, a_id, b_id, {_MICRO} FROM near",
     "square_tolerance_match": f"WITH {POINTS} SELECT kind, a.id AS a_id, b.id AS b_id FROM a JOIN b USING (kind) WHERE abs(a.x - b.x) <= 0.75 AND abs(a.y - b.y) <= 0.75",
-    "knn_part": f"""WITH {POINTS}, d AS (SELECT kind, a.id AS a_id, b.id AS b_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance FROM a JOIN b USING (kind) WHERE abs(a.x - b.x) <= 5)
-    SELECT kind, a_id, b_id, rank, {_MICRO} FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY distance, b_id) AS rank FROM d WHERE distance <= 5) WHERE rank <= 3""",
+    "knn_part": f"""WITH {POINTS}, d AS (SELECT kind, a.id AS a_id, b.id AS b_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance FROM a JOIN b USING (kind))
+    SELECT kind, a_id, b_id, rank, {_MICRO} FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY distance, b_id) AS rank FROM d) WHERE rank <= 3""",
     "bbox_overlap_iou": f"WITH {_BOXES} SELECT kind, a_id, b_id, CAST(floor(gap * 1e6) AS BIGINT) AS gap_micro, CAST(round_even(iou * 1e6, 0) AS BIGINT) AS iou_micro FROM pairs",
     "viewport_window": f"WITH {POINTS} SELECT id, kind FROM a WHERE x BETWEEN 910 AND 960 AND y BETWEEN 10 AND 30",
     "mutual_best_pairs": f"WITH {POINTS} SELECT kind, a_id, b_id, {_MICRO} FROM (SELECT *, {_BEST} FROM near) WHERE ra = 1 AND rb = 1",

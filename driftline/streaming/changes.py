@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from driftline.plans.scratch import Scratch
 from driftline.sources.records import CHANGE
 
 
@@ -22,7 +23,7 @@ def running_counts(changes: DataFrame) -> DataFrame:
 
 
 def windowed(events: DataFrame, ts: str, late: str, length: str, slide: str | None, by: list[str], value: str) -> DataFrame:
-    """Counts and sums in tumbling or sliding windows; rows later than ``late`` behind the newest are left out."""
+    """Counts and sums in tumbling or sliding windows. In append mode rows later than ``late`` behind the newest are left out; complete mode keeps all windows, and so all rows."""
     w = F.window(ts, length, slide) if slide else F.window(ts, length)
     out = events.withWatermark(ts, late).groupBy(w, *by).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(value).alias("peak"))
     return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *by, "n", "total", "peak")
@@ -45,7 +46,17 @@ def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], chec
 
 
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there and return what came out: for tests and small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over all that is there and return what came out, as a table in the shared folder.
+
+    In complete mode each batch replaces the table with the windows so far; in append mode
+    the closed windows are added to it. Nothing comes to the driver.
+    """
+    scratch = Scratch(stream.sparkSession, f"stream-{name}")
+    path, saved = scratch.path("rows"), "overwrite" if mode == "complete" else "append"
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode(saved).parquet(path)
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", scratch.path("checkpoint")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
