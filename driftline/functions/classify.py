@@ -85,6 +85,27 @@ ZONE_RULES = (
 ENTITY_RULES = {"TEXT": "dimension", "MTEXT": "dimension", "DIMENSION": "dimension", "INSERT": "detail"}
 
 
+#: What a category adds to a zone's severity, and its label (fixed values).
+ZONE_BOOST = {"structural_member": 10, "grid": 8, "detail": 4, "dimension": 2, "layer": 1}
+ZONE_LABELS = {"structural_member": "구조 부재 변경", "grid": "그리드 변경", "dimension": "치수/주석 변경", "detail": "상세/마킹 변경", "layer": "레이어/표기 변경", "other": "기타 변경"}
+
+
+def zone_boost(category: Column, change_type: Column, n: Column) -> Column:
+    """What a zone's category, kind of change and number of changes add to its severity; without a category the number alone."""
+    own = F.lit(0)
+    for name, value in ZONE_BOOST.items():
+        own = F.when(category == name, value).otherwise(own)
+    many = F.when(n >= 500, 3).when(n >= 100, 1).otherwise(0)
+    return F.when(category == "other", F.floor(n / 50).cast("int")).otherwise(own + F.when(F.lower(change_type).isin("added", "deleted"), 1).otherwise(0) + many)
+
+
+def zone_label(category: Column) -> Column:
+    out = F.lit(ZONE_LABELS["other"])
+    for name, value in ZONE_LABELS.items():
+        out = F.when(category == name, value).otherwise(out)
+    return out
+
+
 def zone_category(layer: Column, entity: Column) -> Column:
     """Struct of ``category`` and ``confidence``: layer rules, then the entity type, then ``other``."""
     pair = lambda c, v: F.struct(F.lit(c).alias("category"), F.lit(v).alias("confidence"))

@@ -60,11 +60,19 @@ def _rest(side: DataFrame, pairs: DataFrame, end: str) -> DataFrame:
     return side.join(pairs.select(F.col(end).alias("id")), "id", "left_anti")
 
 
-def pair_score(kind_same: Column, layer_same: Column, distance: Column, shape_same: Column, t: Tolerances) -> Column:
-    """.25 kind, .15 layer, .20 box and .20 centre by distance, .20 geometry; a quarter of it for different kinds."""
+def box_score(a: Column, b: Column, t: Tolerances) -> Column:
+    """The better of two boxes' overlap and nearness."""
+    return F.greatest(g.iou(a, b), g.distance_score(g.box_gap(a, b), t.radius))
+
+
+def pair_score(kind_same: Column, layer_same: Column, distance: Column, shape_same: Column, t: Tolerances, box: Column | None = None) -> Column:
+    """.25 kind, .15 layer, .20 box, .20 centre by distance, .20 geometry; a quarter of it for different kinds.
+
+    Without a box score the records are points, whose boxes are as near as their centres.
+    """
     near = g.distance_score(distance, t.radius)
     layer = F.when(layer_same, t.same_layer).otherwise(t.other_layer)
-    score = F.when(kind_same, 0.25).otherwise(0.0) + 0.15 * layer + 0.40 * near + F.when(shape_same, 0.20).otherwise(0.0)
+    score = F.when(kind_same, 0.25).otherwise(0.0) + 0.15 * layer + 0.20 * (near if box is None else box) + 0.20 * near + F.when(shape_same, 0.20).otherwise(0.0)
     return F.when(kind_same, score).otherwise(score * 0.25)
 
 

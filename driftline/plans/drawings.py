@@ -13,7 +13,7 @@ from driftline.functions.text import mtext, plain
 from driftline.operators.assign import greedy
 from driftline.operators.spatial import near_points
 from driftline.operators.zones import summaries
-from driftline.plans.compare import Tolerances, exact_pairs, pair_score
+from driftline.plans.compare import Tolerances, box_score, exact_pairs, pair_score
 
 #: What an entity is compared by.
 FIELDS = ("x", "y", "x2", "y2", "radius", "nx", "ny", "nz", "angle", "angle2", "height", "text", "name", "sx", "sy", "closed", "vertices", "attributes", "shape")
@@ -72,6 +72,14 @@ def entities(raw: DataFrame, drawing: Column, layout: str = "Model") -> DataFram
     return flat.withColumn("id", F.xxhash64("path", "ordinal", "part"))
 
 
+def extent(kind: Column) -> Column:
+    """The box of an entity: a line's ends, a circle's or arc's whole circle, a polyline's corners, else its place."""
+    x, y, r = F.col("x"), F.col("y"), F.coalesce("radius", F.lit(0.0))
+    corners = lambda c: F.transform("vertices", lambda v: v[c])
+    line, ring, outline = g.box(x, y, F.col("x2"), F.col("y2")), g.box(x - r, y - r, x + r, y + r), g.box(F.array_min(corners("x")), F.array_min(corners("y")), F.array_max(corners("x")), F.array_max(corners("y")))
+    return F.when(kind == "line", line).when(kind.isin("circle", "arc"), ring).when(F.size("vertices") > 0, outline).otherwise(g.box(x, y, x, y))
+
+
 def changes(old: DataFrame, new: DataFrame, t: Tolerances = Tolerances()) -> DataFrame:
     """Changes between two sets of entities by drawing: one row per entity of either side, with the paths that differ.
 
@@ -79,9 +87,10 @@ def changes(old: DataFrame, new: DataFrame, t: Tolerances = Tolerances()) -> Dat
     best first. Looks alone make no change.
     """
     exact = exact_pairs(old.withColumn("text", F.coalesce("text", F.lit(""))), new.withColumn("text", F.coalesce("text", F.lit(""))), ["drawing", "kind", "layer", "shape", "text"])
-    rest = lambda side, end: side.join(exact.select(F.col(end).alias("id")), "id", "left_anti").select("id", "drawing", "kind", "layer", "x", "y", "shape")
+    centred = lambda side: side.withColumn("box", extent(F.col("kind"))).withColumns({"x": g.centre(F.col("box"))["x"], "y": g.centre(F.col("box"))["y"]})
+    rest = lambda side, end: centred(side.join(exact.select(F.col(end).alias("id")), "id", "left_anti")).select("id", "drawing", "kind", "layer", "x", "y", "shape", "box")
     near = near_points(rest(old, "a_id"), rest(new, "b_id"), t.radius, t.radius, ["drawing", "kind"])
-    score = pair_score(F.lit(True), F.col("a_layer") == F.col("b_layer"), F.col("distance"), F.col("a_shape") == F.col("b_shape"), t)
+    score = pair_score(F.lit(True), F.col("a_layer") == F.col("b_layer"), F.col("distance"), F.col("a_shape") == F.col("b_shape"), t, box_score(F.col("a_box"), F.col("b_box"), t))
     edges = near.withColumn("score", score).filter(F.col("score") >= t.threshold).select("a_id", "b_id", "score", "distance")
     pairs = exact.unionByName(greedy(edges, [F.desc("score"), F.col("distance"), F.col("a_id"), F.col("b_id")]).select("a_id", "b_id"))
     side = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), F.struct("drawing", "raw_type", "kind", "layer", *FIELDS).alias(s))

@@ -287,7 +287,8 @@ _NAMES = "n AS (SELECT DISTINCT 'd' || p_partkey % 10 AS drawing FROM part)"
 _DIFF = """b AS (SELECT p_partkey AS k, 'd' || p_partkey % 10 AS drawing, p_partkey % 5 AS t, CASE WHEN p_partkey % 6 = 0 THEN 'S-BEAM' ELSE 'MISC' END AS layer, p_partkey % 13 <> 0 AS stays, CASE WHEN p_partkey % 17 = 0 THEN 4 WHEN p_partkey % 7 = 0 THEN 2 WHEN p_partkey % 11 = 0 THEN 0.5 ELSE 0 END::DOUBLE AS shift,
   p_partkey % 19 = 0 AS relayered, p_partkey % 3 = 0 AND p_partkey % 5 = 2 AS reworded, p_partkey * 200.0::DOUBLE AS x, p_size AS y FROM part),
 e AS (SELECT *, ['LINE', 'CIRCLE', 'TEXT', 'INSERT', 'LWPOLYLINE'][t + 1] AS entity_type, relayered AS lay, 0 AS part FROM b UNION ALL SELECT *, 'CIRCLE', relayered, 1 FROM b WHERE t = 3 UNION ALL SELECT * REPLACE ('A-BLK' AS layer), 'LINE', false, 2 FROM b WHERE t = 3),
-s AS (SELECT *, stays AND 0.25 + 0.15 * CASE WHEN lay THEN 0.35 ELSE 1 END + 0.40 * (1 - shift / 5) + CASE WHEN shift = 0 THEN 0.20 ELSE 0 END >= 0.62 AS paired, shift > 1 AS moved FROM e),
+s AS (SELECT *, stays AND 0.25 + 0.15 * CASE WHEN lay THEN 0.35 ELSE 1 END + 0.20 * CASE WHEN part = 0 AND t IN (0, 1, 4) THEN 1 WHEN part = 1 THEN CASE WHEN shift > 2 THEN 1 - (shift - 2) / 5 ELSE 1 END ELSE 1 - shift / 5 END + 0.20 * (1 - shift / 5)
+    + CASE WHEN shift = 0 THEN 0.20 ELSE 0 END >= 0.62 AS paired, shift > 1 AS moved FROM e),
 f AS (SELECT *, list_filter(list_concat(CASE WHEN moved THEN CASE entity_type WHEN 'LINE' THEN ['geometry.start', 'geometry.end'] WHEN 'CIRCLE' THEN ['geometry.center'] WHEN 'LWPOLYLINE' THEN ['geometry.vertices[0].point', 'geometry.vertices[1].point', 'geometry.vertices[2].point'] ELSE ['geometry.insert'] END ELSE [] END,
   list_concat(CASE WHEN reworded THEN ['geometry.canonical_text'] ELSE [] END, CASE WHEN lay THEN ['layer'] ELSE [] END)), lambda v: v IS NOT NULL) AS p FROM s),
 d AS (SELECT drawing, entity_type, CASE WHEN lay THEN 'MOVED' ELSE layer END AS layer, CASE WHEN len(p) = 0 THEN 'unchanged' ELSE 'modified' END AS change_type, array_to_string(p, ',') AS paths, array_to_string(list_filter([CASE WHEN moved THEN 'geometry' END, CASE WHEN lay THEN 'layer' END, CASE WHEN reworded THEN 'text' END], lambda v: v IS NOT NULL), ',') AS category,

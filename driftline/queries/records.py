@@ -180,7 +180,9 @@ def rule_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     layer = F.get(F.array(*map(F.lit, ["A-BEAM", "XGRID", "DIMS", "DETL", "HATCH", "zzz"])), (F.col("p_partkey") % 6).cast("int"))
     entity = F.get(F.array(*map(F.lit, ["LINE", "TEXT", "INSERT"])), (F.col("p_partkey") % 18 / 6).cast("int"))
     rows = table(spark, sf_dir, "part").select("p_partkey", classify.zone_category(layer, entity).alias("c"))
-    return rows.select("p_partkey", "c.category", F.rint(F.col("c.confidence") * 100).cast("long").alias("confidence_cent"))
+    k = F.col("p_partkey")
+    boost = classify.zone_boost(F.col("c.category"), F.get(F.array(*map(F.lit, ["Added", "modified"])), (k % 2).cast("int")), k % 700)
+    return rows.select("p_partkey", "c.category", F.rint(F.col("c.confidence") * 100).cast("long").alias("confidence_cent"), boost.alias("boost"), classify.zone_label(F.col("c.category")).alias("label"))
 
 
 def structural_category(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,9 +287,10 @@ ORACLE_SQL = {
     # The canonical score of a moved pair: .25 + .15 layer + .40 (1 - d / 5) + .20 shape, from .62 on.
     "canonical_diff": _diff_sql("shift < 5 AND 0.25 + 0.15 * CASE WHEN relayered THEN 0.35 ELSE 1 END + 0.40 * (1 - shift / 5) + 0.20 >= 0.62", "removed", ["position", "text", "layer"], ["shift > tol", "reworded", "relayered"], "CASE WHEN relayered THEN 'MOVED' ELSE layer END"),
     "legacy_diff": _diff_sql("NOT relayered AND shift <= CASE WHEN kind = 'TEXT' THEN 50 ELSE 5 END", "deleted", ["position", "text", "style"], ["shift > tol", "reworded", "restyled"], "CASE WHEN relayered THEN 'MOVED' ELSE layer END"),
-    "rule_category": """WITH v AS (SELECT p_partkey, p_partkey % 6 AS l, p_partkey % 18 // 6 AS e FROM part)
-    SELECT p_partkey, CASE l WHEN 0 THEN 'structural_member' WHEN 1 THEN 'grid' WHEN 2 THEN 'dimension' WHEN 3 THEN 'detail' WHEN 4 THEN 'layer' ELSE CASE e WHEN 1 THEN 'dimension' WHEN 2 THEN 'detail' ELSE 'other' END END AS category,
-      CAST(CASE WHEN l IN (0, 1) THEN 85 WHEN l IN (2, 3, 4) THEN 70 WHEN e IN (1, 2) THEN 50 ELSE 20 END AS BIGINT) AS confidence_cent FROM v""",
+    "rule_category": """WITH v AS (SELECT p_partkey, p_partkey % 6 AS l, p_partkey % 18 // 6 AS e FROM part), r AS (SELECT p_partkey, CASE l WHEN 0 THEN 'structural_member' WHEN 1 THEN 'grid' WHEN 2 THEN 'dimension' WHEN 3 THEN 'detail' WHEN 4 THEN 'layer' ELSE CASE e WHEN 1 THEN 'dimension' WHEN 2 THEN 'detail' ELSE 'other' END END AS category,
+      CAST(CASE WHEN l IN (0, 1) THEN 85 WHEN l IN (2, 3, 4) THEN 70 WHEN e IN (1, 2) THEN 50 ELSE 20 END AS BIGINT) AS confidence_cent FROM v)
+    SELECT *, CASE WHEN category = 'other' THEN p_partkey % 700 // 50 ELSE CASE category WHEN 'structural_member' THEN 10 WHEN 'grid' THEN 8 WHEN 'detail' THEN 4 WHEN 'dimension' THEN 2 ELSE 1 END + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 700 >= 500 THEN 3 WHEN p_partkey % 700 >= 100 THEN 1 ELSE 0 END END AS boost,
+      CASE category WHEN 'structural_member' THEN '구조 부재 변경' WHEN 'grid' THEN '그리드 변경' WHEN 'dimension' THEN '치수/주석 변경' WHEN 'detail' THEN '상세/마킹 변경' WHEN 'layer' THEN '레이어/표기 변경' ELSE '기타 변경' END AS label FROM r""",
     "structural_category": """WITH v AS (SELECT p_partkey, p_partkey % 7 AS t, p_size > 40 OR p_size < 4 OR (p_partkey % 7 IN (0, 4, 5, 6) AND p_size > 20) AS d FROM part)
     SELECT p_partkey, CASE t WHEN 0 THEN 'rebar' WHEN 1 THEN CASE WHEN d THEN 'mixed' ELSE 'member' END WHEN 2 THEN CASE WHEN d THEN 'mixed' ELSE 'grid' END WHEN 3 THEN 'mixed' WHEN 4 THEN CASE WHEN d THEN 'dimension' ELSE 'other' END WHEN 5 THEN 'mixed' ELSE CASE WHEN d THEN 'mixed' ELSE 'member' END END AS category FROM v""",
     "embedding_classify": """WITH p AS (SELECT label AS category, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 60), s AS (SELECT vec_id, category, max(list_cosine_similarity(v.embedding::DOUBLE[], p.e)) AS s FROM embeddings v, p WHERE vec_id >= 60 GROUP BY ALL),

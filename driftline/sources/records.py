@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 1
@@ -22,8 +22,11 @@ def read_changes(spark: SparkSession, path: str) -> DataFrame:
 
 def write_changes(changes: DataFrame, path: str) -> int:
     """Write a stream (committed as a whole) and return how many changes had no box."""
-    changes.withColumn("schema_version", F.lit(VERSION)).select(*[f.split()[0] for f in CHANGE.split(", ")]).write.mode("overwrite").json(path)
-    return changes.filter("x0 IS NULL OR y0 IS NULL OR x1 IS NULL OR y1 IS NULL").count()
+    seen = Observation()
+    missing = F.expr("x0 IS NULL OR y0 IS NULL OR x1 IS NULL OR y1 IS NULL")
+    rows = changes.withColumn("schema_version", F.lit(VERSION)).select(*[f.split()[0] for f in CHANGE.split(", ")]).observe(seen, F.count_if(missing).alias("missing"))
+    rows.write.mode("overwrite").json(path)
+    return int(seen.get["missing"])
 
 
 def read_perf(spark: SparkSession, path: str) -> DataFrame:
