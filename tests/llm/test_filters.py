@@ -54,8 +54,51 @@ def test_isotonic_is_monotone_and_least_squares():
     x, y = rng.random(200), (rng.random(200) < 0.5).astype(float)
     knots, values = toxicity.isotonic(x, y)
     assert (np.diff(knots) >= 0).all() and (np.diff(values) >= -1e-12).all()
-    fitted = np.interp(x, knots, values)
-    assert abs(fitted.sum() - y.sum()) < 1e-6
+    fitted = np.interp(x, knots, values)[np.argsort(x)]
+    ranked = y[np.argsort(x)]
+    mean = lambda a, b: ranked[a : b + 1].mean()
+    n = len(x)
+    least = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(0, n, 7)]  # the least-squares fit, by its min-max form
+    assert np.allclose(fitted[::7], least)
+
+
+def test_a_tree_takes_the_best_split(monkeypatch):
+    for name, value in (("TREES", 1), ("DEPTH", 1), ("LEAF", 0.5)):
+        monkeypatch.setattr(toxicity, name, value)
+    rng = np.random.default_rng(2)
+    x = rng.random((300, 3)).astype(np.float32)
+    y = ((x[:, 1] > 0.6) ^ (rng.random(300) < 0.1)).astype(float)
+    trees = toxicity.Trees(x, y)
+    p = y.mean()
+    g, h = p - y, np.full(300, p * (1 - p))
+    score = lambda own: g[own].sum() ** 2 / (h[own].sum() + toxicity.RIDGE)
+    gains = {(j, float(c)): score(x[:, j] <= c) + score(x[:, j] > c) for j in range(3) for c in trees.edges[j]}
+    j, c = max(gains, key=gains.get)
+    assert trees.feature[0][0] == j and trees.cut[0][0] == pytest.approx(c)
+    for side, own in ((0, x[:, j] <= c), (1, x[:, j] > c)):
+        assert trees.leaf[0][side] == pytest.approx(-toxicity.RATE * g[own].sum() / (h[own].sum() + toxicity.RIDGE))
+    assert np.allclose(trees.margin(x), trees.base + np.where(x[:, j] <= c, trees.leaf[0][0], trees.leaf[0][1]))
+
+
+def test_quality_training_against_plain_steps(monkeypatch):
+    """One text, one pass: the vectors and the output after a step of the softmax's gradient."""
+    monkeypatch.setattr(quality, "EPOCHS", 1)
+    which, share = quality.shares(pa.array(["good text of words"]))[0]
+    assert share.sum() == pytest.approx(1) and len(set(which.tolist())) == len(which)
+    gain, base = quality.train([(which, share)] * 2, np.array([1.0, 0.0]), seed=3)
+    rng = np.random.default_rng(3)
+    vectors = ((rng.random((1 << quality.BITS, quality.WIDTH), dtype=np.float32) - 0.5) / quality.WIDTH).astype(np.float64)
+    output, bias = np.zeros((2, quality.WIDTH)), np.log(np.array([0.5, 0.5]) + 1e-3)
+    for k, i in enumerate(rng.permutation(2).tolist()):
+        step = quality.STEP * (1 - k / 2)
+        hidden = share.astype(float) @ vectors[which]
+        z = output @ hidden + bias
+        p = np.exp(z) / np.exp(z).sum()
+        p[[1, 0][i]] -= 1
+        back = p @ output
+        output, bias = output - step * np.outer(p, hidden), bias - 0.1 * step * p
+        vectors[which] -= step / (share @ share) * share[:, None] * back
+    assert np.allclose(gain[which], (vectors @ (output[1] - output[0]))[which], atol=1e-5) and base == pytest.approx(bias[1] - bias[0], abs=1e-5)
 
 
 def test_url_rules_against_sql(spark):
