@@ -148,8 +148,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
     rows = rows.filter(F.size("v") == width)
     asked = valid(queries, id_col, vector_col).filter(F.size("v") == width)
     lists = int(min(LISTS, max(1, round(total**0.5 / 4))))
-    sampled = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    sample, sample_ids = np.array(sampled["v"].tolist()), sampled["vec_id"].to_numpy()
+    sampled = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    sample, sample_ids = _matrix(sampled.column("v")).copy(), sampled.column("vec_id").to_numpy()
     centre = centroids(widened(sample, norm), lists)
     least = lists_needed(widened(sample, norm), centre, k)
     shared = spark.sparkContext.broadcast(centre)
