@@ -157,7 +157,7 @@ def write_store(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id
     Texts are encoded once, into a scratch table of raw ids; the counts of all ids come
     from it by one combined aggregation (its result is bounded by the vocabulary), and
     its rows go by range of document id to the tasks that write. Null text: only the end
-    id. Equal document ids lie side by side, spread by their texts; a null id comes first. An empty table gives
+    id. Equal document ids lie side by side, by their ids, and may be dealt over several tasks; a null id comes first. An empty table gives
     a store without blobs.
     """
     spark = df.sparkSession
@@ -214,7 +214,7 @@ def write_store(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id
 
     ranges = max(1, -(-int(counts.sum()) // RANGE_IDS))
     (
-        tokens.withColumn("sign", F.xxhash64("ids")).repartitionByRange(ranges, "doc_id", "sign").sortWithinPartitions("doc_id", "sign", "ids").drop("sign")
+        tokens.repartitionByRange(ranges, "doc_id", F.substring("ids", 1, 16)).sortWithinPartitions("doc_id", "ids")
         .mapInArrow(trimmed(write), "part int, seq int, n_ids long, blob binary")
         .write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/blobs")
     )
