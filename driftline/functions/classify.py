@@ -59,10 +59,11 @@ def priority_score(change_type: Column, found: Column) -> Column:
 
 
 def confidence(ocr: Column, match_distance: Column, ssim: Column, layer: Column) -> Column:
-    """Blend of recognition, nearness (0 from 20 on), image likeness and layer reliability, to 4 decimals."""
+    """Blend of recognition, nearness (0 from 20 on), image likeness and layer reliability, to 4 decimals (the even one of two as near)."""
     unit = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
     near = F.greatest(F.lit(0.0), 1 - F.greatest(match_distance, F.lit(0.0)) / 20)
-    return F.bround(unit(ocr) * 0.30 + near * 0.25 + unit(ssim) * 0.25 + unit(layer) * 0.20, 4)
+    blend = unit(ocr) * 0.30 + near * 0.25 + unit(ssim) * 0.25 + unit(layer) * 0.20
+    return F.rint(blend * 1e4) / 1e4  # bround would take the shortest decimal, which is off a tie where the scaled number is on it
 
 
 def review_reasons(found: Column, ocr: Column, match_distance: Column, ssim: Column, overall: Column) -> Column:
