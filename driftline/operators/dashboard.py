@@ -62,5 +62,6 @@ def viewer_summary(events: DataFrame, stages: list[str]) -> DataFrame:
 
 
 def first_latency(stream: DataFrame, started: str = "started", written: str = "written") -> DataFrame:
-    """Seconds from the start of each run to its first record."""
-    return stream.groupBy("run_id").agg((F.min(written).cast("double") - F.min(started).cast("double")).alias("first_record_s"), F.count("*").alias("n"))
+    """Time from the start of each run to its first record: whole microseconds, and seconds."""
+    us = F.unix_micros(F.min(written)) - F.unix_micros(F.min(started))
+    return stream.groupBy("run_id").agg(us.alias("first_record_us"), (us / 1e6).alias("first_record_s"), F.count("*").alias("n"))

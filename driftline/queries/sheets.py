@@ -150,7 +150,7 @@ def viewer_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_record_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("started"), F.col("ts").cast("timestamp").alias("written"))
-    return dashboard.first_latency(rows).select("run_id", F.rint(F.col("first_record_s") * 1000).cast("long").alias("first_ms"), "n")
+    return dashboard.first_latency(rows).select("run_id", F.rint(F.col("first_record_us") / 1000).cast("long").alias("first_ms"), "n")
 
 
 QUERIES = {
