@@ -20,14 +20,15 @@ def near_points(left: DataFrame, right: DataFrame, radius: Column | float, cell:
     Both sides have the columns ``id``, ``x``, ``y`` and ``on``; the result has ``{a}_id``,
     ``{b}_id``, ``distance`` and ``on``. Only the right side is copied, to the nine cells
     around its own; ``cell`` must be at least the radius. A point owns one cell, so no
-    pair comes twice.
+    pair comes twice. The copies are many more rows than the files' sizes tell, so the
+    join is never a broadcast.
     """
     key = [*on, "gx", "gy"]
     gx, gy = F.floor(F.col("x") / cell), F.floor(F.col("y") / cell)
     one = left.select(*on, F.col("id").alias(f"{a}_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), gx.alias("gx"), gy.alias("gy"), *_others(left, on, a))
     around = F.explode(F.array(*[F.struct((gx + i).alias("gx"), (gy + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     two = right.select(*on, F.col("id").alias(f"{b}_id"), F.col("x").alias("bx"), F.col("y").alias("by"), around.alias("g"), *_others(right, on, b)).select("*", "g.gx", "g.gy").drop("g")
-    pairs = one.join(two, key).withColumn("distance", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    pairs = one.join(two.hint("merge"), key).withColumn("distance", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
     return pairs.filter(F.col("distance") <= radius).drop("gx", "gy", "ax", "ay", "bx", "by")
 
 
@@ -48,7 +49,7 @@ def in_square(left: DataFrame, right: DataFrame, tolerance: float, on: Sequence[
     wide = left.select(*on, F.col("id").alias("a_id"), "x", "y", F.floor(F.col("x") / tolerance).alias("gx"), F.floor(F.col("y") / tolerance).alias("gy"))
     around = F.explode(F.array(*[F.struct((F.floor(F.col("x") / tolerance) + i).alias("gx"), (F.floor(F.col("y") / tolerance) + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     near = right.select(*on, F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"), around.alias("g")).select("*", "g.gx", "g.gy").drop("g")
-    pairs = wide.join(near, [*on, "gx", "gy"])
+    pairs = wide.join(near.hint("merge"), [*on, "gx", "gy"])
     return pairs.filter((F.abs(F.col("x") - F.col("bx")) <= tolerance) & (F.abs(F.col("y") - F.col("by")) <= tolerance)).select(*on, "a_id", "b_id")
 
 
@@ -72,7 +73,7 @@ def near_boxes(left: DataFrame, right: DataFrame, radius: float, cell: float, on
         return ((b["x1"] - b["x0"] + 2 * radius) / size + 2) * ((b["y1"] - b["y0"] + 2 * radius) / size + 2)
 
     def joined(one: DataFrame, two: DataFrame, size: float) -> DataFrame:
-        pairs = cells(one, "a", radius, size).join(cells(two, "b", 0.0, size), [*on, "gx", "gy"])
+        pairs = cells(one, "a", radius, size).join(cells(two, "b", 0.0, size).hint("merge"), [*on, "gx", "gy"])
         low_x = F.floor(F.greatest(F.col("a_box.x0") - radius, F.col("b_box.x0")) / size)
         low_y = F.floor(F.greatest(F.col("a_box.y0") - radius, F.col("b_box.y0")) / size)
         pairs = pairs.filter((F.col("gx") == low_x) & (F.col("gy") == low_y))
