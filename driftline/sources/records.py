@@ -55,14 +55,18 @@ def write_sheets(sheets: dict[str, DataFrame], path: str) -> None:
 
 
 def write_pages(df: DataFrame, path: str, by: str, order: list[str], size: int) -> None:
-    """Overlay rows in fixed-size pages, partitioned so that a page is one read."""
+    """Overlay rows in fixed-size pages: a folder for each group, its rows in the order of their pages.
+
+    A folder for each page would be a file for every few rows; within a group's files the
+    bounds of their row groups and pages lead to a page.
+    """
     from driftline.operators.ranking import pages
 
-    pages(df, by, order, size).write.mode("overwrite").partitionBy(by, "page").parquet(path)
+    pages(df, by, order, size).repartition(F.col(by)).sortWithinPartitions(by, "page", *order).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
 def read_page(spark: SparkSession, path: str, by: str, value, page: int) -> DataFrame:
-    """One page; the partition columns prune the scan."""
+    """One page; the group's folder and the bounds of ``page`` in its files prune the scan."""
     return spark.read.parquet(path).filter((F.col(by) == value) & (F.col("page") == page))
 
 
