@@ -10,3 +10,11 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", ["grid_near_match", "square_tolerance_match", "bbox_overlap_iou"])
 def test_copies_are_not_broadcast(spark, name):
     assert "BroadcastHashJoin" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def text_of(spark, name):
+    return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mutual_best_moves_one_edge_a_node(spark):
+    assert "Window" not in text_of(spark, "mutual_best_pairs")
