@@ -82,13 +82,17 @@ def mutual_best_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def competing_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rivals of a point go into the join that makes its edges, so that edges, many more than points, don't move."""
+    sides = _points(spark, sf_dir)
     edges = _near(spark, sf_dir).select("a_id", "b_id", (1 - F.col("distance")).alias("score"))
-    return assign.competing(edges).select("a_id", "b_id", *[F.rint(F.col(c) * 1e6).cast("long").alias(f"{c}_micro") for c in ("score", "competing", "margin")])
+    a, b = (p.join(assign.rivals(edges, end).withColumnRenamed(end, "id").hint("merge"), "id") for p, end in zip(sides, ("a_id", "b_id"), strict=True))
+    edges = spatial.near_points(a, b, RADIUS, RADIUS, ["kind"]).withColumn("score", 1 - F.col("distance"))
+    return assign.margins(edges).select("a_id", "b_id", *[F.rint(F.col(c) * 1e6).cast("long").alias(f"{c}_micro") for c in ("score", "competing", "margin")])
 
 
 def pair_alternates(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _near(spark, sf_dir).select("a_id", "b_id", (1 - F.col("distance")).alias("score"))
-    chosen = assign.mutual_best(edges, [F.desc("score"), F.col("a_id"), F.col("b_id")])
+    chosen = assign.mutual_best(edges, [-F.col("score"), F.col("a_id"), F.col("b_id")])
     return assign.alternates(edges, chosen).select("a_id", F.array_join(F.transform("alternates", lambda x: x.cast("string")), ",").alias("alternates"))
 
 

@@ -18,3 +18,16 @@ def text_of(spark, name):
 
 def test_mutual_best_moves_one_edge_a_node(spark):
     assert "Window" not in text_of(spark, "mutual_best_pairs")
+
+
+def test_rivals_combine_before_the_shuffle(spark):
+    assert "partial_count" in text_of(spark, "competing_margins")
+
+
+def test_margins_equal_the_join_of_all_edges(spark):
+    """Equal scores, lone edges and several edges at a node."""
+    from driftline.operators import assign
+
+    rows = [(1, 1, 0.5), (1, 2, 0.5), (1, 3, 0.2), (2, 1, 0.9), (3, 4, 0.7), (4, 3, -0.5)]
+    got = {(r.a_id, r.b_id): r.competing for r in assign.competing(spark.createDataFrame(rows, "a_id long, b_id long, score double")).collect()}
+    assert got == {(a, b): max([t for x, y, t in rows if ((x == a) != (y == b))] or [0.0]) if (a, b) != (4, 3) else 0.2 for a, b, _ in rows} | {(3, 4): 0.0}
