@@ -27,6 +27,8 @@ CAPACITY = 4096
 SLACK = 0.03
 #: Workers whose open bins are packed together; with the capacity it bounds the rows of one task.
 GROUP = 64
+#: Bytes of text encoded at once: executors come to this stage of the pipeline with the memory of the others still held.
+SLICE_BYTES = 2_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bin_group int"
 
@@ -93,7 +95,7 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
 
         worker = TaskContext.get().partitionId()
         bins, sequence = OpenBins(capacity), worker << 36
-        for part, ids, ends in encode_rows(batches, vocabulary, end_id):
+        for part, ids, ends in encode_rows(batches, vocabulary, end_id, SLICE_BYTES):
             out = []
             raw = ids.astype("<u4", copy=False)
             for doc, a, b in zip(part.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):

@@ -149,11 +149,11 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_B
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def encode_rows(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """For each slice of batches with ``text``: the slice, all ids with ``end_id`` after each text, and offsets."""
+def encode_rows(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """For each slice (of about ``most`` bytes) of batches with ``text``: the slice, all ids with ``end_id`` after each text, and offsets."""
     coder = encoder(vocabulary)
-    for batch in gathered(batches, "text"):
-        for part in slices(batch, "text"):
+    for batch in gathered(batches, "text", most):
+        for part in slices(batch, "text", most):
             ids, ends = coder.encode(part.column("text"))
             n = part.num_rows
             shifted = ends + np.arange(n + 1)
