@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.geometry import box_gap, distance, iou
+from driftline.operators.assign import classes
 from driftline.plans.scratch import Scratch
 
 #: Cells that a box may cover before it goes to the coarser grid.
@@ -42,6 +43,12 @@ def near_points_plain(left: DataFrame, right: DataFrame, radius: float, on: Sequ
     return near_points(one, two, radius, radius if radius > 0 else 1.0, on).select(*on, "a_id", "b_id", "distance")
 
 
+def near_places(left: DataFrame, right: DataFrame, radius: Column | float, cell: float, on: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``near_points`` of places (the smallest id of each), and the members of the places of both sides."""
+    (one, a), (two, b) = (classes(side, [*on, "x", "y"]) for side in (left, right))
+    return near_points(one, two, radius, cell, on), a, b
+
+
 def in_square(left: DataFrame, right: DataFrame, tolerance: float, on: Sequence[str] = ()) -> DataFrame:
     """Pairs of points whose coordinates differ by at most the tolerance each."""
     wide = left.select(*on, F.col("id").alias("a_id"), "x", "y", F.floor(F.col("x") / tolerance).alias("gx"), F.floor(F.col("y") / tolerance).alias("gy"))

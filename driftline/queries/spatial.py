@@ -97,7 +97,9 @@ def pair_alternates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign.greedy(_near(spark, sf_dir), [F.col("distance"), F.col("a_id"), F.col("b_id")]).select("kind", "a_id", "b_id", _micro("distance"))
+    """Parts in one place have the same distances, so places are joined, not parts."""
+    edges, a, b = spatial.near_places(*_points(spark, sf_dir), RADIUS, RADIUS, ["kind"])
+    return assign.greedy_classes(edges, a, b, ["distance", "a_id", "b_id"]).select("kind", "a_id", "b_id", _micro("distance"))
 
 
 def hungarian_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
