@@ -49,7 +49,7 @@ def cluster_regions(entities: DataFrame, sheet: str, most: int | None = None) ->
     rows = entities.join(whole, sheet)
     part = lambda k: F.col(f"box.{k}") / F.col("gap")
     of = clusters(rows.select(sheet, "id", box(part("x0"), part("y0"), part("x1"), part("y1")).alias("box")), 1.0, 4.0, [sheet])
-    held = rows.join(of.select("id", "zone"), "id").groupBy(sheet, "zone").agg(*_around(), F.first("whole").alias("whole"), F.first("total").alias("total"))
+    held = rows.join(of.select("id", "zone").hint("merge"), "id").groupBy(sheet, "zone").agg(*_around(), F.first("whole").alias("whole"), F.first("total").alias("total"))
     least = F.greatest(F.lit(LEAST_ENTITIES), F.least(F.lit(MOST_ENTITIES), F.floor(F.col("total") / ENTITY_SHARE)))
     held = held.filter((F.col("n") >= least) & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
     if most is not None:
