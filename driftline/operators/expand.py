@@ -11,6 +11,21 @@ from driftline.functions.geometry import steps
 from driftline.plans.scratch import Scratch
 
 
+#: Parts that each key of a join of many with many is dealt into.
+PARTS = 32
+
+
+def many_with_many(few: DataFrame, many: DataFrame, on: str, part: str) -> DataFrame:
+    """An equi-join whose keys have many rows on both sides, spread over tasks: ``many`` in parts by its column ``part``, ``few`` copied to each.
+
+    Such sides are small files and their join is not, so the tasks are neither broadcast nor merged.
+    """
+    n = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).repartition(n, on, "_part")
+    two = many.withColumn("_part", F.pmod(F.xxhash64(part), F.lit(PARTS)).cast("int")).repartition(n, on, "_part")
+    return two.join(one.hint("merge"), [on, "_part"]).drop("_part")
+
+
 def expand_once(inserts: DataFrame, children: DataFrame) -> DataFrame:
     """Children of each insert's block, moved, scaled and turned into place; children on layer ``0`` take the insert's layer.
 
@@ -18,11 +33,11 @@ def expand_once(inserts: DataFrame, children: DataFrame) -> DataFrame:
     """
     c = F.col
     kids = children.withColumnRenamed("layer", "child_layer")
-    rows = inserts.join(kids, "block")
     turn = F.radians(c("angle"))
+    rows = many_with_many(kids, inserts.withColumns({"_cos": F.cos(turn), "_sin": F.sin(turn)}), "block", "insert_id")
     px, py = c("cx") * c("sx"), c("cy") * c("sy")
     return rows.select(
-        "insert_id", "child_id", "block", (px * F.cos(turn) - py * F.sin(turn) + c("x")).alias("x"), (px * F.sin(turn) + py * F.cos(turn) + c("y")).alias("y"),
+        "insert_id", "child_id", "block", (px * c("_cos") - py * c("_sin") + c("x")).alias("x"), (px * c("_sin") + py * c("_cos") + c("y")).alias("y"),
         (c("radius") * (F.abs(c("sx")) + F.abs(c("sy"))) / 2).alias("radius"), F.when(c("child_layer") == "0", c("layer")).otherwise(c("child_layer")).alias("layer"),
     )
 

@@ -145,10 +145,12 @@ def best_page(drawings: DataFrame, pages: DataFrame, scores: DataFrame) -> DataF
     """The page for each drawing: the only page there is, else the best scored, else page 0 as a fallback.
 
     ``pages`` has ``set_id page``, ``drawings`` has ``id set_id``, ``scores`` has ``id page score``.
+    The first page of each score is found before the shuffle, so that equal scores don't move.
     """
     only = pages.groupBy("set_id").agg(F.count("*").alias("n"), F.min("page").alias("only"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "page"))
-    best = scores.withColumn("_r", rank).filter("_r = 1").select("id", F.col("page").alias("best"))
+    first = scores.groupBy("id", "score").agg(F.min("page").alias("page"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score")))
+    best = first.withColumn("_r", rank).filter("_r = 1").select("id", F.col("page").alias("best"))
     rows = drawings.join(only, "set_id", "left").join(best, "id", "left")
     page = F.when(F.col("n") == 1, F.col("only")).otherwise(F.coalesce("best", F.lit(0)))
     source = F.when(F.col("n") == 1, "single").when(F.col("best").isNotNull(), "matched").otherwise("fallback")

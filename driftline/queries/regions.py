@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftline.functions import changes as ch
 from driftline.functions import geometry as g
 from driftline.functions import keys as k
-from driftline.operators import pairing, regions
+from driftline.operators import expand, pairing, regions
 from driftline.operators import tablediff as td
 from driftline.queries.common import table
 from driftline.queries.spatial import POINTS, _points
@@ -231,7 +231,7 @@ def best_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     drawings = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("id"), c("s_nationkey").alias("set_id"))
     pages = table(spark, sf_dir, "customer").select(c("c_nationkey").alias("set_id"), c("c_custkey").alias("page"))
-    scores = drawings.filter("id % 3 > 0").join(pages, "set_id").select("id", "page", (c("page") * 7 % 11).alias("score"))
+    scores = expand.many_with_many(drawings.filter("id % 3 > 0"), pages, "set_id", "page").select("id", "page", (c("page") * 7 % 11).alias("score"))
     return pairing.best_page(drawings, pages, scores)
 
 
