@@ -27,7 +27,8 @@ def clusters(boxes: DataFrame, gap: float, cell: float, on: Sequence[str] = ())
     Equal boxes are in one zone, so only the smallest id of each is joined; a box with a null or NaN is alone.
     """
     scratch = Scratch(boxes.sparkSession, "clusters")
-    whole = box_gap(F.col("box"), F.col("box")) <= gap
+    b = F.col("box")
+    whole = F.coalesce((b["x0"] + b["y0"] + b["x1"] + b["y1"]).isNotNull() & (box_gap(b, b) <= gap), F.lit(False))
     alike = scratch.write(boxes.filter(whole).groupBy(*on, "box").agg(F.min("id").alias("first")), "alike")
     one = alike.select(*on, F.col("first").alias("id"), "box")
     of = components(near_boxes(one, one, gap, cell, on).filter("a_id > b_id"), "a_id", "b_id")
