@@ -110,11 +110,11 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, on: Sequen
         found = scratch.write((pairs.filter("a_id <> b_id") if apart else pairs).withColumn("rank", rank).filter(F.col("rank") <= k), f"found-{n}")
         full = found.filter(F.col("rank") == k).select(F.col("a_id").alias("id"))
         last = radius >= reach
-        done = found if last else found.join(full.withColumnRenamed("id", "a_id"), "a_id", "left_semi").select(*found.columns)
+        done = found if last else found.join(full.withColumnRenamed("id", "a_id").hint("merge"), "a_id", "left_semi").select(*found.columns)
         out = done if out is None else out.unionByName(done)
         if last:
             return out
-        rest = scratch.write(rest.join(full, "id", "left_anti").select(*left.columns), f"rest-{n}")
+        rest = scratch.write(rest.join(full.hint("merge"), "id", "left_anti").select(*left.columns), f"rest-{n}")
         if rest.isEmpty():
             return out
         radius, n = radius * 4 if most is None else min(radius * 4, most), n + 1

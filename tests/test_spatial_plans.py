@@ -46,3 +46,15 @@ def test_nearby_looks_no_further_than_it_must(spark, monkeypatch):
 
 def test_plain_match_joins_on_cells(spark):
     assert "gx" in text_of(spark, "near_match_plain")
+
+
+def test_nearest_broadcasts_no_points(spark, monkeypatch):
+    """Which points have their k is as many rows as there are points, however small its file."""
+    from driftline.operators import spatial
+
+    plans, write = [], spatial.Scratch.write
+    monkeypatch.setattr(spatial.Scratch, "write", lambda self, df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(self, df, name))[1])
+    rows = spark.range(60).selectExpr("id", "CAST(id * id AS DOUBLE) AS x", "0.0D AS y")
+    got = spatial.nearest(rows, rows, 2, 1.0)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert got.count() == 120 and len(plans) > 3 and all("BroadcastHashJoin" not in p for p in plans)
