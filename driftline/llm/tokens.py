@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 SLICE_BYTES = 8_000_000
 #: Words given to the tokenizer as one text, separated by blanks, and words at once (its answers are large objects).
 TOGETHER, AT_ONCE = 50, 20_000
+#: Words of letters whose ids a worker keeps from slice to slice: with their ids some 10 MB.
+KEPT_WORDS = 200_000
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LETTERS = "^[a-zÀ-ÖØ-öø-ÿ]+$"
 
@@ -61,6 +63,7 @@ class WordEncoder:
         words = self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(words.values()) + 1, bool)
         self.last[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.kept, self.kept_ids, self.kept_lengths = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int32)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts in a row, and how many each has."""
@@ -76,6 +79,26 @@ class WordEncoder:
             return self._ids(words)
         return ids, np.diff(ends, prepend=0).astype(np.int32)
 
+    def _all(self, some: pa.Array, how=None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in a row, and how many each has, some at once."""
+        got = [(how or self._ids)(some.slice(i, AT_ONCE).to_pylist()) for i in range(0, len(some), AT_ONCE)]
+        return np.concatenate([np.zeros(0, np.uint32), *[x for x, _ in got]]), np.concatenate([np.zeros(0, np.int32), *[n for _, n in got]])
+
+    def _kept(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words of letters: those of earlier slices as they were, the others from the tokenizer."""
+        at = pc.index_in(words, value_set=self.kept)
+        new = words.filter(pc.is_null(at))
+        ids, n = self._all(new, self._words)
+        pool, lengths = np.concatenate([self.kept_ids, ids]), np.concatenate([self.kept_lengths, n])
+        which = pc.fill_null(at, -1).to_numpy()
+        which = np.where(which < 0, len(self.kept) - 1 + np.cumsum(which < 0), which)
+        starts = (np.cumsum(lengths, dtype=np.int64) - lengths).astype(np.int32)
+        if more := min(KEPT_WORDS - len(self.kept), len(new)):
+            self.kept = pa.concat_arrays([self.kept, new.slice(0, more)])
+            self.kept_lengths = lengths[: len(self.kept)].copy()
+            self.kept_ids = pool[: int(self.kept_lengths.sum())].copy()
+        return pool[_ragged(starts[which], lengths[which])], lengths[which]
+
     def _parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and numbers of ids of distinct words."""
         base = pc.utf8_rtrim(words, characters=_PUNCTUATION)
@@ -84,11 +107,10 @@ class WordEncoder:
         letters = base.filter(plain).dictionary_encode()
         tails = _behind(words.filter(plain), base.filter(plain)).dictionary_encode()
         pieces, lengths = [], []
-        for some, how in ((letters.dictionary, self._words), (tails.dictionary, self._ids), (words.filter(pc.invert(plain)), self._ids)):
-            for i in range(0, len(some), AT_ONCE):
-                ids, n = how(some.slice(i, AT_ONCE).to_pylist())
-                pieces.append(ids)
-                lengths.append(n)
+        for some, how in ((letters.dictionary, self._kept), (tails.dictionary, self._all), (words.filter(pc.invert(plain)), self._all)):
+            ids, n = how(some)
+            pieces.append(ids)
+            lengths.append(n)
         pool, lengths = np.concatenate([np.zeros(0, np.uint32), *pieces]), np.concatenate([*lengths, np.zeros(1, np.int32)])
         starts = (np.cumsum(lengths, dtype=np.int64) - lengths).astype(np.int32)
         n_letters, n_tails = len(letters.dictionary), len(tails.dictionary)

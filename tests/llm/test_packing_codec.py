@@ -134,3 +134,19 @@ def test_store_of_odd_rows(spark, tmp_path, monkeypatch, ranged):
 def test_store_of_nothing(spark, tmp_path):
     codec.write_store(odd(spark, []), f"file://{tmp_path}/store", PATH)
     assert codec.read_digests(spark, f"file://{tmp_path}/store").count() == 0
+
+
+def test_words_are_encoded_once_for_all_slices(monkeypatch):
+    """Ids are those of the tokenizer, whether a word was kept or not; kept words don't reach it again."""
+    import pyarrow as pa
+
+    from driftline.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 5)
+    coder, asked = tokens.WordEncoder(PATH), []
+    words = coder._words
+    monkeypatch.setattr(coder, "_words", lambda some: (asked.extend(some), words(some))[1])
+    for texts in (["one two, three", "two"], ["three four one", "", "Two five 6 six seven"], ["seven eight five one. two"], []):
+        ids, ends = coder.encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [x.ids for x in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert len(coder.kept) == 5 and all(asked.count(w) == 1 for w in coder.kept.to_pylist())
