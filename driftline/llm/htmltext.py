@@ -11,6 +11,12 @@ cover, so the array need not be deeper; a whole block on so many pages is repeat
 short it is. Covered tokens of open blocks go, and
 the runs between them stay, but for scraps in a block that is mostly covered.
 
+Content is judged by the array as well, but there only a substring that stands in the content of
+more than ``COMMON`` of the host's pages, and of its distinct ones, is repeated: texts quote
+each other, and what ``PAGES`` pages share may be their text. A substring on such a share of all
+pages is on such a share of some group of them, so a worker names those of its groups, and
+only these are counted.
+
 The array is never in one place: suffixes meet by (host, rank) in an aggregation that
 combines before it shuffles, so a host of any size spreads over all tasks.
 """
@@ -34,6 +40,8 @@ from driftline.llm.tokens import slices
 #: this share is covered, a run of fewer tokens than this is a scrap.
 LENGTH, PAGES, COVERED, SCRAP = 8, 3, 0.6, 4
 SLICE_BYTES = 8_000_000
+#: Share of the pages of a host with content beyond which what they share there is no text of theirs, and least distinct pages; ranks of a group.
+COMMON, COMMON_PAGES, GROUP_RANKS = 0.75, 8, 2_000_000
 #: Substrings on more pages than this find their pages by a broadcast.
 HOT_PAGES = 1_000
 #: Elements by role (fixed values).
@@ -218,6 +226,34 @@ def beginnings(blocks_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, rank[at], wholes(tokens, ends)
 
 
+def content_ranks(text: str) -> np.ndarray:
+    """The distinct ranks and hashes of whole blocks of a content."""
+    return np.unique(np.concatenate(beginnings(text.split("\n"))[1:]))
+
+
+class Group:
+    """Contents of pages by host: which ranks a large share of a host's pages in this group has."""
+
+    def __init__(self):
+        self.hosts: dict[str, list[np.ndarray]] = {}
+        self.held = 0
+
+    def add(self, host: str, text: str) -> None:
+        ranks_ = content_ranks(text)
+        self.hosts.setdefault(host, []).append(ranks_)
+        self.held += len(ranks_)
+
+    def common(self) -> tuple[list[str], list[np.ndarray]]:
+        names, found = [], []
+        for host, pages in self.hosts.items():
+            rank, n = np.unique(np.concatenate(pages), return_counts=True)
+            if (n > COMMON * len(pages)).any():
+                names.append(host)
+                found.append(rank[n > COMMON * len(pages)].view(np.int64))
+        self.hosts, self.held = {}, 0
+        return names, found
+
+
 def parse(html_text: str) -> tuple[list[str], list[str], np.ndarray]:
     """(content blocks, open blocks, ranks and hashes of the whole stream outside the content)."""
     found = blocks(html_text)
@@ -254,7 +290,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     """``page_id``, ``url``, ``text`` (blocks joined by line feeds) and ``n_chars`` (code points) of every page.
 
     Null and empty html have an empty text, and so has a page all of whose blocks are
-    boilerplate. Pages with one and the same stream are one page as evidence. A null url
+    boilerplate. A line that most pages of a host have in their content goes from it. Pages with one and the same stream are one page as evidence. A null url
     is a host of its own. Repeated rows give a row each; an empty table gives an empty
     result; other columns are not read.
     """
@@ -263,24 +299,36 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     scratch = Scratch(spark, "html")
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), host.alias("host"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
-    schema = "page_id long, url string, host string, text string, open array<string>, ranks array<long>, stream long"
+    arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("text", pa.string()), ("open", pa.list_(pa.string())), ("ranks", pa.list_(pa.int64())), ("stream", pa.int64()), ("common", pa.list_(pa.int64()))])
+    schema = "page_id long, url string, host string, text string, open array<string>, ranks array<long>, stream long, common array<long>"
+
+    def named(group: Group) -> pa.RecordBatch:
+        """Rows without a page: what is common to a host's pages in a group."""
+        hosts, found = group.common()
+        columns = [pa.array(found if f.name == "common" else hosts if f.name == "host" else [None] * len(hosts), f.type) for f in arrow]
+        return pa.RecordBatch.from_arrays(columns, arrow.names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = Group()
         for batch in batches:
             for part in slices(batch, "html", SLICE_BYTES):
                 text, open_, all_, stream = [], [], [], []
-                for page in part.column("html").to_pylist():
+                for page, of in zip(part.column("html").to_pylist(), part.column("host").to_pylist(), strict=True):
                     main, rest, ranks_ = parse(page)
                     text.append("\n".join(main))
+                    if main:
+                        group.add(of, text[-1])
                     open_.append(rest)
                     all_.append(np.unique(ranks_).view(np.int64))
                     stream.append(int(np.bitwise_xor.reduce(mix(ranks_ + np.arange(len(ranks_), dtype=np.uint64)), initial=np.uint64(len(ranks_))).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("page_id"), part.column("url"), part.column("host"), pa.array(text, pa.string()), pa.array(open_, pa.list_(pa.string())), pa.array(all_, pa.list_(pa.int64())), pa.array(stream, pa.int64())],
-                    ["page_id", "url", "host", "text", "open", "ranks", "stream"],
-                )
-
-    parsed = scratch.write(rows.mapInArrow(trimmed(cut), schema), "parsed").withColumn("row", F.monotonically_increasing_id())
+                made = [pa.array(x, arrow.field(c).type) for x, c in ((text, "text"), (open_, "open"), (all_, "ranks"), (stream, "stream"), ([None] * len(text), "common"))]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), *made], arrow.names)
+                if group.held > GROUP_RANKS:
+                    yield named(group)
+        yield named(group)
+
+    written = scratch.write(rows.mapInArrow(trimmed(cut), schema), "parsed").withColumn("row", F.monotonically_increasing_id())
+    parsed, groups = written.filter("common IS NULL"), written.filter("common IS NOT NULL")
     array = parsed.select("host", "stream", F.explode("ranks").alias("rank")).groupBy("host", "rank").agg(F.count_distinct("stream").alias("pages"))
     repeated = scratch.write(array.filter(F.col("pages") >= PAGES), "repeated")
     asked = parsed.filter(F.size("open") > 0)
@@ -296,5 +344,32 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             text = ["\n".join(kept(b, np.array(r, np.int64).view(np.uint64))) for b, r in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
-    done = parsed.filter(F.size("open") == 0).select("page_id", "url", "text").unionByName(judged.mapInArrow(keep, "page_id long, url string, text string"))
+    result = "page_id long, url string, text string"
+    done = parsed.filter(F.size("open") == 0)
+    if (lines := _common_lines(done.filter("text <> ''"), groups, scratch)) is not None:
+        mixed = done.join(lines, "row").select("page_id", "url", F.split("text", "\n").alias("open"), "repeated")
+        done = done.join(lines, "row", "left_anti").select("page_id", "url", "text").unionByName(mixed.mapInArrow(keep, result))
+    done = done.select("page_id", "url", "text").unionByName(judged.mapInArrow(keep, result))
     return done.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def _common_lines(pages: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """For each page (``row host text``) with such the ranks that are common to its host's pages, as ``row`` and ``repeated``."""
+    key = ["host", "rank"]
+    sizes = pages.groupBy("host").agg(F.count("*").alias("all"), F.count_distinct(F.xxhash64("text")).alias("apart")).filter(F.col("apart") >= COMMON_PAGES)
+    maybe = scratch.write(groups.select("host", F.explode("common").alias("rank")).distinct().join(sizes, "host"), "maybe")
+    if maybe.isEmpty():
+        return None
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                found = [content_ranks(x).view(np.int64) for x in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("row", "host", "page")], pa.array(found, pa.list_(pa.int64()))], ["row", "host", "page", "ranks"])
+
+    asked = pages.join(small(maybe.select("host").distinct()), "host", "left_semi").select("row", "host", F.xxhash64("text").alias("page"), "text")
+    runs = asked.mapInArrow(trimmed(ranked), "row long, host string, page long, ranks array<long>").select("row", "host", "page", F.explode("ranks").alias("rank"))
+    held = scratch.write(runs.join(small(maybe.select(*key)), key, "left_semi"), "held")
+    counts = held.groupBy(*key).agg(F.count("*").alias("n"), F.count_distinct("page").alias("d")).join(maybe, key)
+    common = scratch.write(counts.filter((F.col("n") > COMMON * F.col("all")) & (F.col("d") > COMMON * F.col("apart")) & (F.col("d") >= COMMON_PAGES)).select(*key), "common")
+    return scratch.write(held.join(small(common), key, "left_semi").groupBy("row").agg(F.collect_set("rank").alias("repeated")), "lines")

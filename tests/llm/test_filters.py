@@ -328,6 +328,24 @@ def test_covered_tokens_against_all_pairs():
         assert htmltext.kept(p, repeated) == want
 
 
+def test_lines_of_all_articles_of_a_host_go(spark, monkeypatch):
+    """What most pages of a host have in their articles is no text of theirs; what some share, and what copies of one page share, is."""
+    line, some = "all rights reserved by the example news company of nowhere", "a proverb that several of the stories like to tell again and again"
+    own = lambda i: f"story number {i} tells of something quite its own{i}"
+    page = lambda i: f"<article><p>{own(i)} {line}</p><p>{some if i % 2 else own(-i)}</p><p>Read more</p></article>"
+    rows = [(i, f"http://h.com/{i}", page(i)) for i in range(20)] + [(20, "http://h.com/", f"<article>{own(20)}</article>"), (21, "http://h.com/", f"<div>{line}</div>")]
+    rows += [(100 + i, "http://few.com/", page(i)) for i in range(7)] + [(200 + i, "http://copies.com/", page(1 if i < 50 else 1000 + i)) for i in range(55)]
+    rows += [(300 + i, "http://apart.com/", page(i) if i < 8 else f"<article>{own(i)}</article>") for i in range(16)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    whole = lambda i: f"{own(i)} {line}\n{some if i % 2 else own(-i)}\nRead more"
+    for most in (2_000_000, 30):
+        monkeypatch.setattr(htmltext, "GROUP_RANKS", most)
+        got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
+        assert len(got) == len(rows) and all(got[i] == f"{own(i)}\n{some if i % 2 else own(-i)}" for i in range(20))
+        assert got[20] == own(20) and all(got[100 + i] == whole(i) for i in range(7)) and all(got[200 + i] == whole(1 if i < 50 else 1000 + i) for i in range(55))
+        assert all(got[300 + i] == (whole(i) if i < 8 else own(i)) for i in range(16))
+
+
 def test_class_words_are_whole_tokens(spark):
     of = lambda page, role: [t for r, t in htmltext.blocks(page) if r == role]
     assert of("<div class='content no-sidebar'><p>story body</p></div><div class=share-price>up</div>", "open") == ["story body", "up"]
