@@ -105,7 +105,7 @@ def greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hungarian_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts in one place are one node of a flow, so components of copies are solved whole."""
     edges, a, b = spatial.near_places(*_points(spark, sf_dir), RADIUS, RADIUS, ["kind"])
-    return assign.optimal_classes(edges, a, b, "distance").select("a_id", "b_id", _micro("distance"))
+    return assign.optimal_classes(edges, a, b, "distance", ["kind"]).select("a_id", "b_id", _micro("distance"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
